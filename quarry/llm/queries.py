@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, decontam, dedup, licenses
+from quarry.llm import bpe, chat, decontam, dedup, licenses, ngram_join
 from quarry.llm.common import documents
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=90)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,7 +38,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_chat_formatting, op4_license_scan, op5_exact_dedup, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_chat_formatting, op4_license_scan, op5_exact_dedup, op9_decontamination)}
 
 SQL = {
     "op5_exact_dedup": """
