@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, decontam, dedup, licenses, ngram_join
+from quarry.llm import bpe, chat, decontam, dedup, language, licenses, ngram_join, pii, quality, toxicity
 from quarry.llm.common import documents
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -34,11 +34,27 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.report(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(spark, documents(spark, sf_dir).select("doc_id", "text", "source", "lang"), documents(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_chat_formatting, op4_license_scan, op5_exact_dedup, op9_decontamination)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_chat_formatting, op4_license_scan, op5_exact_dedup, op6_pii, op7_quality_classifier, op8_toxicity, op9_decontamination, op10_language_id)}
 
 SQL = {
     "op5_exact_dedup": """
