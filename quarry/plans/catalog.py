@@ -1,4 +1,510 @@
-"""Registered queries over the given tables, and their SQL."""
+"""Registered queries over the given tables, and the SQL that says the same."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text as tx
+from quarry.operators import chunks, dataset, logs, retrieval
+from quarry.sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark, d):
+    return table(spark, d, "documents")
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def exact_unique(spark, d):
+    return dataset.exact_unique(docs(spark, d))
+
+
+CHUNKS_SQL = """
+    SELECT doc_id, i AS chunk_index, i * 850 AS start, substr(text, i * 850 + 1, 1000) AS chunk
+    FROM documents, unnest(range(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 1000 THEN 1
+        ELSE CAST(ceil((length(text) - 1000) / 850.0) AS BIGINT) + 1 END)) AS u(i)"""
+ALNUM_SQL = "length(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
+CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+    '(?m)^[ \t]*[0-9]{1,4}[ \t]*$', '', 'g'), '([A-Za-z])-[ \t\r\n]*\n[ \t\r\n]*([a-z])', '\1\2', 'g'),
+    '(?m)^[ \t]*[-*][ \t]+', '', 'g'), '[ \t\r\n]+', ' ', 'g'))"""
+
+
+@query(f"SELECT doc_id, chunk_index, start, md5(chunk) AS chunk_md5, length(chunk) AS chars FROM ({CHUNKS_SQL})")
+def sliding_chunks(spark, d):
+    made = chunks.sliding(docs(spark, d))
+    return made.select("doc_id", "chunk_index", "start", F.md5("chunk").alias("chunk_md5"), F.length("chunk").alias("chars"))
+
+
+@query(f"""
+    WITH firsts AS (SELECT doc_id, lang, text FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1),
+    cleaned AS (SELECT doc_id, lang, {CLEAN_SQL} AS text FROM firsts),
+    cut AS (SELECT lang, substr(text, i * 850 + 1, 1000) AS chunk FROM cleaned,
+        unnest(range(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 1000 THEN 1
+            ELSE CAST(ceil((length(text) - 1000) / 850.0) AS BIGINT) + 1 END)) AS u(i))
+    SELECT lang, count(*) AS n_chunks, sum(length(chunk)) AS chars FROM cut
+    WHERE {ALNUM_SQL.format('chunk')} >= 80 GROUP BY lang""")
+def corpus_flow(spark, d):
+    """Exact dedup, cleaning, chunking and filtering, counted by language."""
+    rows = docs(spark, d).select("doc_id", "lang", "text")
+    kept = dataset.exact_unique(rows).select("doc_id")
+    cleaned = rows.join(kept, "doc_id", "left_semi").select("doc_id", "lang", tx.clean_page(F.col("text")).alias("text"))
+    langs = cleaned.select("doc_id", "lang")
+    made = chunks.sliding(cleaned).filter(tx.is_substantive(F.col("chunk")))
+    return made.join(langs, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk")).alias("chars"))
+
+
+@query(f"SELECT doc_id, md5({CLEAN_SQL}) AS cleaned_md5 FROM documents")
+def clean_core(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(tx.clean_page(F.col("text"))).alias("cleaned_md5"))
+
+
+@query(r"""
+    SELECT doc_id, md5(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)),
+        lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda x: x <> '' AND NOT regexp_full_match(x, '[- \t]*[0-9]{1,4}[- \t]*')), ' '),
+        '[ \t]{2,}', ' ', 'g')) AS cleaned_md5 FROM documents""")
+def clean_legacy(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(tx.clean_lines(F.col("text"))).alias("cleaned_md5"))
+
+
+@query(rf"""
+    WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents),
+    c AS (SELECT *, len(lines) AS n, len(list_filter(lines, lambda x: regexp_matches(x, '\. ?\. ?\.'))) AS led,
+        len(list_filter(lines, lambda x: length(x) < 90 AND regexp_matches(x, '[ \t][0-9]{{1,4}}[ \t]*$'))) AS ended FROM l)
+    SELECT doc_id, {ALNUM_SQL.format('text')} >= 80 AS substantive,
+        len(regexp_extract_all(text, '(?:\.[ \t\r\n]*){{3,}}')) >= 4 AS contents,
+        n >= 3 AND (led * 10 >= n * 3 OR ended * 10 >= n * 7) AS toc FROM c""")
+def text_predicates(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", tx.is_substantive(t).alias("substantive"), tx.is_contents(t, 4).alias("contents"), tx.is_toc(t).alias("toc"))
+
+
+@query("""
+    WITH pages AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) >= 6),
+    l AS (SELECT DISTINCT source, doc_id, trim(x) AS line FROM documents, unnest(string_split(text, chr(10))) AS u(x)),
+    f AS (SELECT source, line, count(DISTINCT doc_id) AS n FROM l WHERE line <> '' AND length(line) <= 90 GROUP BY 1, 2)
+    SELECT source, line, n AS "on" FROM f JOIN pages USING (source) WHERE n >= greatest(3, CAST(floor(pages * 0.02) AS BIGINT))""")
+def furniture_lines(spark, d):
+    return chunks.repeated_lines(docs(spark, d), "source", "doc_id", share=0.02)
+
+
+@query("""
+    SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{p}'))) AS kept,
+        len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{p}'))) AS stripped FROM documents""".format(p="|".join(f"(?:{p})" for p in chunks.FURNITURE)))
+def header_footer_strip(spark, d):
+    return chunks.strip_furniture(docs(spark, d))
+
+
+@query()
+def html_text(spark, d):
+    return readers.html_text(table(spark, d, "pages"))
+
+
+RULES = [("brass", "metal_soft"), ("steel|nickel", "metal_hard"), ("^promo", "promotion"), ("tin", "metal_soft")]
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'brass') THEN 'metal_soft' WHEN regexp_matches(lower(p_type), 'steel|nickel') THEN 'metal_hard'
+        WHEN regexp_matches(lower(p_type), '^promo') THEN 'promotion' WHEN regexp_matches(lower(p_type), 'tin') THEN 'metal_soft' ELSE 'administrative_public' END AS subject,
+        coalesce(nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'untitled')[1:40] AS slug FROM part""")
+def subject_rules(spark, d):
+    return table(spark, d, "part").select("p_partkey", tx.rule_label(F.col("p_type"), RULES, "administrative_public").alias("subject"), tx.slug(F.col("p_name")).alias("slug"))
+
+
+SHORT = "length(line) < 40"
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+    h AS (SELECT *, CASE WHEN {SHORT} THEN line END AS heading FROM l)
+    SELECT doc_id, line_no, last_value(heading IGNORE NULLS) OVER w AS filled, heading IS NULL AND last_value(heading IGNORE NULLS) OVER w IS NOT NULL AS inherited
+    FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def forward_fill(spark, d):
+    rows = chunks.lines(docs(spark, d), "doc_id").withColumn("heading", F.when(F.length("line") < 40, F.col("line")))
+    return chunks.forward_fill(rows, "doc_id", "line_no", "heading").select("doc_id", "line_no", "filled", "inherited")
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
+    u AS (SELECT *, sum(CAST({SHORT} AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS unit FROM l)
+    SELECT doc_id, CAST(unit AS BIGINT) AS unit, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM u GROUP BY 1, 2""")
+def structure_units(spark, d):
+    return chunks.units(chunks.lines(docs(spark, d), "doc_id"), "doc_id", "line_no", F.length("line") < 40)
+
+
+@query("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2")
+def term_freq(spark, d):
+    return retrieval.term_frequencies(docs(spark, d), "doc_id")
+
+
+@query("""
+    WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents)
+    SELECT term, CAST(CAST(concat('0x', md5(term)) AS UHUGEINT) % 1000000 AS BIGINT) AS bucket FROM w""")
+def feature_hash(spark, d):
+    words = docs(spark, d).select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+    return words.select("term", tx.bucket_of(F.col("term")).alias("bucket"))
+
+
+COSINE_SQL = """
+    WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
+        FROM embeddings q, embeddings c WHERE q.vec_id < 10 AND c.vec_id >= 10 {where}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
+
+
+def vectors(spark, d):
+    rows = table(spark, d, "embeddings")
+    return rows.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), rows.filter("vec_id >= 10")
+
+
+@query(COSINE_SQL.format(where="") + " SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
+def cosine_topk(spark, d):
+    return retrieval.cosine_top_k(*vectors(spark, d), k=20)
+
+
+@query(COSINE_SQL.format(where="AND c.label IN (1, 3)") + " SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3")
+def cosine_topk_filtered(spark, d):
+    queries, corpus = vectors(spark, d)
+    return retrieval.cosine_top_k(queries, corpus.filter(F.col("label").isin(1, 3)), k=3)
+
+
+@query(COSINE_SQL.format(where="") + """, t AS (SELECT * FROM r WHERE rank <= 20 AND (score >= 0.3 OR rank = 1))
+    SELECT query_id, CASE WHEN max(score) >= 0.25 THEN 'grounded' ELSE 'general' END AS mode,
+        CASE WHEN max(score) >= 0.25 THEN count(*) ELSE 0 END AS contexts, max(score) AS top_score FROM t GROUP BY 1""")
+def retrieval_mode(spark, d):
+    ranked = retrieval.cosine_top_k(*vectors(spark, d), k=20)
+    return retrieval.modes(retrieval.passing(ranked, 0.3), "query_id")
+
+
+@query(COSINE_SQL.format(where="") + """, b AS (SELECT query_id, label AS page, min(rank) AS best FROM r WHERE rank <= 20 GROUP BY 1, 2),
+    p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, page) AS place FROM b)
+    SELECT query_id, page, CAST(best AS INT) AS best, CAST(place AS INT) AS place FROM p WHERE place <= 3""")
+def page_rank_dedup(spark, d):
+    queries, corpus = vectors(spark, d)
+    hits = retrieval.cosine_top_k(queries, corpus, k=20).join(corpus.select("vec_id", F.col("label").alias("page")), "vec_id")
+    return dataset.ranked_pages(hits, "query_id", "page", 3)
+
+
+SPARSE_SQL = """
+    WITH dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2),
+    qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 20 = 0) GROUP BY 1, 2),
+    s AS (SELECT query_id, doc_id, CAST(sum(tf * qtf) AS BIGINT) AS score FROM dt JOIN qt USING (term) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
+
+
+def sparse_ranked(spark, d, k):
+    queries = table(spark, d, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.top(retrieval.sparse_scores(queries, docs(spark, d)), "query_id", "score", "doc_id", k)
+
+
+@query(SPARSE_SQL + " SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
+def sparse_topk(spark, d):
+    return sparse_ranked(spark, d, 10)
+
+
+@query(SPARSE_SQL + """, o AS (SELECT q.item_id AS query_id, x.doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(x.text), '[a-z0-9]+'))))
+        / CAST(greatest(len(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+'))), 1) AS DOUBLE), 6) AS score FROM r JOIN benchmark q ON q.item_id = r.query_id JOIN documents x ON x.doc_id = r.doc_id WHERE r.rank <= 20),
+    l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o),
+    v AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS vote FROM r WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM l WHERE rank <= 20),
+    f AS (SELECT query_id, doc_id, round(sum(CAST(vote AS DOUBLE)), 6) AS score FROM v GROUP BY 1, 2),
+    g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
+    SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM g WHERE rank <= 5""")
+def hybrid_rrf(spark, d):
+    """The sparse list fused with its lexically reranked twin."""
+    first = sparse_ranked(spark, d, 20)
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    pairs = first.select("query_id", "doc_id").join(docs(spark, d).select("doc_id", "text"), "doc_id").join(q, "query_id")
+    second = retrieval.lexical_rerank(pairs).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return retrieval.fuse([first, retrieval.top(second, "query_id", "score", "doc_id", 20)], "query_id", "doc_id", 5)
+
+
+@query("""
+    WITH c AS (SELECT source, doc_id, length(text) AS n, coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+    SELECT source, doc_id, CAST(CASE WHEN n <= 6000 - before THEN n ELSE 6000 - before END AS BIGINT) AS taken FROM c WHERE before < 6000 AND (n <= 6000 - before OR 6000 - before > 300)""")
+def page_budget(spark, d):
+    return chunks.page_budget(docs(spark, d), "source", "doc_id")
+
+
+@query()
+def packed_groups(spark, d):
+    return chunks.pack(docs(spark, d), "source", "doc_id", 6000).select("source", "n_groups", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"))
+
+
+@query("""
+    WITH n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents)
+    SELECT source, doc_id FROM n WHERE list_contains(list_transform(range(7), lambda i: CAST(floor(i * n / 7.0) AS BIGINT)), pos)""")
+def even_sample(spark, d):
+    return chunks.even_sample(docs(spark, d).select("source", "doc_id"), "source", "doc_id", 7)
+
+
+@query("""
+    WITH p AS (SELECT doc_id, n, ['qa', 'summary', 'mcq'][n % 3 + 1] AS pair_type, CASE WHEN length(text) > 280 THEN substr(replace(text, chr(10), ' '), 1, 280) || '...' ELSE replace(text, chr(10), ' ') END AS output
+        FROM documents, unnest(range(2)) AS u(n))
+    SELECT doc_id, CAST(n AS INT) AS n, pair_type, md5(output) AS output_md5, substr(sha1(concat_ws('|', doc_id, pair_type, n)), 1, 10) AS pair_id FROM p""")
+def mock_pairs(spark, d):
+    made = dataset.draft_pairs(docs(spark, d), ["qa", "summary", "mcq"], 2)
+    return made.select("doc_id", "n", "pair_type", F.md5("output").alias("output_md5"), "pair_id")
+
+
+@query(r"""
+    WITH p AS (SELECT a.doc_id, a.text AS output, b.text AS source FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+    c AS (SELECT *, list_sort(list_filter(list_distinct(regexp_extract_all(lower(output), '(?:section|article|rule|clause|version|no) ([0-9]+)', 1)), lambda x: NOT list_contains(regexp_extract_all(lower(source), '[0-9]+'), x))) AS missing FROM p)
+    SELECT doc_id, array_to_string(missing, ',') AS unsupported, CASE WHEN length(trim(regexp_replace(output, '[ \t\r\n]+', ' ', 'g'))) < 40 THEN 'short output' WHEN len(missing) > 0 THEN 'unsupported citation' END AS reason FROM c""")
+def grounding_check(spark, d):
+    rows = docs(spark, d)
+    source = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("source"))
+    return dataset.check_pairs(rows.select("doc_id", F.col("text").alias("output")).join(source, "doc_id")).select("doc_id", "unsupported", "reason")
+
+
+@query("""
+    SELECT conv_id, count(*) AS n_messages, md5(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS messages_md5 FROM conversations GROUP BY 1""")
+def sft_records(spark, d):
+    made = dataset.to_sft(table(spark, d, "conversations"))
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m.role, F.lit(":"), m.content)), "\n")
+    return made.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"), F.md5(text).alias("messages_md5"))
+
+
+PAIRS_SQL = "WITH p AS (SELECT lang AS subject, source AS doc, source || '::' || CAST(doc_id % 5 AS VARCHAR) AS unit, doc_id FROM documents)"
+
+
+def pairs(spark, d):
+    unit = F.concat_ws("::", "source", F.pmod("doc_id", F.lit(5)).cast("string"))
+    return docs(spark, d).select(F.col("lang").alias("subject"), F.col("source").alias("doc"), unit.alias("unit"), "doc_id")
+
+
+@query(PAIRS_SQL + """, c AS (SELECT subject, doc, count(*) AS n FROM p GROUP BY 1, 2),
+    k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY subject ORDER BY n, doc) = 1 AND count(*) OVER (PARTITION BY subject) >= 2),
+    l AS (SELECT p.subject, count(DISTINCT unit) AS units_left FROM p ANTI JOIN k ON k.subject = p.subject AND k.doc = p.doc GROUP BY 1)
+    SELECT subject, doc, n, coalesce(units_left, 0) AS units_left, coalesce(units_left, 0) >= 3 AS held FROM k LEFT JOIN l USING (subject)""")
+def strict_holdout(spark, d):
+    return dataset.strict_holdout(pairs(spark, d))
+
+
+def split_rows(spark, d):
+    """Whole units by a hash of ids: doc_id div 10 is the unit."""
+    place = F.pmod(F.floor(F.col("doc_id") / 10) * 37, F.lit(100))
+    split = F.when(place < 70, "train").when(place < 85, "val").otherwise("test")
+    return docs(spark, d).select(F.col("lang").alias("subject"), F.col("source").alias("doc"), F.floor(F.col("doc_id") / 10).alias("unit"), split.alias("split"))
+
+
+SPLIT_SQL = "WITH s AS (SELECT lang AS subject, source AS doc, doc_id // 10 AS unit, CASE WHEN doc_id // 10 * 37 % 100 < 70 THEN 'train' WHEN doc_id // 10 * 37 % 100 < 85 THEN 'val' ELSE 'test' END AS split FROM documents)"
+
+
+@query(SPLIT_SQL + " SELECT subject, " + ", ".join(f"count(*) FILTER (split = '{s}') AS pairs_{s}, count(DISTINCT doc) FILTER (split = '{s}') AS docs_{s}" for s in dataset.SPLITS)
+    + ", concat_ws('|', " + ", ".join(f"CASE WHEN count(*) FILTER (split = '{s}') = 0 THEN '{s}' END" for s in dataset.SPLITS) + ") AS missing_in FROM s GROUP BY 1")
+def balance_crosstab(spark, d):
+    return dataset.crosstab(split_rows(spark, d))
+
+
+@query(SPLIT_SQL + " SELECT count(*) AS leaks FROM (SELECT unit FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1)")
+def split_disjoint(spark, d):
+    return dataset.leaks(split_rows(spark, d), "unit").agg(F.count(F.lit(1)).alias("leaks"))
+
+
+@query()
+def stratified_split(spark, d):
+    units = pairs(spark, d).groupBy("subject", "unit").agg(F.count(F.lit(1)).alias("n"))
+    return dataset.stratified_assign(units)
+
+
+@query("""
+    WITH t AS (SELECT a.conv_id, a.turn, regexp_extract_all(lower(a.text), '[a-z0-9]+') AS x, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS y, a.text FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+    m AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))), 0) AS c FROM t)
+    SELECT conv_id, turn, round(CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 WHEN c = 0 THEN 0.0 ELSE 2.0 * c / (len(x) + len(y)) END, 6) AS f1, nullif(regexp_extract(upper(text), '\\b([ABCD])\\b', 1), '') AS letter FROM m""".replace("\\\\", "\\"))
+def token_f1(spark, d):
+    turns = table(spark, d, "conversations")
+    gold = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold"))
+    own = turns.join(gold, ["conv_id", "turn"])
+    return own.select("conv_id", "turn", F.round(tx.token_f1(tx.tokens(F.col("text")), tx.tokens(F.col("gold"))), 6).alias("f1"), tx.answer_letter(F.col("text")).alias("letter"))
+
+
+@query("""
+    SELECT event_type, count(value) AS n, list_sort(list(value))[CAST(floor(0.95 * (count(value) - 1)) AS INT) + 1] AS p95,
+        list_sort(list(value))[CAST(floor(count(value) / 2) AS INT) + 1] AS p50, list_sort(list(value))[least(count(value) - 1, CAST(floor(count(value) * 0.95) AS INT)) + 1] AS p95_length
+    FROM events WHERE value IS NOT NULL GROUP BY 1""")
+def latency_ranks(spark, d):
+    n = F.col("n")
+    picks = {"p95": F.floor(F.lit(0.95) * (n - 1)), "p50": F.floor(n / 2), "p95_length": F.least(n - 1, F.floor(n * 0.95))}
+    return logs.at_rank(table(spark, d, "events"), "event_type", "value", picks)
+
+
+SCORE_SQL = "greatest(1, least(100, CAST(floor(value) AS INT)))"
+
+
+def scores(spark, d):
+    score = F.greatest(F.lit(1), F.least(F.lit(100), F.floor("value").cast("int")))
+    return table(spark, d, "events").select(F.col("event_type").alias("task"), score.alias("score"), "user_id", "event_id", "ts")
+
+
+@query(f"""
+    WITH s AS (SELECT event_type AS task, {SCORE_SQL} AS score FROM events WHERE value IS NOT NULL)
+    SELECT task, count(*) AS n, min(score) AS low, max(score) AS high, round(avg(score), 1) AS mean, count(DISTINCT score) AS distinct_scores,
+        round(avg(CASE WHEN score >= 70 THEN 1.0 ELSE 0.0 END), 3) AS pass_rate, list_sort(list(score))[count(*) // 2 + 1] AS median FROM s GROUP BY 1""")
+def judge_stats(spark, d):
+    return logs.judge_stats(scores(spark, d))
+
+
+@query("SELECT event_type AS stage, count(*) AS n FROM events GROUP BY 1")
+def stage_counts(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    WITH m AS (SELECT lang AS "group", count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 4) AS accuracy, round(avg(CAST(toxic AS DOUBLE)), 4) AS hallucination_rate, round(1 - avg(CAST(toxic AS DOUBLE)), 4) AS groundedness
+        FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+    v AS (SELECT *, concat_ws(';', CASE WHEN accuracy < 0.7 THEN 'accuracy' END, CASE WHEN groundedness < 0.85 THEN 'groundedness' END, CASE WHEN hallucination_rate > 0.15 THEN 'hallucination' END, CASE WHEN accuracy < 0.9 - 0.05 THEN 'below fallback' END) AS violations FROM m)
+    SELECT *, violations = '' AS promote FROM v""")
+def promotion_gate(spark, d):
+    rows = table(spark, d, "labels").join(docs(spark, d).select("doc_id", "lang"), "doc_id")
+    return dataset.gate(dataset.metrics(rows.select(F.col("lang").alias("group"), F.col("quality").alias("correct"), F.col("toxic").alias("hallucinated"))), 0.9)
+
+
+@query(f"""
+    WITH a AS (SELECT user_id AS key, CASE WHEN event_type <> 'error' THEN {SCORE_SQL} END AS score, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events),
+    b AS (SELECT key, max(score) AS score, max(attempt) AS last FROM a GROUP BY 1), c AS (SELECT b.key, coalesce(min(a.attempt), any_value(last)) AS attempt, b.score FROM b LEFT JOIN a ON a.key = b.key AND a.score = b.score GROUP BY b.key, b.score)
+    SELECT key, attempt, score, CASE WHEN coalesce(score >= 70 OR attempt >= 2 OR score < 45, attempt >= 2, FALSE) THEN 'persist' ELSE 'generate' END AS decision FROM c""")
+def best_attempt(spark, d):
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("key").orderBy("ts", "event_id")
+    rows = scores(spark, d).select(F.col("user_id").alias("key"), F.when(F.col("task") != "error", F.col("score")).alias("score"), "ts", "event_id")
+    best = logs.best_attempts(rows.withColumn("attempt", F.row_number().over(order).cast("bigint")))
+    return best.withColumn("decision", logs.retry_decision(F.col("score"), F.col("attempt"), F.lit("say more")))
+
+
+@query("""
+    WITH i AS (SELECT p_brand AS set_id, p_name AS stem, [p_type, p_name, p_brand, CASE WHEN p_size % 7 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END] AS options, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS answer FROM part),
+    k AS (SELECT *, list_transform(options, lambda x: lower(trim(trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g')), '.?!,;:'))) AS ks, lower(trim(trim(regexp_replace(answer, '[ \t\r\n]+', ' ', 'g')), '.?!,;:')) AS a FROM i),
+    m AS (SELECT *, list_position(ks, a) AS slot, len(list_distinct(ks)) < 4 AS dup, options[list_position(list_transform(options, lambda x: length(x)), list_max(list_transform(options, lambda x: length(x))))] = answer AS longest FROM k)
+    SELECT set_id, count(slot) AS n, count(slot) >= 4 AND count(DISTINCT slot) = 1 AS one_slot, count(slot) >= 4 AND bool_and(longest) AS always_longest,
+        count(DISTINCT lower(trim(trim(regexp_replace(stem, '[ \t\r\n]+', ' ', 'g')), '.?!,;:'))) < count(*) AS duplicate_stems, CAST(sum(CAST(dup AS INT)) AS BIGINT) AS faulty FROM m GROUP BY 1""")
+def mcq_set_bias(spark, d):
+    p = table(spark, d, "part")
+    size = F.col("p_size")
+    options = F.array("p_type", "p_name", "p_brand", F.when(size % 7 == 0, F.col("p_brand")).otherwise(size.cast("string")))
+    items = p.select(F.col("p_brand").alias("set_id"), F.col("p_name").alias("stem"), options.alias("options"), F.when(size % 2 == 0, F.col("p_type")).otherwise(F.col("p_name")).alias("answer"))
+    faulty = items.groupBy("set_id").agg(F.sum((F.size(dataset.mcq_faults(F.col("options"), F.col("answer"))) > 0).cast("bigint")).alias("faulty"))
+    return dataset.set_bias(items).join(faulty, "set_id")
+
+
+@query("""
+    SELECT conv_id, turn, role, length(text) AS chars FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4""")
+def history_last_n(spark, d):
+    return logs.last_turns(table(spark, d, "conversations"), 2).select("conv_id", "turn", "role", F.length("text").alias("chars"))
+
+
+@query(r"""
+    WITH t AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+    SELECT conv_id, turn, before IS NOT NULL AND (len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '')) <= 4 OR regexp_matches(lower(text), '^[ \t]*(it|this|that|they|these|those|he|she)([^a-z]|$)')
+        OR NOT list_has_any(regexp_extract_all(lower(text), '[a-z0-9]+'), regexp_extract_all(lower(before), '[a-z0-9]+'))) AS follow_up FROM t WHERE role = 'user'""")
+def follow_ups(spark, d):
+    return logs.needs_rewrite(table(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations GROUP BY 1 ORDER BY turns DESC, conv_id LIMIT 20")
+def list_sessions(spark, d):
+    return logs.sessions(table(spark, d, "conversations"))
+
+
+@query("""
+    WITH l AS (SELECT o_orderkey, o_custkey AS c_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200)
+    SELECT o_orderkey, c_custkey, c_name, o_totalprice FROM l JOIN customer USING (c_custkey)""")
+def listing_join(spark, d):
+    links = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    return logs.linked(links, table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", "o_totalprice", "o_orderkey", 200)
+
+
+@query("""
+    SELECT coalesce(o_orderpriority, 'all') AS task, count(*) AS total, CAST(sum(CAST(o_orderstatus = 'F' AS INT)) AS BIGINT) AS accepted, round(sum(CAST(o_orderstatus = 'F' AS INT)) / nullif(count(*), 0), 3) AS rate
+    FROM orders GROUP BY GROUPING SETS ((o_orderpriority), ())""")
+def acceptance_overview(spark, d):
+    return logs.acceptance(table(spark, d, "orders").select(F.col("o_orderpriority").alias("task"), (F.col("o_orderstatus") == "F").alias("accepted")))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_wins_merge(spark, d):
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    return logs.latest_wins(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("""
+    SELECT user_id, CAST(min(ts) AS VARCHAR)[1:19] AS added_at, arg_max(event_type, struct_pack(ts := ts, e := event_id)) AS event_type FROM events GROUP BY 1""")
+def set_on_insert(spark, d):
+    made = logs.set_on_insert(table(spark, d, "events"), ["user_id"], "ts", "event_id", "added_at", ["event_type"])
+    return made.select("user_id", F.date_format("added_at", "yyyy-MM-dd HH:mm:ss").alias("added_at"), "event_type")
+
+
+@query("""
+    SELECT user_id, arg_max(value, struct_pack(ts := ts, e := event_id)) FILTER (event_type = 'purchase') AS paid, arg_max(event_id, struct_pack(ts := ts, e := event_id)) FILTER (event_type = 'signup') AS signup FROM events GROUP BY 1""")
+def null_safe_upsert(spark, d):
+    kind = F.col("event_type")
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(kind == "purchase", F.col("value")).alias("paid"), F.when(kind == "signup", F.col("event_id")).alias("signup"))
+    return logs.keep_known(rows, ["user_id"], ["ts", "event_id"], ["paid", "signup"])
+
+
+@query("""
+    WITH left_ AS (SELECT DISTINCT l_partkey FROM lineitem WHERE (l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_quantity >= 3))
+    SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM left_)""")
+def refcount_delete(spark, d):
+    pair = ["l_orderkey", "l_linenumber"]
+    links = table(spark, d, "lineitem").select(*pair, "l_partkey", "l_quantity")
+    return logs.orphans(links.drop("l_quantity"), links.filter("l_quantity >= 3"), pair, "l_partkey")
+
+
+@query("""
+    SELECT 'customer' AS name, count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
+    UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)""")
+def cascading_delete(spark, d):
+    gone = table(spark, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("nation"))
+    kept = logs.cascade({n: table(spark, d, n).withColumnRenamed(f"{n[0]}_nationkey", "nation") for n in ("customer", "supplier")}, gone, "nation")
+    count = lambda n: kept[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"))
+    return count("customer").unionByName(count("supplier"))
+
+
+@query("""
+    WITH e AS (SELECT max(CAST(ts AS DATE)) AS last FROM events), c AS (SELECT CAST(unnest(generate_series(last - 44, last, INTERVAL 1 DAY)) AS DATE) AS day FROM e)
+    SELECT CAST(day AS VARCHAR) AS day, count(event_id) AS n FROM c LEFT JOIN events ON CAST(ts AS DATE) = day GROUP BY 1""")
+def daily_activity(spark, d):
+    return logs.daily(table(spark, d, "events"), "ts", 45).select(F.col("day").cast("string").alias("day"), "n")
+
+
+@query("""
+    SELECT user_id AS job, arg_max(event_type, struct_pack(ts := ts, e := event_id)) AS status, count(*) AS transitions, arg_max(event_type, struct_pack(ts := ts, e := event_id)) IN ('purchase', 'error') AS done FROM events GROUP BY 1""")
+def job_state_fold(spark, d):
+    return logs.fold_jobs(table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_type").alias("status"), "ts", "event_id"), ["purchase", "error"])
+
+
+@query("""
+    SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_parse_tolerant(spark, d):
+    fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).otherwise(F.concat(F.lit("Reply: "), F.col("props"), F.lit(" done")))
+    return table(spark, d, "events").select("event_id", tx.parse_reply(fenced, "k bigint")["k"].alias("k"))
+
+
+@query("SELECT doc_id, text[1:200] AS preview FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50")
+def longest_first(spark, d):
+    return logs.newest(docs(spark, d), {"lang": None}, "n_chars", "doc_id", 50).select("doc_id", F.substring("text", 1, 200).alias("preview"))
+
+
+@query("SELECT CAST(ts AS DATE)::VARCHAR AS day, event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY 1, 2")
+def streaming_daily(spark, d):
+    from quarry.streaming.jobs import daily_counts
+
+    return daily_counts(table(spark, d, "events"))
