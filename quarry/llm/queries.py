@@ -56,9 +56,46 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_chat_formatting, op4_license_scan, op5_exact_dedup, op6_pii, op7_quality_classifier, op8_toxicity, op9_decontamination, op10_language_id)}
 
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"coalesce(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+ESCAPED = "length({0}) + 4 * (length({0}) - length(replace({0}, '&', ''))) + 3 * (length({0}) - length(replace({0}, '<', ''))) + 4 * (length({0}) - length(replace({0}, '[', '')))"
+
 SQL = {
+    "op1_ngram_jaccard_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 3], ' ') AS gram FROM w, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, len(w) - 2) END)) AS u(i)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+        r AS (SELECT doc_id AS src, doc_id AS dst FROM documents UNION SELECT r.src, e.b FROM r JOIN e ON e.a = r.dst)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(dst) AS component_id FROM documents d JOIN r ON r.src = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1""",
+    "op3_chat_formatting": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, t, r, '{CONTROL_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+        p AS (SELECT *, row_number() OVER o - 1 AS place, coalesce(sum((length(text) + 3) // 4 + 4) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+            {ESCAPED.format('role')} + 1 + {ESCAPED.format('text')} + 8 AS size FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+        q AS (SELECT *, before // 1024 AS w FROM p),
+        g AS (SELECT conv_id, w, min(place) AS first FROM q GROUP BY 1, 2),
+        s AS (SELECT conv_id, place AS s_place, w AS s_w, size AS s_size FROM q WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place) = 1),
+        h AS (SELECT q.conv_id, sum(9 + size) AS told FROM g JOIN q ON q.conv_id = g.conv_id AND q.place < g.first AND q.place >= g.first - 2
+            LEFT JOIN s ON s.conv_id = q.conv_id WHERE s_place IS NULL OR q.place <> s_place GROUP BY 1),
+        k AS (SELECT g.conv_id, sum(9 + s_size) AS kept FROM g JOIN s ON s.conv_id = g.conv_id AND g.w > s_w GROUP BY 1),
+        t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+            coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss, sum(8 + size) AS own FROM q GROUP BY 1)
+        SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+            CAST(own + coalesce(told, 0) + coalesce(kept, 0) AS BIGINT) AS formatted_chars FROM t LEFT JOIN h USING (conv_id) LEFT JOIN k USING (conv_id)""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op9_decontamination": f"""
+        WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+        i AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[x + 1 : x + least(10, len(w))], ' ') AS gram FROM b, unnest(range(len(w) - least(10, len(w)) + 1)) AS u(x) WHERE len(w) > 0),
+        k AS (SELECT DISTINCT k FROM i),
+        g AS (SELECT doc_id, x, k, array_to_string(w[x + 1 : x + k], ' ') AS gram FROM d, k, unnest(range(greatest(0, len(w) - k + 1))) AS u(x)),
+        h AS (SELECT doc_id, x, g.k, item_id FROM g JOIN i ON g.k = i.k AND g.gram = i.gram),
+        n AS (SELECT doc_id, count(DISTINCT at_) AS n_hit FROM (SELECT doc_id, unnest(range(x, x + k)) AS at_ FROM h) GROUP BY 1),
+        m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
 }
