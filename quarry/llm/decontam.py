@@ -74,7 +74,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     found = []
     for k in range(passes):
         part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k) if passes > 1 else rows
-        items = [(r.item, r.text.encode()) for r in part.toLocalIterator()]
+        items = [(r.item, r.text.encode()) for r in part.collect()]
         windows = spark.sparkContext.broadcast(Windows(items, n))
 
         def run(texts: list[bytes], windows=windows) -> dict:
@@ -119,7 +119,7 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if (rows.agg(F.sum(F.length("text"))).first()[0] or 0) > 2 * MAX_BROADCAST_WINDOWS:
         clean = report(docs, benchmark).filter("not contaminated").select(F.col("doc_id").alias("__kept"))
         return docs.join(clean, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    windows = spark.sparkContext.broadcast(Windows([(r.item, r.text.encode()) for r in rows.toLocalIterator()], WINDOW))
+    windows = spark.sparkContext.broadcast(Windows([(r.item, r.text.encode()) for r in rows.collect()], WINDOW))
 
     def run(batches):
         for batch in batches:
