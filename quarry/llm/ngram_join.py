@@ -5,8 +5,10 @@ one global order: rare shingles first, by a fixed-size sketch of shingle counts
 sets with a similarity of t percent share a shingle among the first |x| - ceil(t |x| / 100) + 1 of each.
 
 1. Equal sets become one representative (their smallest doc_id) by a pre-aggregated grouping.
-2. Prefix shingles of representatives that two or more share are live; the smallest representative with a live shingle
-   names a block, and all that share the shingle are its members. Any two sets that can link meet in a block.
+2. Prefix shingles of representatives that two or more share are live. Prefixes are longer by m - 1, so that linked
+   sets share m of them, and sets with too few live shingles drop out. The smallest representative with a live shingle
+   (in a band of sizes) names a block, and all that share the shingle are its members. Any two sets that can link meet
+   in a block.
 3. Large blocks are dealt out over chunks of CHUNK members, each with the block's first set. A task stores a chunk's
    sets in a trie (runs of equal ranks share a node) and walks it for each set with the overlap so far, pruning
    subtrees by the bounds on remaining lengths and leaves already connected.
@@ -72,7 +74,7 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
     parts = docs.select("text").mapInArrow(partial, schema)
     some = parts.repartition(F.col("row"), F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(add, schema)
     sketch = np.zeros((CELLS // CELLS_A_ROW, CELLS_A_ROW), np.int64)
-    for r in some.repartition("row").mapInArrow(add, schema).toLocalIterator():
+    for r in some.repartition("row").mapInArrow(add, schema).collect():  # CELLS counters at most from each task
         sketch[r.row] += np.frombuffer(r.counts, "<i8")
     return sketch.ravel()
 
@@ -212,6 +214,30 @@ def link_sets(members: DataFrame, texts: DataFrame, k: int, percent: int, sketch
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def shared(n: int, percent: int) -> int:
+    """Shingles that two sets of n or more have in common in their prefixes, beyond which prefixes are lengthened."""
+    return max(1, -(-(100 - percent) * n // 200))
+
+
+def blocks(reps: DataFrame, percent: int, ws: Workspace) -> DataFrame:
+    """block, node: all sets that can link meet in a block. reps: node, n_shingles, prefix.
+
+    Sets that link have shared(n) prefix shingles in common, n being the smaller size. So a set with fewer live
+    shingles than that for the smallest partner allowed links with none. Of the others, those that share a shingle are
+    dealt by bands of size, each set to its own and the next, in which any two of fitting sizes meet.
+    """
+    postings = ws.save(reps.select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("gram")), "postings")
+    live = ws.save(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gram"), "live")
+    some = ws.save(postings.join(live, "gram"), "live-postings")
+    ws.drop("postings")
+    least = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * (100 - percent) / 200 - 1e-9))
+    able = some.groupBy("node", "n").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= least).select("node")
+    band = F.floor(F.log(F.col("n")) / (float(np.log(100 / percent)) * 1.001))
+    banded = ws.save(some.join(able, "node").select("node", "gram", F.explode(F.array(band, band + 1)).alias("band")), "banded")
+    groups = ws.save(banded.groupBy("gram", "band").agg(F.min("node").alias("block"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "groups")
+    return banded.join(groups, ["gram", "band"]).select("block", "node").distinct()
+
+
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, its own included)."""
     spark = docs.sparkSession
@@ -225,17 +251,15 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
             n = len(own)
             sizes.append(n)
             names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
-            keep = n - -(-percent * n // 100) + 1 if n else 0
+            keep = min(n, n - -(-percent * n // 100) + shared(n, percent)) if n else 0
             prefixes.append(ranked(own, sketch.value)[:keep].view(np.int64))
         return {"n_shingles": pa.array(sizes, pa.int64()), "name": pa.array(names, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))}
 
     base = ws.save(map_text(docs, describe, "n_shingles bigint, name binary, prefix array<bigint>", as_bytes=True), "base")
     some = base.filter("name is not null and doc_id is not null")
     firsts = ws.save(some.groupBy("name").agg(F.min("doc_id").alias("node")), "firsts")
-    reps = base.join(firsts, (base.doc_id == firsts.node) & (base.name == firsts.name), "left_semi").select(F.col("doc_id").alias("node"), "prefix").dropDuplicates(["node"])
-    postings = ws.save(reps.select("node", F.explode("prefix").alias("gram")), "postings")
-    live = ws.save(postings.groupBy("gram").agg(F.min("node").alias("block"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "live")
-    met = ws.save(postings.join(live, "gram").select("block", "node").distinct(), "met")
+    reps = base.join(firsts, (base.doc_id == firsts.node) & (base.name == firsts.name), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "prefix").dropDuplicates(["node"])
+    met = ws.save(blocks(reps, percent, ws), "met")
     sizes = ws.save(met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), "sizes")
     dealt_out = met.join(sizes, "block").select("block", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "node")
     many = sizes.filter("chunks > 1")
