@@ -13,7 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,69 +24,93 @@ from pyspark.sql import DataFrame
 REMEMBERED = 200_000
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of the merge of two tokens, by left << 20 | right."""
+    pairs = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None:
+                pairs[left << 20 | right] = rank
+    return pairs
+
+
+def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int]) -> list[list[int]]:
     """Token ids of each word. Ties of rank go to the leftmost place, as in one-word-at-a-time BPE."""
-    tokens: list[bytes | None] = []
-    starts = []
-    for word in words:
-        starts.append(len(tokens))
-        tokens.extend(word[i : i + 1] for i in range(len(word)))
-        tokens.append(None)  # no pair reaches over it
-    after = list(range(1, len(tokens) + 1))
-    before = list(range(-1, len(tokens) - 1))
-    index: dict[int, list[int]] = {}  # rank of the merged pair -> positions of its left token
-    queue: list[int] = []
-
-    def note(at: int) -> int | None:
-        left, right = tokens[at], tokens[after[at]] if after[at] < len(tokens) else None
-        if left is None or right is None or (rank := ranks.get(left + right)) is None:
-            return None
-        if (places := index.get(rank)) is None:
-            index[rank] = [at]
-            heappush(queue, rank)
-        else:
-            heappush(places, at)
-        return rank
-
-    for at in range(len(tokens) - 1):
-        note(at)
-    gone = bytearray(len(tokens))
+    if not words:
+        return []
+    own = np.array([ranks[bytes([b])] for b in range(256)])
+    data = np.frombuffer(b"\0".join([*words, b""]), np.uint8)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    symbols = own[data]
+    symbols[ends] = -1  # no pair reaches over the end of a word
+    # The inverted index: rank of a pair -> positions of its left token.
+    first = np.array([[pairs.get(int(a) << 20 | int(b), -1) for b in own] for a in own])
+    inner = np.delete(np.arange(len(data)), ends)
+    inner = inner[symbols[inner + 1] >= 0]
+    rank_at = first[data[inner], data[inner + 1]]
+    inner, rank_at = inner[rank_at >= 0], rank_at[rank_at >= 0]
+    order = np.argsort(rank_at, kind="stable")
+    some, cuts = np.unique(rank_at[order], return_index=True)
+    index = {r: p.tolist() for r, p in zip(some.tolist(), np.split(inner[order], cuts[1:]), strict=True)} if len(some) else {}
+    queue = list(index)
+    heapify(queue)
+    token = symbols.tolist()
+    after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
+    find, note = pairs.get, index.get
     while queue:
-        rank = queue[0]
-        places = index[rank]
-        lower = False
-        while places and not lower:
-            at = heappop(places)
-            right = after[at]
-            if gone[at] or tokens[at] is None or right >= len(tokens) or tokens[right] is None:
-                continue
-            merged = tokens[at] + tokens[right]
-            if ranks.get(merged) != rank:
-                continue  # a neighbour has merged since it was noted
-            tokens[at] = merged
-            gone[right] = 1
-            after[at] = after[right]
-            if after[right] < len(tokens):
-                before[after[right]] = at
-            for place in (before[at], at):
-                if place >= 0 and (new := note(place)) is not None and new < rank:
-                    lower = True  # of this word, that pair comes first
-        if not places and queue[0] == rank:
-            heappop(queue)
-            del index[rank]
-    out = []
-    for start in starts:
-        ids, at = [], start
-        while tokens[at] is not None:
-            ids.append(ranks[tokens[at]])
-            at = after[at]
+        rank = heappop(queue)
+        places = index.pop(rank)
+        places.sort(reverse=True)
+        while places:
+            at = places.pop()
+            left, right = token[at], after[at]
+            if left < 0 or find(left << 20 | token[right]) != rank:
+                continue  # merged away, or its neighbour has merged since it was noted
+            token[at] = rank
+            token[right] = -2
+            after[at] = end = after[right]
+            lower = False
+            if token[end] >= 0:
+                before[end] = at
+                if (new := find(rank << 20 | token[end])) is not None:
+                    if new == rank:
+                        places.append(at)
+                    elif (held := note(new)) is not None:
+                        held.append(at)
+                    else:
+                        index[new] = [at]
+                        heappush(queue, new)
+                    lower = new < rank
+            start = before[at]
+            if start >= 0 and token[start] >= 0 and (new := find(token[start] << 20 | rank)) is not None:
+                if new == rank:
+                    places.append(start)
+                elif (held := note(new)) is not None:
+                    held.append(start)
+                else:
+                    index[new] = [start]
+                    heappush(queue, new)
+                lower = lower or new < rank
+            if lower and places:  # of this word, that pair comes first; the others lose nothing by waiting
+                index[rank] = places
+                heappush(queue, rank)
+                break
+    out, at = [], 0
+    for length in lengths.tolist():
+        ids, place, stop = [], at, at + length
+        while place < stop:
+            ids.append(token[place])
+            place = after[place]
         out.append(ids)
+        at = stop + 1
     return out
 
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.pairs = pair_ranks(ranks)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.known: dict[str, np.ndarray] = {}
 
@@ -102,7 +126,7 @@ class Codec:
                 known[word] = rank.to_bytes(4, "little")  # a pretoken that is a token stays whole
             else:
                 split.append((word, raw))
-        for (word, _), ids in zip(split, replay([raw for _, raw in split], self.ranks), strict=True):
+        for (word, _), ids in zip(split, replay([raw for _, raw in split], self.ranks, self.pairs), strict=True):
             known[word] = np.array(ids, "<u4").tobytes()
         return [b"".join([known[w] for w in p]) for p in parts]
 
