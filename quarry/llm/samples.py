@@ -34,8 +34,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
     """Weights of a logistic regression by Adam over all rows; the last is the bias. y in 0 to 1; more columns, more models."""
-    y = y.reshape(len(y), -1)
-    w = np.zeros((x.shape[1] + 1, y.shape[1]))
+    y = y.reshape(len(y), -1).astype(x.dtype)
+    w = np.zeros((x.shape[1] + 1, y.shape[1]), x.dtype)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         error = sigmoid(x @ w[:-1] + w[-1]) - y
