@@ -14,8 +14,6 @@ repeat. Only DataFrame functions run; the template table is a constant of this m
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,7 +86,3 @@ def report(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", F.coalesce("n_base", zero).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
-
-
-def alternatives() -> str:
-    return "|".join(map(re.escape, PHRASES))
