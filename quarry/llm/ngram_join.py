@@ -17,7 +17,7 @@ sets with a similarity of t percent share a shingle among the first |x| - ceil(t
 5. Components come from rounds of pre-aggregated minimum labels over links, each written to the shared folder.
 
 Null texts, texts without words: an empty set, linked with nothing, its own component. Repeated rows have one doc_id
-and one component. A null doc_id is no one's representative unless alone. Empty tables give empty tables.
+and one component; a doc_id stands for one text. A null doc_id is no one's representative unless alone. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from quarry.llm.common import Workspace, hash_words, map_text, roll, slices
 CELLS, CELLS_A_ROW = 1 << 18, 1 << 10
 #: Members of a block that one task's trie holds.
 CHUNK = 256
+#: Ids (8 bytes each) that may be broadcast.
+BROADCAST_IDS = 1_000_000
 #: Ranks in one node of a trie.
 RUN = 48
 
@@ -257,8 +259,10 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
     base = ws.save(map_text(docs, describe, "n_shingles bigint, name binary, prefix array<bigint>", as_bytes=True), "base")
     some = base.filter("name is not null and doc_id is not null")
-    firsts = ws.save(some.groupBy("name").agg(F.min("doc_id").alias("node")), "firsts")
-    reps = base.join(firsts, (base.doc_id == firsts.node) & (base.name == firsts.name), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "prefix").dropDuplicates(["node"])
+    # The smallest doc_id of each set, with its prefix: one shuffle, after a partial aggregation.
+    least = F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("r")
+    reps = ws.save(some.groupBy("name").agg(least).select("name", F.col("r.doc_id").alias("node"), "r.n_shingles", "r.prefix"), "reps")
+    firsts = reps.select("name", "node")
     met = ws.save(blocks(reps, percent, ws), "met")
     sizes = ws.save(met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), "sizes")
     dealt_out = met.join(sizes, "block").select("block", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "node")
@@ -266,8 +270,10 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     lead = many.select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.col("block").alias("node"))
     members = ws.save(dealt_out.unionByName(lead).distinct(), "members")
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("node"), "text")
-    wanted = members.select("node").distinct()
-    texts = ws.save(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    wanted = ws.save(members.select("node").distinct(), "wanted")
+    # The ids of the members are broadcast only after a check of their number; beyond it they meet the texts in a shuffle.
+    few = wanted.count() <= BROADCAST_IDS
+    texts = ws.save(texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
     plain = members.withColumn("probe", F.lit(False)).withColumn("known", F.col("node"))
     links = ws.save(link_sets(plain, texts, k, percent, sketch), "links")
     labels = components(links, ws, "first")
