@@ -78,9 +78,10 @@ def strength(groups: DataFrame, rate: float) -> float:
     return float(np.clip(within / tau, 1.0, 1e6)) if tau > 0 else 1e6
 
 
-def sites(scored: DataFrame) -> tuple[DataFrame, float, int]:
+def sites(scored: DataFrame, ws: Workspace) -> tuple[DataFrame, float, int]:
     """Posterior mean of every path (host, path, n, posterior), the global prior, and the number of rows."""
-    paths = scored.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"), F.sum("__p").alias("s"), F.sum(F.col("__p") * F.col("__p")).alias("q"))
+    sums = F.count(F.lit(1)).alias("n"), F.sum("__p").alias("s"), F.sum(F.col("__p") * F.col("__p")).alias("q")
+    paths = ws.save(scored.select("__host", "__path", "__p").groupBy("__host", "__path").agg(*sums), "paths")
     hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     if not total.n:
@@ -105,13 +106,17 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most:
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.predict(texts), pa.float64())], names=[*names, "__p"])
 
-    with_p = ws.save(rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__p", T.DoubleType())])), "own")
-    posteriors, prior, total = sites(with_p)
+    # Measured twice, for the sites and for the result, instead of writing a copy of all texts.
+    with_p = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__p", T.DoubleType())]))
+    posteriors, prior, total = sites(with_p, ws)
     posteriors = ws.save(posteriors, "sites")
     hot = posteriors.n >= max(1, HOT_SHARE * total)
     keys = ["__host", "__path"]
     often = F.broadcast(posteriors.filter(hot).drop("n"))
-    joined = with_p.join(often, keys).unionByName(with_p.join(often, keys, "left_anti").join(posteriors.filter(~hot).drop("n"), keys))
+    rest = posteriors.filter(~hot).drop("n")
+    joined = with_p.join(often, keys)
+    if not rest.isEmpty():
+        joined = joined.unionByName(with_p.join(often, keys, "left_anti").join(rest, keys))
     odds = logit(F.col("__p")) + SITE_WEIGHT * (logit(F.col("__posterior")) - logit(F.lit(prior)))
     score = 1 / (1 + F.exp(-odds))
     return joined.withColumn("__score", score).withColumn("__accepted", F.col("__score") >= 0.5).withColumnRenamed("__p", "__own").drop("__posterior")
