@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 
 #: Distinct pretokens remembered by a worker; the table starts anew beyond it.
 REMEMBERED = 200_000
+#: Bytes of text that a worker splits into pretokens at once.
+CORPUS_BYTES = 2 << 20
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
@@ -160,4 +162,4 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False
         return {"n_tokens": counts, "token_ids": pa.array(ids, pa.binary()), "decoded": pa.array(back, pa.binary())}
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens bigint, token_ids binary, decoded binary"
-    return map_text(docs, run, schema)
+    return map_text(docs, run, schema, size=CORPUS_BYTES)

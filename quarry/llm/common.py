@@ -54,18 +54,18 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 SLICE_BYTES = 8 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Splits Arrow batches so that the texts of each come to SLICE_BYTES at most, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Splits Arrow batches so that the texts of each come to `size` at most, or one row."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes) // SLICE_BYTES
+        part = np.cumsum(sizes) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
 
 
-def map_text(df: DataFrame, fn: Callable[[list], dict], schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", as_bytes: bool = False) -> DataFrame:
+def map_text(df: DataFrame, fn: Callable[[list], dict], schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", as_bytes: bool = False, size: int = SLICE_BYTES) -> DataFrame:
     """One output row for each row: `keep` columns, and the columns that fn makes of a list of texts (null: empty).
 
     Runs as one Arrow map over the scan, with no shuffle.
@@ -74,7 +74,7 @@ def map_text(df: DataFrame, fn: Callable[[list], dict], schema: str, keep: tuple
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, size):
             column = batch.column(text)
             values = (column.cast(pa.binary()) if as_bytes else column).to_pylist()
             empty = b"" if as_bytes else ""
