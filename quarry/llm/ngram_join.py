@@ -193,8 +193,14 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def link_sets(members: DataFrame, texts: DataFrame, k: int, percent: int, sketch) -> DataFrame:
+def link_sets(members: DataFrame, docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
     """Links (a, b) of members (block, chunk, node, probe, known), walked chunk by chunk."""
+    # Texts move twice: by id, where one of repeated rows stays and members join, and by chunk. The ids wanted are
+    # broadcast only after a check of their number; beyond it they meet the texts in the first of these shuffles.
+    wanted = members.select("node").distinct()
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("node"), "text")
+    texts = texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"])
     rows = dealt(members.join(texts, "node").select("block", "chunk", "node", "probe", "known", "text"), "block", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,16 +234,21 @@ def blocks(reps: DataFrame, percent: int, ws: Workspace) -> DataFrame:
     shingles than that for the smallest partner allowed links with none. Of the others, those that share a shingle are
     dealt by bands of size, each set to its own and the next, in which any two of fitting sizes meet.
     """
-    postings = ws.save(reps.select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("gram")), "postings")
+    postings = reps.select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("gram"))
     live = ws.save(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gram"), "live")
     some = ws.save(postings.join(live, "gram"), "live-postings")
-    ws.drop("postings")
+    ws.drop("live")
     least = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * (100 - percent) / 200 - 1e-9))
-    able = some.groupBy("node", "n").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= least).select("node")
+    # A list of live shingles is a part of its own document's prefix.
+    able = some.groupBy("node", "n").agg(F.collect_list("gram").alias("grams")).filter(F.size("grams") >= least)
     band = F.floor(F.log(F.col("n")) / (float(np.log(100 / percent)) * 1.001))
-    banded = ws.save(some.join(able, "node").select("node", "gram", F.explode(F.array(band, band + 1)).alias("band")), "banded")
+    banded = able.select("node", F.array(band, band + 1).alias("bands"), F.explode("grams").alias("gram"))
+    banded = ws.save(banded.select("node", "gram", F.explode("bands").alias("band")), "banded")
+    ws.drop("live-postings")
     groups = ws.save(banded.groupBy("gram", "band").agg(F.min("node").alias("block"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "groups")
-    return banded.join(groups, ["gram", "band"]).select("block", "node").distinct()
+    met = ws.save(banded.join(groups, ["gram", "band"]).select("block", "node").distinct(), "met")
+    ws.drop("banded", "groups")
+    return met
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -262,20 +273,20 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     # The smallest doc_id of each set, with its prefix: one shuffle, after a partial aggregation.
     least = F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("r")
     reps = ws.save(some.groupBy("name").agg(least).select("name", F.col("r.doc_id").alias("node"), "r.n_shingles", "r.prefix"), "reps")
-    firsts = reps.select("name", "node")
-    met = ws.save(blocks(reps, percent, ws), "met")
+    # Prefixes are dropped as soon as no later step reads them.
+    base = ws.save(base.select("doc_id", "n_shingles", "name"), "sets")
+    ws.drop("base")
+    firsts = ws.save(reps.select("name", "node"), "firsts")
+    met = blocks(reps, percent, ws)
+    ws.drop("reps")
     sizes = ws.save(met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), "sizes")
     dealt_out = met.join(sizes, "block").select("block", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "node")
     many = sizes.filter("chunks > 1")
     lead = many.select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.col("block").alias("node"))
     members = ws.save(dealt_out.unionByName(lead).distinct(), "members")
-    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("node"), "text")
-    wanted = ws.save(members.select("node").distinct(), "wanted")
-    # The ids of the members are broadcast only after a check of their number; beyond it they meet the texts in a shuffle.
-    few = wanted.count() <= BROADCAST_IDS
-    texts = ws.save(texts.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    ws.drop("met")
     plain = members.withColumn("probe", F.lit(False)).withColumn("known", F.col("node"))
-    links = ws.save(link_sets(plain, texts, k, percent, sketch), "links")
+    links = ws.save(link_sets(plain, docs, k, percent, sketch), "links")
     labels = components(links, ws, "first")
     # Members of large blocks that are apart from the block's first set meet the block's other chunks.
     large = members.join(many.select("block"), "block", "left_semi")
@@ -287,7 +298,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         asking = apart.join(many, "block").select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "node", F.lit(True).alias("probe"), "known").distinct()
         held = labelled.join(apart.select("block").distinct(), "block", "left_semi").select("block", "chunk", "node", F.lit(False).alias("probe"), "known")
         both = asking.unionByName(held).groupBy("block", "chunk", "node").agg(F.max("probe").alias("probe"), F.max("known").alias("known"))
-        more = ws.save(link_sets(both, texts, k, percent, sketch), "more")
+        more = ws.save(link_sets(both, docs, k, percent, sketch), "more")
         labels = components(links.unionByName(more), ws, "second")
     own = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("name")).alias("name")).join(firsts, "name", "left")
     return own.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node", "doc_id").alias("component_id"))
