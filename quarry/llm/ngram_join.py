@@ -9,7 +9,7 @@ sets with a similarity of t percent share a shingle among the first |x| - ceil(t
    sets share m of them, and sets with too few live shingles drop out. The smallest representative with a live shingle
    (in a band of sizes) names a block, and all that share the shingle are its members. Any two sets that can link meet
    in a block.
-3. Large blocks are dealt out over chunks of CHUNK members, each with the block's first set. A task stores a chunk's
+3. Large blocks are dealt out over chunks of CHUNK members or CHUNK_SHINGLES shingles, each with the block's first set. A task stores a chunk's
    sets in a trie (runs of equal ranks share a node) and walks it for each set with the overlap so far, pruning
    subtrees by the bounds on remaining lengths and leaves already connected.
 4. Members of a many-chunk block that are not connected to its first set are walked through the block's other chunks,
@@ -35,8 +35,8 @@ from quarry.llm.common import Workspace, hash_words, map_text, roll, slices
 
 #: Cells of the count sketch (its size never grows with the data), and of them in a row of the partial counts.
 CELLS, CELLS_A_ROW = 1 << 18, 1 << 10
-#: Members of a block that one task's trie holds.
-CHUNK = 256
+#: Members of a block that one task's trie holds, and shingles of theirs (on average, beyond one set).
+CHUNK, CHUNK_SHINGLES = 256, 1 << 20
 #: Ids (8 bytes each) that may be broadcast.
 BROADCAST_IDS = 1_000_000
 #: Ranks in one node of a trie.
@@ -228,7 +228,7 @@ def shared(n: int, percent: int) -> int:
 
 
 def blocks(reps: DataFrame, percent: int, ws: Workspace) -> DataFrame:
-    """block, node: all sets that can link meet in a block. reps: node, n_shingles, prefix.
+    """block, node, n (its size): all sets that can link meet in a block. reps: node, n_shingles, prefix.
 
     Sets that link have shared(n) prefix shingles in common, n being the smaller size. So a set with fewer live
     shingles than that for the smallest partner allowed links with none. Of the others, those that share a shingle are
@@ -242,11 +242,11 @@ def blocks(reps: DataFrame, percent: int, ws: Workspace) -> DataFrame:
     # A list of live shingles is a part of its own document's prefix.
     able = some.groupBy("node", "n").agg(F.collect_list("gram").alias("grams")).filter(F.size("grams") >= least)
     band = F.floor(F.log(F.col("n")) / (float(np.log(100 / percent)) * 1.001))
-    banded = able.select("node", F.array(band, band + 1).alias("bands"), F.explode("grams").alias("gram"))
-    banded = ws.save(banded.select("node", "gram", F.explode("bands").alias("band")), "banded")
+    banded = able.select("node", "n", F.array(band, band + 1).alias("bands"), F.explode("grams").alias("gram"))
+    banded = ws.save(banded.select("node", "n", "gram", F.explode("bands").alias("band")), "banded")
     ws.drop("live-postings")
     groups = ws.save(banded.groupBy("gram", "band").agg(F.min("node").alias("block"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "groups")
-    met = ws.save(banded.join(groups, ["gram", "band"]).select("block", "node").distinct(), "met")
+    met = ws.save(banded.join(groups, ["gram", "band"]).groupBy("block", "node").agg(F.max("n").alias("n")), "met")
     ws.drop("banded", "groups")
     return met
 
@@ -279,7 +279,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     firsts = ws.save(reps.select("name", "node"), "firsts")
     met = blocks(reps, percent, ws)
     ws.drop("reps")
-    sizes = ws.save(met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")), "sizes")
+    sizes = ws.save(met.groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("n") / CHUNK_SHINGLES)).alias("chunks")), "sizes")
     dealt_out = met.join(sizes, "block").select("block", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "node")
     many = sizes.filter("chunks > 1")
     lead = many.select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.col("block").alias("node"))
