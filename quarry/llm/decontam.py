@@ -6,7 +6,8 @@ wordless texts and items have no windows and hit nothing. Repeated items with eq
 independent; an empty benchmark marks nothing.
 
 The window set is broadcast only up to MAX_BROADCAST_WINDOWS (a window of ten words takes about 200 bytes in a worker).
-A larger benchmark is scanned in several passes of that size, each with its own broadcast, and the hits are unioned.
+A larger benchmark is scanned in several passes of that size, each with its own broadcast. Rows get a number that is
+written once with their texts, and the passes' hits are merged by it, so that results don't depend on the passes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD_BYTES, hash_words, map_text, roll
+from quarry.llm.common import WORD_BYTES, Workspace, hash_words, map_text, roll
 
 MAX_BROADCAST_WINDOWS = 1_000_000
 WINDOW = 10
@@ -64,39 +65,76 @@ class Windows:
         return len(words), np.cumsum(flags)[: len(words)] > 0, met
 
 
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+FOUND = "n_words bigint, hit_spans array<struct<start:bigint,end:bigint>>, items array<string>"
+
+
+def items_of(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """Items with a text, and the number of passes that they take."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null")
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    return rows, max(1, -(-total // (2 * MAX_BROADCAST_WINDOWS)))  # a word takes two characters at least
+
+
+def windows_of(rows: DataFrame, n: int, k: int, passes: int):
+    """Broadcast windows of the k-th pass."""
+    part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k) if passes > 1 else rows
+    return rows.sparkSession.sparkContext.broadcast(Windows([(r.item, r.text.encode()) for r in part.collect()], n))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, __row, which stays the same over all passes."""
+    return Workspace(docs.sparkSession, "decontam").save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def search(docs: DataFrame, windows, keep: tuple[str, ...]) -> DataFrame:
+    """For each row: `keep`, n_words, hit_spans and items of one pass."""
+
+    def run(texts: list[bytes]) -> dict:
+        counts, spans, met = [], [], []
+        for text in texts:
+            count, flags, items = windows.value.hits(text)
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
+            counts.append(count)
+            spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
+            met.append(sorted(items))
+        return {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, SPAN), "items": pa.array(met, pa.list_(pa.string()))}
+
+    return map_text(docs, run, FOUND, keep=keep, as_bytes=True)
+
+
+def joined(spans: list[dict]) -> list[dict]:
+    """Spans that overlap or touch as one, in order."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
+        else:
+            out.append(dict(s))
+    return out
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """For each document: doc_id, n_words, hit_spans (word positions, end exclusive) and items (ids as strings, sorted)."""
-    spark = docs.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null")
-    sized = rows.withColumn("size", F.length("text"))
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    passes = max(1, -(-total // (2 * MAX_BROADCAST_WINDOWS)))  # a word takes two characters at least
-    found = []
-    for k in range(passes):
-        part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k) if passes > 1 else rows
-        items = [(r.item, r.text.encode()) for r in part.collect()]
-        windows = spark.sparkContext.broadcast(Windows(items, n))
-
-        def run(texts: list[bytes], windows=windows) -> dict:
-            counts, spans, met = [], [], []
-            for text in texts:
-                count, flags, items = windows.value.hits(text)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-                counts.append(count)
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
-                met.append(sorted(items))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            return {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, kind), "items": pa.array(met, pa.list_(pa.string()))}
-
-        found.append(map_text(docs, run, "n_words bigint, hit_spans array<struct<start:bigint,end:bigint>>, items array<string>", as_bytes=True))
+    rows, passes = items_of(benchmark)
     if passes == 1:
-        return found[0]
-    flat = reduce(DataFrame.unionAll, found)
-    return flat.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        return search(docs, windows_of(rows, n, 0, 1), ("doc_id",))
+    own = numbered(docs.select("doc_id", "text"))
+    found = [search(own, windows_of(rows, n, k, passes), ("__row", "doc_id")) for k in range(passes)]
+    flat = reduce(DataFrame.unionAll, [found[0], *[f.filter(F.size("items") > 0) for f in found[1:]]])
+    each = flat.groupBy("__row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("hit_spans")
+            yield batch.set_column(at, "hit_spans", pa.array([joined(s) for s in batch.column(at).to_pylist()], SPAN))
+
+    made = each.select("doc_id", "n_words", "hit_spans", "items")
+    return made.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
 
 
 def hit_words(spans):
-    """Words inside any of the spans; spans of several passes may overlap."""
+    """Words inside any of the spans, which may overlap."""
     ordered = F.array_sort(spans)
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("reach"))
     add = lambda a, s: F.struct((a.n + F.greatest(F.lit(0).cast("bigint"), s.end - F.greatest(s.start, a.reach))).alias("n"), F.greatest(a.reach, s.end).alias("reach"))
@@ -112,14 +150,14 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with all their columns.
 
-    Decided within the scan, row by row; a null doc_id is kept or dropped by its own text.
+    Decided row by row; a null or repeated doc_id is kept or dropped by its own text.
     """
-    spark = docs.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null")
-    if (rows.agg(F.sum(F.length("text"))).first()[0] or 0) > 2 * MAX_BROADCAST_WINDOWS:
-        clean = report(docs, benchmark).filter("not contaminated").select(F.col("doc_id").alias("__kept"))
-        return docs.join(clean, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    windows = spark.sparkContext.broadcast(Windows([(r.item, r.text.encode()) for r in rows.collect()], WINDOW))
+    rows, passes = items_of(benchmark)
+    if passes > 1:
+        own = numbered(docs)
+        found = [search(own, windows_of(rows, WINDOW, k, passes), ("__row",)).filter(F.size("items") > 0).select("__row") for k in range(passes)]
+        return own.join(reduce(DataFrame.unionAll, found), "__row", "left_anti").select(*docs.columns)
+    windows = windows_of(rows, WINDOW, 0, 1)
 
     def run(batches):
         for batch in batches:

@@ -124,6 +124,24 @@ def test_decontamination(spark):
     assert decontam.remove(make(spark, rows), items.limit(0)).count() == len(rows)
 
 
+def test_decontamination_in_passes(spark, monkeypatch):
+    draw = random.Random(3)
+    tests = [" ".join(draw.choice("abcdefghij") + str(draw.randrange(30)) for _ in range(30)) for _ in range(12)]
+    items = spark.createDataFrame([*enumerate(tests), (20, " ".join(tests[0].split()[12:])), (21, "short item")], "item_id bigint, text string")
+    # overlapping windows of two items, repeated and null ids, and rows without a hit
+    texts = [tests[0], f"x {tests[1]} y {tests[2]}", "clean words", None, "", "a short item b", *tests[3:6], "more clean words"]
+    rows = [*enumerate(texts), (1, tests[7]), (1, "clean too"), (1, "clean too"), (None, tests[8]), (None, "clean without id"), (None, None)]
+    docs = make(spark, rows)
+    columns = ("doc_id", "n_words", "hit_spans", "items")
+    found, said, left = rows_of(decontam.scan(docs, items), *columns), rows_of(decontam.report(docs, items), "doc_id", "n_words", "n_hit", "n_items"), rows_of(decontam.remove(docs, items), *docs.columns)
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", 100)
+    assert decontam.items_of(items)[1] > 5
+    assert rows_of(decontam.scan(docs, items), *columns) == found
+    assert rows_of(decontam.report(docs, items), "doc_id", "n_words", "n_hit", "n_items") == said
+    assert rows_of(decontam.remove(docs, items), *docs.columns) == left
+    assert [(r[0], r[1]) for r in left if r[0] is None] == [(None, "clean without id"), (None, None)] and sum(r[0] == 1 for r in left) == 2
+
+
 def test_pii_base_spans(spark):
     texts = ["a.b@x.org, c@d e@f.g.h", "1.2.3.4.5 256.1.1.1 8.8.8.8", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (017) 555-7713 +12", None, "", "1" * 5000, "a@" * 3000]
     made = {r.doc_id: r for r in pii.report(make(spark, enumerate(texts))).collect()}
