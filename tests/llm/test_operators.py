@@ -149,6 +149,20 @@ def test_pii_base_spans(spark):
     assert made[1].spans.startswith("ip:0:7,ip:") or "ip:0:7" in made[1].spans
 
 
+def test_pii_adds_looser_forms(spark):
+    draw = random.Random(4)
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    texts = [f"the red stone of +1 ({digits(3)}) {digits(3)}-{digits(4)} and j{digits(2)}.doe@mail{digits(1)}.example.com at night" for _ in range(80)]
+    texts += [f'the blue river said token = "{hashlib.sha1(digits(9).encode()).hexdigest()}" again' for _ in range(40)]
+    found = ["please call (555) 123-4567 now", "or 555-123-4567 now", "write joe (at) example (dot) org now", f"the sum {hashlib.sha1(b'x').hexdigest()} now"]
+    clean = ["on 12-05-2024 it rained", "we look at example.com daily", "def the_long_name_of_this_helper_v2 here", "word 123 456 789 word"]
+    made = {r.doc_id: r for r in pii.find(make(spark, enumerate([*texts, *found, *clean]))).collect()}
+    cut = lambda i, t: [(s.kind, t[s.start : s.end]) for s in made[i].added]
+    assert [cut(120 + i, t)[:1] for i, t in enumerate(found[:3])] == [[("phone", "(555) 123-4567")], [("phone", "555-123-4567")], [("email", "joe (at) example (dot) org")]]
+    assert [k for k, _ in cut(123, found[3])] == ["secret"]
+    assert [cut(124 + i, t) for i, t in enumerate(clean)] == [[]] * len(clean)
+
+
 def test_boosted_trees_learn():
     import numpy as np
 
