@@ -182,6 +182,44 @@ def test_classifiers_on_held_out_rows(spark):
     assert toxic.agg(F.avg((F.col("toxic") == F.col("predicted")).cast("double"))).first()[0] > 0.85
 
 
+def test_pipeline(spark, texts, tmp_path):
+    tiktoken, P = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    leak = " ".join(f"w{i}" for i in range(14))
+    rows = [*texts, (90, f"before {leak} after"), (91, "one"), (92, leak.upper())]
+    make(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))  # no labels: all are accepted
+    kept = {t or "": i for i, t in sorted(rows, key=lambda r: r[0])}  # the last of equal texts
+    sets = {i: shingles_of(t, 5) for t, i in kept.items()}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = {i: own.encode_ordinary(t) for t, i in kept.items() if find(i) == i and leak not in t.lower()}
+    made = corpus_pipeline.run(spark, str(tmp_path))
+    assert made.columns == ["doc_id", "n_tokens", "token_ids"]
+    got = [(r.doc_id, r.n_tokens, bytes(r.token_ids)) for r in made.collect()]
+    assert sorted(got) == sorted((i, len(ids), struct.pack(f"<{len(ids)}I", *ids)) for i, ids in want.items())
+
+
+def shingles_of(text, k):
+    """Shingles of k words."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text))
+    return {tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))} if w else set()
+
+
 def test_nothing_in_nothing_out(spark):
     none = make(spark, [])
     no_labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
