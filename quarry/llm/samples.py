@@ -12,14 +12,26 @@ def fold(doc_id, n: int):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(n))
 
 
+#: Parts in which the rows of a label are ranked before their firsts are ranked together.
+BUCKETS = 64
+
+
+def firsts(labelled: DataFrame, column: str, most: int) -> DataFrame:
+    """doc_id and label of the first `most` of each label in each bucket of doc_id, by a hash of doc_id."""
+    ids = labelled.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", column).distinct()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    order = W.partitionBy(column, "__bucket").orderBy(F.xxhash64("doc_id"), "doc_id")
+    return ids.withColumn("__bucket", place).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= most).select("doc_id", column)
+
+
 def labelled_texts(docs: DataFrame, labelled: DataFrame, column: str, most: int) -> list[tuple[int, object, str]]:
     """(doc_id, label, text) of at most `most` documents for each label, chosen by a hash of doc_id.
 
-    `labelled` has doc_id and the label. Only ids and labels are ranked (each task passes on its first `most` of a
-    label); the texts of the chosen ids alone come to the driver, whole.
+    `labelled` has doc_id and the label. Only ids and labels are ranked, in two levels, so that the last one's rows of a
+    label are bounded by BUCKETS * most; the texts of the chosen ids alone come to the driver, whole.
     """
     order = W.partitionBy(column).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = labelled.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", column).distinct().withColumn("__n", F.row_number().over(order))
+    ranked = firsts(labelled, column, most).withColumn("__n", F.row_number().over(order))
     ids = ranked.filter(F.col("__n") <= most).select("doc_id", F.col(column).alias("__label")).collect()  # bounded by most for each label
     if not ids:
         return []

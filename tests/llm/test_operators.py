@@ -10,7 +10,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, decontam, dedup, language, licenses, ngram_join, pii, quality, toxicity
+from quarry.llm import bpe, chat, decontam, dedup, language, licenses, ngram_join, pii, quality, samples, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n bigint, salt string, posterior double"
 
@@ -171,6 +171,20 @@ def test_boosted_trees_learn():
     assert ((pii.Boosted(x, y).predict(x) > 0.5) == (y > 0.5)).mean() > 0.95
 
 
+def test_samples_are_ranked_in_two_levels(spark, monkeypatch):
+    most, ids = 3, list(range(4000))
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in ids] + [(None, 0), (7, None), (8, 0)], "doc_id bigint, quality int")
+    docs = make(spark, [(i, f"text {i}") for i in ids])
+    entered = []
+    before = samples.firsts
+    monkeypatch.setattr(samples, "firsts", lambda *a: entered.append(before(*a)) or entered[0])
+    made = samples.labelled_texts(docs, labels, "quality", most)
+    place = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    want = [i for y in (0, 1) for i in sorted((i for i in ids if int(i % 100 == 0) == y), key=lambda i: (place[i], i))[:most]]
+    assert made == sorted((i, int(i % 100 == 0), f"text {i}") for i in want)
+    assert entered[0].filter("quality = 0").count() == most * samples.BUCKETS  # of 3960
+
+
 def test_classifiers_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
