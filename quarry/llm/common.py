@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,21 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def located(df: DataFrame, ws: Workspace) -> DataFrame:
+    """The rows with __locator (file, row): where in the stored files each stands, the same in every scan.
+
+    A plain read of files (columns chosen, rows filtered) has it at no cost; other tables are written to `ws` first.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__locator")
+    plan = df._jdf.queryExecution().analyzed().toString()
+    if not any(node in plan for node in ("Join", "Generate", "Union", "Expand")):  # these may repeat rows of a file
+        try:
+            return df.select("*", place)
+        except AnalysisException:
+            pass
+    return ws.save(df, "located").select("*", place)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

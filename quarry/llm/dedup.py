@@ -1,46 +1,60 @@
 """Exact deduplication by stateful streaming.
 
-Texts arrive as a stream of (digest, doc_id, locator) rows. A streaming aggregation keeps, for each digest and without
-expiry, the largest doc_id (the stable identifier), its content locator and the number of rows, in a state store on
-disk (RocksDB) with checkpoints in the shared folder. Then full bytes are checked on hits: every row whose digest more
-than one row has is compared with the text of the row that stays; where a digest stands for different texts, its rows
-are grouped by their whole text instead. Only DataFrame functions run.
-
-Null counts as empty text. Texts are equal when identical after no change. Repeated rows (same doc_id and text) count
-as rows of one group; of rows tied for the largest doc_id all have kept = true. A null doc_id never stays before a
-number. An empty table gives an empty table. Other columns of the input are left alone.
+Texts arrive as a stream of (digest, doc_id, locator) rows, in several micro-batches. A streaming aggregation keeps, for
+each digest and without expiry, the row with the largest doc_id (the stable identifier) with its content locator (file
+and row) and the number of rows, in a state store on disk (RocksDB) with checkpoints in the shared folder; a later batch
+reads and updates the state that earlier ones left, and a restarted stream goes on from the checkpoint. Full bytes are
+checked on hits: for every digest that more than one row has, the least and the greatest text are aggregated, partly
+before the shuffle, so that a hot digest sends one text from each task. Where they differ, the digest's rows are grouped
+by their whole text instead. Only DataFrame functions run; no text is written.
+
+Null counts as empty text; very long texts are digested and compared whole. Texts are equal when identical after no
+change. Repeated rows (same doc_id and text) count as rows of one group; of rows tied for the largest doc_id all have
+kept = true, and `unique` keeps the last of them by locator. A null doc_id never stays before a number. An empty table
+gives an empty table. Other columns of the input, whatever their names, are left alone (names that begin with two
+underscores are the operator's).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Workspace
+from quarry.llm.common import Workspace, located
 
 #: A digest with this share of all rows is hot; at most 1/HOT_SHARE digests are, so their list may be broadcast.
 HOT_SHARE = 0.001
+#: Hashes of digests (8 bytes each) and locators of dropped rows (about 150 bytes each) that may be broadcast.
+BROADCAST_HASHES, BROADCAST_LOCATORS = 1_000_000, 200_000
+#: Micro-batches that a table's arrivals are dealt over.
+BATCHES = 2
 
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def keyed_state(arrivals: DataFrame, ws: Workspace, name: str = "state") -> DataFrame:
-    """Runs the stream over an arrivals table (digest, doc_id, locator) to its end and returns the state of each digest.
+def keyed_state(arrivals: DataFrame, ws: Workspace, batches: int = BATCHES, name: str = "state") -> DataFrame:
+    """Runs the stream over a stored arrivals table (digest, doc_id, locator) to its end; returns digest, keep_id,
+    keep_at (its locator) and group_size.
 
-    Every micro-batch writes the keys it changed; a key's latest row is the one with the most rows behind it. A
-    restarted stream goes on from the checkpoint, and a repeated batch overwrites its own folder.
+    Every micro-batch writes the keys it changed; a key's latest row is the one with the most rows behind it. Called
+    again after files were added to the table, it goes on from the checkpoint; a repeated batch overwrites its own
+    folder.
     """
-    spark = arrivals.sparkSession.newSession()
+    main = arrivals.sparkSession
+    files = arrivals.inputFiles()
+    spark = main.newSession()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
-    spark.conf.set("spark.sql.shuffle.partitions", arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = f"{ws.path}/arrivals"
-    arrivals.write.mode("overwrite").parquet(source)
-    stream = spark.readStream.schema(arrivals.schema).parquet(source)
-    state = stream.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max_by("locator", "doc_id").alias("locator"))
+    # Without this every state partition holds files of 4 MB from its first row on.
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", main.conf.get("spark.sql.shuffle.partitions"))
+    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", max(1, -(-len(files) // batches))).parquet(f"{ws.path}/arrivals")
+    state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("top"), F.count(F.lit(1)).alias("group_size"))
     out = f"{ws.path}/{name}"
     query = (
         state.writeStream.outputMode("update")
@@ -50,60 +64,65 @@ def keyed_state(arrivals: DataFrame, ws: Workspace, name: str = "state") -> Data
         .start()
     )
     query.awaitTermination()
-    main = arrivals.sparkSession
-    if query.lastProgress is None and arrivals.limit(1).count() == 0:
-        return state_schema(main)
-    changed = main.read.parquet(out)
-    if query.lastProgress is None or query.lastProgress["batchId"] == 0:
-        return changed.drop("batch")
-    latest = F.max_by(F.struct("keep_id", "group_size", "locator"), "group_size").alias("s")
-    return changed.groupBy("digest").agg(latest).select("digest", "s.*")
+    kept = "digest string, top struct<doc_id:bigint,locator:struct<file:string,row:bigint>>, group_size bigint"
+    changed = main.read.schema(kept).parquet(out) if query.lastProgress or files else main.createDataFrame([], kept)
+    latest = changed.groupBy("digest").agg(F.max(F.struct("group_size", "top")).alias("s"))
+    return latest.select("digest", F.col("s.top.doc_id").alias("keep_id"), F.col("s.top.locator").alias("keep_at"), F.col("s.group_size").alias("group_size"))
 
 
-def state_schema(spark) -> DataFrame:
-    return spark.createDataFrame([], "digest string, keep_id bigint, group_size bigint, locator string")
+def collisions(own: DataFrame, state: DataFrame, ws: Workspace) -> DataFrame:
+    """Digests that stand for different texts, by full bytes. own: digest and text."""
+    hits = state.filter("group_size > 1").select(F.xxhash64("digest").alias("__h"))
+    wanted = F.broadcast(hits) if hits.count() <= BROADCAST_HASHES else hits
+    texts = own.withColumn("__h", F.xxhash64("digest")).join(wanted, "__h", "left_semi")
+    ends = texts.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    return ws.save(ends.filter("low != high").select("digest"), "collisions")
 
 
-def dedup(docs: DataFrame, digest=sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and locator for every row; `digest` may be any function of the text."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "dedup")
+def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
+    """The rows with __locator; and doc_id, locator, text_sha256, keep_id, keep_at and group_size of every row.
+
+    `digest` may be any function of the text.
+    """
+    ws = Workspace(docs.sparkSession, "dedup")
+    rows = located(docs, ws)
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", text.alias("text"), digest(text).alias("digest"), F.input_file_name().alias("locator"))
-    state = keyed_state(own.select("digest", "doc_id", "locator"), ws)
-    arrivals = spark.read.parquet(f"{ws.path}/arrivals")
-    shared = state.filter("group_size > 1")
+    own = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), digest(text).alias("digest"), F.col("__locator").alias("locator"))
+    sha = [] if digest is sha256 else [sha256(F.col("text")).alias("text_sha256")]
+    arrivals = ws.save(own.select("digest", "doc_id", "locator", *sha), "arrivals")
+    state = ws.save(keyed_state(arrivals.select("digest", "doc_id", "locator"), ws), "groups")
+    ws.drop("state", "state-checkpoint")
+    bad = collisions(own, state, ws)
     total = arrivals.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = shared.filter(F.col("group_size") >= max(2, HOT_SHARE * total)).select("digest", F.ceil(F.col("group_size") * parts / max(total, 1)).cast("int").alias("salts"))
-    # Hot digests are dealt out over as many salts as they hold partitions' worth of rows.
-    salted = lambda df: df.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.coalesce("salts", F.lit(1))))
-    keepers = shared.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).select("digest", F.col("salt").cast("bigint").alias("salt"), "keep_id", "group_size")
-    numbered = own.withColumn("at", F.monotonically_increasing_id())
-    members = ws.save(salted(numbered).join(keepers, ["digest", "salt"]).select("digest", "salt", "doc_id", "text", "keep_id", "group_size", "locator"), "members")
-    # Full bytes are checked on hits, against one copy of the text of the row that stays.
-    first = members.filter("doc_id <=> keep_id").groupBy("digest").agg(F.min("text").alias("kept_text"))
-    kept = first.join(F.broadcast(hot), "digest", "left").select("digest", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)).cast("bigint") - 1)).alias("salt"), "kept_text")
-    bad = ws.save(members.join(kept, ["digest", "salt"]).filter("text != kept_text").select("digest").distinct(), "collisions")
-    single = state.filter("group_size = 1").select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", F.lit(True).alias("kept"), "digest", "locator")
-    equal = members.join(bad, "digest", "left_anti").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "locator")
-    differ = members.join(bad, "digest", "left_semi")
-    by_text = differ.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    apart = differ.drop("keep_id", "group_size").join(by_text, ["digest", "text"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha256(F.col("text")).alias("text_sha256"), "locator")
-    if digest is sha256:
-        plain = single.unionByName(equal).withColumnRenamed("digest", "text_sha256")
-    else:
-        hashes = own.select("digest", sha256(F.col("text")).alias("text_sha256")).distinct()
-        plain = single.unionByName(equal).join(hashes.join(bad, "digest", "left_anti"), "digest").drop("digest")
-    return plain.unionByName(apart)
+    hot = F.col("group_size") >= max(2, HOT_SHARE * total)
+    named = arrivals if sha else arrivals.withColumn("text_sha256", F.col("digest"))
+    clean = state if bad.isEmpty() else state.join(bad, "digest", "left_anti")
+    often = F.broadcast(clean.filter(hot))
+    shown = ["doc_id", "locator", "text_sha256", "keep_id", "keep_at", "group_size"]
+    rare = named.join(F.broadcast(clean.filter(hot).select("digest")), "digest", "left_anti").join(clean.filter(~hot), "digest")
+    made = named.join(often, "digest").select(*shown).unionByName(rare.select(*shown))
+    if not bad.isEmpty():
+        differ = own.join(bad, "digest", "left_semi")
+        by_text = differ.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "locator")).alias("top"), F.count(F.lit(1)).alias("group_size"))
+        by_text = by_text.select("digest", "text", F.col("top.doc_id").alias("keep_id"), F.col("top.locator").alias("keep_at"), "group_size")
+        made = made.unionByName(differ.join(by_text, ["digest", "text"]).withColumn("text_sha256", sha256(F.col("text"))).select(*shown))
+    return rows, made
+
+
+def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and locator (file, row) for every row."""
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return groups(docs, digest)[1].select("doc_id", "keep_id", "group_size", kept, "text_sha256", "locator")
 
 
 def report(docs: DataFrame) -> DataFrame:
     return dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def unique(docs: DataFrame) -> DataFrame:
-    """The row that stays of each group of equal texts, with all columns; one row where such rows repeat."""
-    keys = dedup(docs).filter("kept").select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__sha")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__kept")) & (sha256(F.coalesce("text", F.lit(""))) == F.col("__sha"))
-    return docs.join(keys, same, "left_semi").dropDuplicates(["doc_id", "text"])
+def unique(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row of each group of equal texts, with all columns: the one with the largest doc_id, found by its locator."""
+    rows, members = groups(docs, digest)
+    ws = Workspace(docs.sparkSession, "dropped")
+    dropped = ws.save(members.filter("locator != keep_at").select(F.col("locator").alias("__locator")), "rows")
+    few = dropped.count() <= BROADCAST_LOCATORS
+    return rows.join(F.broadcast(dropped) if few else dropped, "__locator", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

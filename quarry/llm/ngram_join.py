@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import Workspace, hash_words, map_text, roll, slices
 
-#: Cells of the count sketch (its size never grows with the data), and of them in a row of the partial counts.
-CELLS, CELLS_A_ROW = 1 << 18, 1 << 10
+#: Cells of the count sketch: one for each CELL_BYTES of text, within bounds; and of them in a row of the partial counts.
+FEWEST_CELLS, MOST_CELLS, CELL_BYTES, CELLS_A_ROW = 1 << 18, 1 << 22, 1 << 12, 1 << 10
+#: A set with this share of all rows is hot; at most 1/HOT_SHARE sets are, so their list may be broadcast.
+HOT_SHARE = 0.001
 #: Members of a block that one task's trie holds, and shingles of theirs (on average, beyond one set).
 CHUNK, CHUNK_SHINGLES = 256, 1 << 20
 #: Ids (8 bytes each) that may be broadcast.
@@ -48,19 +50,21 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(roll(hash_words(words), min(k, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
+def cells(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (hashes >> np.uint64(20)).astype(np.int64) & (n - 1)
 
 
 def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Shingle counts over all documents, by cell. Partial counts of each task are added in two levels."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(MOST_CELLS, max(FEWEST_CELLS, 1 << (size // CELL_BYTES).bit_length()))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(n, np.int64)
         for batch in slices(batches):
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 if text:
-                    np.add.at(total, cells(shingle_set(text, k)), 1)
+                    np.add.at(total, cells(shingle_set(text, k), n), 1)
         rows = total.reshape(-1, CELLS_A_ROW)
         some = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rows[i].astype("<i8").tobytes() for i in some], pa.binary())], names=["row", "counts"])
@@ -75,15 +79,15 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
     schema = "row bigint, counts binary"
     parts = docs.select("text").mapInArrow(partial, schema)
     some = parts.repartition(F.col("row"), F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(add, schema)
-    sketch = np.zeros((CELLS // CELLS_A_ROW, CELLS_A_ROW), np.int64)
-    for r in some.repartition("row").mapInArrow(add, schema).collect():  # CELLS counters at most from each task
+    sketch = np.zeros((n // CELLS_A_ROW, CELLS_A_ROW), np.int64)
+    for r in some.repartition("row").mapInArrow(add, schema).collect():  # MOST_CELLS counters at most
         sketch[r.row] += np.frombuffer(r.counts, "<i8")
     return sketch.ravel()
 
 
 def ranked(hashes: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """The set in the global order."""
-    return hashes[np.lexsort((hashes, sketch[cells(hashes)]))]
+    return hashes[np.lexsort((hashes, sketch[cells(hashes, len(sketch))]))]
 
 
 def needed(total: int, percent: int) -> int:
@@ -141,7 +145,7 @@ class Trie:
 def chunk_links(keys: list[int], sets: list[np.ndarray], probes: list[bool], known: list[int], sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect the sets of a chunk; with probes, only those of probing sets. known: components so far."""
     universe = np.unique(np.concatenate(sets))
-    universe = universe[np.lexsort((universe, sketch[cells(universe)]))]
+    universe = universe[np.lexsort((universe, sketch[cells(universe, len(sketch))]))]
     place = np.argsort(universe)
     local = [np.sort(place[np.searchsorted(universe, s, sorter=place)]) for s in sets]
     trie = Trie(local)
@@ -272,11 +276,11 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     some = base.filter("name is not null and doc_id is not null")
     # The smallest doc_id of each set, with its prefix: one shuffle, after a partial aggregation.
     least = F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("r")
-    reps = ws.save(some.groupBy("name").agg(least).select("name", F.col("r.doc_id").alias("node"), "r.n_shingles", "r.prefix"), "reps")
+    reps = ws.save(some.groupBy("name").agg(least, F.count(F.lit(1)).alias("copies")).select("name", "copies", F.col("r.doc_id").alias("node"), "r.n_shingles", "r.prefix"), "reps")
     # Prefixes are dropped as soon as no later step reads them.
     base = ws.save(base.select("doc_id", "n_shingles", "name"), "sets")
     ws.drop("base")
-    firsts = ws.save(reps.select("name", "node"), "firsts")
+    firsts = ws.save(reps.select("name", "node", "copies"), "firsts")
     met = blocks(reps, percent, ws)
     ws.drop("reps")
     sizes = ws.save(met.groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("n") / CHUNK_SHINGLES)).alias("chunks")), "sizes")
@@ -300,8 +304,16 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
         both = asking.unionByName(held).groupBy("block", "chunk", "node").agg(F.max("probe").alias("probe"), F.max("known").alias("known"))
         more = ws.save(link_sets(both, docs, k, percent, sketch), "more")
         labels = components(links.unionByName(more), ws, "second")
-    own = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("name")).alias("name")).join(firsts, "name", "left")
-    return own.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node", "doc_id").alias("component_id"))
+    named = ws.save(firsts.join(labels, "node", "left").select("name", F.coalesce("label", "node").alias("component_id"), "copies"), "named")
+    ws.drop("firsts", "sizes", "members", "links", "labelled", "more")
+    # Hot sets meet their component by broadcast, rows without words or id none, and the others in a shuffle.
+    hot = F.col("copies") >= max(2, HOT_SHARE * base.count())
+    plain = F.col("name").isNull() | F.col("doc_id").isNull()
+    own = base.filter(~plain)
+    often = own.join(F.broadcast(named.filter(hot)), "name")
+    rare = own.join(F.broadcast(named.filter(hot).select("name")), "name", "left_anti").join(named.filter(~hot), "name")
+    shown = ["doc_id", "n_shingles", "component_id"]
+    return base.filter(plain).withColumn("component_id", F.col("doc_id")).select(*shown).unionByName(often.select(*shown)).unionByName(rare.select(*shown))
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
