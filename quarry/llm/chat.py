@@ -1,18 +1,22 @@
 """Chat formatting into budgeted training windows.
 
-Prefix sums of turn tokens choose turn-aligned spans: a turn whose preceding turns hold t tokens is a target of window
-t div `budget`. Every later window repeats the system turn and the last `history` turns before it; repeated turns are
-marked and are never under the loss mask, so each assistant turn is a target once. Prefix sums are taken in two levels
-(within runs of RUN turn numbers, then over the runs of a conversation), so that a very long conversation is dealt out
-over many tasks; its text meets in one row only where a caller asks for a digest of all of it.
+Turns are dealt over tasks by range of (conversation, turn), so that a very long conversation spans many of them, and
+written once; prefix sums of turn tokens are taken in two levels, within each part of a conversation and over its parts.
+They choose turn-aligned spans: with T the budget less the system turn, a turn whose preceding turns hold t tokens is a
+target of span t div (T / 2), and one of more than T / 2 tokens ends its span and is a span of its own. So a span holds
+T tokens at most, unless it is one turn that is larger. Every later window repeats the system turn, and of the last
+`history` turns before its targets as many, from the nearest on, as the budget has room for. Repeated turns are marked
+and are never under the loss mask, so each assistant turn is a target once. A window exceeds the budget only where one
+turn and the system turn alone do.
 
 A window's text is a row of turns, `<|turn|>role\\ntext<|end|>\\n` (`<|again|>` for repeated ones). `&`, `<` and `[`
 in texts are written `&amp;`, `&lt;` and `&#91;` (a newline in a role `&#10;`), so no control string of this or of a
 bracket-style template can come from a text, and reading back restores it.
 
 Turns are ordered by (turn, role, text), null turns first; repeated rows are turns of their own. A null text is empty,
-a null role is `user`, and rows without conv_id form one conversation. A turn over the budget has a window for itself
-and what starts in it. Only DataFrame functions run.
+a null role is `user`, and rows without conv_id form one conversation. A very long text is one turn, kept whole. An empty
+table gives an empty table; columns beyond these four, whatever their names, are left out. Only DataFrame functions run.
+A conversation's text meets in one row only where `report` makes digests of all of it.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RUN = 64
+from quarry.llm.common import Workspace
+
 TURN, AGAIN, END = "<|turn|>", "<|again|>", "<|end|>\n"
 NO_ID = -(2**63)
 
@@ -40,33 +45,47 @@ def tokens(text: Column) -> Column:
     return F.floor((F.length(text) + 3) / 4) + 4
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """key, place (from 0) and the tokens before each turn."""
-    run = F.coalesce(F.floor(F.col("turn") / RUN), F.lit(NO_ID))
-    rows = turns.select(F.coalesce("conv_id", F.lit(NO_ID)).alias("key"), run.alias("run"), "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", tokens(F.col("text")))
-    sums = rows.groupBy("key", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
-    earlier = W.partitionBy("key").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("key", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t0"))
-    order = W.partitionBy("key", "run").orderBy("turn", "role", "text")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    own = rows.withColumn("i", F.row_number().over(order) - 1).withColumn("s", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    return own.join(sums, ["key", "run"]).select("key", "role", "text", (F.col("n0") + F.col("i")).alias("place"), (F.col("t0") + F.col("s")).alias("before"))
+def placed(turns: DataFrame, budget: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Turns with key, part, pos (their order), place (from 0), role, text, tokens, window and the system turn's pos and
+    tokens; and for each part of a conversation the system turn's text. Both written once."""
+    key = F.coalesce("conv_id", F.lit(NO_ID)).alias("key")
+    rows = turns.select(key, "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = ["key", "turn", "role", "text", "mix"]  # mix deals out repeated rows, which are alike
+    dealt = rows.withColumn("mix", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = ws.save(dealt.select("key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos"), "role", "text", tokens(F.col("text")).alias("tokens")), "dealt")
+    sums = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
+    earlier = W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    system = rows.filter("role = 'system'").groupBy("key").agg(F.min(F.struct("pos", "tokens", "text")).alias("s"))
+    parts = sums.select("key", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t0"))
+    parts = ws.save(parts.join(system, "key", "left").select("key", "part", "n0", "t0", F.col("s.pos").alias("s_pos"), F.coalesce("s.tokens", F.lit(0)).alias("s_tokens"), F.col("s.text").alias("s_text")), "parts")
+    own = W.partitionBy("key", "part").orderBy("pos")
+    before = F.col("t0") + F.coalesce(F.sum("tokens").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    half = F.greatest(F.lit(1), F.floor((budget - F.col("s_tokens")) / 2))
+    window = 2 * F.floor(before / half) + (F.col("tokens") > half).cast("bigint")
+    numbered = rows.join(parts.drop("s_text"), ["key", "part"])
+    shown = numbered.select("key", "part", "pos", (F.col("n0") + F.row_number().over(own) - 1).alias("place"), "role", "text", "tokens", window.alias("window"), "s_pos", "s_tokens")
+    made = ws.save(shown, "turns")
+    ws.drop("dealt")
+    return made, parts
 
 
 def windows(turns: DataFrame, budget: int = 1024, history: int = 2) -> DataFrame:
-    """conv_id, window, formatted, loss_spans (character offsets, end exclusive)."""
-    rows = numbered(turns).withColumn("window", F.floor(F.col("before") / budget))
-    starts = rows.groupBy("key", "window").agg(F.min("place").alias("first"))
-    system = rows.filter("role = 'system'").groupBy("key").agg(F.min(F.struct("place", "window", "text")).alias("s")).select("key", F.col("s.place").alias("s_place"), F.col("s.window").alias("s_window"), F.col("s.text").alias("s_text"))
-    wanted = starts.filter("first > 0").select("key", "window", F.explode(F.sequence(F.greatest(F.col("first") - history, F.lit(0)), F.col("first") - 1)).alias("place"))
-    told = rows.drop("window").join(wanted, ["key", "place"]).join(system.select("key", "s_place"), "key", "left").filter("s_place is null or place != s_place")
-    kept = starts.join(system, "key").filter("window > s_window")
-    part = lambda again, place, role, text: F.struct(place.alias("place"), F.lit(again).alias("again"), role.alias("role"), text.alias("text"))
+    """conv_id, window, tokens (of all its turns), formatted, loss_spans (character offsets, end exclusive)."""
+    rows, by_part = placed(turns, budget, Workspace(turns.sparkSession, "chat"))
+    starts = rows.groupBy("key", "window").agg(F.min(F.struct("place", "part", "pos")).alias("f"), F.sum("tokens").alias("used"), F.min("s_pos").alias("s_pos"), F.min("s_tokens").alias("s_tokens"))
+    later = F.coalesce(F.col("s_pos") < F.col("f.pos"), F.lit(False))
+    room = budget - F.col("used") - F.when(later, F.col("s_tokens")).otherwise(0)
+    starts = starts.select("key", "window", F.col("f.place").alias("first"), F.col("f.part").alias("part"), later.alias("later"), room.alias("room"))
+    wanted = starts.filter("first > 0").select("key", "window", "room", F.explode(F.sequence(F.greatest(F.col("first") - history, F.lit(0)), F.col("first") - 1)).alias("place"))
+    near = rows.drop("window").join(wanted, ["key", "place"]).filter("s_pos is null or pos != s_pos")
+    upto = F.sum("tokens").over(W.partitionBy("key", "window").orderBy(F.desc("place")))
+    told = near.withColumn("upto", upto).filter("upto <= room")
+    kept = starts.filter("later").join(by_part.select("key", "part", "s_tokens", "s_text"), ["key", "part"])
+    part = lambda again, place, role, text, size: F.struct(place.cast("bigint").alias("place"), F.lit(again).alias("again"), role.alias("role"), text.alias("text"), size.cast("bigint").alias("tokens"))
     c = F.col
-    parts = rows.select("key", "window", part(False, c("place"), c("role"), c("text")).alias("p"))
-    parts = parts.unionByName(told.select("key", "window", part(True, c("place"), c("role"), c("text")).alias("p")))
-    parts = parts.unionByName(kept.select("key", "window", part(True, c("s_place"), F.lit("system"), c("s_text")).alias("p")))
+    parts = rows.select("key", "window", part(False, c("place"), c("role"), c("text"), c("tokens")).alias("p"))
+    parts = parts.unionByName(told.select("key", "window", part(True, c("place"), c("role"), c("text"), c("tokens")).alias("p")))
+    parts = parts.unionByName(kept.select("key", "window", part(True, F.lit(-1), F.lit("system"), c("s_text"), c("s_tokens")).alias("p")))
     grouped = parts.groupBy("key", "window").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     head = lambda p: F.concat(F.when(p.again, AGAIN).otherwise(TURN), F.replace(escape(p.role), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
     piece = F.transform("ps", lambda p: F.struct(head(p).alias("head"), escape(p.text).alias("body"), (~p.again & (p.role == "assistant")).alias("loss")))
@@ -81,7 +100,7 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 2) -> DataFrame
 
     made = grouped.withColumn("pieces", piece)
     return made.select(
-        F.nullif("key", F.lit(NO_ID)).alias("conv_id"), "window",
+        F.nullif("key", F.lit(NO_ID)).alias("conv_id"), "window", F.aggregate("ps", F.lit(0).cast("bigint"), lambda n, p: n + p.tokens).alias("tokens"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p.head, p.body, F.lit(END))), "").alias("formatted"),
         F.aggregate("pieces", zero, grow, lambda a: a.spans).alias("loss_spans"),
     )

@@ -54,7 +54,7 @@ def located(df: DataFrame, ws: Workspace) -> DataFrame:
     """
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__locator")
     plan = df._jdf.queryExecution().analyzed().toString()
-    if not any(node in plan for node in ("Join", "Generate", "Union", "Expand")):  # these may repeat rows of a file
+    if "] parquet" in plan and not any(node in plan for node in ("Join", "Generate", "Union", "Expand", "MapIn")):  # these may repeat rows of a file
         try:
             return df.select("*", place)
         except AnalysisException:

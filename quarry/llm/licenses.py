@@ -3,13 +3,16 @@
 All rolling word 2-gram hashes of the documents are Spark-joined to the positions of the same grams in templates. A
 match at document word d and template word t votes for the diagonal d - t. Votes are aggregated by document, template
 and diagonal, neighbouring diagonals whose places meet are merged (words inserted or left out), and spans are verified:
-each vote holds equal words, not only equal hashes, and a span counts when enough template grams are met. A phrase is a
-template that must be met whole on one diagonal: its places are the base result. Notices are longer templates that add
-labels of their own.
+each vote holds equal words, not only equal hashes; a span's coverage counts the distinct template grams that it meets,
+however often each occurs; and a span may not be longer than STRETCH times its template. A phrase is a template that
+must be met whole on one diagonal: its places are the base result. Notices are longer templates that add labels of
+their own.
 
-Null text is empty. A document without words has n_words 0, no places, empty labels and score 0. Overlapping places of
-one phrase all count. Rows are keyed by doc_id; repeated doc_ids are told apart by a row number of the scan, so they
-repeat. Only DataFrame functions run; the template table is a constant of this module.
+Each text is split once: a row without any gram of a template travels on by one marker, so that no second scan has to
+find it. Null text is empty. A document without words has n_words 0, no places, empty labels and score 0; an empty table
+gives an empty table. Overlapping places of one phrase all count; very long texts are scanned whole. Rows are told apart
+by where they are stored, so repeated rows and ids repeat; other columns, whatever their names, are left alone. Only
+DataFrame functions run; the template table is a constant of this module.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import lower_ascii
+from quarry.llm.common import Workspace, located, lower_ascii
 
 #: Fixed values of the base contract.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -35,8 +38,9 @@ NOTICES = {
     "cc-by-sa": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
 }
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Share of a notice's grams that a span must hold, and words by which neighbouring diagonals may differ.
-COVERAGE, DRIFT = 0.7, 3
+#: Share of a notice's distinct grams that a span must hold, words by which neighbouring diagonals may differ, and the
+#: greatest length of a span against its template. A template has 62 grams at most.
+COVERAGE, DRIFT, STRETCH = 0.7, 3, 2
 
 
 def words(text: Column) -> Column:
@@ -45,44 +49,52 @@ def words(text: Column) -> Column:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    rows = []
+    """Every gram of every template with its place, and the marker (template -1) that keeps rows without a gram."""
+    rows = [(-1, "", False, 0, 0, 0, "", "")]
     for k, (text, label, phrase) in enumerate([(p, x, True) for p, x in PHRASES.items()] + [(t, x, False) for x, t in NOTICES.items()]):
         parts = text.split()
-        rows += [(k, label, phrase, len(parts), at, parts[at], parts[at + 1]) for at in range(len(parts) - 1)]
-    frame = spark.createDataFrame(rows, "template int, label string, phrase boolean, size int, at int, w1 string, w2 string")
+        rows += [(k, label, phrase, len(parts), at, 1 << at, parts[at], parts[at + 1]) for at in range(len(parts) - 1)]
+    frame = spark.createDataFrame(rows, "template int, label string, phrase boolean, size int, at int, bit bigint, w1 string, w2 string")
     return frame.withColumn("gram", F.xxhash64("w1", "w2"))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """One row for each verified span: row, doc_id, template, label, phrase, first_word, last_word (inclusive), coverage."""
-    parts = docs.select("row", "doc_id", words(F.col("text")).alias("words"))
-    pair = lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w, F.get("words", i + 1)).alias("gram"), w.alias("d1"), F.get("words", i + 1).alias("d2"))
-    grams = parts.select("row", "doc_id", F.explode(F.transform("words", pair)).alias("g")).select("row", "doc_id", "g.*")
+def votes(docs: DataFrame) -> DataFrame:
+    """For each row, template and diagonal: the template grams met as bits, the number of votes, first and last place
+    (word positions, inclusive). docs: doc_id, text and __locator. The marker's group holds the row's n_words."""
+    parts = docs.select("doc_id", "__locator", words(F.col("text")).alias("words"))
+    gram = lambda d1, d2, pos: F.struct(pos.alias("pos"), F.xxhash64(d1, d2).alias("gram"), d1.alias("d1"), d2.alias("d2"))
+    marker = F.array(gram(F.lit(""), F.lit(""), F.size("words")))
+    pairs = F.transform("words", lambda w, i: gram(w, F.get("words", i + 1), i))
+    grams = parts.select("doc_id", "__locator", F.explode(F.concat(marker, pairs)).alias("g")).select("doc_id", "__locator", "g.*")
     met = grams.join(F.broadcast(templates(docs.sparkSession)), "gram").filter("d1 = w1 and d2 = w2")
-    keys = ["row", "doc_id", "template", "label", "phrase", "size"]
-    votes = met.groupBy(*keys, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first_word"), (F.max("pos") + 1).alias("last_word"))
-    whole = votes.filter("phrase and votes = size - 1").select(*keys[:-1], "first_word", "last_word", F.lit(1.0).alias("coverage"))
-    order = W.partitionBy("row", "template").orderBy("first_word", "diagonal")
+    keys = ["doc_id", "__locator", "template", "label", "phrase", "size"]
+    return met.groupBy(*keys, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.bit_or("bit").alias("grams"), F.min("pos").alias("first_word"), (F.max("pos") + 1).alias("last_word"))
+
+
+def spans(cast: DataFrame) -> DataFrame:
+    """One row for each verified span: doc_id, __locator, label, phrase, first_word, last_word (inclusive), coverage.
+    cast: `votes`, whose markers stay as rows with a null label and first_word = n_words."""
+    shown = ["doc_id", "__locator", "label", "phrase", "first_word", "last_word", "coverage"]
+    marks = cast.filter("template < 0").withColumns({"label": F.lit(None).cast("string"), "coverage": F.lit(0.0)})
+    whole = cast.filter("phrase and bit_count(grams) = size - 1").withColumn("coverage", F.lit(1.0))
+    order = W.partitionBy("__locator", "template").orderBy("first_word", "diagonal")
     near = (F.col("first_word") - F.lag("last_word").over(order) <= DRIFT) & (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= DRIFT)
     run = F.sum(F.when(near, 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    merged = votes.filter("not phrase").withColumn("run", run).groupBy(*keys, "run").agg(F.sum("votes").alias("votes"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
-    share = F.least(F.lit(1.0), F.col("votes") / (F.col("size") - 1))
-    noted = merged.filter(share >= COVERAGE).select(*keys[:-1], "first_word", "last_word", share.alias("coverage"))
-    return whole.unionByName(noted)
+    keys = ["doc_id", "__locator", "template", "label", "phrase", "size"]
+    merged = cast.filter("template >= 0 and not phrase").withColumn("run", run).groupBy(*keys, "run").agg(F.bit_or("grams").alias("grams"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
+    noted = merged.withColumn("coverage", F.bit_count("grams") / (F.col("size") - 1))
+    noted = noted.filter((F.col("coverage") >= COVERAGE) & (F.col("last_word") - F.col("first_word") < STRETCH * F.col("size")))
+    return marks.select(*shown).unionByName(whole.select(*shown)).unionByName(noted.select(*shown))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    named = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    found = spans(named)
-    place = F.when(F.col("phrase"), F.col("first_word").cast("bigint"))
+    ws = Workspace(docs.sparkSession, "licenses")
+    # The votes are few; written once, they aren't counted anew for each kind of template.
+    found = spans(ws.save(votes(located(docs.select("doc_id", "text"), ws)), "votes"))
+    label, place = F.col("label"), F.when(F.col("phrase"), F.col("first_word").cast("bigint"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    by_doc = found.groupBy("row").agg(
-        F.count(place).alias("n_base"), F.min(place).alias("first_word"), F.max(place).alias("last_word"),
-        joined(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("coverage").alias("score"),
-    )
-    counted = named.select("row", "doc_id", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
-    zero, none = F.lit(0).cast("bigint"), F.lit("")
-    return counted.join(by_doc, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("n_base", zero).alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
-    )
+    return found.groupBy("__locator").agg(
+        F.first("doc_id").alias("doc_id"), F.max(F.when(label.isNull(), F.col("first_word").cast("bigint"))).alias("n_words"), F.count(place).alias("n_base"),
+        F.min(place).alias("first_word"), F.max(place).alias("last_word"),
+        joined(F.when(F.col("phrase"), label)).alias("base_labels"), joined(label).alias("labels"), F.max("coverage").alias("score"),
+    ).drop("__locator")

@@ -60,6 +60,14 @@ LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 WORDS = rf"coalesce(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
 ESCAPED = "length({0}) + 4 * (length({0}) - length(replace({0}, '&', ''))) + 3 * (length({0}) - length(replace({0}, '<', ''))) + 4 * (length({0}) - length(replace({0}, '[', '')))"
 
+#: The template grams of the license scan, by the same rule as licenses.templates.
+GRAMS = ", ".join(
+    f"({k}, '{label}', {phrase}, {len(parts)}, {at}, '{parts[at]}', '{parts[at + 1]}')"
+    for k, (text, label, phrase) in enumerate([(p, x, True) for p, x in licenses.PHRASES.items()] + [(t, x, False) for x, t in licenses.NOTICES.items()])
+    for parts in [text.split()]
+    for at in range(len(parts) - 1)
+)
+
 SQL = {
     "op1_ngram_jaccard_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
@@ -72,18 +80,35 @@ SQL = {
     "op3_chat_formatting": f"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, t, r, '{CONTROL_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
-        p AS (SELECT *, row_number() OVER o - 1 AS place, coalesce(sum((length(text) + 3) // 4 + 4) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        p AS (SELECT *, row_number() OVER o - 1 AS place, (length(text) + 3) // 4 + 4 AS tokens, coalesce(sum((length(text) + 3) // 4 + 4) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
             {ESCAPED.format('role')} + 1 + {ESCAPED.format('text')} + 8 AS size FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-        q AS (SELECT *, before // 1024 AS w FROM p),
-        g AS (SELECT conv_id, w, min(place) AS first FROM q GROUP BY 1, 2),
-        s AS (SELECT conv_id, place AS s_place, w AS s_w, size AS s_size FROM q WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place) = 1),
-        h AS (SELECT q.conv_id, sum(9 + size) AS told FROM g JOIN q ON q.conv_id = g.conv_id AND q.place < g.first AND q.place >= g.first - 2
-            LEFT JOIN s ON s.conv_id = q.conv_id WHERE s_place IS NULL OR q.place <> s_place GROUP BY 1),
-        k AS (SELECT g.conv_id, sum(9 + s_size) AS kept FROM g JOIN s ON s.conv_id = g.conv_id AND g.w > s_w GROUP BY 1),
+        s AS (SELECT conv_id, place AS s_place, tokens AS s_tokens, size AS s_size FROM p WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place) = 1),
+        z AS (SELECT p.*, s_place, s_size, coalesce(s_tokens, 0) AS s_tokens, greatest(1, (1024 - coalesce(s_tokens, 0)) // 2) AS half FROM p LEFT JOIN s ON s.conv_id = p.conv_id),
+        q AS (SELECT *, 2 * (before // half) + CAST(tokens > half AS INT) AS w FROM z),
+        g AS (SELECT conv_id, w, min(place) AS first, any_value(s_place) AS s_place, any_value(s_size) AS s_size,
+            1024 - sum(tokens) - CASE WHEN any_value(s_place) < min(place) THEN any_value(s_tokens) ELSE 0 END AS room FROM q GROUP BY 1, 2),
+        n AS (SELECT g.conv_id, g.w, q.size, room, sum(q.tokens) OVER (PARTITION BY g.conv_id, g.w ORDER BY q.place DESC) AS upto FROM g JOIN q ON q.conv_id = g.conv_id AND q.place < g.first AND q.place >= g.first - 2
+            WHERE q.s_place IS NULL OR q.place <> q.s_place),
+        h AS (SELECT conv_id, sum(9 + size) AS told FROM n WHERE upto <= room GROUP BY 1),
+        k AS (SELECT conv_id, sum(9 + s_size) AS kept FROM g WHERE s_place < first GROUP BY 1),
         t AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
             coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss, sum(8 + size) AS own FROM q GROUP BY 1)
         SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
             CAST(own + coalesce(told, 0) + coalesce(kept, 0) AS BIGINT) AS formatted_chars FROM t LEFT JOIN h USING (conv_id) LEFT JOIN k USING (conv_id)""",
+    "op4_license_scan": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+        t AS (SELECT * FROM (VALUES {GRAMS}) AS v(template, label, phrase, size, at_, w1, w2)),
+        g AS (SELECT r, x AS pos, w[x + 1] AS d1, w[x + 2] AS d2 FROM d, unnest(range(len(w) - 1)) AS u(x)),
+        v AS (SELECT r, template, label, phrase, size, pos - at_ AS diagonal, list(DISTINCT at_) AS met, min(pos) AS f, max(pos) + 1 AS l FROM g JOIN t ON d1 = w1 AND d2 = w2 GROUP BY ALL),
+        n AS (SELECT *, CASE WHEN f - lag(l) OVER o <= {licenses.DRIFT} AND abs(diagonal - lag(diagonal) OVER o) <= {licenses.DRIFT} THEN 0 ELSE 1 END AS fresh
+            FROM v WHERE NOT phrase WINDOW o AS (PARTITION BY r, template ORDER BY f, diagonal)),
+        y AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY f, diagonal ROWS UNBOUNDED PRECEDING) AS run FROM n),
+        m AS (SELECT r, label, size, min(f) AS f, max(l) AS l, len(list_distinct(flatten(list(met)))) / CAST(size - 1 AS DOUBLE) AS cov FROM y GROUP BY r, template, label, size, run),
+        z AS (SELECT r, label, TRUE AS phrase, f, 1.0::DOUBLE AS cov FROM v WHERE phrase AND len(met) = size - 1
+            UNION ALL SELECT r, label, FALSE, f, cov FROM m WHERE cov >= {licenses.COVERAGE} AND l - f < {licenses.STRETCH} * size)
+        SELECT any_value(doc_id) AS doc_id, any_value(len(w)) AS n_words, count(f) FILTER (phrase) AS n_base, min(f) FILTER (phrase) AS first_word, max(f) FILTER (phrase) AS last_word,
+            coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(cov), 0.0) AS score
+        FROM d LEFT JOIN z USING (r) GROUP BY r""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
