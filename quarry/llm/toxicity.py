@@ -76,9 +76,10 @@ class Net:
         return np.concatenate(best, axis=1), np.concatenate(at, axis=1) if at else np.empty(0)
 
     def lay(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Texts end to end, with padding behind each so that no filter meets two of them."""
+        """Texts end to end, with padding before and behind each so that no filter meets two of them; and where the
+        filters' places of each begin, which is in the padding before it."""
         pad = np.zeros(max(WIDTHS), np.int64)
-        ids = np.concatenate([x for t in texts for x in (t, pad)] + [pad[1:]])
+        ids = np.concatenate([pad[1:], *[x for t in texts for x in (t, pad)]])
         return ids, np.cumsum([0] + [len(t) + len(pad) for t in texts[:-1]])
 
     def step(self, texts: list[np.ndarray], y: np.ndarray, weight: dict, rate: float = 0.05) -> None:
