@@ -2,17 +2,18 @@
 
 Training texts are scanned once by windows of `n` words whose hashes are looked up in the sorted set of benchmark
 windows; each hit is verified word by word. An item of fewer words than n is one window of its own length. Null or
-wordless texts and items have no windows and hit nothing. Repeated items with equal windows each count. Rows are
-independent; an empty benchmark marks nothing.
+wordless texts and items have no windows and hit nothing; very long texts are scanned whole. Repeated items with equal
+windows each count. Rows are independent: repeated rows repeat, whatever their doc_id. An empty benchmark marks nothing,
+an empty table gives an empty table. Columns named __row are the operator's; others, whatever their names, stay.
 
 The window set is broadcast only up to MAX_BROADCAST_WINDOWS (a window of ten words takes about 200 bytes in a worker).
-A larger benchmark is scanned in several passes of that size, each with its own broadcast. Rows get a number that is
+A larger benchmark is scanned in several passes of that size, each with its own broadcast, freed before the next; one
+item is never split over passes. Rows get a number that is
 written once with their texts, and the passes' hits are merged by it, so that results don't depend on the passes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD_BYTES, Workspace, hash_words, map_text, roll
+from quarry.llm.common import WORD_BYTES, Workspace, hash_words, map_text, roll, slices
 
 MAX_BROADCAST_WINDOWS = 1_000_000
 WINDOW = 10
@@ -82,9 +83,19 @@ def windows_of(rows: DataFrame, n: int, k: int, passes: int):
     return rows.sparkSession.sparkContext.broadcast(Windows([(r.item, r.text.encode()) for r in part.collect()], n))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def passed(rows: DataFrame, n: int, passes: int, ws: Workspace, search_one) -> list[DataFrame]:
+    """The written result of each pass; a pass's windows are freed before the next ones are made."""
+    made = []
+    for k in range(passes):
+        windows = windows_of(rows, n, k, passes)
+        made.append(ws.save(search_one(windows), f"pass{k}"))
+        windows.unpersist(blocking=True)
+    return made
+
+
+def numbered(docs: DataFrame, ws: Workspace) -> DataFrame:
     """The rows with a number of their own, __row, which stays the same over all passes."""
-    return Workspace(docs.sparkSession, "decontam").save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    return ws.save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
 
 
 def search(docs: DataFrame, windows, keep: tuple[str, ...]) -> DataFrame:
@@ -119,8 +130,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     rows, passes = items_of(benchmark)
     if passes == 1:
         return search(docs, windows_of(rows, n, 0, 1), ("doc_id",))
-    own = numbered(docs.select("doc_id", "text"))
-    found = [search(own, windows_of(rows, n, k, passes), ("__row", "doc_id")) for k in range(passes)]
+    ws = Workspace(docs.sparkSession, "decontam")
+    own = numbered(docs.select("doc_id", "text"), ws)
+    found = passed(rows, n, passes, ws, lambda windows: search(own, windows, ("__row", "doc_id")))
     flat = reduce(DataFrame.unionAll, [found[0], *[f.filter(F.size("items") > 0) for f in found[1:]]])
     each = flat.groupBy("__row", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
@@ -154,19 +166,17 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     rows, passes = items_of(benchmark)
     if passes > 1:
-        own = numbered(docs)
-        found = [search(own, windows_of(rows, WINDOW, k, passes), ("__row",)).filter(F.size("items") > 0).select("__row") for k in range(passes)]
+        ws = Workspace(docs.sparkSession, "decontam")
+        own = numbered(docs, ws)
+        found = passed(rows, WINDOW, passes, ws, lambda windows: search(own, windows, ("__row",)).filter(F.size("items") > 0).select("__row"))
         return own.join(reduce(DataFrame.unionAll, found), "__row", "left_anti").select(*docs.columns)
     windows = windows_of(rows, WINDOW, 0, 1)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             keep = [t is None or not windows.value.hits(t)[1].any() for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
-
-def digest(texts: list[str]) -> str:
-    return hashlib.sha256(",".join(texts).encode()).hexdigest()

@@ -12,32 +12,36 @@ def fold(doc_id, n: int):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(n))
 
 
-#: Parts in which the rows of a label are ranked before their firsts are ranked together.
-BUCKETS = 64
+#: Texts of more bytes are not taken into samples.
+SAMPLE_BYTES = 256 << 10
+#: Parts of a label's ids by their hash, of which only so many are ranked as hold MARGIN times the rows wanted.
+PARTS, MARGIN = 1 << 20, 4
 
 
 def firsts(labelled: DataFrame, column: str, most: int) -> DataFrame:
-    """doc_id and label of the first `most` of each label in each bucket of doc_id, by a hash of doc_id."""
-    ids = labelled.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", column).distinct()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
-    order = W.partitionBy(column, "__bucket").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return ids.withColumn("__bucket", place).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= most).select("doc_id", column)
+    """doc_id and label of about MARGIN * most rows of each label, the first by a hash of doc_id; of smaller ones, all."""
+    rows = labelled.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", column)
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("__rows"))
+    share = F.ceil(F.lit(float(PARTS)) * MARGIN * most / F.col("__rows"))
+    return rows.join(F.broadcast(counts), column).filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) < share).select("doc_id", column).distinct()
 
 
 def labelled_texts(docs: DataFrame, labelled: DataFrame, column: str, most: int) -> list[tuple[int, object, str]]:
     """(doc_id, label, text) of at most `most` documents for each label, chosen by a hash of doc_id.
 
-    `labelled` has doc_id and the label. Only ids and labels are ranked, in two levels, so that the last one's rows of a
-    label are bounded by BUCKETS * most; the texts of the chosen ids alone come to the driver, whole.
+    `labelled` has doc_id and the label. Ids are thinned by their hash before they are ranked, so that the ranked rows
+    of a label are about MARGIN * most at any size; the texts of the chosen ids alone come to the driver, whole, of
+    rows with one doc_id the least, and none of more than SAMPLE_BYTES.
     """
-    order = W.partitionBy(column).orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = W.partitionBy(column).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)), F.xxhash64("doc_id"), "doc_id")
     ranked = firsts(labelled, column, most).withColumn("__n", F.row_number().over(order))
     ids = ranked.filter(F.col("__n") <= most).select("doc_id", F.col(column).alias("__label")).collect()  # bounded by most for each label
     if not ids:
         return []
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r["__label"]) for r in ids], ranked.select("doc_id", F.col(column).alias("__label")).schema)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    return sorted((r.doc_id, r["__label"], r.text or "") for r in rows)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("__label").alias("label")).collect()
+    return sorted((r.doc_id, r.label, r.text) for r in rows)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

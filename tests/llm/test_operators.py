@@ -171,18 +171,19 @@ def test_boosted_trees_learn():
     assert ((pii.Boosted(x, y).predict(x) > 0.5) == (y > 0.5)).mean() > 0.95
 
 
-def test_samples_are_ranked_in_two_levels(spark, monkeypatch):
+def test_samples_are_the_first_by_hash(spark, monkeypatch):
     most, ids = 3, list(range(4000))
     labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i in ids] + [(None, 0), (7, None), (8, 0)], "doc_id bigint, quality int")
-    docs = make(spark, [(i, f"text {i}") for i in ids])
+    docs = make(spark, [(i, f"text {i}") for i in ids] + [(8, "a text of the same id")])
     entered = []
     before = samples.firsts
+    monkeypatch.setattr(samples, "MARGIN", 20)
     monkeypatch.setattr(samples, "firsts", lambda *a: entered.append(before(*a)) or entered[0])
     made = samples.labelled_texts(docs, labels, "quality", most)
-    place = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
-    want = [i for y in (0, 1) for i in sorted((i for i in ids if int(i % 100 == 0) == y), key=lambda i: (place[i], i))[:most]]
-    assert made == sorted((i, int(i % 100 == 0), f"text {i}") for i in want)
-    assert entered[0].filter("quality = 0").count() == most * samples.BUCKETS  # of 3960
+    place = {r.doc_id: (r.h % samples.PARTS, r.h) for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    want = [i for y in (0, 1) for i in sorted((i for i in ids if int(i % 100 == 0) == y), key=lambda i: (*place[i], i))[:most]]
+    assert made == sorted((i, int(i % 100 == 0), "a text of the same id" if i == 8 else f"text {i}") for i in want)
+    assert most <= entered[0].filter("quality = 0").count() < 200  # of 3960
 
 
 def test_classifiers_on_held_out_rows(spark):
@@ -192,8 +193,156 @@ def test_classifiers_on_held_out_rows(spark):
     assert lang.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
     good = quality.report(spark, docs, labels).join(labels, "doc_id")
     assert good.agg(F.avg((F.col("quality") == F.col("predicted")).cast("double"))).first()[0] > 0.95
-    toxic = toxicity.report(docs, labels).join(labels, "doc_id").filter("held_out")
-    assert toxic.agg(F.avg((F.col("toxic") == F.col("predicted")).cast("double"))).first()[0] > 0.85
+    # Six held-out documents of the small table are toxic; the larger one has about a hundred.
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    some = docs.join(labels, "doc_id", "left_semi")
+    toxic = toxicity.report(some, labels).join(labels, "doc_id").filter("held_out")
+    told = {(r.toxic, r.predicted): r.n for r in toxic.groupBy("toxic", "predicted").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hit, missed, false = told.get((1, 1), 0), told.get((1, 0), 0), told.get((0, 1), 0)
+    assert hit >= 0.7 * (hit + missed) and hit >= 0.7 * (hit + false)  # recall and precision
+
+
+def test_chat_windows_keep_to_the_budget(spark):
+    draw, rows = random.Random(6), []
+    for c in range(30):
+        for t in range(draw.choice([1, 2, 9, 60])):
+            role = "system" if t == 0 and c % 3 else ("user", "assistant")[t % 2]
+            rows.append((c, t, role, "x" * draw.choice([0, 40, 400, 900, 3000, 5000]), 1))
+    rows += [rows[0], (None, 0, "user", "a" * 90_000, 2)]  # a repeated row, and a very long text without an id
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, place int")
+    made = chat.windows(frame, budget=1024, history=2).collect()
+    for w in made:
+        targets = w.formatted.count(chat.TURN)
+        assert w.tokens <= 1024 or targets == 1 and w.formatted.count(chat.AGAIN) <= 1
+    assert sum(w.formatted.count(chat.TURN) for w in made) == len(rows)
+    assert any(w.formatted.count(chat.AGAIN) == 3 for w in made) and any(w.tokens > 1024 for w in made)
+    assert chat.windows(frame.limit(0)).count() == chat.report(frame.limit(0)).count() == 0
+
+
+def test_license_spans_are_verified(spark):
+    notice = licenses.NOTICES["apache-notice"].split()
+    rows = [(1, "4 0 " * 5), (2, "cc by " * 5), (3, " ".join(notice[:9] + ["new"] + notice[9:])), (4, " ".join(notice[:6])), (5, "x " * 100_000 + licenses.NOTICES["bsd"]), (5, "x")]
+    made = {(r.doc_id, r.n_words): (r.base_labels, r.labels, r.score) for r in licenses.report(make(spark, rows)).collect()}
+    assert made[1, 10] == ("", "", 0.0) and made[2, 10] == ("cc-by", "cc-by", 1.0)
+    assert made[3, 22] == ("apache", "apache,apache-2.0,apache-notice", 1.0) and "notice" not in made[4, 6][1]
+    assert made[5, 100_018][1] == "bsd" and made[5, 1] == ("", "", 0.0)
+
+
+def test_dedup_goes_on_from_its_checkpoint(spark, tmp_path):
+    from quarry.llm.common import Workspace
+
+    ws = Workspace(spark, "restart")
+    schema = "digest string, doc_id bigint, locator struct<file:string,row:bigint>"
+    first = [("a", 1, ("f", 0)), ("b", 2, ("f", 1)), ("a", None, ("f", 2))]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(f"{ws.path}/arrivals")
+    state = dedup.keyed_state(spark.read.schema(schema).parquet(f"{ws.path}/arrivals"), ws)
+    assert rows_of(state, "digest", "keep_id", "group_size") == [("a", 1, 2), ("b", 2, 1)]
+    more = [("a", 9, ("g", 0)), ("c", 3, ("g", 1)), ("a", 4, ("g", 2)), ("c", 3, ("g", 3))]
+    spark.createDataFrame(more, schema).repartition(3).write.mode("append").parquet(f"{ws.path}/arrivals")
+    state = dedup.keyed_state(spark.read.schema(schema).parquet(f"{ws.path}/arrivals"), ws, batches=3)
+    assert rows_of(state, "digest", "keep_id", "group_size") == [("a", 9, 4), ("b", 2, 1), ("c", 3, 2)]
+    assert {r.digest: (r.keep_at.file, r.keep_at.row) for r in state.collect()} == {"a": ("g", 0), "b": ("f", 1), "c": ("g", 3)}
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_dedup_keeps_rows_by_locator(spark, tmp_path, texts, weak):
+    digest = (lambda t: F.substring(F.sha2(t, 256), 1, 1)) if weak else dedup.sha256
+    rows = [*texts, texts[8], texts[8], (100, "one"), (None, "two"), (None, "two"), (7, "two"), (None, "three"), (None, None)]
+    make(spark, rows).repartition(3).write.parquet(str(tmp_path / "d"))
+    for docs in (make(spark, rows), spark.read.parquet(str(tmp_path / "d")), spark.read.parquet(str(tmp_path / "d")).filter("n = 1")):
+        left = dedup.unique(docs, digest)
+        assert left.columns == docs.columns
+        best = {}
+        for i, t in rows:
+            best[t or ""] = max(best.get(t or "", -1), -1 if i is None else i)
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in left.collect()) == sorted((i, t) for t, i in best.items())
+
+
+def test_pii_survives_long_numbers_and_matches_brute_force(spark):
+    assert pii.candidates("0" * 5000 + ".1.1.1")[0] == [("ip", 0, 5006)] and pii.candidates("9" * 5000 + ".1.1.1")[0] == []
+    draw = random.Random(8)
+    texts = ["".join(draw.choice(["1", "22", "255", "300", ".", ".", "-", " ", "@", "a", "b.c", "+1", "(", ")", "4111 1111 1111 1111"]) for _ in range(40)) for _ in range(300)]
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True), "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= sum(c.isdigit() for c in s) <= 19 and pii.luhn(pii.digits_of(s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= sum(c.isdigit() for c in s) <= 15),
+    }
+    for r in pii.report(make(spark, enumerate(texts))).collect():
+        t = texts[r.doc_id]
+        want = [(m.start(), i, m.end(), k) for i, (k, (p, ok)) in enumerate(kinds.items()) for m in re.finditer(p, t) if ok(m.group())]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(want)).encode()).hexdigest()
+        assert r.n_spans == len([x for x in r.spans.split(",") if x]) >= len(want)
+
+
+def test_quality_posteriors_match_closed_form(spark):
+    from quarry.llm.common import Workspace
+
+    draw = random.Random(9)
+    rows = [(h, f"{h}/{q}", draw.random() ** (1 + i)) for i, h in enumerate("abc") for q in range(4) for _ in range(draw.choice([1, 5, 40]))]
+    by_path, prior, strengths, n = quality.sites(spark.createDataFrame(rows, "__host string, __path string, __p double"), Workspace(spark, "test"))
+    assert n == len(rows) and abs(prior - sum(r[2] for r in rows) / n) < 1e-9 and all(1 <= k <= 1e6 for k in strengths)
+    for r in by_path.collect():
+        of_path, of_host = [x[2] for x in rows if x[1] == r["__path"]], [x[2] for x in rows if x[0] == r["__host"]]
+        assert (r.n, r.host_n) == (len(of_path), len(of_host)) and abs(r.s - sum(of_path)) < 1e-9
+        p = of_path[0]
+        host = (sum(of_host) - p + strengths[0] * prior) / (len(of_host) - 1 + strengths[0])
+        want = (sum(of_path) - p + strengths[1] * host) / (len(of_path) - 1 + strengths[1])
+        assert abs(quality.posterior(p, r.n, r.s, r.host_n, r.host_s, prior, strengths) - want) < 1e-9
+
+
+def test_quality_sites_decide_where_texts_do_not(spark):
+    draw = random.Random(10)
+    good, bad = "the river runs through a green valley and people walk there", "click $$$ now !!! %% win ### @@ &&&"
+    mixed = " ".join([good, bad])
+    rows, labels = [], []
+    for i in range(1200):
+        host = draw.choice(["fine", "poor"])
+        y = int(draw.random() < (0.95 if host == "fine" else 0.05))
+        text = f"{mixed} {draw.randrange(9)}" if i % 3 == 0 else f"{good if y else bad} {draw.randrange(9)}"
+        rows.append((i, text, "en", host, 1, "x", 0.5))
+        labels.append((i, y, 0))
+    docs, told = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    made = quality.of_documents(docs, told).join(told.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).filter("doc_id % 3 = 0")
+    right = made.agg(F.avg(((F.col("__own") >= 0.5) == (F.col("quality") == 1)).cast("double")), F.avg((F.col("__accepted") == (F.col("quality") == 1)).cast("double"))).first()
+    assert right[1] > 0.85 and right[1] > right[0] + 0.2, right
+    assert {"n", "salt", "posterior"} <= set(quality.accepted(docs, told).columns)
+
+
+def test_convolution_matches_dense_arithmetic():
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    texts = [draw.integers(1, toxicity.CELLS, n) for n in (0, 1, 2, 7, 40)]
+    net = toxicity.Net([(t, i % 2) for i, t in enumerate(texts)])
+    for t, score in zip(texts, net.scores(texts), strict=True):
+        pad = np.zeros(max(toxicity.WIDTHS), np.int64)
+        own = np.concatenate([pad[1:], t, pad])
+        best = []
+        for n, k in enumerate(toxicity.WIDTHS):
+            runs = [sum(net.p["e"][own[i + j]] @ net.p[f"w{k}"][j] for j in range(k)) + net.p["b"][n] for i in range(len(t) + len(pad))]
+            best.append(np.max(runs, axis=0))
+        z = np.maximum(np.concatenate(best), 0) @ net.p["o"] + net.p["c"]
+        assert abs(float(np.ravel(1 / (1 + np.exp(-z)))[0]) - score) < 1e-9, (len(t), score)
+    assert abs(net.scores(texts)[::-1] - net.scores(texts[::-1])).max() < 1e-12  # whatever stands beside a text
+
+
+def test_language_decoding_matches_one_by_one():
+    import numpy as np
+
+    words = {"en": "the and of that with", "de": "der und die nicht mit", "fr": "les des une dans pour"}
+    draw = random.Random(11)
+    rows = [(i, lang, " ".join(draw.choice(words[lang].split()) for _ in range(20))) for i, lang in enumerate(list(words) * 30)]
+    model = language.Model(rows)
+    texts = [t for _, _, t in rows[:30]] + ["", "123", "the der les"]
+    for t, lang, score, ambiguous in zip(texts, *model.predict(texts), strict=True):
+        if not any(c.isalpha() for c in t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        f = np.clip(model.margins(language.features(t.encode())[None])[0], -12, 12)
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-f[b] * word[b])) for b in range(len(word))) for word in model.code]
+        assert lang == model.languages[int(np.argmin(loss))]
+        share = np.exp(min(loss) - np.array(loss)) / np.exp(min(loss) - np.array(loss)).sum()
+        assert abs(score - share.max()) < 1e-6 and ambiguous == (np.sort(share)[-1] - np.sort(share)[-2] < language.AMBIGUOUS)
 
 
 def test_pipeline(spark, texts, tmp_path):
@@ -243,3 +392,18 @@ def test_nothing_in_nothing_out(spark):
     some = make(spark, [(1, None), (2, "word")])
     assert toxicity.report(some, no_labels).count() == quality.accepted(some, no_labels).count() == 2
     assert {r.lang_pred for r in language.report(some).collect()} == {"und", "en"}
+    assert chat.report(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == dedup.unique(none).count() == 0
+    tokenizers = pytest.importorskip("public_tokenizers")
+    assert bpe.encode(none, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN).count() == 0
+
+
+def test_repeated_rows_repeat(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words of the same id 10.0.0.1"), (None, "a b c d e f"), (None, None)]
+    docs = make(spark, rows)
+    items = spark.createDataFrame([(1, "c d")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert rows_of(decontam.report(docs, items), "doc_id", "n_hit") == sorted([(1, 2), (1, 2), (1, 0), (None, 2), (None, 0)], key=str)
+    assert sum(r.n_ip for r in pii.report(docs).collect()) == 1
+    for made in (pii.report(docs), language.report(docs), toxicity.report(docs, labels), quality.report(spark, docs, labels), licenses.report(docs), dedup.dedup(docs)):
+        assert made.count() == len(rows)
+    assert rows_of(ngram_join.join(make(spark, [rows[0], rows[1], rows[3]]), 3, 90), "doc_id", "component_id") == sorted([(1, 1), (1, 1), (None, None)], key=str)
