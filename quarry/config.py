@@ -31,6 +31,17 @@ class Settings:
     hallucination_ceiling: float = 0.15
     f1_pass: float = 0.50
     fallback_slack: float = 0.05
+    latency_ceiling_ms: float = 8000.0
+    min_answer_chars: int = 40
+    page_contents_leaders: int = 4
+    chunk_contents_leaders: int = 3
+    min_unit_chars: int = 120
+    max_unit_chars: int = 3500
+    merge_below_chars: int = 80
+    min_page_chars: int = 200
+    min_group_chars: int = 1200
+    hopeless_margin: int = 25
+    gated_modes: tuple[str, ...] = ("general",)
 
 
 DEFAULTS = Settings()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.config import DEFAULTS
 
@@ -25,12 +29,33 @@ def slug(text: Column, limit: int = 40) -> Column:
     return F.substring(F.coalesce(F.nullif(s, F.lit("")), F.lit("untitled")), 1, limit)
 
 
+#: White space of page text, and glyphs that become plain characters.
+PAGE_WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{2028}\x{2029}]"
+GLYPHS = {
+    "\u201c": '"', "\u201d": '"', "\u2018": "'", "\u2019": "'", "\u2013": "-", "\u2014": "-", "\u2022": "-", "\u25cf": "-",
+    "\u2713": "-", "\u2714": "-", "\u00a0": " ", "\ufb01": "fi", "\ufb02": "fl",
+}
+
+
+@F.arrow_udf(T.StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    """Unicode normalisation, which Spark lacks, over Arrow batches (Arrow's own leaves combining marks apart)."""
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+
+
 def clean_page(text: Column) -> Column:
-    """Page cleaning after Unicode normalisation: lone page numbers, broken words, bullets and white space, in this order."""
-    t = F.regexp_replace(text, r"(?m)^[ \t]*[0-9]{1,4}[ \t]*$", "")
-    t = F.regexp_replace(t, r"([A-Za-z])-[ \t\r\n]*\n[ \t\r\n]*([a-z])", "$1$2")
-    t = F.regexp_replace(t, r"(?m)^[ \t]*[-*][ \t]+", "")
-    return squeeze(t)
+    """Page cleaning after Unicode normalisation: glyphs, lone page numbers, words broken over lines, bullets, line ends
+    and white space, in this order."""
+    single = {k: v for k, v in GLYPHS.items() if len(v) == 1}
+    t = F.translate(text, "".join(single), "".join(single.values()))
+    for glyph in GLYPHS.keys() - single.keys():
+        t = F.replace(t, F.lit(glyph), F.lit(GLYPHS[glyph]))
+    s = PAGE_WS
+    t = F.regexp_replace(t, rf"(?dm)^{s}*\p{{Nd}}{{1,4}}{s}*$", "")
+    t = F.regexp_replace(t, rf"([A-Za-z])-{s}*\n{s}*([a-z])", "$1$2")
+    t = F.regexp_replace(t, rf"([a-zA-Z]+){s}*\n{s}*-{s}*([a-zA-Z]+)", "$1$2")
+    t = F.regexp_replace(t, r"(?:^|\n)[ \t]*[-*][ \t]+", " ")
+    return F.trim(F.regexp_replace(t, f"{s}+", " "))
 
 
 def clean_lines(text: Column) -> Column:
@@ -88,28 +113,17 @@ def bucket_of(word: Column, buckets: int = DEFAULTS.sparse_buckets) -> Column:
 
 
 def token_f1(said: Column, gold: Column) -> Column:
-    """F1 of two token bags: 1 if both are empty, 0 if one is."""
-    a, b = F.array_sort(said), F.array_sort(gold)
-    times = lambda x, w: F.size(F.filter(x, lambda y: y == w))
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(times(a, w), times(b, w)))
-    score = F.when(common == 0, 0.0).otherwise(2.0 * common / (F.size(a) + F.size(b)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(score)
-
+    """F1 of two token bags: 1 if both are empty, 0 if one is. One pass over each bag: a token's nth occurrence gets n
+    behind it, so that the common part of the bags is that of two sets."""
+    common = F.size(F.array_intersect(occurrences(said), occurrences(gold)))
+    score = F.when(common == 0, 0.0).otherwise(2.0 * common / (F.size(said) + F.size(gold)))
+    return F.when((F.size(said) == 0) & (F.size(gold) == 0), 1.0).otherwise(score)
 
-def cited_numbers(text: Column) -> Column:
-    """Numbers that stand behind a label of a legal unit, distinct and sorted."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?:section|article|rule|clause|version|no) ([0-9]+)"), F.lit(1))
-    return F.array_sort(F.array_distinct(found))
 
-
-def numbers_in(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[0-9]+"), F.lit(0)))
-
-
-def unsupported(answer: Column, source: Column, allow: Column | None = None) -> Column:
-    """Cited numbers that the source doesn't have."""
-    held = numbers_in(source) if allow is None else F.array_union(numbers_in(source), allow)
-    return F.array_sort(F.array_except(cited_numbers(answer), held))
+def occurrences(tokens: Column) -> Column:
+    """Sorted tokens (without spaces), the nth of equal ones with n behind it; each run of equal ones is found as a whole."""
+    runs = F.regexp_extract_all(F.concat(F.array_join(F.array_sort(tokens), " "), F.lit(" ")), F.lit(r"(\S+ )\1*"), F.lit(0))
+    return F.flatten(F.transform(runs, lambda run: F.transform(F.split(F.rtrim(run), " "), lambda w, i: F.concat(w, F.lit(" "), i.cast("string")))))
 
 
 def rule_label(name: Column, rules: list[tuple[str, str]], default: str) -> Column:
@@ -128,9 +142,20 @@ def parse_reply(text: Column, schema: str) -> Column:
     return F.coalesce(F.when(bare.rlike(r"^[\[{]"), F.from_json(bare, schema)), F.from_json(inner, schema))
 
 
+def parse_object(text: Column, schema: str) -> Column:
+    """Tolerant JSON of an object; null for lists, other values and what can't be read."""
+    bare = F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    bare = F.regexp_replace(bare, r"^```[A-Za-z]*[ \t\r\n]*|[ \t\r\n]*```$", "")
+    inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    direct = F.try_parse_json(bare)
+    kept = F.when(direct.isNotNull(), F.when(bare.startswith("{"), bare)).when(F.try_parse_json(inner).isNotNull(), inner)
+    return F.when(kept.isNotNull(), F.from_json(kept, schema))
+
+
 def clamp_score(value: Column, low: int = 1, high: int = 100) -> Column:
-    """Whole score between the bounds; what isn't a number is the lowest."""
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), F.try_to_number(value, F.lit("999999")).cast("int"))), F.lit(low))
+    """Whole score between the bounds, cut toward zero; what isn't a number is the lowest."""
+    number = F.coalesce(F.nanvl(value.try_cast("double"), F.lit(float(low))), F.lit(float(low)))
+    return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), number)).cast("int")
 
 
 def sigmoid(x: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULTS
+from quarry.functions import citations as ct
 from quarry.functions import text as tx
 
 SPLITS = ["train", "val", "test"]
@@ -22,11 +23,18 @@ def draft_pairs(chunks: DataFrame, types: list[str], per_chunk: int, snippet: in
     return named.withColumn("pair_id", tx.stable_id(F.col("doc_id").cast("string"), F.col("pair_type"), F.col("n").cast("string")))
 
 
-def check_pairs(pairs: DataFrame, source: str = "source", answer: str = "output", least: int = 40) -> DataFrame:
-    """Adds unsupported (sorted numbers) and reason (null: accepted)."""
-    missing = tx.unsupported(F.col(answer), F.col(source))
-    short = F.length(tx.squeeze(F.col(answer))) < least
-    return pairs.withColumn("unsupported", F.array_join(missing, ",")).withColumn("reason", F.when(short, "short output").when(F.size(missing) > 0, "unsupported citation"))
+def check_pairs(pairs: DataFrame, excerpts: DataFrame, key: str) -> DataFrame:
+    """pairs (key, output, section_id) with unsupported (sorted numbers, joined) and reason (null: accepted).
+
+    Texts stay where they are: only the numbers that each excerpt (key, text) supports are moved to its pairs.
+    """
+    held = excerpts.select(key, ct.supported(F.col("text")).alias("held"))
+    own = pairs.withColumn("cites", ct.cited(F.col("output"))).withColumn("short", ct.reject_reason(F.col("output"), F.array()).isNotNull())
+    rest = [c for c in pairs.columns if c not in (key, "output", "section_id")]
+    joined = own.select(key, *rest, "section_id", "cites", "short").join(held, key, "left")
+    missing = ct.unsupported(F.col("cites"), F.coalesce("held", F.array().cast("array<string>")), F.col("section_id"))
+    reason = F.when(F.col("short"), "answer too short").when(F.size("missing") > 0, F.concat(F.lit("cites "), F.array_join("missing", ","), F.lit(" not in excerpt")))
+    return joined.withColumn("missing", missing).select(key, *rest, F.array_join("missing", ",").alias("unsupported"), reason.alias("reason"))
 
 
 def to_sft(turns: DataFrame) -> DataFrame:
@@ -35,13 +43,15 @@ def to_sft(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.transform(ordered, lambda m: F.struct(m.role.alias("role"), m.text.alias("content"))).alias("messages"))
 
 
-def hash_split(key: Column, ratios: tuple[int, ...] = (70, 15, 15)) -> Column:
-    """Split of a whole unit by a hash of its key, in hundredths."""
-    place, chain, upto = F.pmod(F.crc32(key), F.lit(100)), None, 0
-    for name, part in zip(SPLITS, ratios, strict=True):
-        upto += part
-        chain = F.when(place < upto, name) if chain is None else chain.when(place < upto, name)
-    return chain
+def unit_key(doc: Column, chapter: Column, part: Column) -> Column:
+    """doc::label of the chapter, else the part, else `_nogroup`; an empty label is none."""
+    empty = F.lit("")
+    return F.concat_ws("::", doc, F.coalesce(F.nullif(chapter, empty), F.nullif(part, empty), F.lit("_nogroup")))
+
+
+def parted(rows: DataFrame, chosen: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is chosen, and the rest; every row is in one of them (null keys in the rest)."""
+    return rows.join(chosen.select(key), key, "left_semi"), rows.join(chosen.select(key), key, "left_anti")
 
 
 def strict_holdout(pairs: DataFrame, least_docs: int = DEFAULTS.holdout_min_docs, least_units: int = DEFAULTS.holdout_min_units) -> DataFrame:
@@ -93,19 +103,6 @@ def stratified_assign(units: DataFrame, ratios: tuple[float, ...] = (0.70, 0.15,
     return units.withColumn("tie", F.xxhash64("unit")).groupBy("subject").applyInPandas(assign, "subject string, unit string, split string")
 
 
-def mcq_faults(options: Column, answer: Column) -> Column:
-    """Faults of a four-option item; a wrong number of options ends the list."""
-    keys = F.transform(options, tx.comparison_key)
-    own = tx.comparison_key(answer)
-    faults = F.array_compact(F.array(
-        F.when(F.exists(keys, lambda k: k == ""), "blank option"),
-        F.when(F.size(F.array_distinct(keys)) < F.size(keys), "duplicate option"),
-        F.when(~F.array_contains(keys, own), "answer not an option"),
-        F.when(F.exists(keys, lambda k: k.rlike("^(all|none) of the above$")), "meta option"),
-    ))
-    return F.when(F.size(options) != 4, F.array(F.lit("not four options"))).otherwise(faults)
-
-
 def answer_slot(options: Column, answer: Column) -> Column:
     """Place of the answer among the options, from 1; 0 if none."""
     return F.array_position(F.transform(options, tx.comparison_key), tx.comparison_key(answer))
@@ -131,15 +128,23 @@ def metrics(rows: DataFrame) -> DataFrame:
     return rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.round(rate("correct"), 4).alias("accuracy"), F.round(rate("hallucinated"), 4).alias("hallucination_rate"), F.round(1 - rate("hallucinated"), 4).alias("groundedness"))
 
 
-def gate(measured: DataFrame, fallback_accuracy: float, s=DEFAULTS) -> DataFrame:
-    """Adds violations (joined by ;) and promote."""
+def gate(measured: DataFrame, fallback: DataFrame, s=DEFAULTS) -> DataFrame:
+    """measured (group, n, accuracy, groundedness, hallucination_rate, latency_p95) with violations (joined by ;) and promote.
+
+    fallback has one row of fallback_accuracy and fallback_groundedness: the candidate must be as accurate, or as
+    grounded and hardly less accurate.
+    """
+    c = F.col
+    as_good = (c("accuracy") >= c("fallback_accuracy")) | ((c("groundedness") >= c("fallback_groundedness")) & (c("accuracy") >= c("fallback_accuracy") - s.fallback_slack))
     faults = F.array_compact(F.array(
-        F.when(F.col("accuracy") < s.accuracy_floor, "accuracy"),
-        F.when(F.col("groundedness") < s.groundedness_floor, "groundedness"),
-        F.when(F.col("hallucination_rate") > s.hallucination_ceiling, "hallucination"),
-        F.when(F.col("accuracy") < fallback_accuracy - s.fallback_slack, "below fallback"),
+        F.when(c("accuracy") < s.accuracy_floor, "accuracy"),
+        F.when(c("groundedness") < s.groundedness_floor, "groundedness"),
+        F.when(c("hallucination_rate") > s.hallucination_ceiling, "hallucination_rate"),
+        F.when(c("latency_p95") > s.latency_ceiling_ms, "latency_p95_ms"),
+        F.when(~as_good, "fallback comparison"),
     ))
-    return measured.withColumn("violations", F.array_join(faults, ";")).withColumn("promote", F.size(faults) == 0)
+    both = measured.crossJoin(F.broadcast(fallback.limit(1)))  # one row
+    return both.withColumn("violations", F.array_join(faults, ";")).withColumn("promote", F.col("violations") == "").select(*measured.columns, "violations", "promote")
 
 
 def exact_unique(docs: DataFrame) -> DataFrame:

@@ -65,40 +65,48 @@ def last_turns(turns: DataFrame, n: int = DEFAULTS.history_turns) -> DataFrame:
     return turns.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= 2 * n).drop("__r")
 
 
+#: Words that open a question which refers back.
+REFERS_BACK = r"^(it|this|that|he|she|his|her|they|their|what about|why)\b"
+
+
 def needs_rewrite(turns: DataFrame) -> DataFrame:
-    """Users' turns with follow_up: history, and at most four words, a pronoun first, or no word of the turn before."""
+    """Users' turns with follow_up: history, and at most four words, an opening that refers back, or no word of the turn
+    before. Words are runs of letters (of any script), digits and underscores."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     told = turns.withColumn("before", F.lag("text").over(w))
     short = F.size(F.filter(F.split("text", "[ \t\r\n]+"), lambda x: x != "")) <= 4
-    pronoun = F.lower("text").rlike(r"^[ \t]*(it|this|that|they|these|those|he|she)([^a-z]|$)")
     apart = ~F.arrays_overlap(words(F.col("text")), words(F.col("before")))
-    return told.filter("role = 'user'").select("conv_id", "turn", (F.col("before").isNotNull() & (short | pronoun | apart)).alias("follow_up"))
-
-
-def sessions(turns: DataFrame, limit: int = 20) -> DataFrame:
-    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max("turn").alias("last_turn")).orderBy(F.desc("turns"), "conv_id").limit(limit)
+    return told.filter("role = 'user'").select("conv_id", "turn", (F.col("before").isNotNull() & (short | F.lower("text").rlike(REFERS_BACK) | apart)).alias("follow_up"))
 
 
-def upper_median(values: Column) -> Column:
-    a = F.sort_array(values)
-    return F.get(a, F.floor(F.size(a) / 2).cast("int"))
+def sessions(turns: DataFrame, at: str, limit: int = 20) -> DataFrame:
+    """conv_id, turns, last_activity: the sessions that were active last."""
+    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max(at).alias("last_activity")).orderBy(F.desc("last_activity"), "conv_id").limit(limit)
 
 
-def floor_rank(values: Column, share: float) -> Column:
-    """Element at floor(share * (n - 1)) of the sorted values."""
-    a = F.sort_array(values)
-    return F.get(a, F.floor(F.lit(share) * (F.size(a) - 1)).cast("int"))
+#: Slices of a group's values, by approximate quantiles.
+SLICES = 64
 
 
 def at_rank(values: DataFrame, group: str, value: str, picks: dict[str, Column]) -> DataFrame:
-    """Order statistics at ranks (from 0) that depend on n, exact at any size: values are counted first (partial sums),
-    then prefix sums over distinct values find the ranks. picks: name -> rank as a column of `n`."""
+    """Order statistics at ranks (from 0) that depend on n, exact at any size. picks: name -> rank as a column of `n`.
+
+    Values are counted first (partial sums). Prefix sums over distinct values then go in two levels: over the slices of
+    a group, cut at approximate quantiles, and within those slices alone that hold a wanted rank.
+    """
     counts = values.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    n = counts.groupBy(group).agg(F.sum("c").alias("n"))
-    upto = F.sum("c").over(W.partitionBy(group).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    placed = counts.withColumn("upto", upto).join(n, group)
-    found = [F.min(F.when(F.col("upto") > rank, F.col(value))).alias(name) for name, rank in picks.items()]
+    cuts = F.percentile_approx(value, [i / SLICES for i in range(1, SLICES)], 1000).alias("cuts")
+    ends = counts.groupBy(group).agg(F.sum("c").alias("n"), cuts)
+    sliced = counts.join(ends, group).select(group, value, "c", F.size(F.filter("cuts", lambda x: x < F.col(value))).alias("slice"))
+    sums = sliced.groupBy(group, "slice").agg(F.sum("c").alias("s"))
+    earlier = F.coalesce(F.sum("s").over(W.partitionBy(group).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = lambda rank: (rank >= F.col("s0")) & (rank < F.col("s0") + F.col("s"))
+    names = F.array_compact(F.array(*[F.when(inside(rank), F.lit(name)) for name, rank in picks.items()]))
+    slices = sums.withColumn("s0", earlier).join(ends.select(group, "n"), group).select(group, "slice", "s0", "n", names.alias("names")).filter(F.size("names") > 0)
+    near = sliced.join(slices, [group, "slice"])
+    placed = near.withColumn("upto", F.col("s0") + F.sum("c").over(W.partitionBy(group, "slice").orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    found = [F.min(F.when(F.array_contains("names", name) & (F.col("upto") > rank), F.col(value))).alias(name) for name, rank in picks.items()]
     return placed.groupBy(group).agg(F.max("n").alias("n"), *found)
 
 
@@ -120,12 +128,6 @@ def best_attempts(attempts: DataFrame) -> DataFrame:
     return g.select("key", F.coalesce(-F.col("b.m"), "last").alias("attempt"), F.col("b.score").alias("score"))
 
 
-def retry_decision(score: Column, attempt: Column, critique: Column, most: int = DEFAULTS.max_attempts, threshold: int = DEFAULTS.judge_threshold, hopeless: int = 25) -> Column:
-    """`persist` when passed, out of budget, without a critique or far below the threshold; else `generate`."""
-    done = (score >= threshold) | (attempt >= most) | (F.coalesce(F.trim(critique), F.lit("")) == "") | (score < threshold - hopeless)
-    return F.when(F.coalesce(done, F.lit(False)), "persist").otherwise("generate")
-
-
 def daily(events: DataFrame, ts: str, days: int) -> DataFrame:
     """day, n: events on each of the last `days` days up to the latest, empty days as 0."""
     last = events.agg(F.to_date(F.max(ts)).alias("last"))
@@ -135,12 +137,21 @@ def daily(events: DataFrame, ts: str, days: int) -> DataFrame:
 
 
 def fold_jobs(events: DataFrame, final: list[str]) -> DataFrame:
-    """job, status, transitions, done: the last transition of each job (ties: the later event)."""
-    return events.groupBy("job").agg(F.max(F.struct("ts", "event_id", "status")).alias("s"), F.count(F.lit(1)).alias("transitions")).select("job", F.col("s.status").alias("status"), "transitions", F.col("s.status").isin(final).alias("done"))
+    """job, status, transitions, done, partial, error: the last transition of each job (ties: the later event).
+
+    events: job, ts, event_id, status, partial, error. The partial text is the last known one and is cleared by a final
+    status; the error is the last one, cut at 2000 characters, and stays only with status `error`.
+    """
+    known = F.max(F.when(F.col("partial").isNotNull(), F.struct("ts", "event_id", "partial"))).alias("p")
+    g = events.groupBy("job").agg(F.max(F.struct("ts", "event_id", "status", "error")).alias("s"), F.count(F.lit(1)).alias("transitions"), known)
+    status, done = F.col("s.status"), F.col("s.status").isin(final)
+    return g.select("job", status.alias("status"), "transitions", done.alias("done"), F.when(~done, F.col("p.partial")).alias("partial"), F.when(status == "error", F.substring("s.error", 1, 2000)).alias("error"))
 
 
-def fail_running(jobs: DataFrame, live: list[str]) -> DataFrame:
-    return jobs.withColumn("status", F.when(F.col("status").isin(live), "failed").otherwise(F.col("status")))
+def fail_running(jobs: DataFrame, live: list[str], reason: str) -> DataFrame:
+    """Jobs that were under way become failed, with the reason; others stay."""
+    running = F.col("status").isin(live)
+    return jobs.withColumn("error", F.when(running, reason).otherwise(F.col("error"))).withColumn("status", F.when(running, "failed").otherwise(F.col("status")))
 
 
 def acceptance(rows: DataFrame) -> DataFrame:

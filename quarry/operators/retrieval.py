@@ -30,13 +30,34 @@ def top(scored: DataFrame, query: str, score: str, key: str, k: int) -> DataFram
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULTS.top_k, blocks: int = 8) -> DataFrame:
-    """query_id, vec_id, score, rank. queries: query_id, embedding; corpus: vec_id, embedding (filter it before)."""
-    left = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = corpus.select("vec_id", F.col("embedding").alias("v"), norm(F.col("embedding")).alias("vn"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    pairs = right.join(left, "block").select("query_id", "vec_id", "block", F.round(dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")), 6).alias("score"))
+#: Pairs that a block of the corpus scores, about, and bytes of queries that may be broadcast.
+BLOCK_PAIRS, BROADCAST_BYTES = 2_000_000, 64 << 20
+
+
+def best_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """query_id and its k best (score, vec_id) of each partition's rows, before any shuffle: a pass over sorted rows."""
     order = W.partitionBy("query_id", "block").orderBy(F.desc("score"), "vec_id")
-    return top(pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r", "block"), "query_id", "score", "vec_id", k)
+    return pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r", "block")
+
+
+def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULTS.top_k) -> DataFrame:
+    """query_id, vec_id, score, rank. queries (a stated set): query_id, embedding; corpus: vec_id, embedding (filter it before).
+
+    The corpus is dealt over as many blocks as its size asks for, and a block keeps its own k best of each query before
+    they are merged. Queries meet every block: by broadcast while they are small, else as copies in an equi-join.
+    """
+    n_queries, n_rows = queries.count(), corpus.count()
+    blocks = max(1, -(-n_queries * n_rows // BLOCK_PAIRS))
+    right = corpus.select("vec_id", F.col("embedding").alias("v"), norm(F.col("embedding")).alias("vn"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    left = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
+    size = queries.agg(F.sum(F.size("embedding") * 4 + 32)).first()[0] or 0
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
+    if size * blocks <= BROADCAST_BYTES:
+        left = F.broadcast(left.select("*", F.explode(numbers).alias("block")))
+    else:
+        left = left.select("*", F.explode(numbers).alias("block"))
+    pairs = right.join(left, "block").select("query_id", "vec_id", "block", F.round(dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn")), 6).alias("score"))
+    return top(best_pairs(pairs, k), "query_id", "score", "vec_id", k)
 
 
 def term_frequencies(texts: DataFrame, key: str) -> DataFrame:
@@ -44,20 +65,28 @@ def term_frequencies(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+#: Distinct query terms that may be broadcast.
+BROADCAST_TERMS = 1_000_000
+
+
 def sparse_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, doc_id, score: dot products of term frequencies by the postings of the queries' terms."""
+    """query_id, doc_id, score: dot products of term frequencies. Texts keep the queries' terms alone, which are broadcast
+    behind a check of their number, before anything is counted or moved."""
     q = term_frequencies(queries, "query_id").withColumnRenamed("tf", "qtf")
-    d = term_frequencies(corpus, "doc_id")
-    return d.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("score"))
+    wanted = q.select("term").distinct()
+    few = wanted.count() <= BROADCAST_TERMS
+    words = corpus.select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    d = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return d.join(F.broadcast(q) if few and q.count() <= BROADCAST_TERMS else q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qtf")).alias("score"))
 
 
-def fuse(lists: list[DataFrame], query: str, key: str, k: int, constant: int = DEFAULTS.rrf_constant) -> DataFrame:
-    """Reciprocal rank fusion. The score measures rank and is never held against a similarity threshold."""
-    votes = None
-    for ranked in lists:
-        own = ranked.select(query, key, (1.0 / (constant + F.col("rank"))).alias("vote"))
-        votes = own if votes is None else votes.unionByName(own)
-    return top(votes.groupBy(query, key).agg(F.round(F.sum("vote"), 6).alias("score")), query, "score", key, k)
+def fuse(first: DataFrame, second: DataFrame, query: str, key: str, k: int, constant: int = DEFAULTS.rrf_constant) -> DataFrame:
+    """Reciprocal rank fusion of two ranked lists, of which either may lack a key. The score measures rank and is never
+    held against a similarity threshold."""
+    lists = [r.select(query, key, F.col("rank").alias(name)) for r, name in ((first, "first_rank"), (second, "second_rank"))]
+    vote = lambda name: F.coalesce(1.0 / (constant + F.col(name)), F.lit(0.0))
+    both = lists[0].join(lists[1], [query, key], "full_outer")
+    return top(both.withColumn("score", F.round(vote("first_rank") + vote("second_rank"), 6)), query, "score", key, k)
 
 
 def passing(ranked: DataFrame, threshold: float) -> DataFrame:
@@ -72,6 +101,18 @@ def modes(ranked: DataFrame, query: str, threshold: float = DEFAULTS.relevance_t
     return best.select(query, F.when(grounded, "grounded").otherwise("general").alias("mode"), F.when(grounded, F.col("n")).otherwise(0).cast("bigint").alias("contexts"), "top_score")
 
 
+def remapped(score: Column) -> Column:
+    """Cosine of a similarity that an index gives between 0 and 1."""
+    return 2 * score - 1
+
+
+def two_stage(candidates: DataFrame, k: int = DEFAULTS.top_k, threshold: float = DEFAULTS.rerank_threshold) -> DataFrame:
+    """Reranked candidates (query_id, doc_id, query, text): the k best by the reranker that reach its threshold, else the
+    best alone."""
+    scored = lexical_rerank(candidates).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return passing(top(scored, "query_id", "score", "doc_id", k), threshold)
+
+
 def lexical_rerank(pairs: DataFrame) -> DataFrame:
     """Default reranker: share of the query's distinct tokens that the candidate has. pairs: query, text."""
     q, d = F.array_distinct(tx.tokens(F.col("query"))), tx.tokens(F.col("text"))

@@ -2,36 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import chunks, dataset, logs, retrieval
+from quarry.functions import verdicts as vd
+from quarry.operators import chunks, dataset, logs, packing, retrieval
+from quarry.plans.registry import QUERIES, SQL, docs, query, table
 from quarry.sources import readers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def docs(spark, d):
-    return table(spark, d, "documents")
-
 
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def exact_unique(spark, d):
@@ -43,9 +21,11 @@ CHUNKS_SQL = """
     FROM documents, unnest(range(CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 1000 THEN 1
         ELSE CAST(ceil((length(text) - 1000) / 850.0) AS BIGINT) + 1 END)) AS u(i)"""
 ALNUM_SQL = "length(regexp_replace({0}, '[^A-Za-z0-9]', '', 'g'))"
-CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-    '(?m)^[ \t]*[0-9]{1,4}[ \t]*$', '', 'g'), '([A-Za-z])-[ \t\r\n]*\n[ \t\r\n]*([a-z])', '\1\2', 'g'),
-    '(?m)^[ \t]*[-*][ \t]+', '', 'g'), '[ \t\r\n]+', ' ', 'g'))"""
+#: Page cleaning after Unicode normalisation, which DuckDB lacks.
+CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(translate(text, '“”‘’–—•●✓✔ ', concat('""', chr(39), chr(39), '------ ')), 'ﬁ', 'fi'), 'ﬂ', 'fl'),
+    '(?m)^[\s\x0b\x1c-\x1f\x{85}]*\p{Nd}{1,4}[\s\x0b\x1c-\x1f\x{85}]*$', '', 'g'), '([A-Za-z])-[\s\x0b\x1c-\x1f\x{85}]*\n[\s\x0b\x1c-\x1f\x{85}]*([a-z])', '\1\2', 'g'),
+    '([a-zA-Z]+)[\s\x0b\x1c-\x1f\x{85}]*\n[\s\x0b\x1c-\x1f\x{85}]*-[\s\x0b\x1c-\x1f\x{85}]*([a-zA-Z]+)', '\1\2', 'g'), '(?:^|\n)[ \t]*[-*][ \t]+', ' ', 'g'),
+    '[\s\x0b\x1c-\x1f\x{85}\x{2028}\x{2029}]+', ' ', 'g'))"""
 
 
 @query(f"SELECT doc_id, chunk_index, start, md5(chunk) AS chunk_md5, length(chunk) AS chars FROM ({CHUNKS_SQL})")
@@ -64,12 +44,10 @@ def sliding_chunks(spark, d):
     WHERE {ALNUM_SQL.format('chunk')} >= 80 GROUP BY lang""")
 def corpus_flow(spark, d):
     """Exact dedup, cleaning, chunking and filtering, counted by language."""
-    rows = docs(spark, d).select("doc_id", "lang", "text")
-    kept = dataset.exact_unique(rows).select("doc_id")
-    cleaned = rows.join(kept, "doc_id", "left_semi").select("doc_id", "lang", tx.clean_page(F.col("text")).alias("text"))
-    langs = cleaned.select("doc_id", "lang")
-    made = chunks.sliding(cleaned).filter(tx.is_substantive(F.col("chunk")))
-    return made.join(langs, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk")).alias("chars"))
+    first = docs(spark, d).groupBy(F.sha2("text", 256)).agg(F.min(F.struct("doc_id", "lang", "text")).alias("r"))
+    cleaned = first.select("r.lang", tx.clean_page(F.col("r.text")).alias("text"))
+    made = cleaned.select("lang", F.explode(chunks.windows_of(F.col("text"))).alias("chunk")).filter(tx.is_substantive(F.col("chunk")))
+    return made.groupBy("lang").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk")).alias("chars"))
 
 
 @query(f"SELECT doc_id, md5({CLEAN_SQL}) AS cleaned_md5 FROM documents")
@@ -106,29 +84,11 @@ def furniture_lines(spark, d):
     return chunks.repeated_lines(docs(spark, d), "source", "doc_id", share=0.02)
 
 
-@query("""
-    SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{p}'))) AS kept,
-        len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{p}'))) AS stripped FROM documents""".format(p="|".join(f"(?:{p})" for p in chunks.FURNITURE)))
-def header_footer_strip(spark, d):
-    return chunks.strip_furniture(docs(spark, d))
-
-
 @query()
 def html_text(spark, d):
     return readers.html_text(table(spark, d, "pages"))
 
 
-RULES = [("brass", "metal_soft"), ("steel|nickel", "metal_hard"), ("^promo", "promotion"), ("tin", "metal_soft")]
-
-
-@query("""
-    SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'brass') THEN 'metal_soft' WHEN regexp_matches(lower(p_type), 'steel|nickel') THEN 'metal_hard'
-        WHEN regexp_matches(lower(p_type), '^promo') THEN 'promotion' WHEN regexp_matches(lower(p_type), 'tin') THEN 'metal_soft' ELSE 'administrative_public' END AS subject,
-        coalesce(nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'untitled')[1:40] AS slug FROM part""")
-def subject_rules(spark, d):
-    return table(spark, d, "part").select("p_partkey", tx.rule_label(F.col("p_type"), RULES, "administrative_public").alias("subject"), tx.slug(F.col("p_name")).alias("slug"))
-
-
 SHORT = "length(line) < 40"
 
 
@@ -165,13 +125,14 @@ def feature_hash(spark, d):
 
 COSINE_SQL = """
     WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, c.label, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
-        FROM embeddings q, embeddings c WHERE q.vec_id < 10 AND c.vec_id >= 10 {where}),
+        FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 {where}),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 
 def vectors(spark, d):
+    """The stated queries, every vector whose id is divisible by 50, and all vectors."""
     rows = table(spark, d, "embeddings")
-    return rows.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), rows.filter("vec_id >= 10")
+    return rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), rows
 
 
 @query(COSINE_SQL.format(where="") + " SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20")
@@ -204,13 +165,13 @@ def page_rank_dedup(spark, d):
 
 SPARSE_SQL = """
     WITH dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2),
-    qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 20 = 0) GROUP BY 1, 2),
+    qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id % 50 = 0) GROUP BY 1, 2),
     s AS (SELECT query_id, doc_id, CAST(sum(tf * qtf) AS BIGINT) AS score FROM dt JOIN qt USING (term) GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
 
 
 def sparse_ranked(spark, d, k):
-    queries = table(spark, d, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    queries = table(spark, d, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
     return retrieval.top(retrieval.sparse_scores(queries, docs(spark, d)), "query_id", "score", "doc_id", k)
 
 
@@ -219,20 +180,39 @@ def sparse_topk(spark, d):
     return sparse_ranked(spark, d, 10)
 
 
-@query(SPARSE_SQL + """, o AS (SELECT q.item_id AS query_id, x.doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(x.text), '[a-z0-9]+'))))
-        / CAST(greatest(len(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+'))), 1) AS DOUBLE), 6) AS score FROM r JOIN benchmark q ON q.item_id = r.query_id JOIN documents x ON x.doc_id = r.doc_id WHERE r.rank <= 20),
-    l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o),
-    v AS (SELECT query_id, doc_id, 1.0 / (60 + rank) AS vote FROM r WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + rank) FROM l WHERE rank <= 20),
-    f AS (SELECT query_id, doc_id, round(sum(CAST(vote AS DOUBLE)), 6) AS score FROM v GROUP BY 1, 2),
-    g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
-    SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM g WHERE rank <= 5""")
+HYBRID_SQL = COSINE_SQL.format(where="") + """, dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2),
+    qt AS (SELECT doc_id AS query_id, term, tf AS qtf FROM dt WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
+    sp AS (SELECT query_id, doc_id, CAST(sum(tf * qtf) AS BIGINT) AS score FROM dt JOIN qt USING (term) GROUP BY 1, 2),
+    sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sp),
+    f AS (SELECT query_id, doc_id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 6) AS score
+        FROM (SELECT query_id, vec_id AS doc_id, rank FROM r WHERE rank <= 20) a FULL JOIN (SELECT query_id, doc_id, rank FROM sr WHERE rank <= 20) b USING (query_id, doc_id)),
+    g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)"""
+
+
+def hybrid(spark, d, k):
+    """Dense and sparse lists of the same queries, fused: documents and vectors share their ids."""
+    queries, corpus = vectors(spark, d)
+    dense = retrieval.cosine_top_k(queries, corpus, 20).withColumnRenamed("vec_id", "doc_id")
+    texts = docs(spark, d).join(queries.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "text")
+    sparse = retrieval.top(retrieval.sparse_scores(texts, docs(spark, d)), "query_id", "score", "doc_id", 20)
+    return retrieval.fuse(dense, sparse, "query_id", "doc_id", k)
+
+
+@query(HYBRID_SQL + " SELECT query_id, doc_id, score, first_rank, second_rank, CAST(rank AS INT) AS rank FROM g JOIN (SELECT query_id, doc_id, CAST(a.rank AS INT) AS first_rank, CAST(b.rank AS INT) AS second_rank FROM (SELECT query_id, vec_id AS doc_id, rank FROM r WHERE rank <= 20) a FULL JOIN (SELECT * FROM sr WHERE rank <= 20) b USING (query_id, doc_id)) USING (query_id, doc_id) WHERE rank <= 10")
 def hybrid_rrf(spark, d):
-    """The sparse list fused with its lexically reranked twin."""
-    first = sparse_ranked(spark, d, 20)
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    pairs = first.select("query_id", "doc_id").join(docs(spark, d).select("doc_id", "text"), "doc_id").join(q, "query_id")
-    second = retrieval.lexical_rerank(pairs).select("query_id", "doc_id", F.round("score", 6).alias("score"))
-    return retrieval.fuse([first, retrieval.top(second, "query_id", "score", "doc_id", 20)], "query_id", "doc_id", 5)
+    return hybrid(spark, d, 10)
+
+
+@query(HYBRID_SQL + """, c AS (SELECT g.query_id, g.doc_id, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')) AS qs, list_distinct(regexp_extract_all(lower(x.text), '[a-z0-9]+')) AS ds
+        FROM g JOIN documents q ON q.doc_id = g.query_id JOIN documents x ON x.doc_id = g.doc_id WHERE rank <= 20),
+    o AS (SELECT query_id, doc_id, round(len(list_intersect(qs, ds)) / CAST(greatest(len(qs), 1) AS DOUBLE), 6) AS score FROM c),
+    l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o)
+    SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM l WHERE rank <= 3 AND (score >= 0.5 OR rank = 1)""")
+def two_stage_retrieval(spark, d):
+    found = hybrid(spark, d, 20).select("query_id", "doc_id")
+    texts = docs(spark, d).select("doc_id", "text")
+    asked = texts.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.two_stage(found.join(texts, "doc_id").join(asked, "query_id"))
 
 
 @query("""
@@ -242,9 +222,25 @@ def page_budget(spark, d):
     return chunks.page_budget(docs(spark, d), "source", "doc_id")
 
 
-@query()
+def packed_sql(most: int) -> str:
+    full = f"open + r.n > 6000 OR held >= {most}"
+    return f"""
+        WITH RECURSIVE r AS (SELECT source, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+        f AS (SELECT source, i, 0 AS run, n + 2 AS open, 1 AS held FROM r WHERE i = 1
+            UNION ALL SELECT r.source, r.i, CASE WHEN {full} THEN run + 1 ELSE run END, CASE WHEN {full} THEN r.n + 2 ELSE open + r.n + 2 END, CASE WHEN {full} THEN 1 ELSE held + 1 END FROM f JOIN r ON r.source = f.source AND r.i = f.i + 1)
+        SELECT source, CAST(run AS BIGINT) AS run, count(*) AS rows, CAST(sum(n) AS BIGINT) AS chars FROM f JOIN r USING (source, i) GROUP BY 1, 2"""
+
+
+@query(packed_sql(1 << 30))
 def packed_groups(spark, d):
-    return chunks.pack(docs(spark, d), "source", "doc_id", 6000).select("source", "n_groups", F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"))
+    """Each source's documents in runs that fit a prompt."""
+    return packing.pack(docs(spark, d), "source", "doc_id", 6000)
+
+
+@query(packed_sql(3))
+def packed_triples(spark, d):
+    """The same with three documents at most in a run."""
+    return packing.pack(docs(spark, d), "source", "doc_id", 6000, 3)
 
 
 @query("""
@@ -263,14 +259,31 @@ def mock_pairs(spark, d):
     return made.select("doc_id", "n", "pair_type", F.md5("output").alias("output_md5"), "pair_id")
 
 
-@query(r"""
-    WITH p AS (SELECT a.doc_id, a.text AS output, b.text AS source FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
-    c AS (SELECT *, list_sort(list_filter(list_distinct(regexp_extract_all(lower(output), '(?:section|article|rule|clause|version|no) ([0-9]+)', 1)), lambda x: NOT list_contains(regexp_extract_all(lower(source), '[0-9]+'), x))) AS missing FROM p)
-    SELECT doc_id, array_to_string(missing, ',') AS unsupported, CASE WHEN length(trim(regexp_replace(output, '[ \t\r\n]+', ' ', 'g'))) < 40 THEN 'short output' WHEN len(missing) > 0 THEN 'unsupported citation' END AS reason FROM c""")
-def grounding_check(spark, d):
+LABELS = r"\b(?:section|sections|sec\.|s\.|article|articles|art\.|chapter|part|rule|order)[\t-\r ]+([0-9]{1,3}[a-z]{0,2})"
+#: Answers that cite: a document and provisions by its id, one of them its section; excerpts that hold some of them.
+ANSWER_SQL = "text || ' See Section ' || doc_id % 7 || 'A and article ' || doc_id % 5 || ', rule ' || doc_id % 11 || '.'"
+EXCERPT_SQL = "CASE WHEN doc_id % 9 = 0 THEN chr(10) || doc_id % 5 || '. ' ELSE '' END || text || ' note ' || doc_id % 7 || 'a, of ' || doc_id % 11 || '. (1) x'"
+GROUNDING_SQL = rf"""
+    WITH p AS (SELECT doc_id, lang AS pair_type, {ANSWER_SQL} AS output, {EXCERPT_SQL} AS excerpt, CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id % 5 AS VARCHAR) END AS section_id FROM documents),
+    c AS (SELECT *, list_sort(list_filter(list_distinct(regexp_extract_all(lower(output), '{LABELS}', 1)), lambda x: NOT list_contains(list_concat(regexp_extract_all(lower(excerpt), '{LABELS}', 1),
+        regexp_extract_all(lower(excerpt), '(?:^|\n)[\t-\r ]*([0-9]{{1,3}}[a-z]{{0,2}})[\t-\r ]*\.', 1), regexp_extract_all(lower(excerpt), '([0-9]{{1,3}}[a-z]{{0,2}})[\t-\r ]*\.[\t-\r ]*\([0-9a-z]', 1),
+        regexp_extract_all(lower(excerpt), '\b([0-9]{{1,3}}[a-z]{{1,2}})\b', 1), [coalesce(section_id, '')]), x))) AS missing FROM p),
+    r AS (SELECT doc_id, pair_type, output, array_to_string(missing, ',') AS unsupported, CASE WHEN length(regexp_replace(output, '^[\t-\r ]+|[\t-\r ]+$', '', 'g')) < 40 THEN 'answer too short' WHEN len(missing) > 0 THEN 'cites ' || array_to_string(missing, ',') || ' not in excerpt' END AS reason FROM c)"""
+
+
+def checked_pairs(spark, d):
+    i = F.col("doc_id")
+    text = lambda x: x.cast("string")
+    answer = F.concat("text", F.lit(" See Section "), text(i % 7), F.lit("A and article "), text(i % 5), F.lit(", rule "), text(i % 11), F.lit("."))
+    excerpt = F.concat(F.when(i % 9 == 0, F.concat(F.lit("\n"), text(i % 5), F.lit(". "))).otherwise(""), "text", F.lit(" note "), text(i % 7), F.lit("a, of "), text(i % 11), F.lit(". (1) x"))
     rows = docs(spark, d)
-    source = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("source"))
-    return dataset.check_pairs(rows.select("doc_id", F.col("text").alias("output")).join(source, "doc_id")).select("doc_id", "unsupported", "reason")
+    pairs_ = rows.select("doc_id", F.col("lang").alias("pair_type"), answer.alias("output"), F.when(i % 4 == 0, text(i % 5)).alias("section_id"))
+    return dataset.check_pairs(pairs_, rows.select("doc_id", excerpt.alias("text")), "doc_id")
+
+
+@query(GROUNDING_SQL + " SELECT doc_id, pair_type, unsupported, reason FROM r")
+def grounding_check(spark, d):
+    return checked_pairs(spark, d)
 
 
 @query("""
@@ -366,27 +379,22 @@ def stage_counts(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-    WITH m AS (SELECT lang AS "group", count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 4) AS accuracy, round(avg(CAST(toxic AS DOUBLE)), 4) AS hallucination_rate, round(1 - avg(CAST(toxic AS DOUBLE)), 4) AS groundedness
-        FROM labels JOIN documents USING (doc_id) GROUP BY 1),
-    v AS (SELECT *, concat_ws(';', CASE WHEN accuracy < 0.7 THEN 'accuracy' END, CASE WHEN groundedness < 0.85 THEN 'groundedness' END, CASE WHEN hallucination_rate > 0.15 THEN 'hallucination' END, CASE WHEN accuracy < 0.9 - 0.05 THEN 'below fallback' END) AS violations FROM m)
-    SELECT *, violations = '' AS promote FROM v""")
-def promotion_gate(spark, d):
-    rows = table(spark, d, "labels").join(docs(spark, d).select("doc_id", "lang"), "doc_id")
-    return dataset.gate(dataset.metrics(rows.select(F.col("lang").alias("group"), F.col("quality").alias("correct"), F.col("toxic").alias("hallucinated"))), 0.9)
-
-
 @query(f"""
     WITH a AS (SELECT user_id AS key, CASE WHEN event_type <> 'error' THEN {SCORE_SQL} END AS score, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events),
-    b AS (SELECT key, max(score) AS score, max(attempt) AS last FROM a GROUP BY 1), c AS (SELECT b.key, coalesce(min(a.attempt), any_value(last)) AS attempt, b.score FROM b LEFT JOIN a ON a.key = b.key AND a.score = b.score GROUP BY b.key, b.score)
-    SELECT key, attempt, score, CASE WHEN coalesce(score >= 70 OR attempt >= 2 OR score < 45, attempt >= 2, FALSE) THEN 'persist' ELSE 'generate' END AS decision FROM c""")
+    b AS (SELECT key, max(score) AS score, max(attempt) AS last FROM a GROUP BY 1), c AS (SELECT b.key, coalesce(min(a.attempt), any_value(last)) AS attempt, b.score FROM b LEFT JOIN a ON a.key = b.key AND a.score = b.score GROUP BY b.key, b.score),
+    q AS (SELECT *, CASE key % 4 WHEN 0 THEN '' WHEN 1 THEN 'The judge failed to return a verdict' ELSE 'Name the section' END AS critique FROM c)
+    SELECT key, attempt, score, CASE WHEN coalesce(score >= 70, FALSE) OR attempt >= 3 OR critique = '' OR contains(critique, 'failed to return a verdict') OR coalesce(score, 0) < 45 THEN 'persist' ELSE 'generate' END AS chat,
+        CASE WHEN coalesce(score >= 70, FALSE) OR attempt >= 3 THEN 'persist' ELSE 'generate' END AS resource FROM q""")
 def best_attempt(spark, d):
     from pyspark.sql import Window as W
 
     order = W.partitionBy("key").orderBy("ts", "event_id")
     rows = scores(spark, d).select(F.col("user_id").alias("key"), F.when(F.col("task") != "error", F.col("score")).alias("score"), "ts", "event_id")
     best = logs.best_attempts(rows.withColumn("attempt", F.row_number().over(order).cast("bigint")))
-    return best.withColumn("decision", logs.retry_decision(F.col("score"), F.col("attempt"), F.lit("say more")))
+    critique = F.when(F.col("key") % 4 == 0, "").when(F.col("key") % 4 == 1, "The judge failed to return a verdict").otherwise("Name the section")
+    passed, most = F.col("score") >= 70, F.lit(3)
+    chat = vd.chat_route(passed, F.col("attempt"), most, F.col("score"), F.lit(70), critique)
+    return best.select("*", chat.alias("chat"), vd.resource_route(passed, F.col("attempt"), most).alias("resource"))
 
 
 @query("""
@@ -394,13 +402,13 @@ def best_attempt(spark, d):
     k AS (SELECT *, list_transform(options, lambda x: lower(trim(trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g')), '.?!,;:'))) AS ks, lower(trim(trim(regexp_replace(answer, '[ \t\r\n]+', ' ', 'g')), '.?!,;:')) AS a FROM i),
     m AS (SELECT *, list_position(ks, a) AS slot, len(list_distinct(ks)) < 4 AS dup, options[list_position(list_transform(options, lambda x: length(x)), list_max(list_transform(options, lambda x: length(x))))] = answer AS longest FROM k)
     SELECT set_id, count(slot) AS n, count(slot) >= 4 AND count(DISTINCT slot) = 1 AS one_slot, count(slot) >= 4 AND bool_and(longest) AS always_longest,
-        count(DISTINCT lower(trim(trim(regexp_replace(stem, '[ \t\r\n]+', ' ', 'g')), '.?!,;:'))) < count(*) AS duplicate_stems, CAST(sum(CAST(dup AS INT)) AS BIGINT) AS faulty FROM m GROUP BY 1""")
+        count(DISTINCT lower(trim(trim(regexp_replace(stem, '[ \t\r\n]+', ' ', 'g')), '.?!,;:'))) < count(*) AS duplicate_stems, CAST(sum(CAST(dup OR slot IS NULL AS INT)) AS BIGINT) AS faulty FROM m GROUP BY 1""")
 def mcq_set_bias(spark, d):
     p = table(spark, d, "part")
     size = F.col("p_size")
     options = F.array("p_type", "p_name", "p_brand", F.when(size % 7 == 0, F.col("p_brand")).otherwise(size.cast("string")))
     items = p.select(F.col("p_brand").alias("set_id"), F.col("p_name").alias("stem"), options.alias("options"), F.when(size % 2 == 0, F.col("p_type")).otherwise(F.col("p_name")).alias("answer"))
-    faulty = items.groupBy("set_id").agg(F.sum((F.size(dataset.mcq_faults(F.col("options"), F.col("answer"))) > 0).cast("bigint")).alias("faulty"))
+    faulty = items.groupBy("set_id").agg(F.sum((F.size(vd.mcq_faults(F.col("stem"), F.col("options"), F.col("answer"))) > 0).cast("bigint")).alias("faulty"))
     return dataset.set_bias(items).join(faulty, "set_id")
 
 
@@ -412,15 +420,16 @@ def history_last_n(spark, d):
 
 @query(r"""
     WITH t AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
-    SELECT conv_id, turn, before IS NOT NULL AND (len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '')) <= 4 OR regexp_matches(lower(text), '^[ \t]*(it|this|that|they|these|those|he|she)([^a-z]|$)')
-        OR NOT list_has_any(regexp_extract_all(lower(text), '[a-z0-9]+'), regexp_extract_all(lower(before), '[a-z0-9]+'))) AS follow_up FROM t WHERE role = 'user'""")
+    SELECT conv_id, turn, before IS NOT NULL AND (len(list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '')) <= 4 OR regexp_matches(lower(text), '^(it|this|that|he|she|his|her|they|their|what about|why)\b')
+        OR NOT list_has_any(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), regexp_extract_all(lower(before), '[\p{L}\p{N}_]+'))) AS follow_up FROM t WHERE role = 'user'""")
 def follow_ups(spark, d):
     return logs.needs_rewrite(table(spark, d, "conversations"))
 
 
-@query("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations GROUP BY 1 ORDER BY turns DESC, conv_id LIMIT 20")
+@query("SELECT user_id AS conv_id, count(*) AS turns, CAST(max(ts) AS VARCHAR)[1:19] AS last_activity FROM events GROUP BY 1 ORDER BY max(ts) DESC, conv_id LIMIT 20")
 def list_sessions(spark, d):
-    return logs.sessions(table(spark, d, "conversations"))
+    made = logs.sessions(table(spark, d, "events").withColumnRenamed("user_id", "conv_id"), "ts")
+    return made.withColumn("last_activity", F.date_format("last_activity", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("""
@@ -485,10 +494,32 @@ def daily_activity(spark, d):
     return logs.daily(table(spark, d, "events"), "ts", 45).select(F.col("day").cast("string").alias("day"), "n")
 
 
-@query("""
-    SELECT user_id AS job, arg_max(event_type, struct_pack(ts := ts, e := event_id)) AS status, count(*) AS transitions, arg_max(event_type, struct_pack(ts := ts, e := event_id)) IN ('purchase', 'error') AS done FROM events GROUP BY 1""")
+JOBS_SQL = """
+    SELECT user_id AS job, arg_max(event_type, struct_pack(ts := ts, e := event_id)) AS status, count(*) AS transitions, arg_max(event_type, struct_pack(ts := ts, e := event_id)) IN ('purchase', 'error') AS done,
+        CASE WHEN arg_max(event_type, struct_pack(ts := ts, e := event_id)) NOT IN ('purchase', 'error') THEN arg_max(props, struct_pack(ts := ts, e := event_id)) FILTER (event_type = 'click') END AS partial,
+        CASE WHEN arg_max(event_type, struct_pack(ts := ts, e := event_id)) = 'error' THEN arg_max(props, struct_pack(ts := ts, e := event_id)) END AS error FROM events GROUP BY 1"""
+
+
+def job_events(spark, d):
+    kind = F.col("event_type")
+    return table(spark, d, "events").select(F.col("user_id").alias("job"), kind.alias("status"), "ts", "event_id", F.when(kind == "click", F.col("props")).alias("partial"), F.col("props").alias("error"))
+
+
+@query(JOBS_SQL)
 def job_state_fold(spark, d):
-    return logs.fold_jobs(table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_type").alias("status"), "ts", "event_id"), ["purchase", "error"])
+    return logs.fold_jobs(job_events(spark, d), ["purchase", "error"])
+
+
+@query(JOBS_SQL)
+def streaming_job_states(spark, d):
+    from quarry.streaming.jobs import job_states
+
+    return job_states(job_events(spark, d), ["purchase", "error"])
+
+
+@query(f"WITH j AS ({JOBS_SQL}) SELECT job, CASE WHEN status IN ('view', 'click') THEN 'failed' ELSE status END AS status, CASE WHEN status IN ('view', 'click') THEN 'server restarted' ELSE error END AS error FROM j")
+def fail_running(spark, d):
+    return logs.fail_running(logs.fold_jobs(job_events(spark, d), ["purchase", "error"]), ["view", "click"], "server restarted").select("job", "status", "error")
 
 
 @query("""
@@ -508,3 +539,8 @@ def streaming_daily(spark, d):
     from quarry.streaming.jobs import daily_counts
 
     return daily_counts(table(spark, d, "events"))
+from quarry.plans import structure  # noqa: E402, F401  registers its queries
+from quarry.plans import checks  # noqa: E402, F401
+from quarry.plans import library  # noqa: E402, F401
+from quarry.plans import reports  # noqa: E402, F401
+from quarry.plans import output  # noqa: E402, F401

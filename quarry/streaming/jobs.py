@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import logs
+from quarry.sources.sinks import shared_folder
 
 
 def drain(source: DataFrame, transform, name: str) -> DataFrame:
     """Runs a table through a stream to its end: the rows are laid down as files in the shared folder, read as a
     stream, transformed, and every micro-batch's changed rows are kept by batch."""
     spark = source.sparkSession
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/quarry').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = shared_folder(spark, name)
     source.write.parquet(f"{root}/in")
     changed = transform(spark.readStream.schema(source.schema).parquet(f"{root}/in"))
     query = (
@@ -26,13 +25,18 @@ def drain(source: DataFrame, transform, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").drop("part")
 
 
-def daily_counts(events: DataFrame, delay: str = "30 days") -> DataFrame:
-    """day, event_type, n, cents: tumbling daily counts with a watermark; a day's latest state is its result."""
+def daily_counts(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """day, event_type, n, cents: tumbling daily counts; a day's latest state is its result.
+
+    A table that is drained has all its rows, in any order of files, so no watermark drops late ones. An endless stream
+    gives a `delay`: rows that come later than that behind the newest are then left out, and old days leave the state.
+    """
 
     def counts(rows: DataFrame) -> DataFrame:
         cents = F.round(F.col("value") * 100).cast("bigint")
-        marked = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-        grouped = marked.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(cents).alias("cents"))
+        timed = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+        timed = timed.withWatermark("ts", delay) if delay else timed
+        grouped = timed.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(cents).alias("cents"))
         return grouped.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "cents")
 
     states = drain(events.select("ts", "event_type", "value"), counts, "daily")
@@ -40,6 +44,25 @@ def daily_counts(events: DataFrame, delay: str = "30 days") -> DataFrame:
 
 
 def job_states(events: DataFrame, final: list[str]) -> DataFrame:
-    """The streaming twin of the job fold."""
+    """The streaming twin of the job fold (job, ts, event_id, status, partial): a job's last status, with its partial text
+    unless it is final."""
     states = drain(events, lambda rows: logs.fold_jobs(rows, final), "jobs")
     return logs.latest_wins(states, ["job"], ["transitions"]).drop("batch")
+
+
+def token_texts(tokens: DataFrame) -> DataFrame:
+    """key, n, chars, done: what a stream of reply tokens (key, at, token, last) has come to. A reply is frozen at its first
+    last token: later ones count for nothing."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.min(F.when(F.col("last"), F.col("at"))).alias("end"), F.collect_list(F.struct("at", F.length("token").alias("n"))).alias("ts"))
+
+    states = logs.latest_wins(drain(tokens, fold, "tokens"), ["key"], ["batch"])
+    kept = F.filter("ts", lambda t: F.col("end").isNull() | (t.at <= F.col("end")))
+    return states.select("key", F.size(kept).cast("bigint").alias("n"), F.aggregate(kept, F.lit(0).cast("bigint"), lambda s, t: s + t.n).alias("chars"), F.col("end").isNotNull().alias("done"))
+
+
+def conversation_state(turns: DataFrame) -> DataFrame:
+    """conv_id, turns, last_turn, last_text: the state that a conversation is taken up from, kept by a streaming fold."""
+    states = drain(turns, lambda rows: rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max(F.struct("turn", "text")).alias("last")), "conversations")
+    return logs.latest_wins(states, ["conv_id"], ["turns"]).select("conv_id", "turns", F.col("last.turn").alias("last_turn"), F.col("last.text").alias("last_text"))

@@ -1,8 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import citations as ct
+from quarry.functions import render as rd
 from quarry.functions import text as tx
-from quarry.operators import chunks, dataset, logs
+from quarry.functions import verdicts as vd
+from quarry.operators import chunks, dataset, logs, packing, planning, splitters
+from quarry.sources import sinks
 from quarry.sources.readers import text_of
 
 
@@ -55,9 +59,153 @@ def test_html_lines():
 
 
 def test_item_faults(spark):
-    rows = [(["a", "b", "c"], "a"), (["a", "", "c", "d"], "a"), (["a", "A.", "c", "d"], "a"), (["a", "b", "c", "d"], "e"), (["a", "b", "c", "All of the above"], "a"), (["a", "b", "c", "d"], "d")]
-    made = spark.createDataFrame(rows, "o array<string>, a string").select(dataset.mcq_faults(F.col("o"), F.col("a")).alias("f"))
-    assert [len(r.f) for r in made.collect()] == [1, 1, 1, 1, 1, 0]
+    rows = [(["a", "b", "c"], "a"), (["a", "", "c", "d"], "a"), (["a", "A.", "c", "d"], "a"), (["a", "b", "c", "d"], "e"), (["a", "b", "c", "All of the above"], "a"), (["a", "b", "c", "both of the  following"], "a"), (["a", "b", "c", "d"], "d"), (None, "a")]
+    made = spark.createDataFrame(rows, "o array<string>, a string").select(vd.mcq_faults(F.lit("q"), F.col("o"), F.col("a")).alias("f"))
+    assert [len(r.f) for r in made.collect()] == [1, 1, 1, 1, 1, 1, 0, 1]
+    assert one(spark, "", lambda t: vd.mcq_faults(t, F.array(), t)) == ["empty question", "0 options"]
+
+
+@pytest.mark.parametrize(("raw", "score"), [("87.5", 87), ("-3", 1), ("1e2", 100), ("x", 1), (None, 1), ("120", 100), ("85", 85), ("NaN", 1)])
+def test_scores_are_clamped(spark, raw, score):
+    assert one(spark, raw, tx.clamp_score) == score
+
+
+@pytest.mark.parametrize(("text", "points"), [(["only"], ["only 1 key point(s)"]), (["a b", "A  b."], ["duplicate key points"]), (["a", ""], ["empty key point"]), ([], ["no key points"]), (["a", "b"], [])])
+def test_keypoint_faults(spark, text, points):
+    assert spark.createDataFrame([(text,)], "p array<string>").select(vd.keypoint_faults(F.col("p")).alias("x")).first().x == points
+
+
+def test_other_faults(spark):
+    assert one(spark, "short", vd.summary_faults) == ["only 5 characters"] and one(spark, " ", vd.summary_faults) == ["empty summary"] and one(spark, "x" * 80, vd.summary_faults) == []
+    items = spark.createDataFrame([([("What is it?", "what is it"), ("Q", " "), ("", "a")],)], "i array<struct<question:string,answer:string>>")
+    assert items.select(vd.practice_faults(F.col("i")).alias("x")).first().x == ["question What is it? is restated by its answer", "question Q has an empty answer", "empty question"]
+
+
+@pytest.mark.parametrize(("reply", "score", "instruction"), [
+    ('{"score": 85, "reasoning": "fine", "regeneration_instruction": "Name the court that decides."}', 85, "Name the court that decides."),
+    ('```json\n{"score": "40.9", "reasoning": "No court.", "regeneration_instruction": "Rewrite..."}\n```', 40, "Fix exactly this problem and change nothing else: No court."),
+    ("[85]", 1, vd.UNREADABLE), ("I would give 85", 1, vd.UNREADABLE), ('so: {"score": 0} ok', 1, vd.NO_INSTRUCTION), ("", 1, vd.UNREADABLE), (None, 1, vd.UNREADABLE),
+])
+def test_verdicts_fail_closed(spark, reply, score, instruction):
+    got = one(spark, reply, vd.parse_verdict)
+    assert (got.score, got.regeneration_instruction) == (score, instruction)
+
+
+@pytest.mark.parametrize(("passed", "score", "attempt", "critique", "chat"), [
+    (True, 80, 1, "c", "persist"), (False, 60, 2, "c", "persist"), (False, 60, 1, "", "persist"), (False, 60, 1, "The judge failed to return a verdict.", "persist"),
+    (False, 40, 1, "c", "persist"), (False, 45, 1, "c", "generate"), (False, 55, 1, "c", "generate"), (None, None, 1, "c", "persist"),
+])
+def test_routes(spark, passed, score, attempt, critique, chat):
+    row = spark.createDataFrame([(passed, score, attempt, critique)], "p boolean, s int, a int, c string")
+    got = row.select(vd.chat_route(F.col("p"), F.col("a"), F.lit(2), F.col("s"), F.lit(70), F.col("c")).alias("x"), vd.resource_route(F.col("p"), F.col("a"), F.lit(2)).alias("y")).first()
+    assert got.x == chat and got.y == ("persist" if passed or attempt >= 2 else "generate")
+
+
+def test_gated_turns(spark):
+    rows = spark.createDataFrame([("General", "r"), ("general", " "), ("pdf", "r"), (None, "r")], "m string, r string")
+    assert [r.x for r in rows.select(vd.is_gated(F.col("m"), F.col("r")).alias("x")).collect()] == [True, False, False, False]
+
+
+def test_promotion_needs_all(spark):
+    rows = [(0.86, 0.9, 0.1, 100.0), (0.86, 0.8, 0.1, 100.0), (0.9, 0.9, 0.1, 9000.0), (0.6, 0.9, 0.2, 1.0), (0.95, 0.86, 0.1, 1.0)]
+    made = spark.createDataFrame([(str(i), 1, *r) for i, r in enumerate(rows)], "group string, n int, accuracy double, groundedness double, hallucination_rate double, latency_p95 double")
+    fallback = spark.createDataFrame([(0.9, 0.87)], "fallback_accuracy double, fallback_groundedness double")
+    assert {r.group: r.violations for r in dataset.gate(made, fallback).collect()} == {"0": "", "1": "groundedness;fallback comparison", "2": "latency_p95_ms", "3": "accuracy;hallucination_rate;fallback comparison", "4": ""}
+
+
+def test_citations(spark):
+    held = lambda t: one(spark, t, ct.supported)
+    assert held("under Section 12 and art. 7B") == ["12", "7b"] and held("paid 500. The 12 of May, 3.5") == []
+    assert held("\n147. The officer") == ["147"] and held("Enforcement of 5. (1) Subject") == ["5"] and held("see 153A.") == ["153a"]
+    assert one(spark, "casino 5, no. 4, sections 12A and Article 9", ct.cited) == ["12a", "9"]
+
+
+def test_unicode_is_normalised(spark):
+    got = one(spark, "e\u0301 \ufb01n\u00a0\u2460 \u201cx\u201d\n  12  \n\u2022 item\nword\n- more", lambda t: tx.clean_page(tx.nfkc(t)))
+    assert got == 'é fin 1 "x" item wordmore'
+
+
+def test_recursive_split():
+    text = "One two three. Four five six; seven eight. " * 40
+    for size, overlap in ((100, 20), (30, 10), (7, 3)):
+        made = splitters.recursive_split(text, size, overlap)
+        assert all(0 < len(c) <= size for c in made) and all(c in text for c in made)
+        assert set("".join(made)) >= set(text.replace(" ", ""))
+    assert splitters.recursive_split("abc", 900, 150) == ["abc"] and splitters.recursive_split("", 900, 150) == []
+    assert splitters.recursive_split("x" * 25, 10, 0) == ["x" * 10, "x" * 10, "x" * 5]
+
+
+def test_section_chunks():
+    unit = lambda text, s=None: {"section_id": s, "text": text}
+    made = splitters.section_chunks([unit("a" * 100, "1"), unit("b" * 50), unit("\n".join(["c" * 40] * 5), "2"), unit("d" * 79)], most=160, merge_below=80)
+    assert [(c["section_id"], len(c["text"])) for c in made] == [("1", 151), ("2", 122), ("2", 81), (None, 79)]
+    assert "".join(c["text"] for c in made).replace("\n", "") == "a" * 100 + "b" * 50 + "c" * 200 + "d" * 79
+
+
+def test_structure_of_lines(spark):
+    text = "intro\nCHAPTER I Of courts\nPART 2\n5. First\nbody\nCHAPTER II\nloose\n6A. Second"
+    rows = chunks.structure(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string")).orderBy("unit").collect()
+    assert [(r.section_id, r.chapter, r.part, r.text) for r in rows] == [
+        (None, None, None, "intro"), ("5", "CHAPTER I Of courts", "PART 2", "5. First\nbody"), (None, "CHAPTER II", None, "loose"), ("6A", "CHAPTER II", None, "6A. Second")]
+
+
+def test_names_and_ids(spark):
+    import uuid
+
+    assert one(spark, "doc:1:2", rd.uuid5) == str(uuid.uuid5(uuid.NAMESPACE_DNS, "doc:1:2"))
+    ids = [uuid.uuid5(uuid.NAMESPACE_DNS, f"é{i}") for i in range(40)]
+    made = spark.createDataFrame([(i, f"é{i}") for i in range(40)], "i int, t string").select("i", rd.uuid5(F.col("t")).alias("u")).orderBy("i").collect()
+    assert [r.u for r in made] == list(map(str, ids))
+    assert one(spark, "x" * 23, rd.object_id) is None and one(spark, "aF" * 12, rd.object_id) == "aF" * 12
+    assert one(spark, "- a\n2) b\n\n", rd.points_of) == ["a", "b"] and one(spark, '["a", "b"]', rd.points_of) == ["a", "b"]
+
+
+@pytest.mark.parametrize("most", [None, 4])
+def test_packing_is_greedy_in_parts(spark, most):
+    import random
+
+    draw, rows = random.Random(1), []
+    for g in ("a", "b", "c"):
+        rows += [(g, i, "x" * draw.choice([0, 1, 50, 99, 140, 400])) for i in range({"a": 300, "b": 1, "c": 40}[g])]
+    want = {}
+    for g in ("a", "b", "c"):
+        run, size, count = 0, 0, 0
+        for _, _, t in sorted(r for r in rows if r[0] == g):
+            if count and (size + len(t) > 300 or most and count >= most):
+                run, size, count = run + 1, 0, 0
+            size, count = size + len(t) + 2, count + 1
+            n, c = want.get((g, run), (0, 0))
+            want[g, run] = (n + 1, c + len(t))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        made = packing.pack(spark.createDataFrame(rows, "g string, i bigint, text string"), "g", "i", 300, most).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(r.g, r.run): (r.rows, r.chars) for r in made} == want
+
+
+def test_ranks_of_skewed_values(spark):
+    rows = [("a", 1e9), *[("a", float(i % 7)) for i in range(500)], ("b", 3.0), ("b", None)]
+    n = F.col("n")
+    made = {r.g: r for r in logs.at_rank(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"low": F.lit(0), "mid": F.floor(n / 2), "top": n - 1}).collect()}
+    own = sorted(v for g, v in rows if g == "a")
+    assert (made["a"].n, made["a"].low, made["a"].mid, made["a"].top) == (501, own[0], own[250], own[500]) and (made["b"].n, made["b"].mid) == (1, 3.0)
+
+
+def test_shares_and_folds(spark):
+    row = spark.createDataFrame([([8, 0, 3, 9],)], "m array<int>")
+    assert row.select(planning.shares(F.col("m"), 20, 8).alias("x")).first().x == [5, 5, 8, 8]
+    hits = spark.createDataFrame([(1, 10, 1, 7000), (1, 11, 2, 100), (1, 3, 3, 50), (2, 5, 1, 4000), (2, 6, 2, 3000), (2, 4, 3, 1000)], "q int, page int, rank int, n int")
+    assert {(r.q, r.page) for r in planning.relevant(hits, "q", "page").collect()} == {(1, 10), (2, 5), (2, 4)}
+
+
+def test_files_are_kept_apart(spark):
+    path = sinks.shared_folder(spark, "test")
+    rows = spark.createDataFrame([(1, "é", None), (2, "b", 3)], "i int, s string, n int")
+    sinks.json_lines(rows, path)
+    assert sorted(r.value for r in spark.read.text(path).collect()) == ['{"i":1,"s":"é","n":null}', '{"i":2,"s":"b","n":3}']
 
 
 def test_stratified_units_stay_whole(spark):
@@ -66,17 +214,6 @@ def test_stratified_units_stay_whole(spark):
     assert len(made) == 9 and {r.split for r in made} == {"train", "val", "test"}
 
 
-@pytest.mark.parametrize(("score", "attempt", "critique", "out"), [(80, 1, "c", "persist"), (60, 2, "c", "persist"), (60, 1, "", "persist"), (40, 1, "c", "persist"), (55, 1, "c", "generate")])
-def test_retry(spark, score, attempt, critique, out):
-    row = spark.createDataFrame([(score, attempt, critique)], "s int, a int, c string")
-    assert row.select(logs.retry_decision(F.col("s"), F.col("a"), F.col("c")).alias("x")).first().x == out
-
-
 def test_sliding_windows_end_once(spark):
     rows = spark.createDataFrame([(1, ""), (2, "x" * 1000), (3, "x" * 1001), (4, None)], "doc_id int, text string")
     assert sorted((r.doc_id, r.chunk_index) for r in chunks.sliding(rows).collect()) == [(2, 0), (3, 0), (3, 1)]
-
-
-def test_packing(spark):
-    rows = spark.createDataFrame([("g", i, "x" * n) for i, n in enumerate([100, 200, 900, 50])], "g string, i int, text string")
-    assert chunks.pack(rows, "g", "i", 300).first().n_groups == 4
