@@ -20,8 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct pretokens remembered by a worker; the table starts anew beyond it.
-REMEMBERED = 200_000
+#: Distinct pretokens remembered by a worker (about 200 bytes each); the table starts anew beyond it.
+REMEMBERED = 500_000
 #: Bytes of text that a worker splits into pretokens at once.
 CORPUS_BYTES = 2 << 20
 
@@ -36,18 +36,23 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     return pairs
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int]) -> list[list[int]]:
+def byte_tables(ranks: dict[bytes, int], pairs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of single bytes, and ranks of the merges of two of them (-1: none)."""
+    own = np.array([ranks[bytes([b])] for b in range(256)])
+    return own, np.array([[pairs.get(int(a) << 20 | int(b), -1) for b in own] for a in own])
+
+
+def replay(words: list[bytes], pairs: dict[int, int], tables: tuple[np.ndarray, np.ndarray]) -> list[list[int]]:
     """Token ids of each word. Ties of rank go to the leftmost place, as in one-word-at-a-time BPE."""
     if not words:
         return []
-    own = np.array([ranks[bytes([b])] for b in range(256)])
+    own, first = tables
     data = np.frombuffer(b"\0".join([*words, b""]), np.uint8)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     symbols = own[data]
     symbols[ends] = -1  # no pair reaches over the end of a word
     # The inverted index: rank of a pair -> positions of its left token.
-    first = np.array([[pairs.get(int(a) << 20 | int(b), -1) for b in own] for a in own])
     inner = np.delete(np.arange(len(data)), ends)
     inner = inner[symbols[inner + 1] >= 0]
     rank_at = first[data[inner], data[inner + 1]]
@@ -113,6 +118,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.pairs = pair_ranks(ranks)
+        self.tables = byte_tables(ranks, self.pairs)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.known: dict[str, np.ndarray] = {}
 
@@ -128,7 +134,7 @@ class Codec:
                 known[word] = rank.to_bytes(4, "little")  # a pretoken that is a token stays whole
             else:
                 split.append((word, raw))
-        for (word, _), ids in zip(split, replay([raw for _, raw in split], self.ranks, self.pairs), strict=True):
+        for (word, _), ids in zip(split, replay([raw for _, raw in split], self.pairs, self.tables), strict=True):
             known[word] = np.array(ids, "<u4").tobytes()
         return [b"".join([known[w] for w in p]) for p in parts]
 
