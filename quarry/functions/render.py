@@ -125,7 +125,9 @@ def iso(ts: Column) -> Column:
 
 
 def elapsed_seconds(start: Column, end: Column) -> Column:
-    return F.round((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6, 2)
+    """Seconds to two places, halves away from the start; from whole microseconds, so that no binary fraction decides."""
+    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return F.floor((micros + 5000) / 10000) / 100
 
 
 def power_of_two_at_least(n: Column, low: int = 256, high: int = 4096) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -142,14 +143,22 @@ def parse_reply(text: Column, schema: str) -> Column:
     return F.coalesce(F.when(bare.rlike(r"^[\[{]"), F.from_json(bare, schema)), F.from_json(inner, schema))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def parse_object(text: Column, schema: str) -> Column:
     """Tolerant JSON of an object; null for lists, other values and what can't be read."""
+
+    def read(bare: Column) -> Column:
+        inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+        whole = F.when(F.try_parse_json(bare).isNotNull(), F.when(bare.startswith("{"), bare).otherwise(""))
+        part = bound(inner, lambda x: F.when(F.try_parse_json(x).isNotNull(), x))
+        return F.from_json(F.nullif(F.coalesce(whole, part), F.lit("")), schema)
+
     bare = F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    bare = F.regexp_replace(bare, r"^```[A-Za-z]*[ \t\r\n]*|[ \t\r\n]*```$", "")
-    inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    direct = F.try_parse_json(bare)
-    kept = F.when(direct.isNotNull(), F.when(bare.startswith("{"), bare)).when(F.try_parse_json(inner).isNotNull(), inner)
-    return F.when(kept.isNotNull(), F.from_json(kept, schema))
+    return bound(F.regexp_replace(bare, r"^```[A-Za-z]*[ \t\r\n]*|[ \t\r\n]*```$", ""), read)
 
 
 def clamp_score(value: Column, low: int = 1, high: int = 100) -> Column:

@@ -95,11 +95,12 @@ def usable_instruction(instruction: Column, reasoning: Column) -> Column:
 
 def parse_verdict(reply: Column) -> Column:
     """struct(score, reasoning, regeneration_instruction) of a judge's reply; whatever isn't an object scores 1."""
-    data = tx.parse_object(reply, VERDICT)
-    why = stripped(data["reasoning"])
-    read = F.struct(tx.clamp_score(data["score"]).alias("score"), why.alias("reasoning"), usable_instruction(data["regeneration_instruction"], why).alias("regeneration_instruction"))
+
+    def read(data: Column) -> Column:
+        return tx.bound(stripped(data["reasoning"]), lambda why: F.struct(tx.clamp_score(data["score"]).alias("score"), why.alias("reasoning"), usable_instruction(data["regeneration_instruction"], why).alias("regeneration_instruction")))
+
     unread = F.struct(F.lit(1).alias("score"), F.concat(F.lit("Could not parse evaluator output: "), F.substring(stripped(reply), 1, 200)).alias("reasoning"), F.lit(UNREADABLE).alias("regeneration_instruction"))
-    return F.when(data.isNull(), unread).otherwise(read)
+    return tx.bound(tx.parse_object(reply, VERDICT), lambda data: F.when(data.isNull(), unread).otherwise(read(data)))
 
 
 def verdict(task: Column, score: Column, passed: Column, reasoning: Column, instruction: Column, threshold: Column, gated: Column) -> Column:
@@ -122,11 +123,14 @@ def is_gated(mode: Column, reply: Column, modes: tuple[str, ...] = DEFAULTS.gate
 
 def judged(task: Column, mode: Column, reply: Column, answer: Column, threshold: Column) -> Column:
     """Verdict on a reply: gated, failed for an empty reply, else what the judge's answer says."""
-    parsed = parse_verdict(answer)
-    scored = verdict(task, parsed["score"], parsed["score"] >= threshold, parsed["reasoning"], F.when(parsed["score"] >= threshold, "").otherwise(parsed["regeneration_instruction"]), threshold, F.lit(False))
+
+    def scored(parsed: Column) -> Column:
+        passed = parsed["score"] >= threshold
+        return verdict(task, parsed["score"], passed, parsed["reasoning"], F.when(passed, "").otherwise(parsed["regeneration_instruction"]), threshold, F.lit(False))
+
     skipped = gated_verdict(task, threshold, F.concat(F.lit("Not scored: answered from general knowledge (mode="), F.lower(mode), F.lit(")")))
     empty = failed_verdict(task, threshold, F.lit("empty reply"), F.lit("Write a reply."))
-    return F.when(is_gated(mode, reply), skipped).when(stripped(reply) == "", empty).otherwise(scored)
+    return F.when(is_gated(mode, reply), skipped).when(stripped(reply) == "", empty).otherwise(tx.bound(parse_verdict(answer), scored))
 
 
 def stage(unparsed: Column, reasons: Column, evaluate: Column) -> Column:

@@ -234,6 +234,6 @@ def frequent_stages(spark, d):
     return table(spark, d, "events").filter("user_id = 3").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "stage").limit(3)
 
 
-@query("SELECT event_id, round(date_diff('microsecond', CAST('2024-01-01' AS TIMESTAMP), ts) / 1e6, 2) AS seconds FROM events")
+@query("SELECT event_id, ((date_diff('microsecond', CAST('2024-01-01' AS TIMESTAMP), ts) + 5000) // 10000) / 100.0 AS seconds FROM events")
 def elapsed(spark, d):
     return table(spark, d, "events").select("event_id", rd.elapsed_seconds(F.lit("2024-01-01").cast("timestamp"), F.col("ts")).alias("seconds"))
