@@ -43,6 +43,11 @@ def to_sft(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.transform(ordered, lambda m: F.struct(m.role.alias("role"), m.text.alias("content"))).alias("messages"))
 
 
+def appended(left: Column, right: Column) -> Column:
+    """Both lists as one; a missing list is empty. Works on columns of arrays of one type."""
+    return F.concat(F.coalesce(left, F.slice(right, 1, 0), F.array().cast("array<bigint>")), F.coalesce(right, F.slice(left, 1, 0), F.array().cast("array<bigint>")))
+
+
 def unit_key(doc: Column, chapter: Column, part: Column) -> Column:
     """doc::label of the chapter, else the part, else `_nogroup`; an empty label is none."""
     empty = F.lit("")

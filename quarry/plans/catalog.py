@@ -544,3 +544,4 @@ from quarry.plans import checks  # noqa: E402, F401
 from quarry.plans import library  # noqa: E402, F401
 from quarry.plans import reports  # noqa: E402, F401
 from quarry.plans import output  # noqa: E402, F401
+from quarry.plans import search  # noqa: E402, F401

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from quarry.operators import chunks, splitters
+from quarry.operators import chunks, retrieval, splitters
 from quarry.plans import catalog, structure
 from quarry.plans.catalog import QUERIES, SQL
 
@@ -131,6 +131,14 @@ def test_html_text_by_hand(spark, duck):
     assert not any("<script" in t or "<style" in t for t in got.values())
 
 
+def test_index_finds_most_exact_neighbours(spark):
+    data = "/root/testdata/sf0.1"
+    exact = {(r.query_id, r.vec_id) for r in retrieval.cosine_top_k(*catalog.vectors(spark, data), k=10).collect()}
+    made = QUERIES["ann_topk"](spark, data).collect()
+    found = {(r.query_id, r.vec_id) for r in made}
+    assert len(exact) == len(made) == len(found) and len(found & exact) >= 0.9 * len(exact)
+
+
 def test_entry_works_without_the_llm_folders(spark):
     import __spark_entry__
 
