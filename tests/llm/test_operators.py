@@ -377,6 +377,25 @@ def test_pipeline(spark, texts, tmp_path):
     assert sorted(got) == sorted((i, len(ids), struct.pack(f"<{len(ids)}I", *ids)) for i, ids in want.items())
 
 
+def test_pipeline_stages_handle_edges(spark, tmp_path):
+    import corpus_pipeline
+
+    long = " ".join(f"word{i} of a very long text" for i in range(20_000))
+    rows = [(1, None), (1, None), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (None, "one two three four five six"), (None, "a text without an id"), (4, long), (5, long + " end")]
+    spark.createDataFrame([(1, "three four five six seven eight nine ten eleven twelve")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = make(spark, rows).withColumn("label", F.lit("x")).withColumn("block", F.lit(1)).withColumn("chunk", F.lit(2)).withColumn("n_words", F.lit(3))
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    want = {"quality classifier": [i for i, _ in rows], "exact dedup": [2, 3, None, 4, 5], "n-gram Jaccard join": [1, 2, 3, None, None, 4], "benchmark decontamination": [i for i, _ in rows], "byte-level BPE": [i for i, _ in rows]}
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, str(tmp_path))
+        assert ids(made) == sorted(want[name], key=str), name
+        assert made.columns == (["doc_id", "n_tokens", "token_ids"] if name == "byte-level BPE" else docs.columns)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    make(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def shingles_of(text, k):
     """Shingles of k words."""
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text))
