@@ -47,13 +47,18 @@ def repeated_lines(docs: DataFrame, book: str, page: str, share: float = 0.5, le
     return often.join(pages.filter(F.col("pages") >= least_pages), book).filter(F.col("on") >= need).select(book, "line", "on")
 
 
+#: Books whose repeated lines (a few hundred bytes each) may be broadcast; more meet their pages in a shuffle.
+BROADCAST_BOOKS = 100_000
+
+
 def without_lines(pages: DataFrame, book: str, page: str, gone: DataFrame) -> DataFrame:
     """Pages (book, page, text) without the lines of `gone` (book, line); blank lines stay.
 
     A book's repeated lines travel to its pages as one array: a line is on half of the pages or more, so there are few.
     """
     listed = gone.groupBy(book).agg(F.collect_set("line").alias("__gone"))
-    both = pages.join(F.broadcast(listed), book, "left")
+    few = listed.count() <= BROADCAST_BOOKS
+    both = pages.join(F.broadcast(listed) if few else listed, book, "left")
     kept = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__gone", F.trim(x)))
     return both.select(book, page, F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
 
@@ -113,7 +118,7 @@ def numbered_sections(chunks: DataFrame) -> DataFrame:
     return kept.select(
         F.format_string("%s-C%04d", F.col("doc_id").cast("string"), number).alias("chunk_id"), "doc_id", last_id.alias("section_id"),
         F.coalesce(F.nullif("section_heading", F.lit("")), last_heading).alias("section_heading"),
-        (F.col("__own").isNull() & last_id.isNotNull()).alias("inherited"), "text", F.length("text").alias("chars"),
+        (F.col("__own").isNull() & last_id.isNotNull()).alias("inherited"), "text", F.length("text").alias("chars"), (F.length("text") < DEFAULTS.min_unit_chars).alias("thin"),
     )
 
 
@@ -158,4 +163,4 @@ def even_sample(rows: DataFrame, group: str, order: str, calls: int) -> DataFram
     picks = {f"p{i}": F.floor(i * F.col("n") / calls) for i in range(calls)}
     found = logs.at_rank(rows, group, order, picks)
     wanted = found.select(group, F.explode(F.array_distinct(F.array(*picks))).alias(order))
-    return rows.join(F.broadcast(wanted), [group, order], "left_semi")
+    return rows.join(wanted, [group, order], "left_semi")

@@ -9,18 +9,45 @@ from pyspark.sql import functions as F
 from quarry.config import DEFAULTS
 from quarry.functions import citations as ct
 from quarry.functions import text as tx
+from quarry.operators import logs
 
 SPLITS = ["train", "val", "test"]
 
 
+#: What template pairs ask and answer, by type, with %subject%, %heading% and %snippet% to be filled in.
+TEMPLATES = {
+    "qa": ("[%subject%] Based on %heading%, what does the provision establish?", "According to the source text (%heading%): %snippet%"),
+    "summary": ("Summarise the following legal text for a law student.", "Subject area: %subject%. Heading: %heading%. Key content: %snippet%"),
+    "mcq": (
+        "[%subject%] Which statement best reflects %heading%?\nA. The provision is unrelated to %subject%.\nB. The provision addresses the matter described in the source excerpt.\n"
+        "C. The provision abolishes all prior law without exception.\nD. The provision applies only outside Sri Lanka.",
+        "Correct answer: B. Justification grounded in source (%heading%): %snippet%",
+    ),
+}
+
+
 def draft_pairs(chunks: DataFrame, types: list[str], per_chunk: int, snippet: int = DEFAULTS.snippet_chars) -> DataFrame:
-    """pair_id, doc_id, pair_type, n, output: `per_chunk` pairs of each chunk over the types in turn."""
-    each = chunks.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(per_chunk - 1))).alias("n"))
-    kind = F.element_at(F.array(*map(F.lit, types)), F.pmod("n", F.lit(len(types))) + 1)
-    flat = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    short = F.when(F.length(flat) > snippet, F.concat(F.substring(flat, 1, snippet), F.lit("..."))).otherwise(flat)
-    named = each.select("doc_id", "n", kind.alias("pair_type"), short.alias("output"))
-    return named.withColumn("pair_id", tx.stable_id(F.col("doc_id").cast("string"), F.col("pair_type"), F.col("n").cast("string")))
+    """pair_id, chunk_id, pair_type, n, instruction, output: `per_chunk` template pairs of each chunk over the types in turn.
+    chunks: chunk_id, subject_area, section_heading, chapter, text. Types without a template use the last one."""
+    each = chunks.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_chunk - 1))).alias("n"))
+    kind = F.get(F.array(*map(F.lit, types)), F.pmod("n", F.lit(len(types))))
+    empty = F.lit("")
+    named = each.withColumns({
+        "pair_type": kind, "__heading": F.coalesce(F.nullif("section_heading", empty), F.nullif("chapter", empty), F.lit("the excerpt")),
+        "__snippet": F.concat(F.replace(F.substring("text", 1, snippet), F.lit("\n"), F.lit(" ")), F.when(F.length("text") > snippet, "...").otherwise("")),
+    })
+
+    def filled(part: int) -> Column:
+        chain = F.lit(TEMPLATES["mcq"][part])
+        for name in ("qa", "summary"):
+            chain = F.when(F.col("pair_type") == name, TEMPLATES[name][part]).otherwise(chain)
+        for mark, value in (("%subject%", "subject_area"), ("%heading%", "__heading"), ("%snippet%", "__snippet")):
+            chain = F.replace(chain, F.lit(mark), F.col(value))
+        return chain
+
+    chunk, n = F.col("chunk_id").cast("string"), F.col("n").cast("string")
+    pair_id = F.concat_ws("-", chunk, "pair_type", n, tx.stable_id(chunk, F.col("pair_type"), n))
+    return named.select(pair_id.alias("pair_id"), "chunk_id", "pair_type", "n", filled(0).alias("instruction"), filled(1).alias("output"))
 
 
 def check_pairs(pairs: DataFrame, excerpts: DataFrame, key: str) -> DataFrame:
@@ -89,6 +116,9 @@ def stratified_assign(units: DataFrame, ratios: tuple[float, ...] = (0.70, 0.15,
     Sequential within a subject, so one Arrow group for each; a group is a table of units, not of rows.
     """
 
+    if abs(sum(ratios) - 1) > 1e-6:
+        raise ValueError("ratios must add up to 1")
+
     def assign(frame):
         frame = frame.sort_values(["n", "tie", "unit"], ascending=[False, True, True])
         quota = [frame.n.sum() * r for r in ratios]
@@ -108,6 +138,26 @@ def stratified_assign(units: DataFrame, ratios: tuple[float, ...] = (0.70, 0.15,
     return units.withColumn("tie", F.xxhash64("unit")).groupBy("subject").applyInPandas(assign, "subject string, unit string, split string")
 
 
+def document_split(docs: DataFrame, ratios: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 42) -> DataFrame:
+    """doc, subject, split: whole documents, by a seeded hash. test and then val take their share (at least one document
+    where there are three), one of each subject first, the rest go to train. docs: doc, subject, each document once."""
+    if abs(sum(ratios) - 1) > 1e-6:
+        raise ValueError("ratios must add up to 1")
+    n = docs.count()
+    take = {s: max(1, round(n * r)) if n >= 3 else int(n >= 2 and s == "test") for s, r in (("val", ratios[1]), ("test", ratios[2]))}
+    if n >= 2 and sum(take.values()) >= n:
+        take = {"val": int(n >= 3), "test": 1}
+    order = lambda c: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(c).cast("string")))
+    left, parts = docs.select("doc", "subject"), []
+    for split in ("test", "val"):
+        first = left.groupBy("subject").agg(F.min(F.struct(order("doc").alias("h"), "doc"))["doc"].alias("first"))
+        ranked = left.join(first, "subject").select("doc", "subject", (F.col("doc") != F.col("first")).alias("later"), F.when(F.col("doc") == F.col("first"), order("subject")).otherwise(order("doc")).alias("h"))
+        placed = logs.numbered(ranked, "later", "h", "doc")
+        parts.append(placed.filter(F.col("number") <= take[split]).select("doc", "subject", F.lit(split).alias("split")))
+        left = placed.filter(F.col("number") > take[split]).select("doc", "subject")
+    return parts[0].unionByName(parts[1]).unionByName(left.withColumn("split", F.lit("train")))
+
+
 def answer_slot(options: Column, answer: Column) -> Column:
     """Place of the answer among the options, from 1; 0 if none."""
     return F.array_position(F.transform(options, tx.comparison_key), tx.comparison_key(answer))

@@ -74,5 +74,5 @@ def token_lengths(rows: DataFrame, group: str, length: str) -> DataFrame:
     n = F.col("n")
     ranks = logs.at_rank(rows, group, length, {"p50": F.floor(n / 2), "p95": F.least(n - 1, F.floor(n * 0.95)), "longest": n - 1})
     sized = ranks.withColumn("window", rd.power_of_two_at_least(F.col("p95")))
-    over = rows.join(F.broadcast(sized.select(group, "window")), group).groupBy(group).agg(F.count_if(F.col(length) > F.col("window")).alias("cut"))
+    over = rows.join(sized.select(group, "window"), group).groupBy(group).agg(F.count_if(F.col(length) > F.col("window")).alias("cut"))
     return sized.join(over, group)

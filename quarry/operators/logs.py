@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULTS
+from quarry.sources.sinks import shared_folder
 
 
 def latest_wins(rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
@@ -46,6 +47,18 @@ def orphans(links: DataFrame, unlinked: DataFrame, pair: list[str], owned: str)
     return links.select(owned).distinct().join(left, owned, "left_anti")
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with `number` from 1 in their order, without one task that holds them all: they are dealt by range and
+    written once, the parts' sizes are summed up, and each part numbers its own."""
+    spark, path = rows.sparkSession, shared_folder(rows.sparkSession, "numbered")
+    rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    earlier = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # one row a part
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(earlier, F.lit(0)).alias("__before"))
+    own = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__own", own).join(F.broadcast(sizes), "__part").withColumn("number", F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+
+
 def newest(rows: DataFrame, where: dict, order: str, tie: str, limit: int) -> DataFrame:
     """Rows that match all given values (None: no condition), newest first."""
     for column, value in where.items():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.config import DEFAULTS
 from quarry.functions import text as tx
 from quarry.functions import verdicts as vd
 from quarry.operators import chunks, dataset, logs, packing, retrieval
@@ -209,7 +210,7 @@ def hybrid_rrf(spark, d):
     l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o)
     SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM l WHERE rank <= 3 AND (score >= 0.5 OR rank = 1)""")
 def two_stage_retrieval(spark, d):
-    found = hybrid(spark, d, 20).select("query_id", "doc_id")
+    found = hybrid(spark, d, DEFAULTS.rerank_candidates).select("query_id", "doc_id")
     texts = docs(spark, d).select("doc_id", "text")
     asked = texts.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return retrieval.two_stage(found.join(texts, "doc_id").join(asked, "query_id"))
@@ -250,13 +251,31 @@ def even_sample(spark, d):
     return chunks.even_sample(docs(spark, d).select("source", "doc_id"), "source", "doc_id", 7)
 
 
-@query("""
-    WITH p AS (SELECT doc_id, n, ['qa', 'summary', 'mcq'][n % 3 + 1] AS pair_type, CASE WHEN length(text) > 280 THEN substr(replace(text, chr(10), ' '), 1, 280) || '...' ELSE replace(text, chr(10), ' ') END AS output
-        FROM documents, unnest(range(2)) AS u(n))
-    SELECT doc_id, CAST(n AS INT) AS n, pair_type, md5(output) AS output_md5, substr(sha1(concat_ws('|', doc_id, pair_type, n)), 1, 10) AS pair_id FROM p""")
+TEMPLATE_SQL = "CASE pair_type " + " ".join(f"WHEN '{k}' THEN '{{0}}'".format(v[0].replace("\n", "' || chr(10) || '")) for k, v in dataset.TEMPLATES.items()) + " END"
+ANSWER_TEMPLATE_SQL = "CASE pair_type " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in dataset.TEMPLATES.items()) + " END"
+FILLED_SQL = "md5(replace(replace(replace({0}, '%subject%', lang), '%heading%', heading), '%snippet%', snippet))"
+
+
+@query(f"""
+    WITH p AS (SELECT doc_id, lang, n, ['qa', 'summary', 'mcq'][n % 3 + 1] AS pair_type, CASE WHEN doc_id % 3 = 0 THEN 'H' || doc_id WHEN doc_id % 3 = 1 THEN 'Chapter ' || source ELSE 'the excerpt' END AS heading,
+        replace(substr(text, 1, 280), chr(10), ' ') || CASE WHEN length(text) > 280 THEN '...' ELSE '' END AS snippet FROM documents, unnest(range(4)) AS u(n))
+    SELECT doc_id || '-' || pair_type || '-' || n || '-' || substr(sha1(concat_ws('|', doc_id, pair_type, n)), 1, 10) AS pair_id, doc_id AS chunk_id, pair_type, CAST(n AS INT) AS n,
+        {FILLED_SQL.format(TEMPLATE_SQL)} AS instruction_md5, {FILLED_SQL.format(ANSWER_TEMPLATE_SQL)} AS output_md5 FROM p""")
 def mock_pairs(spark, d):
-    made = dataset.draft_pairs(docs(spark, d), ["qa", "summary", "mcq"], 2)
-    return made.select("doc_id", "n", "pair_type", F.md5("output").alias("output_md5"), "pair_id")
+    i = F.col("doc_id")
+    rows = docs(spark, d).select(i.alias("chunk_id"), F.col("lang").alias("subject_area"), F.when(i % 3 == 0, F.concat(F.lit("H"), i.cast("string"))).when(i % 3 == 1, "").alias("section_heading"), F.when(i % 3 == 1, F.concat(F.lit("Chapter "), "source")).alias("chapter"), "text")
+    made = dataset.draft_pairs(rows, ["qa", "summary", "mcq"], 4)
+    return made.select("pair_id", "chunk_id", "pair_type", "n", F.md5("instruction").alias("instruction_md5"), F.md5("output").alias("output_md5"))
+
+
+@query("""
+    WITH o AS (SELECT doc_id AS doc, lang AS subject, md5('42:' || doc_id) AS h, md5('42:' || lang) AS hs FROM documents), n AS (SELECT count(*) AS n FROM o), k AS (SELECT greatest(1, CAST(round_even(n * 0.15, 0) AS INT)) AS take FROM n),
+    a AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY h, doc) > 1 AS later FROM o), b AS (SELECT *, row_number() OVER (ORDER BY later, CASE WHEN later THEN h ELSE hs END, doc) AS number FROM a),
+    c AS (SELECT doc, subject, h, hs, row_number() OVER (PARTITION BY subject ORDER BY h, doc) > 1 AS later FROM b, k WHERE number > take), e AS (SELECT *, row_number() OVER (ORDER BY later, CASE WHEN later THEN h ELSE hs END, doc) AS number FROM c)
+    SELECT doc, subject, 'test' AS split FROM b, k WHERE number <= take UNION ALL SELECT doc, subject, CASE WHEN number <= take THEN 'val' ELSE 'train' END FROM e, k""")
+def document_split(spark, d):
+    """Whole documents to splits, every subject once in test and val first."""
+    return dataset.document_split(docs(spark, d).select(F.col("doc_id").alias("doc"), F.col("lang").alias("subject")))
 
 
 LABELS = r"\b(?:section|sections|sec\.|s\.|article|articles|art\.|chapter|part|rule|order)[\t-\r ]+([0-9]{1,3}[a-z]{0,2})"

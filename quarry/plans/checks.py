@@ -32,7 +32,7 @@ def item_faults(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(vd.mcq_faults(question, options, answer), ";").alias("faults"))
 
 
-PAIRS_SQL = f"WITH t AS (SELECT a.conv_id, a.turn, a.text AS q, b.text AS a FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'), s AS (SELECT conv_id, list(struct_pack(q := q, a := CASE WHEN turn % 3 = 0 THEN q || '.' WHEN turn % 5 = 0 THEN ' ' ELSE a END) ORDER BY turn) AS items FROM t GROUP BY 1)"
+PAIRS_SQL = f"WITH t AS (SELECT a.conv_id, a.turn, a.text AS q, b.text AS a FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user'), s AS (SELECT conv_id + 1000000 * (turn // 20) AS conv_id, list(struct_pack(q := q, a := CASE WHEN turn % 3 = 0 THEN q || '.' WHEN turn % 5 = 0 THEN ' ' ELSE a END) ORDER BY turn) AS items FROM t GROUP BY 1)"
 
 
 @query(PAIRS_SQL + f""",
@@ -46,13 +46,13 @@ PAIRS_SQL = f"WITH t AS (SELECT a.conv_id, a.turn, a.text AS q, b.text AS a FROM
     SELECT conv_id, array_to_string(faults, ';') AS faults, CASE WHEN conv_id % 13 = 0 THEN 'parse' WHEN len(faults) > 0 THEN 'validator' WHEN conv_id % 2 = 1 THEN 'skipped' ELSE 'judge' END AS stage,
         CASE conv_id % 4 WHEN 0 THEN 'practice_qsn' WHEN 1 THEN 'keypoints' WHEN 2 THEN 'summary' WHEN 3 THEN CASE WHEN conv_id % 8 = 3 THEN 'chat_grounded' ELSE 'chat_general' END END AS rubric FROM f""")
 def resource_checks(spark, d):
-    """Structural faults by task, the gate that decides, and the rubric of the judge."""
+    """Structural faults by task, the gate that decides, and the rubric of the judge; twenty turns make a set."""
     turns = table(spark, d, "conversations")
     later = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
     c = F.col
     both = turns.filter("role = 'user'").join(later, ["conv_id", "turn"], "left")
     answer = F.when(c("turn") % 3 == 0, F.concat("text", F.lit("."))).when(c("turn") % 5 == 0, " ").otherwise(c("a"))
-    items = both.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", c("text").alias("question"), answer.alias("answer")))).alias("items"))
+    items = both.groupBy((c("conv_id") + 1000000 * F.floor(c("turn") / 20)).alias("conv_id")).agg(F.array_sort(F.collect_list(F.struct("turn", c("text").alias("question"), answer.alias("answer")))).alias("items"))
     task = F.get(F.array(*map(F.lit, ["practice_qsn", "keypoints", "summary", "chat_msg"])), (c("conv_id") % 4).cast("int"))
     content = F.struct(c("items").alias("items"), F.transform("items", lambda x: x.answer).alias("points"), F.get("items", 0)["answer"].alias("text"))
     made = items.select("conv_id", task.alias("task"), vd.task_faults(task, content).alias("faults"))
@@ -124,13 +124,13 @@ def excerpt_prompts(spark, d):
 
 
 @query("""
-    WITH i AS (SELECT p_brand, list(struct_pack(q := p_name, o := [p_type, p_name, p_brand, p_size::VARCHAR], a := p_type) ORDER BY p_partkey) AS items FROM part GROUP BY 1)
-    SELECT p_brand, md5(array_to_string(list_transform(items, lambda x, i: i || '. ' || x.q || chr(10) || 'A) ' || x.o[1] || chr(10) || 'B) ' || x.o[2] || chr(10) || 'C) ' || x.o[3] || chr(10) || 'D) ' || x.o[4] || chr(10) || 'Answer: ' || x.a), chr(10) || chr(10))) AS exam_md5,
+    WITH i AS (SELECT p_partkey // 10 AS set_id, list(struct_pack(q := p_name, o := [p_type, p_name, p_brand, p_size::VARCHAR], a := p_type) ORDER BY p_partkey) AS items FROM part GROUP BY 1)
+    SELECT set_id, md5(array_to_string(list_transform(items, lambda x, i: i || '. ' || x.q || chr(10) || 'A) ' || x.o[1] || chr(10) || 'B) ' || x.o[2] || chr(10) || 'C) ' || x.o[3] || chr(10) || 'D) ' || x.o[4] || chr(10) || 'Answer: ' || x.a), chr(10) || chr(10))) AS exam_md5,
         md5(array_to_string(list_transform(items, lambda x, i: i || '. ' || x.q), chr(10))) AS points_md5, md5(array_to_string(list_transform(items, lambda x, i: 'Q' || i || ': ' || x.q || chr(10) || 'A: ' || x.a), chr(10) || chr(10))) AS pairs_md5 FROM i""")
 def rendered_items(spark, d):
     items = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.col("p_name").alias("question"), F.array(F.col("p_type"), F.col("p_name"), F.col("p_brand"), F.col("p_size").cast("string")).alias("options"), F.col("p_type").alias("answer")))), lambda x: F.struct(x.question.alias("question"), x.options.alias("options"), x.answer.alias("answer")))
-    made = table(spark, d, "part").groupBy("p_brand").agg(items.alias("items"))  # one set of items
-    return made.select("p_brand", F.md5(rd.exam_layout("items")).alias("exam_md5"), F.md5(rd.numbered_points(F.transform("items", lambda x: x.question))).alias("points_md5"), F.md5(rd.questions_and_answers("items")).alias("pairs_md5"))
+    made = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 10).alias("set_id")).agg(items.alias("items"))  # ten items
+    return made.select("set_id", F.md5(rd.exam_layout("items")).alias("exam_md5"), F.md5(rd.numbered_points(F.transform("items", lambda x: x.question))).alias("points_md5"), F.md5(rd.questions_and_answers("items")).alias("pairs_md5"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type || '|two' WHEN 1 THEN event_type WHEN 2 THEN '' ELSE '' END AS items, CASE event_id % 4 WHEN 1 THEN event_type WHEN 0 THEN '{"points": ["' || event_type || '", "two"]}' WHEN 2 THEN 'first|second|third' ELSE '{"other": 1}' END AS points FROM events""")

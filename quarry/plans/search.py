@@ -35,25 +35,26 @@ def throttled_progress(spark, d):
     return logs.latest_wins(rows, ["user_id", "tick"], ["ts", "event_id"]).select("user_id", "tick", "event_id")
 
 
-@query("""WITH a AS (SELECT conv_id, string_agg(turn || '', ',' ORDER BY turn) AS trail, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1)
-    SELECT c.conv_id, coalesce(trail, '') AS trail, coalesce(n, 0) AS attempts FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN a USING (conv_id)""")
+@query("""WITH k AS (SELECT conv_id + 1000000 * (turn // 20) AS conv_id, turn, role FROM conversations), a AS (SELECT conv_id, string_agg(turn || '', ',' ORDER BY turn) AS trail, count(*) AS n FROM k WHERE role = 'assistant' GROUP BY 1)
+    SELECT c.conv_id, coalesce(trail, '') AS trail, coalesce(n, 0) AS attempts FROM (SELECT DISTINCT conv_id FROM k) c LEFT JOIN a USING (conv_id)""")
 def attempt_trails(spark, d):
-    """Attempts of two lists, either of which may be missing, as one. A conversation's attempts are few."""
-    rows = table(spark, d, "conversations")
+    """Attempts of two lists, either of which may be missing, as one. Twenty turns at most are
+    one trail."""
+    rows = table(spark, d, "conversations").withColumn("conv_id", F.col("conv_id") + 1000000 * F.floor(F.col("turn") / 20))
     part = lambda cond, name: rows.filter(f"role = 'assistant' and {cond}").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias(name))
     both = rows.select("conv_id").distinct().join(part("turn < 4", "early"), "conv_id", "left").join(part("turn >= 4", "late"), "conv_id", "left")
     trail = dataset.appended(F.col("early"), F.col("late"))
     return both.select("conv_id", F.array_join(F.transform(trail, lambda t: t.cast("string")), ",").alias("trail"), F.size(trail).cast("bigint").alias("attempts"))
 
 
-@query(r"""WITH g AS (SELECT p_brand, p_size % 3 AS grp, bool_and(p_retailprice > 905) AS ok FROM part GROUP BY 1, 2), s AS (SELECT p_brand, count(DISTINCT lower(trim(trim(regexp_replace(p_type, '[ \t\r\n]+', ' ', 'g')), '.?!,;:'))) = count(*) AS distinct_ FROM part GROUP BY 1)
-    SELECT g.p_brand, count(*) AS groups, bool_and(ok) AS every_group, any_value(distinct_) AS pooled, bool_and(ok) AND any_value(distinct_) AS accepted FROM g JOIN s USING (p_brand) GROUP BY 1""")
+@query(r"""WITH p AS (SELECT *, p_partkey // 8 AS set_id FROM part), g AS (SELECT set_id, p_size % 3 AS grp, bool_and(p_retailprice > 905) AS ok FROM p GROUP BY 1, 2), s AS (SELECT set_id, count(DISTINCT lower(trim(trim(regexp_replace(p_type, '[ \t\r\n]+', ' ', 'g')), '.?!,;:'))) = count(*) AS distinct_ FROM p GROUP BY 1)
+    SELECT g.set_id, count(*) AS groups, bool_and(ok) AS every_group, any_value(distinct_) AS pooled, bool_and(ok) AND any_value(distinct_) AS accepted FROM g JOIN s USING (set_id) GROUP BY 1""")
 def pooled_acceptance(spark, d):
     """A pooled set is accepted if every group was and the pooled points pass their own check."""
-    rows = table(spark, d, "part")
-    groups = rows.groupBy("p_brand", (F.col("p_size") % 3).alias("grp")).agg(F.bool_and(F.col("p_retailprice") > 905).alias("ok")).groupBy("p_brand").agg(F.count(F.lit(1)).alias("groups"), F.bool_and("ok").alias("every_group"))
-    pooled = rows.groupBy("p_brand").agg((F.size(F.filter(vd.keypoint_faults(F.collect_list("p_type"), 0), lambda f: f == "duplicate key points")) == 0).alias("pooled"))  # one set
-    return groups.join(pooled, "p_brand").withColumn("accepted", F.col("every_group") & F.col("pooled"))
+    rows = table(spark, d, "part").withColumn("set_id", F.floor(F.col("p_partkey") / 8))
+    groups = rows.groupBy("set_id", (F.col("p_size") % 3).alias("grp")).agg(F.bool_and(F.col("p_retailprice") > 905).alias("ok")).groupBy("set_id").agg(F.count(F.lit(1)).alias("groups"), F.bool_and("ok").alias("every_group"))
+    pooled = rows.groupBy("set_id").agg((F.size(F.filter(vd.keypoint_faults(F.collect_list("p_type"), 0), lambda f: f == "duplicate key points")) == 0).alias("pooled"))  # eight points
+    return groups.join(pooled, "set_id").withColumn("accepted", F.col("every_group") & F.col("pooled"))
 
 
 @query("SELECT count(*) AS documents, count(DISTINCT source) AS sources, CAST(sum(n_chars) AS BIGINT) AS chars, (SELECT count(*) FROM conversations) AS turns, (SELECT count(*) FROM labels) AS labels FROM documents")

@@ -65,7 +65,7 @@ def document_structure(spark, d):
 @query(f"""WITH {STRUCTURE_SQL}, c AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ts FROM units),
     t AS (SELECT doc_id, unit, section_id, section_heading, text FROM c WHERE NOT (len(ts) >= 3 AND (len(list_filter(ts, lambda x: regexp_matches(x, '\\. ?\\. ?\\.'))) * 10 >= len(ts) * 3 OR len(list_filter(ts, lambda x: length(x) < 90 AND regexp_matches(x, '[ \\t][0-9]{{1,4}}[ \\t]*$'))) * 10 >= len(ts) * 7)))
     SELECT doc_id || '-C' || lpad(CAST(row_number() OVER w AS VARCHAR), 4, '0') AS chunk_id, doc_id, last_value(section_id IGNORE NULLS) OVER w AS section_id,
-        section_heading, section_id IS NULL AND last_value(section_id IGNORE NULLS) OVER w IS NOT NULL AS inherited, md5(text) AS text_md5, length(text) AS chars FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY unit)""")
+        section_heading, section_id IS NULL AND last_value(section_id IGNORE NULLS) OVER w IS NOT NULL AS inherited, md5(text) AS text_md5, length(text) AS chars, length(text) < 120 AS thin FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY unit)""")
 def section_fill(spark, d):
     """Numbered units without contents tables, with the section they belong to."""
     units = chunks.structure(paged(spark, d)).withColumnRenamed("unit", "at")
@@ -137,13 +137,13 @@ def pooled_items(spark, d):
 
 
 @query("""
-    WITH RECURSIVE m AS (SELECT conv_id, list(CAST(length(text) % 9 AS INT) ORDER BY turn) AS made FROM conversations GROUP BY 1),
+    WITH RECURSIVE m AS (SELECT conv_id + 1000000 * (turn // 20) AS conv_id, list(CAST(length(text) % 9 AS INT) ORDER BY turn) AS made FROM conversations GROUP BY 1),
     f AS (SELECT conv_id, made, 1 AS i, 0 AS have, CAST([] AS INT[]) AS asks FROM m
         UNION ALL SELECT conv_id, made, i + 1, have + least(made[i], greatest(1, least(8, CAST(ceil((20 - have) / CAST(len(made) - i + 1 AS DOUBLE)) AS INT)))), list_append(asks, greatest(1, least(8, CAST(ceil((20 - have) / CAST(len(made) - i + 1 AS DOUBLE)) AS INT)))) FROM f WHERE i <= len(made) AND have < 20)
     SELECT conv_id, array_to_string(arg_max(asks, i), ',') AS asks FROM f GROUP BY 1""")
 def remaining_shares(spark, d):
-    """What each group is asked for when the ones before it fell short. A conversation is a bounded list of groups."""
-    made = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", (F.length("text") % 9).alias("m")))), lambda x: x.m).alias("made"))
+    """What each group is asked for when the ones before it fell short: twenty turns of a conversation are the groups."""
+    made = table(spark, d, "conversations").groupBy((F.col("conv_id") + 1000000 * F.floor(F.col("turn") / 20)).alias("conv_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", (F.length("text") % 9).alias("m")))), lambda x: x.m).alias("made"))
     return made.select("conv_id", F.array_join(F.transform(planning.shares(F.col("made"), 20, 8), lambda x: x.cast("string")), ",").alias("asks"))
 
 
@@ -158,11 +158,9 @@ def summary_folds(spark, d):
 
 @query("SELECT doc_id, 'DOC-' || lpad(CAST(row_number() OVER (ORDER BY source, doc_id) AS VARCHAR), 3, '0') AS label FROM (SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY 1)")
 def corpus_numbers(spark, d):
-    """The first document of each source, numbered over the corpus: only these few meet in one order."""
-    from pyspark.sql import Window as W
-
+    """The first document of each source, numbered over the corpus."""
     first = docs(spark, d).groupBy("source").agg(F.min("doc_id").alias("doc_id"))
-    return first.select("doc_id", F.format_string("DOC-%03d", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("source", "doc_id"))).alias("label"))
+    return logs.numbered(first, "source", "doc_id").select("doc_id", F.format_string("DOC-%03d", "number").alias("label"))
 
 
 FILE_SQL = "['Penal-Code', 'Code of Criminal', 'Civil.Procedure', 'CONSTITUTION', 'evidence', 'Companies', 'Patent', 'Muslim-Marriage', 'consumer', 'Land', 'Labour', 'Arbitration', 'Appeal', 'Gazette', 'x'][CAST(p_partkey % 15 + 1 AS INT)] || '-' || replace(p_name, ' ', '-') || '.pdf'"

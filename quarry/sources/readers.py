@@ -68,13 +68,6 @@ def manifest(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     return rows
 
 
-def last_of_name(rows: DataFrame, name: str, value: str, order: str) -> DataFrame:
-    """Lookup of a manifest: trimmed, without blanks and duplicates, lower-case names; the last row wins."""
-    own = rows.select(F.lower(F.trim(name)).alias("name"), F.trim(value).alias("value"), order)
-    kept = own.filter((F.col("name") != "") & (F.col("value") != "") & ~F.col("value").startswith("duplicate"))
-    return kept.groupBy("name").agg(F.max_by("value", order).alias("value"))
-
-
 def files(spark: SparkSession, folder: str, skip: tuple[str, ...] = (), suffixes: str = r"(?i)\.(pdf|html?)$") -> DataFrame:
     """Files of a folder by path, without their content until it is selected."""
     found = spark.read.format("binaryFile").load(folder).filter(F.col("path").rlike(suffixes))
