@@ -21,9 +21,9 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Distinct pretokens remembered by a worker (about 200 bytes each); the table starts anew beyond it.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Bytes of text that a worker splits into pretokens at once.
-CORPUS_BYTES = 2 << 20
+CORPUS_BYTES = 1 << 20
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:

@@ -49,7 +49,7 @@ def keyed_state(arrivals: DataFrame, ws: Workspace, batches: int = BATCHES, name
     spark = main.newSession()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "64")
     # Without this every state partition holds files of 4 MB from its first row on.
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     spark.conf.set("spark.sql.shuffle.partitions", main.conf.get("spark.sql.shuffle.partitions"))
