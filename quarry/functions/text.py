@@ -41,7 +41,7 @@ GLYPHS = {
 @F.arrow_udf(T.StringType())
 def nfkc(text: pa.Array) -> pa.Array:
     """Unicode normalisation, which Spark lacks, over Arrow batches (Arrow's own leaves combining marks apart)."""
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
 def clean_page(text: Column) -> Column:
@@ -54,7 +54,7 @@ def clean_page(text: Column) -> Column:
     s = PAGE_WS
     t = F.regexp_replace(t, rf"(?dm)^{s}*\p{{Nd}}{{1,4}}{s}*$", "")
     t = F.regexp_replace(t, rf"([A-Za-z])-{s}*\n{s}*([a-z])", "$1$2")
-    t = F.regexp_replace(t, rf"([a-zA-Z]+){s}*\n{s}*-{s}*([a-zA-Z]+)", "$1$2")
+    t = F.regexp_replace(t, rf"([a-zA-Z]){s}*\n{s}*-{s}*([a-zA-Z]+)", "$1$2")  # the last letter of the word before is enough
     t = F.regexp_replace(t, r"(?:^|\n)[ \t]*[-*][ \t]+", " ")
     return F.trim(F.regexp_replace(t, f"{s}+", " "))
 

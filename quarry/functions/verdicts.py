@@ -138,14 +138,14 @@ def stage(unparsed: Column, reasons: Column, evaluate: Column) -> Column:
     return F.when(unparsed, "parse").when(F.size(reasons) > 0, "validator").when(~evaluate, "skipped").otherwise("judge")
 
 
-def chat_route(passed: Column, attempt: Column, most: Column, score: Column, threshold: Column, critique: Column, margin: int = DEFAULTS.hopeless_margin) -> Column:
+def chat_route(passed: Column, attempt: Column, score: Column, threshold: Column, critique: Column, most: int = DEFAULTS.max_attempts, margin: int = DEFAULTS.hopeless_margin) -> Column:
     """`persist` when passed, out of budget, without a usable critique or far below the threshold; else `generate`."""
     critique = F.coalesce(critique, F.lit(""))
     hopeless = F.coalesce(score, F.lit(0)) < F.coalesce(threshold, F.lit(DEFAULTS.judge_threshold)) - margin
     return F.when(F.coalesce(passed, F.lit(False)) | (attempt >= most) | (critique == "") | critique.contains(NO_VERDICT) | hopeless, "persist").otherwise("generate")
 
 
-def resource_route(passed: Column, attempt: Column, most: Column) -> Column:
+def resource_route(passed: Column, attempt: Column, most: int = DEFAULTS.max_attempts) -> Column:
     return F.when(F.coalesce(passed, F.lit(False)) | (attempt >= most), "persist").otherwise("generate")
 
 

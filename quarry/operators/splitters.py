@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,9 @@ from quarry.operators import chunks
 SEPARATORS = (". ", "; ", ": ", "? ", "! ", ") ", ", ", " ", "")
 
 
+LEADERS = re.compile(r"(?:\.[ \t\r\n]*){3,}")
+
+
 def cut(text: str, separator: str) -> list[str]:
     if not separator:
         return list(text)
@@ -86,11 +90,11 @@ def page_chunks(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [recursive_split(t or "") for t in b.column("text").to_pylist()]
+            # Contents pages are told here: as a filter before, the test would have a page cleaned twice.
+            made = [[] if len(LEADERS.findall(t or "")) >= DEFAULTS.page_contents_leaders else recursive_split(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("page_number"), pa.array(made, pa.list_(pa.string()))], names=["doc_id", "page_number", "chunks"])
 
-    prose = pages.filter(~tx.is_contents(F.col("text"), DEFAULTS.page_contents_leaders)).select("doc_id", F.col("page_number").cast("bigint").alias("page_number"), "text")
-    split = prose.mapInArrow(run, "doc_id bigint, page_number bigint, chunks array<string>")
+    split = pages.select("doc_id", F.col("page_number").cast("bigint").alias("page_number"), "text").mapInArrow(run, "doc_id bigint, page_number bigint, chunks array<string>")
     good = F.filter("chunks", lambda c: tx.is_substantive(c) & ~tx.is_contents(c, DEFAULTS.chunk_contents_leaders))
     return split.select("doc_id", "page_number", F.posexplode(good).alias("chunk_index", "chunk"))
 
@@ -114,4 +118,6 @@ def preprocessed(pages: DataFrame, book: str, page: str, share: float = 0.5) ->
     """book, page, text: pages without repeated lines, cleaned; those left empty drop out."""
     gone = chunks.repeated_lines(pages, book, page, share)
     left = chunks.without_lines(pages.select(book, page, "text"), book, page, gone)
-    return left.select(book, page, tx.clean_page(tx.nfkc("text")).alias("text")).filter("text != ''")
+    # Exploded instead of filtered: a filter would move below and clean each page twice.
+    cleaned = F.filter(F.array(tx.clean_page(F.col("text"))), lambda t: t != "")
+    return left.select(book, page, tx.nfkc("text").alias("text")).select(book, page, F.explode(cleaned).alias("text"))

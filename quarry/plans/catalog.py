@@ -411,8 +411,8 @@ def best_attempt(spark, d):
     rows = scores(spark, d).select(F.col("user_id").alias("key"), F.when(F.col("task") != "error", F.col("score")).alias("score"), "ts", "event_id")
     best = logs.best_attempts(rows.withColumn("attempt", F.row_number().over(order).cast("bigint")))
     critique = F.when(F.col("key") % 4 == 0, "").when(F.col("key") % 4 == 1, "The judge failed to return a verdict").otherwise("Name the section")
-    passed, most = F.col("score") >= 70, F.lit(3)
-    chat = vd.chat_route(passed, F.col("attempt"), most, F.col("score"), F.lit(70), critique)
+    passed, most = F.col("score") >= 70, 3
+    chat = vd.chat_route(passed, F.col("attempt"), F.col("score"), F.lit(70), critique, most)
     return best.select("*", chat.alias("chat"), vd.resource_route(passed, F.col("attempt"), most).alias("resource"))
 
 

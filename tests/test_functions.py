@@ -97,7 +97,7 @@ def test_verdicts_fail_closed(spark, reply, score, instruction):
 ])
 def test_routes(spark, passed, score, attempt, critique, chat):
     row = spark.createDataFrame([(passed, score, attempt, critique)], "p boolean, s int, a int, c string")
-    got = row.select(vd.chat_route(F.col("p"), F.col("a"), F.lit(2), F.col("s"), F.lit(70), F.col("c")).alias("x"), vd.resource_route(F.col("p"), F.col("a"), F.lit(2)).alias("y")).first()
+    got = row.select(vd.chat_route(F.col("p"), F.col("a"), F.col("s"), F.lit(70), F.col("c")).alias("x"), vd.resource_route(F.col("p"), F.col("a")).alias("y")).first()
     assert got.x == chat and got.y == ("persist" if passed or attempt >= 2 else "generate")
 
 

@@ -131,6 +131,22 @@ def test_html_text_by_hand(spark, duck):
     assert not any("<script" in t or "<style" in t for t in got.values())
 
 
+def test_reports_of_chunks_by_hand(spark, duck):
+    from quarry.sources.readers import text_of
+
+    want = {}
+    for r in QUERIES["section_chunks"](spark, DATA).collect():
+        n, inherited, chars = want.get(r.doc_id, (0, 0, 0))
+        want[r.doc_id] = (n + 1, inherited + r.inherited, chars + r.chars)
+    assert {r.doc_id: (r.n, r.inherited, r.chars) for r in QUERIES["unit_chunk_report"](spark, DATA).collect()} == want
+    got = {}
+    for r in QUERIES["page_html_chunks"](spark, DATA).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    for page_id, html in duck.sql("SELECT page_id, html FROM pages").fetchall():
+        kept = [c for c in splitters.recursive_split(text_of(html)) if sum(x.isascii() and x.isalnum() for x in c) >= 80]
+        assert got.get(page_id, 0) == len(kept)
+
+
 def test_index_finds_most_exact_neighbours(spark):
     data = "/root/testdata/sf0.1"
     exact = {(r.query_id, r.vec_id) for r in retrieval.cosine_top_k(*catalog.vectors(spark, data), k=10).collect()}
