@@ -22,14 +22,16 @@ WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122
 class Workspace:
     """Intermediate Parquet tables in the folder that spark.checkpoint.dir names.
 
-    A written table cuts lineage and survives lost executors. Where the setting is unset (tests on one machine),
-    a temporary folder is made and set.
+    A written table cuts lineage and survives lost executors. Where the setting is unset, a local master (tests) gets a
+    temporary folder, and a cluster an error.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="quarry-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
