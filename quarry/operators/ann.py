@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quarry.config import DEFAULTS
 from quarry.operators import retrieval
 
-SAMPLE, BLOCK_ROWS, MOST_LISTS = 20_000, 50_000, 4096
+SAMPLE, BLOCK_ROWS, MOST_LISTS, PARTS = 20_000, 50_000, 4096, 1 << 20
 #: Share of the lists that a query probes, and the fewest. Half is what a recall of 0.9 takes where vectors have no
 #: clusters at all (measured: 0.93 to 0.97 on random directions in 64 dimensions); clustered vectors need far less.
 PROBED, FEWEST = 0.5, 8
@@ -27,9 +27,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def centroids(corpus: DataFrame, lists: int, rounds: int = 10) -> np.ndarray:
-    """Directions of `lists` groups of the sample, by spherical k-means from evenly spaced rows."""
-    some = corpus.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()  # bounded by SAMPLE
+def centroids(corpus: DataFrame, n: int, lists: int, rounds: int = 10) -> np.ndarray:
+    """Directions of `lists` groups of the sample of n vectors, by spherical k-means from evenly spaced rows."""
+    share = -(-PARTS * 4 * SAMPLE // n)  # thinned by hash before anything is ordered
+    some = corpus.filter(F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)) < share).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()  # bounded by SAMPLE
     x = unit(np.array([r.embedding for r in some], np.float64))
     made = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
     for _ in range(rounds):
@@ -61,7 +62,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULTS.top_k) -> Dat
     lists = int(min(MOST_LISTS, max(1, 4 * np.sqrt(n))))
     if n == 0:
         return retrieval.cosine_top_k(queries, corpus, k)
-    made = corpus.sparkSession.sparkContext.broadcast(centroids(corpus, lists))
+    made = corpus.sparkSession.sparkContext.broadcast(centroids(corpus, n, lists))
     own = placed(corpus, "vec_id", made, 1).select("vec_id", F.col("embedding").alias("v"), F.get("lists", 0).alias("list"))
     sizes = own.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))  # MOST_LISTS rows at most
     right = own.join(F.broadcast(sizes), "list").select("vec_id", "v", "list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"))
