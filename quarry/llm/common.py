@@ -30,7 +30,7 @@ class Workspace:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            if not spark.sparkContext.master.startswith("local"):
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="quarry-")
             spark.conf.set("spark.checkpoint.dir", root)
