@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, chat, decontam, dedup, language, licenses, ngram_join, pii, quality, toxicity
+from quarry.llm import alignment, bpe, chat, decontam, dedup, language, licenses, ngram_join, pieces, pii, quality, runs, toxicity
 from quarry.llm.common import documents
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -54,7 +54,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_chat_formatting, op4_license_scan, op5_exact_dedup, op6_pii, op7_quality_classifier, op8_toxicity, op9_decontamination, op10_language_id)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(runs.planted(documents(spark, sf_dir)))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_bpe, op3_chat_formatting, op4_license_scan, op5_exact_dedup, op6_pii, op7_quality_classifier, op8_toxicity, op9_decontamination, op10_language_id, op11_periodic_runs, op12_sentencepiece, op13_alignment)}
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"coalesce(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
