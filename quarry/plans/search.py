@@ -13,8 +13,9 @@ from quarry.sources import readers, sinks
 
 @query()
 def ann_topk(spark, d):
-    """Approximate neighbours; the test measures recall against the exact ones."""
-    return ann.search(*vectors(spark, d), k=10, indexed=True)
+    """Approximate neighbours by a written index; the test measures recall against the exact ones."""
+    queries, corpus = vectors(spark, d)
+    return ann.search(queries, corpus, k=10, index=ann.Index.build(corpus) if corpus.take(1) else None)
 
 
 @query(COSINE_SQL.format(where="") + """, b AS (SELECT query_id, label AS page, min(rank) AS best FROM r WHERE rank <= 12 GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, page) AS place FROM b)
