@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import verdicts as vd
-from quarry.operators import ann, dataset, logs, retrieval
+from quarry.operators import ann, dataset, logs, postings, retrieval
 from quarry.plans.catalog import COSINE_SQL, vectors
 from quarry.plans.registry import docs, query, table
 from quarry.sources import readers, sinks
@@ -72,3 +72,32 @@ def overview_file(spark, d):
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, source AS filename, n_chars AS size, CASE WHEN n_chars > 2000 THEN 'Ready' ELSE 'Processing' END AS status FROM documents")
 def document_listing(spark, d):
     return docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("filename"), F.col("n_chars").alias("size"), F.when(F.col("n_chars") > 2000, "Ready").otherwise("Processing").alias("status"))
+
+
+#: Hashed sparse vectors: of several words of a bucket, the first in the text counts.
+HASHED_SQL = """WITH t AS (SELECT key, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM ({0})),
+    p AS (SELECT key, unnest(w) AS word, unnest(range(len(w))) AS pos FROM t), c AS (SELECT key, word, count(*) AS n, min(pos) AS pos FROM p GROUP BY 1, 2),
+    b AS (SELECT key, CAST(CAST(concat('0x', md5(word)) AS UHUGEINT) % 1000000 AS BIGINT) AS bucket, n, pos FROM c)
+    SELECT key, bucket, arg_min(n, pos) AS weight FROM b GROUP BY 1, 2"""
+
+
+@query(f"""WITH v AS ({HASHED_SQL.format('SELECT doc_id AS key, text FROM documents')})
+    SELECT doc_id, count(bucket) AS buckets, coalesce(sum(weight), 0)::BIGINT AS weights, md5(coalesce(string_agg(bucket || ':' || weight, ',' ORDER BY bucket), '')) AS vector_md5 FROM documents LEFT JOIN v ON key = doc_id GROUP BY 1""")
+def sparse_vectors(spark, d):
+    """The sparse part of each document's vector as it is stored beside the dense one."""
+    rows = docs(spark, d).select("doc_id", "text")
+    cells = F.array_sort(F.collect_list(F.struct("bucket", "weight")))  # of one text
+    made = postings.sparse_vectors(rows, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("buckets"), F.sum("weight").alias("weights"), cells.alias("cells"))
+    told = F.array_join(F.transform("cells", lambda c: F.concat_ws(":", c.bucket.cast("string"), c.weight.cast("string"))), ",")
+    both = rows.select("doc_id").join(made, "doc_id", "left")
+    return both.select("doc_id", F.coalesce("buckets", F.lit(0)).alias("buckets"), F.coalesce("weights", F.lit(0)).alias("weights"), F.md5(F.coalesce(told, F.lit(""))).alias("vector_md5"))
+
+
+@query(f"""WITH v AS ({HASHED_SQL.format('SELECT doc_id AS key, text FROM documents')}), q AS ({HASHED_SQL.format('SELECT item_id AS key, text FROM benchmark')}),
+    s AS (SELECT q.key AS query_id, v.key AS doc_id, CAST(sum(v.weight * q.weight) AS BIGINT) AS score FROM v JOIN q USING (bucket) GROUP BY 1, 2),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s)
+    SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10""")
+def hashed_sparse_topk(spark, d):
+    """Every benchmark item against all documents, by written postings with bounds."""
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return postings.Postings.build(docs(spark, d).select("doc_id", "text")).top_k(queries, 10)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import ann, retrieval
+from quarry.operators import ann, postings, retrieval
 from quarry.plans import catalog
 
 LARGE = "/root/testdata/sf0.1"
@@ -64,3 +64,49 @@ def test_index_of_odd_vectors(spark):
     with pytest.raises(ValueError, match="no vectors"):
         ann.Index.build(none)
     assert ann.search(queries, none, 4).collect() == [] and ann.search(queries.limit(0), corpus, 4, index=ann.Index.build(corpus)).collect() == []
+
+
+def sparse(text):
+    """Weights by bucket, from the description: the first word of a bucket counts."""
+    import hashlib
+    import re
+
+    out, words = {}, re.findall(r"\w+", (text or "").lower())
+    for w in words:
+        bucket = int(hashlib.md5(w.encode()).hexdigest(), 16) % 1_000_000
+        if out.setdefault(bucket, (w, 0))[0] == w:
+            out[bucket] = (w, out[bucket][1] + 1)
+    return {b: n for b, (_, n) in out.items()}
+
+
+@pytest.fixture(scope="module")
+def word_texts():
+    draw = random.Random(8)
+    usual = [f"w{i}" for i in range(30)]
+    made = [" ".join(draw.choice(usual) for _ in range(draw.choice([3, 10, 60, 300]))) for _ in range(200)]
+    made += [f"{made[k]} rare{k % 7} Straße naïve_1 ②" for k in range(40)]
+    return [*enumerate(made), (900, None), (901, ""), (902, "?!"), (903, "w1 " * 5000)]
+
+
+@pytest.mark.parametrize("size", [8, 1024])
+def test_postings_give_the_full_product(spark, word_texts, size, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_DOCS", size)
+    queries = [(1, "rare3 straße"), (2, "w1"), (3, "W2 w2 w5 rare1"), (4, "unknown"), (5, None), (6, "w1 w2 w3 w4 w5 w6 w7 ②")]
+    built = postings.Postings.build(spark.createDataFrame(word_texts, "doc_id bigint, text string"))
+    made, met = postings.Postings(spark, built.path).search(spark.createDataFrame(queries, "query_id bigint, text string"), 5)
+    vectors = {i: sparse(t) for i, t in word_texts}
+    want = []
+    for q, text in queries:
+        own = sparse(text)
+        scored = sorted(((-sum(n * v[b] for b, n in own.items() if b in v), i) for i, v in vectors.items() if own.keys() & v.keys()))[:5]
+        want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(scored)]
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+    counts = {r.query_id: (r.blocks, r.scored) for r in met.collect()}
+    if size == 8:
+        assert counts[2][0] > 20 and counts[2][1] < counts[2][0] / 2  # most blocks passed over
+
+
+def test_first_word_of_a_bucket_counts(spark, monkeypatch):
+    monkeypatch.setattr(postings.tx, "bucket_of", lambda word: F.length(word))
+    made = postings.sparse_vectors(spark.createDataFrame([(1, "bb a aa c bb a")], "doc_id bigint, text string"), "doc_id")
+    assert {(r.bucket, r.weight) for r in made.collect()} == {(1, 2), (2, 2)}
