@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +17,8 @@ from quarry.functions import text as tx
 from quarry.operators import logs
 
 SPLITS = ["train", "val", "test"]
+#: Classes of units (a subject and a size) that may be broadcast.
+BROADCAST_CLASSES = 500_000
 
 
 #: What template pairs ask and answer, by type, with %subject%, %heading% and %snippet% to be filled in.
@@ -110,32 +117,108 @@ def leaks(rows: DataFrame, unit: str, split: str = "split") -> DataFrame:
     return rows.groupBy(unit).agg(F.count_distinct(split).alias("splits")).filter("splits > 1")
 
 
+def after(quota: list[float], held: list[int], n: int, handed: np.ndarray) -> np.ndarray:
+    """How many of the first `handed` units of size n each split gets, when every unit goes to the split furthest below its
+    quota (the first of equal ones) and splits hold `held` before.
+
+    The first so many units are those above some level among the falling rows quota - held - j n of all splits. A level
+    that lies two sizes higher gives all but a few of them at once; those few are handed out one by one.
+    """
+    below = np.array([q - h for q, h in zip(quota, held, strict=True)])
+    if not n:  # units without rows change nothing: all go to one split
+        return (np.arange(len(quota)) == below.argmax()) * np.asarray(handed)[:, None]
+    falling = np.sort(below)[::-1]
+    level = falling[0] - handed * float(n)
+    for m in range(2, len(quota) + 1):
+        level = np.where(level < falling[m - 1], (falling[:m].sum() - handed * float(n)) / m, level)
+    got = np.maximum(np.ceil((below[None, :] - level[:, None]) / n) - 2, 0).astype(np.int64)
+    while len(short := np.flatnonzero(got.sum(axis=1) < handed)):
+        got[short, choice(quota, held, n, got[short])] += 1
+    return got
+
+
+def choice(quota: list[float], held: list[int], n: int, got: np.ndarray) -> np.ndarray:
+    """The split that the next unit goes to, after each split got so many units of size n."""
+    return (np.array(quota)[None, :] - (np.array(held)[None, :] + got * n)).argmax(axis=1)
+
+
+def class_plan(sizes: list[tuple[int, int]], ratios: tuple[float, ...]) -> tuple[list[float], list[list[int]], list[tuple[int, int, int]]]:
+    """Of classes (size of unit, units), the largest size first: the quotas, what each split holds before each class, and
+    moves (class, place in it, split): where there are as many units as splits, a split without any gets the smallest unit of
+    the split that is furthest above its quota and has more than one, one after another."""
+    quota = [sum(n * c for n, c in sizes) * r for r in ratios]
+    held, counts, before, got = [0] * len(ratios), [0] * len(ratios), [], []
+    for n, c in sizes:
+        before.append(held.copy())
+        own = after(quota, held, n, np.array([c]))[0].tolist()
+        got.append(own)
+        held = [h + k * n for h, k in zip(held, own, strict=True)]
+        counts = [x + k for x, k in zip(counts, own, strict=True)]
+    moves: list[tuple[int, int, int]] = []
+    for empty in range(len(ratios)):
+        if counts[empty] or sum(c for _, c in sizes) < len(ratios):
+            continue
+        givers = [i for i in range(len(ratios)) if counts[i] > 1]
+        if not givers:
+            continue
+        giver = max(givers, key=lambda i: (held[i] - quota[i], -i))
+        of = max(k for k, own in enumerate(got) if own[giver])
+        # The place of the giver's first unit in that class that it still has.
+        gone = sum(1 for k, place, _ in moves if k == of and choice(quota, before[of], sizes[of][0], after(quota, before[of], sizes[of][0], np.array([place])))[0] == giver)
+        low, high = 0, sizes[of][1] - 1
+        while low < high:
+            mid = (low + high) // 2
+            if after(quota, before[of], sizes[of][0], np.array([mid + 1]))[0][giver] > gone:
+                high = mid
+            else:
+                low = mid + 1
+        moves.append((of, low, empty))
+        got[of][giver] -= 1
+        for split, sign in ((giver, -1), (empty, 1)):
+            held[split] += sign * sizes[of][0]
+            counts[split] += sign
+    return quota, before, moves
+
+
 def stratified_assign(units: DataFrame, ratios: tuple[float, ...] = (0.70, 0.15, 0.15)) -> DataFrame:
     """subject, unit, split: each subject's units, largest first (ties by a hash), go to the split furthest under its quota.
+    units: subject, unit (once), n.
 
-    Sequential within a subject, so one Arrow group for each; a group is a table of units, not of rows.
+    Units of one size are a class with a count. A subject's classes, no more than there are sizes, are followed in order;
+    what each split holds before a class tells in closed form where the unit at any place of it goes. Places come from a
+    numbering by range, so that no task holds all units of a subject.
     """
-
     if abs(sum(ratios) - 1) > 1e-6:
         raise ValueError("ratios must add up to 1")
-
-    def assign(frame):
-        frame = frame.sort_values(["n", "tie", "unit"], ascending=[False, True, True])
-        quota = [frame.n.sum() * r for r in ratios]
-        held, chosen = [0] * len(ratios), []
-        for n in frame.n:
-            at = max(range(len(ratios)), key=lambda i: (quota[i] - held[i], -i))
-            held[at] += n
-            chosen.append(at)
-        if len(frame) >= len(ratios):
-            for empty in [i for i in range(len(ratios)) if i not in chosen]:
-                givers = [i for i in set(chosen) if chosen.count(i) > 1]
-                giver = max(givers, key=lambda i: (held[i] - quota[i], -i))
-                last = max(k for k, c in enumerate(chosen) if c == giver)
-                chosen[last] = empty
-        return frame.assign(split=[SPLITS[i] for i in chosen])[["subject", "unit", "split"]]
-
-    return units.withColumn("tie", F.xxhash64("unit")).groupBy("subject").applyInPandas(assign, "subject string, unit string, split string")
+    kinds = {c: units.schema[c].dataType.simpleString() for c in ("subject", "unit")}
+    placed = logs.numbered(units.select("subject", "unit", F.col("n").cast("bigint").alias("n"), (-F.col("n")).cast("bigint").alias("__n"), F.xxhash64("unit").alias("__tie")), "subject", "__n", "__tie", "unit")
+    classes = placed.groupBy("subject", "n").agg(F.count(F.lit(1)).alias("c"), F.min("number").alias("first"))
+
+    def plan(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("n", ascending=False)
+        quota, before, moves = class_plan(list(zip(frame.n.tolist(), frame.c.tolist(), strict=True)), ratios)
+        rows = [(s, n, first, quota, held, [p for k, p, _ in moves if k == i], [x for k, _, x in moves if k == i]) for i, (s, n, first, held) in enumerate(zip(frame.subject, frame.n, frame["first"], before, strict=True))]
+        return pd.DataFrame(rows, columns=["subject", "n", "first", "quota", "held", "moved", "to"])
+
+    plans = classes.groupBy("subject").applyInPandas(plan, f"subject {kinds['subject']}, n bigint, first bigint, quota array<double>, held array<bigint>, moved array<bigint>, to array<bigint>")
+    plans = plans.withColumnsRenamed({"subject": "__subject", "n": "__size"})
+    plans = F.broadcast(plans) if classes.count() <= BROADCAST_CLASSES else plans
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            frame = b.select(["number", "n", "first", "quota", "held", "moved", "to"]).to_pandas()
+            out = np.empty(len(frame), object)
+            for (first, n), own in frame.groupby(["first", "n"]):
+                head = own.iloc[0]
+                quota, held, places = list(head.quota), list(head.held), (own.number - first).to_numpy()
+                got = choice(quota, held, int(n), after(quota, held, int(n), places))
+                for place, split in zip(head.moved, head.to, strict=True):
+                    got[places == place] = split
+                out[own.index] = [SPLITS[i] for i in got]
+            yield pa.RecordBatch.from_arrays([b.column("subject"), b.column("unit"), pa.array(out.tolist(), pa.string())], names=["subject", "unit", "split"])
+
+    met = placed.join(plans, F.col("subject").eqNullSafe(F.col("__subject")) & (F.col("n") == F.col("__size")))
+    return met.mapInArrow(give, f"subject {kinds['subject']}, unit {kinds['unit']}, split string")
 
 
 def document_split(docs: DataFrame, ratios: tuple[float, ...] = (0.70, 0.15, 0.15), seed: int = 42) -> DataFrame:

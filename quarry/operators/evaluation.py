@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.config import DEFAULTS
@@ -76,3 +77,25 @@ def token_lengths(rows: DataFrame, group: str, length: str) -> DataFrame:
     sized = ranks.withColumn("window", rd.power_of_two_at_least(F.col("p95")))
     over = rows.join(sized.select(group, "window"), group).groupBy(group).agg(F.count_if(F.col(length) > F.col("window")).alias("cut"))
     return sized.join(over, group)
+
+
+def positions(path_rows: DataFrame) -> DataFrame:
+    """The rows of a read of Parquet files with `position` from 0: by file name, then by place in the file.
+
+    The places come from the reader, and what the files before hold from one count a file: no row is moved.
+    """
+    own = path_rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    earlier = F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(W.unboundedPreceding, -1))  # one row a file
+    files = own.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).select("__file", F.coalesce(earlier, F.lit(0)).alias("__before"))
+    return own.join(files, "__file").withColumn("position", F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+
+
+def zipped(predictions: DataFrame, rows: DataFrame) -> DataFrame:
+    """Predictions and rows (reads of Parquet files, no filters) by position: position, prediction (struct), row (struct), matched.
+
+    Tables of unequal length keep all positions: where one ends, its struct is null and `matched` is false.
+    """
+    left = positions(predictions).select("position", F.struct(*predictions.columns).alias("prediction"))
+    right = positions(rows).select("position", F.struct(*rows.columns).alias("row"))
+    both = left.join(right, "position", "full_outer")
+    return both.withColumn("matched", F.col("prediction").isNotNull() & F.col("row").isNotNull())

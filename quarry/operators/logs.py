@@ -150,15 +150,22 @@ def daily(events: DataFrame, ts: str, days: int) -> DataFrame:
 
 
 def fold_jobs(events: DataFrame, final: list[str]) -> DataFrame:
-    """job, status, transitions, done, partial, error: the last transition of each job (ties: the later event).
+    """job, status, transitions, done, partial, progress, reply_ready, error: the last transition of each job (ties: the
+    later event).
 
-    events: job, ts, event_id, status, partial, error. The partial text is the last known one and is cleared by a final
-    status; the error is the last one, cut at 2000 characters, and stays only with status `error`.
+    events: job, ts, event_id, status, partial, progress, reply, error. The partial text and the progress message are the
+    last known ones. The first complete reply is published: it stands as the partial text from then on, whatever comes
+    later, and sets reply_ready. A final status clears all three. The error is the last one, cut at 2000 characters, and
+    stays only with status `error`.
     """
-    known = F.max(F.when(F.col("partial").isNotNull(), F.struct("ts", "event_id", "partial"))).alias("p")
-    g = events.groupBy("job").agg(F.max(F.struct("ts", "event_id", "status", "error")).alias("s"), F.count(F.lit(1)).alias("transitions"), known)
+    known = lambda c, pick: pick(F.when(F.col(c).isNotNull(), F.struct("ts", "event_id", c)))[c]
+    told = [known("partial", F.max).alias("told"), known("progress", F.max).alias("message"), known("reply", F.min).alias("reply")]
+    g = events.groupBy("job").agg(F.max(F.struct("ts", "event_id", "status", "error")).alias("s"), F.count(F.lit(1)).alias("transitions"), *told)
     status, done = F.col("s.status"), F.col("s.status").isin(final)
-    return g.select("job", status.alias("status"), "transitions", done.alias("done"), F.when(~done, F.col("p.partial")).alias("partial"), F.when(status == "error", F.substring("s.error", 1, 2000)).alias("error"))
+    return g.select(
+        "job", status.alias("status"), "transitions", done.alias("done"), F.when(~done, F.coalesce("reply", "told")).alias("partial"), F.when(~done, F.col("message")).alias("progress"),
+        (~done & F.col("reply").isNotNull()).alias("reply_ready"), F.when(status == "error", F.substring("s.error", 1, 2000)).alias("error"),
+    )
 
 
 def fail_running(jobs: DataFrame, live: list[str], reason: str) -> DataFrame:

@@ -54,30 +54,51 @@ def breaks(n: np.ndarray, limit: int, most: int, most_known: bool) -> list[int]:
     return sorted(rows)
 
 
-def pack(rows: DataFrame, group: str, order: str, limit: int, most: int | None = None) -> DataFrame:
+def pack(rows: DataFrame, group: str, order: str, limit: int | str, most: int | None = None) -> DataFrame:
     """group, run (from 0), rows, chars: runs of at most `limit` characters with GAP between rows, and `most` rows; a row
-    that is larger alone is a run. rows: group, order (a number), text."""
+    that is larger alone is a run. rows: group, order (a number), text. A limit that is a name is a column, the same in all rows of a group."""
+
+    def whole(numbers: np.ndarray, n: np.ndarray, made: list[tuple[int, int, int]]) -> pd.DataFrame:
+        return pd.DataFrame(made, columns=["run", "rows", "chars"])
+
+    made = dealt(rows, group, order, limit, most, whole, "run bigint, rows bigint, chars bigint")
+    return made.filter("rows > 0").groupBy(F.col("g").alias(group), "run").agg(F.sum("rows").alias("rows"), F.sum("chars").alias("chars"))
+
+
+def assigned(rows: DataFrame, group: str, order: str, limit: int | str, most: int | None = None) -> DataFrame:
+    """group, order, run: the run of each row (see `pack`)."""
+
+    def each(numbers: np.ndarray, n: np.ndarray, made: list[tuple[int, int, int]]) -> pd.DataFrame:
+        return pd.DataFrame({"o": numbers, "run": np.repeat([r for r, _, _ in made], [k for _, k, _ in made])})
+
+    made = dealt(rows, group, order, limit, most, each, "o bigint, run bigint")
+    return made.select(F.col("g").alias(group), F.col("o").alias(order), "run")
+
+
+def dealt(rows: DataFrame, group: str, order: str, limit: int | str, most: int | None, tell, fields: str) -> DataFrame:
+    """What `tell` makes of each part's order numbers, sizes and runs (run, rows, chars)."""
     spark, top = rows.sparkSession, most or 1 << 60
     path = shared_folder(spark, "pack")
-    sized = rows.select(F.col(group).alias("g"), F.col(order).cast("bigint").alias("o"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"))
+    most_chars = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+    sized = rows.select(F.col(group).cast("string").alias("g"), F.col(order).cast("bigint").alias("o"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"), most_chars.cast("bigint").alias("limit"))
     sized.repartitionByRange("g", "o").select("*", F.spark_partition_id().alias("part")).write.parquet(path)
-    parts = spark.read.schema("g string, o bigint, n bigint, part int").parquet(path)
+    parts = spark.read.schema("g string, o bigint, n bigint, limit bigint, part int").parquet(path)
 
     def summary(frame: pd.DataFrame) -> pd.DataFrame:
-        n = frame.sort_values("o").n.to_numpy()
+        n, limit = frame.sort_values("o").n.to_numpy(), int(frame.limit.iloc[0])
         _, closed, size, count = tails(n, limit, top)
         at = breaks(n, limit, top, most is not None)
         reach = (np.concatenate([[0], np.cumsum(n + GAP)])[:-1] + n)[at]
-        row = [frame.g.iloc[0], int(frame.part.iloc[0]), len(n), int((n + GAP).sum()), at, reach.tolist(), closed[at].tolist(), size[at].tolist(), count[at].tolist(), int(closed[0]), int(size[0]), int(count[0])]
-        return pd.DataFrame([row], columns=["g", "part", "n", "total", "at", "reach", "closed", "size", "count", "closed0", "size0", "count0"])
+        row = [frame.g.iloc[0], int(frame.part.iloc[0]), limit, len(n), int((n + GAP).sum()), at, reach.tolist(), closed[at].tolist(), size[at].tolist(), count[at].tolist(), int(closed[0]), int(size[0]), int(count[0])]
+        return pd.DataFrame([row], columns=["g", "part", "limit", "n", "total", "at", "reach", "closed", "size", "count", "closed0", "size0", "count0"])
 
     lists = ", ".join(f"{c} array<bigint>" for c in ("at", "reach", "closed", "size", "count"))
-    summaries = parts.groupBy("g", "part").applyInPandas(summary, f"g string, part int, n bigint, total bigint, {lists}, closed0 bigint, size0 bigint, count0 bigint")
+    summaries = parts.groupBy("g", "part").applyInPandas(summary, f"g string, part int, limit bigint, n bigint, total bigint, {lists}, closed0 bigint, size0 bigint, count0 bigint")
 
-    def first_break(at, reach, size: int, count: int, n: int) -> int | None:
+    def first_break(r, size: int, count: int) -> int | None:
         """Place in `at` of the first row that doesn't fit into a run of this size and number of rows."""
-        fits = [k for k, (j, r) in enumerate(zip(at, reach, strict=True)) if size + r > limit or j + count >= top]
-        return fits[0] if fits and at[fits[0]] < n else None
+        fits = [k for k, (j, reach) in enumerate(zip(r.at, r.reach, strict=True)) if size + reach > r.limit or j + count >= top]
+        return fits[0] if fits and r.at[fits[0]] < r.n else None
 
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
         out, run, size, count = [], 0, 0, 0
@@ -85,18 +106,20 @@ def pack(rows: DataFrame, group: str, order: str, limit: int, most: int | None =
             out.append((r.g, r.part, run, size, count))
             if not count:
                 run, size, count = run + r.closed0, r.size0, r.count0
-            elif (k := first_break(r.at, r.reach, size, count, r.n)) is None:
+            elif (k := first_break(r, size, count)) is None:
                 size, count = size + r.total, count + r.n
             else:
                 run, size, count = run + 1 + r.closed[k], r.size[k], r.count[k]
         return pd.DataFrame(out, columns=["g", "part", "run", "size", "count"])
 
     entries = summaries.groupBy("g").applyInPandas(chain, "g string, part int, run bigint, size bigint, count bigint")  # one small row a part
+    names = ["g", *(f.split()[0] for f in fields.split(", "))]
 
     def assign(key, frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         if frame.empty:
-            return pd.DataFrame({"g": [], "run": [], "rows": [], "chars": []})
-        n = frame.sort_values("o").n.to_numpy()
+            return pd.DataFrame({c: [] for c in names})
+        frame = frame.sort_values("o")
+        n, limit = frame.n.to_numpy(), int(frame.limit.iloc[0])
         following, *_ = tails(n, limit, top)
         run, size, count = (int(entry[c].iloc[0]) for c in ("run", "size", "count"))
         start, out = 0, []
@@ -110,8 +133,6 @@ def pack(rows: DataFrame, group: str, order: str, limit: int, most: int | None =
             stop = int(following[start])
             out.append((run, stop - start, int(n[start:stop].sum())))
             run, start = run + 1, stop
-        made = pd.DataFrame(out, columns=["run", "rows", "chars"])
-        return made.assign(g=frame.g.iloc[0])[["g", "run", "rows", "chars"]]
+        return tell(frame.o.to_numpy(), n, out).assign(g=frame.g.iloc[0])[names]
 
-    made = parts.groupBy("g", "part").cogroup(entries.groupBy("g", "part")).applyInPandas(assign, "g string, run bigint, rows bigint, chars bigint")
-    return made.filter("rows > 0").groupBy(F.col("g").alias(group), "run").agg(F.sum("rows").alias("rows"), F.sum("chars").alias("chars"))
+    return parts.groupBy("g", "part").cogroup(entries.groupBy("g", "part")).applyInPandas(assign, f"g string, {fields}")

@@ -514,14 +514,17 @@ def daily_activity(spark, d):
 
 
 JOBS_SQL = """
-    SELECT user_id AS job, arg_max(event_type, struct_pack(ts := ts, e := event_id)) AS status, count(*) AS transitions, arg_max(event_type, struct_pack(ts := ts, e := event_id)) IN ('purchase', 'error') AS done,
-        CASE WHEN arg_max(event_type, struct_pack(ts := ts, e := event_id)) NOT IN ('purchase', 'error') THEN arg_max(props, struct_pack(ts := ts, e := event_id)) FILTER (event_type = 'click') END AS partial,
-        CASE WHEN arg_max(event_type, struct_pack(ts := ts, e := event_id)) = 'error' THEN arg_max(props, struct_pack(ts := ts, e := event_id)) END AS error FROM events GROUP BY 1"""
+    SELECT job, status, transitions, done, CASE WHEN NOT done THEN coalesce(reply, told) END AS partial, CASE WHEN NOT done THEN message END AS progress, NOT done AND reply IS NOT NULL AS reply_ready, CASE WHEN status = 'error' THEN props END AS error
+    FROM (SELECT user_id AS job, arg_max(event_type, struct_pack(ts := ts, e := event_id)) AS status, arg_max(props, struct_pack(ts := ts, e := event_id)) AS props, count(*) AS transitions, arg_max(event_type, struct_pack(ts := ts, e := event_id)) IN ('purchase', 'error') AS done,
+        arg_max(props, struct_pack(ts := ts, e := event_id)) FILTER (event_type = 'click') AS told, arg_max(props, struct_pack(ts := ts, e := event_id)) FILTER (event_type = 'view') AS message,
+        arg_min(props, struct_pack(ts := ts, e := event_id)) FILTER (event_type = 'click' AND event_id % 7 = 0) AS reply FROM events GROUP BY 1)"""
 
 
 def job_events(spark, d):
-    kind = F.col("event_type")
-    return table(spark, d, "events").select(F.col("user_id").alias("job"), kind.alias("status"), "ts", "event_id", F.when(kind == "click", F.col("props")).alias("partial"), F.col("props").alias("error"))
+    """Events as a job log: clicks bring partial text, of which some are complete replies, views a progress message."""
+    kind, props = F.col("event_type"), F.col("props")
+    reply = F.when((kind == "click") & (F.col("event_id") % 7 == 0), props).alias("reply")
+    return table(spark, d, "events").select(F.col("user_id").alias("job"), kind.alias("status"), "ts", "event_id", F.when(kind == "click", props).alias("partial"), F.when(kind == "view", props).alias("progress"), reply, props.alias("error"))
 
 
 @query(JOBS_SQL)

@@ -106,9 +106,10 @@ def deleted_pages(spark, d):
     SELECT key, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, max(stop) IS NOT NULL AS done FROM t WHERE stop IS NULL OR turn <= stop GROUP BY 1""")
 def streaming_token_texts(spark, d):
     """Replies that come token by token, frozen at their end."""
-    from quarry.streaming.jobs import token_texts
+    from quarry.streaming.replies import token_texts
 
-    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("at"), F.col("text").alias("token"), (F.col("turn") >= 6).alias("last"))
+    started = F.lit(1_700_000_000_000_000)
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("key"), (started + F.col("turn") * 1_000_000).alias("at"), F.col("turn").alias("seq_no"), F.length("text").alias("size"), (F.col("turn") >= 6).alias("last"))
     return token_texts(turns)
 
 

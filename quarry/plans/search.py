@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarry.config import DEFAULTS
 from quarry.functions import verdicts as vd
-from quarry.operators import ann, dataset, logs, postings, retrieval
+from quarry.operators import ann, dataset, evaluation, planning, postings, rerank, retrieval
 from quarry.plans.catalog import COSINE_SQL, vectors
 from quarry.plans.registry import docs, query, table
 from quarry.sources import readers, sinks
@@ -28,12 +30,27 @@ def topic_passages(spark, d):
     return best.join(docs(spark, d).select(F.col("doc_id").alias("page"), "text"), "page").select("query_id", "page", "place", F.md5("text").alias("text_md5"))
 
 
-@query("SELECT user_id, CAST(floor(epoch(ts) * 5) AS BIGINT) AS tick, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+#: Tokens of replies: the words of each turn, 20 to 149 milliseconds after one another, and a pause of 450 after every ninth.
+TOKENS_SQL = """t AS (SELECT conv_id * 1000 + turn AS key, unnest(w) AS word, unnest(range(len(w))) AS pos, len(w) AS n FROM (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM conversations)),
+    k AS (SELECT key, pos, length(word) AS size, pos = n - 1 AS last, CAST(1700000000000000 + sum(1000 * (20 + (key * 31 + pos * 17) % 130 + CASE WHEN pos % 9 = 8 THEN 450 ELSE 0 END)) OVER (PARTITION BY key ORDER BY pos) AS BIGINT) AS told_at FROM t)"""
+
+
+@query(f"""WITH RECURSIVE {TOKENS_SQL}, e AS (SELECT key, 1 AS seq, told_at, last FROM k WHERE pos = 0
+    UNION ALL SELECT e.key, e.seq + 1, CASE WHEN min(k.told_at) FILTER (k.last) <= e.told_at + 200000 THEN min(k.told_at) FILTER (k.last) WHEN min(k.told_at) <= e.told_at + 200000 THEN e.told_at + 200000 ELSE min(k.told_at) END,
+        coalesce(min(k.told_at) FILTER (k.last) <= greatest(e.told_at + 200000, min(k.told_at)), FALSE) FROM e JOIN k ON k.key = e.key AND k.told_at > e.told_at WHERE NOT e.last GROUP BY e.key, e.seq, e.told_at)
+    SELECT e.key, CAST(e.seq AS BIGINT) AS seq, e.told_at, count(*) AS n, CAST(sum(size) AS BIGINT) AS chars, e.last FROM e JOIN k ON k.key = e.key AND k.told_at <= e.told_at GROUP BY e.key, e.seq, e.told_at, e.last""")
 def throttled_progress(spark, d):
-    """Of each fifth of a second the last message of a job; the last of all is always one of them."""
-    tick = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 200_000).alias("tick")
-    rows = table(spark, d, "events").select("user_id", tick, "ts", "event_id")
-    return logs.latest_wins(rows, ["user_id", "tick"], ["ts", "event_id"]).select("user_id", "tick", "event_id")
+    """Emissions of replies that come word by word: a fifth of a second apart at least, what waits told when that time is
+    over, the whole reply at its last word."""
+    from quarry.streaming.replies import emissions
+
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    said = table(spark, d, "conversations").select(key.alias("key"), F.filter(F.split("text", " "), lambda x: x != "").alias("w"))
+    gap = lambda pos: 1000 * (20 + (F.col("key") * 31 + pos * 17) % 130 + F.when(pos % 9 == 8, 450).otherwise(0))
+    words = said.select("key", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    order = Window.partitionBy("key").orderBy("pos")
+    at = (F.lit(1_700_000_000_000_000) + F.sum(gap(F.col("pos"))).over(order)).alias("at")
+    return emissions(words.select("key", at, F.col("pos").alias("seq_no"), F.length("word").alias("size"), (F.col("pos") == F.col("n") - 1).alias("last"))).withColumnRenamed("at", "told_at")
 
 
 @query("""WITH k AS (SELECT conv_id + 1000000 * (turn // 20) AS conv_id, turn, role FROM conversations), a AS (SELECT conv_id, string_agg(turn || '', ',' ORDER BY turn) AS trail, count(*) AS n FROM k WHERE role = 'assistant' GROUP BY 1)
@@ -101,3 +118,65 @@ def hashed_sparse_topk(spark, d):
     """Every benchmark item against all documents, by written postings with bounds."""
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return postings.Postings.build(docs(spark, d).select("doc_id", "text")).top_k(queries, 10)
+
+
+@query()
+def late_interaction_retrieval(spark, d):
+    """Candidates of each benchmark item by hashed sparse search, reranked token by token; a test tells both routes by brute force."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    rows = docs(spark, d).select("doc_id", "text")
+    found = postings.Postings.build(rows).top_k(asked.select("query_id", F.col("query").alias("text")), DEFAULTS.rerank_candidates)
+    near = found.select("query_id", "doc_id", (F.col("score") / F.max("score").over(Window.partitionBy("query_id"))).alias("vector_score"))  # twenty rows a query
+    return rerank.reranked(near.join(rows, "doc_id").join(asked, "query_id"), rerank.late_interaction)
+
+
+@query("""WITH p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, length(text) AS said FROM documents WHERE doc_id % 10 <> 9), r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id AS row_id, n_chars FROM documents WHERE doc_id % 11 <> 10)
+    SELECT coalesce(p.position, r.position) AS position, doc_id, said, row_id, n_chars, doc_id IS NOT NULL AND row_id IS NOT NULL AS matched FROM p FULL JOIN r ON p.position = r.position""")
+def zipped_predictions(spark, d):
+    """A dump of predictions and the rows they were made for, zipped by position; the longer one's rest is reported."""
+    root = sinks.shared_folder(spark, "zipped")
+    dump = docs(spark, d).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dump.filter("doc_id % 10 <> 9").select("doc_id", F.length("text").alias("said")).write.parquet(f"{root}/predictions")
+    dump.filter("doc_id % 11 <> 10").select(F.col("doc_id").alias("row_id"), "n_chars").write.parquet(f"{root}/rows")
+    both = evaluation.zipped(spark.read.parquet(f"{root}/predictions"), spark.read.parquet(f"{root}/rows"))
+    return both.select("position", "prediction.doc_id", "prediction.said", "row.row_id", "row.n_chars", "matched")
+
+
+def leading_sentences(requests):
+    """An extractive generator: the first sentences of each prompt."""
+    said = F.array_join(F.slice(F.split("text", r"(?<=[.!?])\s+"), F.lit(1), F.col("sentences").cast("int")), " ")
+    return requests.select("key", "run", said.alias("text"))
+
+
+def notes(spark, d):
+    return docs(spark, d).select(F.col("source").alias("key"), F.col("doc_id").alias("place"), "text")
+
+
+@query()
+def folded_summaries(spark, d):
+    """Each source's documents, folded by leading sentences until they fit one prompt; a test folds by brute force."""
+    return planning.fold(notes(spark, d), leading_sentences).select("key", "rounds", "notes", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
+
+
+def first_sentences(requests):
+    """A generator of items: the first `ask` sentences of a prompt, fewer where it has fewer; prompts with few are not accepted."""
+    said = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda x: x != "")
+    own = requests.select("key", "group", F.slice(said, F.lit(1), F.col("ask")).alias("items"), (F.size(said) >= F.col("ask")).alias("accepted"))
+    return own.select("key", "group", "accepted", F.posexplode_outer("items").alias("place", "text"))
+
+
+def pooled_by(spark, d, **how):
+    items, documents = planning.pooled_items(planning.prose(notes(spark, d)), "mcq", first_sentences, **how)
+    return planning.gated(items, documents, lambda rows: rows.filter(F.length("text") < 4).groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query()
+def pooled_totals(spark, d):
+    """Thirty items of each source, what one group lacks made up by the next; a test pools by brute force."""
+    return pooled_by(spark, d, count=30)
+
+
+@query()
+def pooled_rates(spark, d):
+    """Two items for each page of each source, all groups asked at once; a test pools by brute force."""
+    return pooled_by(spark, d, per_page=2)

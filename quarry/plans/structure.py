@@ -149,7 +149,7 @@ def remaining_shares(spark, d):
 
 @query("""
     WITH RECURSIVE s AS (SELECT source, CAST(sum(length(text)) AS BIGINT) AS n FROM documents GROUP BY 1),
-    f AS (SELECT source, 0 AS rounds, n FROM s UNION ALL SELECT source, rounds + 1, CAST(ceil(n / 6000.0) AS BIGINT) * greatest(2, least(30, 6000 // 120 // 2)) * 120 FROM f WHERE n > 6000 AND CAST(ceil(n / 6000.0) AS BIGINT) * greatest(2, least(30, 6000 // 120 // 2)) * 120 < n AND rounds < 8)
+    f AS (SELECT source, 0 AS rounds, n FROM s UNION ALL SELECT source, rounds + 1, CAST(ceil(n / 6000.0) AS BIGINT) * greatest(2, least(30, 6000 // 120 // 2)) * 120 FROM f WHERE n > 6000 AND CAST(ceil(n / 6000.0) AS BIGINT) * greatest(2, least(30, 6000 // 120 // 2)) * 120 < n AND rounds < 64)
     SELECT source, CAST(max(rounds) AS INT) AS rounds, arg_max(n, rounds) AS chars FROM f GROUP BY 1""")
 def summary_folds(spark, d):
     """Rounds of folding that a source's summary takes to fit."""
