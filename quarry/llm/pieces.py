@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Words remembered by a worker (about 250 bytes each); the table starts anew beyond it.
-REMEMBERED = 400_000
+#: Words of a generation (about 250 bytes each): a worker remembers this one and the one before.
+REMEMBERED = 500_000
 #: Characters of a word from which pairs are kept in a queue.
 LONG = 48
 #: No piece: worse than any score.
@@ -151,6 +151,7 @@ class Model:
         self.simple_start = [not self.extra_spaces_removed and self.dummy_prefix and i in self.plain_bytes and p.startswith(SPACE) for i, p in enumerate(self.pieces)]
         self.decimal = [str(i) for i in range(len(self.pieces))]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[str]:
         """Pieces of a word: of all neighbours that together are a piece, those of the best score first, then the leftmost."""
@@ -192,6 +193,9 @@ class Model:
 
     def word(self, word: str) -> bytes:
         """Ids of a word as 32-bit integers; the bytes of what is no piece."""
+        if (held := self.older.get(word)) is not None:
+            self.known[word] = held
+            return held
         ids: list[int] = []
         find = self.ids.get
         for piece in self.merge(word):
@@ -233,8 +237,8 @@ class Model:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and begin and end bytes in the source of each piece."""
         normal, align = normalise(text, self.keys, self.dummy_prefix, self.extra_spaces_removed)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        if len(self.known) >= REMEMBERED:  # words met since the last time stay known
+            self.known, self.older = {}, self.known
         find, make = self.known.get, self.word
         ids = np.frombuffer(b"".join([find(w) or make(w) for w in self.words(normal.decode())]), np.int32)
         sizes = self.sizes[ids]
