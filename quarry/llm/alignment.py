@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import Workspace, slices
 
-#: Pieces of text remembered by a worker (about 400 bytes each); the table starts anew beyond it.
-REMEMBERED = 250_000
+#: Pieces of text of a generation (about 400 bytes each): a worker remembers this one and the one before.
+REMEMBERED = 300_000
 #: Bytes of text handled together.
 BATCH_BYTES = 1 << 20
 #: Pairs that are broadcast at most.
@@ -77,6 +77,7 @@ class Aligner:
         cut = cut and not any("▁" in p.lstrip("▁") for p in pieces)
         self.cut = re.compile(r"(?<=\S) (?=\S)").split if cut else lambda text: [text]
         self.known: dict[str, tuple[int, int, int, str, bytes] | None] = {}
+        self.older: dict[str, tuple[int, int, int, str, bytes] | None] = {}
 
     def learn(self, bodies: list[str]) -> None:
         """Aligns pieces of text that stand after a space, all of them as one row of bytes."""
@@ -135,9 +136,12 @@ class Aligner:
     def align(self, texts: list[str | None]) -> list[tuple[int, int, int, str, bytes]]:
         """Tokens of A, tokens of B, groups, groups as text, and linked pairs as 64-bit integers (a * size of B's vocabulary + b)."""
         parts = [self.cut(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn(list({p for some in parts for p in some if p not in self.known}))
+        if len(self.known) > REMEMBERED:  # pieces met since the last time stay known
+            self.known, self.older = {}, self.known
+        new = {p for some in parts for p in some if p not in self.known}
+        again = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        self.learn(list(new - again))
         out = []
         for some in parts:
             made = list(map(self.known.__getitem__, some))
