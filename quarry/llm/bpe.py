@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import map_text
+
 #: Distinct pretokens remembered by a worker (about 200 bytes each); the table starts anew beyond it.
 REMEMBERED = 300_000
 #: Bytes of text that a worker splits into pretokens at once.
@@ -149,23 +151,38 @@ def codec(vocabulary: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, digests: bool = False) -> DataFrame:
-    """doc_id, token_ids (little-endian unsigned 32-bit, binary), n_tokens and decoded (binary).
+def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens and token_ids (little-endian unsigned 32-bit, binary) of each text.
 
-    With `digests`, SHA-256 digests stand for ids and decoded bytes. `vocabulary` is a file of the tokenizer package,
-    which every node has; it is never copied.
+    `vocabulary` is a file of the tokenizer package, which every node has; it is never copied. Other columns, whatever their names, are left out.
     """
-    from quarry.llm.common import map_text
 
     def run(texts: list[str]) -> dict:
+        ids = codec(vocabulary, pattern).encode(texts)
+        return {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary())}
+
+    return map_text(docs, run, "n_tokens bigint, token_ids binary", size=CORPUS_BYTES)
+
+
+def decode(encoded: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keep` columns and decoded (binary) of rows with token_ids; a null is empty, an unknown id fails."""
+
+    def run(ids: list[bytes]) -> dict:
         own = codec(vocabulary, pattern)
-        ids = own.encode(texts)
-        back = [own.decode(x) for x in ids]
-        counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-        if digests:
-            sha = hashlib.sha256
-            return {"n_tokens": counts, "ids_sha256": pa.array([sha(x).hexdigest() for x in ids], pa.string()), "decoded_sha256": pa.array([sha(x).hexdigest() for x in back], pa.string())}
-        return {"n_tokens": counts, "token_ids": pa.array(ids, pa.binary()), "decoded": pa.array(back, pa.binary())}
-
-    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens bigint, token_ids binary, decoded binary"
-    return map_text(docs, run, schema, size=CORPUS_BYTES)
+        return {"decoded": pa.array([own.decode(x) for x in ids], pa.binary())}
+
+    return map_text(encoded, run, "decoded binary", keep=keep, text="token_ids", as_bytes=True, size=CORPUS_BYTES)
+
+
+def report(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 digests of the ids and of the bytes that they decode to, in one pass over the texts."""
+
+    def run(texts: list[str]) -> dict:
+        own, sha, counts, ids_sha, decoded_sha = codec(vocabulary, pattern), hashlib.sha256, [], [], []
+        for ids in own.encode(texts):
+            counts.append(len(ids) // 4)
+            ids_sha.append(sha(ids).hexdigest())
+            decoded_sha.append(sha(own.decode(ids)).hexdigest())
+        return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())}
+
+    return map_text(docs, run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", size=CORPUS_BYTES)

@@ -55,8 +55,11 @@ def located(df: DataFrame, ws: Workspace) -> DataFrame:
     A plain read of files (columns chosen, rows filtered) has it at no cost; other tables are written to `ws` first.
     """
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__locator")
-    plan = df._jdf.queryExecution().analyzed().toString()
-    if "] parquet" in plan and not any(node in plan for node in ("Join", "Generate", "Union", "Expand", "MapIn")):  # these may repeat rows of a file
+    node = df._jdf.queryExecution().analyzed()
+    # Allowed: chosen columns and filtered rows of one relation, by expressions that give the same in every scan.
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.deterministic():
+        node = node.children().apply(0)
+    if node.nodeName().startswith(("LogicalRelation", "Relation")) and node.deterministic():
         try:
             return df.select("*", place)
         except AnalysisException:

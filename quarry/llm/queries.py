@@ -17,7 +17,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+    return bpe.report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,8 @@ ESCAPED = "length({0}) + 4 * (length({0}) - length(replace({0}, '&', ''))) + 3 *
 
 #: The template grams of the license scan, by the same rule as licenses.templates.
 GRAMS = ", ".join(
-    f"({k}, '{label}', {phrase}, {len(parts)}, {at}, '{parts[at]}', '{parts[at + 1]}')"
-    for k, (text, label, phrase) in enumerate([(p, x, True) for p, x in licenses.PHRASES.items()] + [(t, x, False) for x, t in licenses.NOTICES.items()])
+    f"({k}, '{label}', {phrase}, {len(parts)}, {must}::INT[], {at}, '{parts[at]}', '{parts[at + 1]}')"
+    for k, (label, text, phrase, must) in enumerate(licenses.listed())
     for parts in [text.split()]
     for at in range(len(parts) - 1)
 )
@@ -113,15 +113,15 @@ SQL = {
             CAST(own + coalesce(told, 0) + coalesce(kept, 0) AS BIGINT) AS formatted_chars FROM t LEFT JOIN h USING (conv_id) LEFT JOIN k USING (conv_id)""",
     "op4_license_scan": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
-        t AS (SELECT * FROM (VALUES {GRAMS}) AS v(template, label, phrase, size, at_, w1, w2)),
+        t AS (SELECT * FROM (VALUES {GRAMS}) AS v(template, label, phrase, size, must, at_, w1, w2)),
         g AS (SELECT r, x AS pos, w[x + 1] AS d1, w[x + 2] AS d2 FROM d, unnest(range(len(w) - 1)) AS u(x)),
-        v AS (SELECT r, template, label, phrase, size, pos - at_ AS diagonal, list(DISTINCT at_) AS met, min(pos) AS f, max(pos) + 1 AS l FROM g JOIN t ON d1 = w1 AND d2 = w2 GROUP BY ALL),
+        v AS (SELECT r, template, label, phrase, size, must, pos - at_ AS diagonal, list(DISTINCT at_) AS met, min(pos) AS f, max(pos) + 1 AS l FROM g JOIN t ON d1 = w1 AND d2 = w2 GROUP BY ALL),
         n AS (SELECT *, CASE WHEN f - lag(l) OVER o <= {licenses.DRIFT} AND abs(diagonal - lag(diagonal) OVER o) <= {licenses.DRIFT} THEN 0 ELSE 1 END AS fresh
             FROM v WHERE NOT phrase WINDOW o AS (PARTITION BY r, template ORDER BY f, diagonal)),
         y AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY f, diagonal ROWS UNBOUNDED PRECEDING) AS run FROM n),
-        m AS (SELECT r, label, size, min(f) AS f, max(l) AS l, len(list_distinct(flatten(list(met)))) / CAST(size - 1 AS DOUBLE) AS cov FROM y GROUP BY r, template, label, size, run),
+        m AS (SELECT r, label, size, min(f) AS f, max(l) AS l, list_has_all(flatten(list(met)), must) AS whole, len(list_distinct(flatten(list(met)))) / CAST(size - 1 AS DOUBLE) AS cov FROM y GROUP BY r, template, label, size, must, run),
         z AS (SELECT r, label, TRUE AS phrase, f, 1.0::DOUBLE AS cov FROM v WHERE phrase AND len(met) = size - 1
-            UNION ALL SELECT r, label, FALSE, f, cov FROM m WHERE cov >= {licenses.COVERAGE} AND l - f < {licenses.STRETCH} * size)
+            UNION ALL SELECT r, label, FALSE, f, cov FROM m WHERE whole AND cov >= {licenses.COVERAGE} AND l - f < {licenses.STRETCH} * size)
         SELECT any_value(doc_id) AS doc_id, any_value(len(w)) AS n_words, count(f) FILTER (phrase) AS n_base, min(f) FILTER (phrase) AS first_word, max(f) FILTER (phrase) AS last_word,
             coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(cov), 0.0) AS score
         FROM d LEFT JOIN z USING (r) GROUP BY r""",

@@ -69,11 +69,16 @@ def test_bpe_is_tiktoken(spark, texts):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    made = {r.doc_id: r for r in bpe.encode(make(spark, texts), path, P.PATTERN).collect()}
+    coded = bpe.encode(make(spark, texts), path, P.PATTERN)
+    made = {r.doc_id: r for r in coded.collect()}
+    back = {r.doc_id: bytes(r.decoded) for r in bpe.decode(coded, path, P.PATTERN).collect()}
+    told = {r.doc_id: r for r in bpe.report(make(spark, texts), path, P.PATTERN).collect()}
     for i, t in texts:
         ids = own.encode_ordinary(t or "")
-        assert bytes(made[i].token_ids) == struct.pack(f"<{len(ids)}I", *ids)
-        assert bytes(made[i].decoded) == (t or "").encode() and made[i].n_tokens == len(ids)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        assert bytes(made[i].token_ids) == packed and made[i].n_tokens == told[i].n_tokens == len(ids)
+        assert back[i] == (t or "").encode()
+        assert (told[i].ids_sha256, told[i].decoded_sha256) == (hashlib.sha256(packed).hexdigest(), hashlib.sha256(back[i]).hexdigest())
 
 
 @pytest.mark.parametrize("weak", [False, True])
@@ -220,12 +225,42 @@ def test_chat_windows_keep_to_the_budget(spark):
 
 
 def test_license_spans_are_verified(spark):
-    notice = licenses.NOTICES["apache-notice"].split()
-    rows = [(1, "4 0 " * 5), (2, "cc by " * 5), (3, " ".join(notice[:9] + ["new"] + notice[9:])), (4, " ".join(notice[:6])), (5, "x " * 100_000 + licenses.NOTICES["bsd"]), (5, "x")]
+    told = {label: text for label, text, _ in licenses.NOTICES}  # of several notices of a label the last
+    notice = told["apache-2.0"].split()
+    rows = [(1, "4 0 " * 5), (2, "cc by " * 5), (3, " ".join(notice[:9] + ["new"] + notice[9:])), (4, " ".join(notice[:6])), (5, "x " * 100_000 + told["bsd"]), (5, "x")]
     made = {(r.doc_id, r.n_words): (r.base_labels, r.labels, r.score) for r in licenses.report(make(spark, rows)).collect()}
     assert made[1, 10] == ("", "", 0.0) and made[2, 10] == ("cc-by", "cc-by", 1.0)
-    assert made[3, 22] == ("apache", "apache,apache-2.0,apache-notice", 1.0) and "notice" not in made[4, 6][1]
-    assert made[5, 100_018][1] == "bsd" and made[5, 1] == ("", "", 0.0)
+    assert made[3, 23] == ("apache", "apache,apache-2.0", 1.0) and made[4, 6] == ("apache", "apache", 1.0)
+    assert made[5, 100_000 + len(told["bsd"].split())][1] == "bsd" and made[5, 1] == ("", "", 0.0)
+
+
+def test_license_labels_need_what_tells_them_apart(spark):
+    texts = {
+        "licensed under the apache license version": "apache", "licensed under the apache license version 1 1": "apache", "Licensed under the Apache License, Version 2.0": "apache,apache-2.0", "under the mit license": "mit",
+        "released under the MIT license": "mit", "licensed under the gnu general public license version 3": "gpl,gpl-3.0", "licensed under the gnu general public license version 1": "gpl", "licensed under cc by sa 4 0": "cc-by", "licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+        "licensed under CC BY 4.0": "cc-by,cc-by-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "", "this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0",
+    }
+    made = {r.doc_id: r.labels for r in licenses.report(make(spark, list(enumerate(texts)))).collect()}
+    assert [made[i] for i in range(len(texts))] == list(texts.values())
+
+
+@pytest.mark.parametrize("read", ["limit", "dropDuplicates", "window", "sample", "union", "rand"])
+def test_locators_are_given_to_stored_rows_alone(spark, tmp_path, read):
+    from pyspark.sql import Window
+
+    from quarry.llm.common import Workspace, located
+
+    make(spark, [(i, f"t{i % 3}") for i in range(40)]).repartition(4).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    first = F.row_number().over(Window.partitionBy("text").orderBy("text"))
+    taken = {
+        "limit": rows.limit(5), "dropDuplicates": rows.dropDuplicates(["text"]), "window": rows.withColumn("r", first).filter("r = 1").drop("r"), "sample": rows.sample(0.5, 3), "union": rows.unionByName(rows), "rand": rows.filter(F.rand(3) < 0.5),
+    }[read]
+    ws = Workspace(spark, "located")
+    files = {r["__locator"].file for r in located(taken, ws).collect()}
+    assert files and all(ws.path.split("/")[-1] in f for f in files)
+    plain = located(rows.filter("doc_id > 3").select("doc_id", F.upper("text").alias("text")), ws)
+    assert {r["__locator"].file for r in plain.collect()} == {f for f in (r[0] for r in rows.select("_metadata.file_path").collect())}
 
 
 def test_dedup_goes_on_from_its_checkpoint(spark, tmp_path):
