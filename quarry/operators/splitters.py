@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,40 +21,37 @@ SEPARATORS = (". ", "; ", ": ", "? ", "! ", ") ", ", ", " ", "")
 LEADERS = re.compile(r"(?:\.[ \t\r\n]*){3,}")
 
 
-def cut(text: str, separator: str) -> list[str]:
-    if not separator:
-        return list(text)
-    head, *rest = text.split(separator)
-    return [x for x in [head, *[separator + r for r in rest]] if x]
-
-
-def packed(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
-    """Runs of pieces of at most `size` characters, each beginning with up to `overlap` characters of the one before."""
-    first = held = 0
-    for at, piece in enumerate(pieces):
-        if held + len(piece) > size:
-            if whole := "".join(pieces[first:at]).strip():
-                yield whole
-            while held > overlap or (held and held + len(piece) > size):
-                held -= len(pieces[first])
-                first += 1
-        held += len(piece)
-    if whole := "".join(pieces[first:]).strip():
-        yield whole
+def packed(text: str, starts: Sequence[int], first: int, stop: int, size: int, overlap: int) -> Iterator[str]:
+    """Runs of the pieces first to stop (piece i is text[starts[i]:starts[i + 1]], shorter than `size`) of at most `size`
+    characters, each beginning with up to `overlap` characters of the one before. Ends are found by bisection: pieces lie
+    side by side, so a run is a stretch of the text."""
+    while first < stop:
+        end = min(bisect_right(starts, starts[first] + size, first, stop + 1) - 1, stop)
+        if whole := text[starts[first] : starts[end]].strip():
+            yield whole
+        if end == stop:
+            return
+        # What the next run keeps of this one: no more than the overlap, and no more than leaves room for its next piece.
+        first = bisect_left(starts, max(starts[end] - overlap, starts[end + 1] - size), first, end)
 
 
 def recursive_split(text: str, size: int = DEFAULTS.chunk_chars, overlap: int = DEFAULTS.chunk_overlap, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Chunks cut at the best separator that occurs; pieces that are still too long are cut at the next ones."""
     k = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
-    out, small = [], []
-    for piece in cut(text, separators[k]):
-        if len(piece) < size:
-            small.append(piece)
-            continue
-        out += packed(small, size, overlap)
-        small = []
-        out += recursive_split(piece, size, overlap, separators[k + 1 :]) if separators[k + 1 :] else [piece]
-    return [*out, *packed(small, size, overlap)]
+    separator, rest = separators[k], separators[k + 1 :]
+    if not separator:
+        return list(packed(text, range(len(text) + 1), 0, len(text), size, overlap)) if size > 1 else [c for c in text if c.strip()]
+    starts = [m.start() for m in re.finditer(re.escape(separator), text)]
+    starts = [*([0] if not starts or starts[0] else []), *starts, len(text)]
+    long = [i for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) if b - a >= size]
+    out, first = [], 0
+    for i in [*long, len(starts) - 1]:
+        out += packed(text, starts, first, i, size, overlap)
+        if i < len(starts) - 1:
+            piece = text[starts[i] : starts[i + 1]]
+            out += recursive_split(piece, size, overlap, rest) if rest else [piece]
+        first = i + 1
+    return out
 
 
 def section_pieces(text: str, most: int) -> list[str]:
