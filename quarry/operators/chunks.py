@@ -164,3 +164,17 @@ def even_sample(rows: DataFrame, group: str, order: str, calls: int) -> DataFram
     found = logs.at_rank(rows, group, order, picks)
     wanted = found.select(group, F.explode(F.array_distinct(F.array(*picks))).alias(order))
     return rows.join(wanted, [group, order], "left_semi")
+
+
+def united(*parts: DataFrame) -> DataFrame:
+    """Chunks of several sources as one table, with the place of their source among them; columns that a source lacks are null."""
+    out = None
+    for k, part in enumerate(parts):
+        own = part.withColumn("origin", F.lit(k))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def chunked_pages(pages: DataFrame, chunks: DataFrame, *key: str) -> DataFrame:
+    """Pages that gave a chunk at least: the pages of the chunks' own keys."""
+    return pages.join(chunks.select(*key).distinct(), list(key), "left_semi")

@@ -161,3 +161,26 @@ def kind_allowed(kinds: Column, kind: Column) -> Column:
     """Whether a session may do this; a session without kinds may do all."""
     own = rd.kinds_of(kinds)
     return F.when(F.coalesce(F.size(kinds), F.lit(0)) <= 0, kind.isin(rd.KINDS)).otherwise(F.array_contains(own, kind))
+
+
+def document_states(events: DataFrame, ready: str = "Ready") -> DataFrame:
+    """doc, status, error, n_pages, n_chunks, embedding_model, ingested_at: the fold of a log of status changes and
+    ingestions.
+
+    events: doc, ts, event_id, status, error, n_pages, n_chunks, embedding_model; a row with n_pages is an ingestion, which
+    makes the document ready, clears its error and stamps its fields; they stay through later changes until the next
+    one. A change of status sets the error it comes with, cut at 1000 characters, or clears it.
+    """
+    ingested = F.col("n_pages").isNotNull()
+    status, error = F.when(ingested, F.lit(ready)).otherwise(F.col("status")), F.when(~ingested, F.substring("error", 1, 1000))
+    newest = F.max(F.struct("ts", "event_id", status.alias("status"), error.alias("error"))).alias("s")
+    stamp = F.max(F.when(ingested, F.struct("ts", "event_id", "n_pages", "n_chunks", "embedding_model"))).alias("i")
+    return events.groupBy("doc").agg(newest, stamp).select("doc", "s.status", "s.error", "i.n_pages", "i.n_chunks", "i.embedding_model", F.col("i.ts").alias("ingested_at"))
+
+
+def judged_contexts(hits: DataFrame, most: int = 2) -> DataFrame:
+    """What a judge is shown: of each query (query_id, query, standalone, rank, text) the first contexts, and the query as it
+    was rewritten, where it was. A query without contexts is shown none."""
+    shown = F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "text"))))
+    made = hits.groupBy("query_id").agg(F.max(F.coalesce(F.nullif("standalone", F.lit("")), "query")).alias("query"), shown.alias("c"))
+    return made.select("query_id", "query", F.transform("c", lambda c: c.text).alias("contexts"))

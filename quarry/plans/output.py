@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quarry.operators import logs, splitters
 from quarry.plans.registry import docs, query, table
 from quarry.plans.reports import SPLIT_SQL, records, split_pairs
+from quarry.functions import tasks
+from quarry.operators import chunks, library
 from quarry.sources import readers, sinks
 
 
@@ -151,3 +153,60 @@ def page_html_chunks(spark, d):
     """Web pages as text, cut into chunks."""
     texts = readers.html_text(table(spark, d, "pages")).select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_number"), "text")
     return splitters.page_chunks(texts).select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"))
+
+
+@query(f"WITH {SPLIT_SQL}, u AS (SELECT unit, min(split) AS split FROM s GROUP BY 1) SELECT unit, split, json_object(unit, split)::VARCHAR AS line FROM u")
+def assignment_file(spark, d):
+    """The assignment of units to splits as a document of its own, read back."""
+    units = split_pairs(spark, d).groupBy("unit").agg(F.min("split").alias("split"))
+    path = sinks.assignment(units, sinks.shared_folder(spark, "assignment"))
+    told = spark.read.text(path).select(F.col("value").alias("line"), F.explode(F.from_json("value", "map<string,string>")).alias("unit", "split"))
+    return told.select("unit", "split", "line")
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def text_bucket_files(spark, d):
+    """Texts in a fixed number of folders, read back."""
+    path = sinks.text_buckets(docs(spark, d), sinks.shared_folder(spark, "texts"))
+    return readers.json_lines(spark, path, "doc_id bigint, text string").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT event_id AS pair_id, event_type AS pair_type, props AS prediction, round(value * 10, 1) AS latency_ms, user_id % 2 = 0 AS correct FROM events")
+def predictions_dump(spark, d):
+    """Predictions with what they were scored at, as JSON lines, read back."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("pair_id"), F.col("event_type").alias("pair_type"), F.col("props").alias("prediction"), F.round(F.col("value") * 10, 1).alias("latency_ms"), (F.col("user_id") % 2 == 0).alias("correct"))
+    path = sinks.json_lines(rows, sinks.shared_folder(spark, "predictions"))
+    return readers.json_lines(spark, path, "pair_id bigint, pair_type string, prediction string, latency_ms double, correct boolean")
+
+
+@query("""SELECT user_id AS doc, CASE arg_max(event_type, (ts, event_id)) WHEN 'purchase' THEN 'Ready' WHEN 'error' THEN 'Failed' WHEN 'view' THEN 'Processing' ELSE 'Uploaded' END AS status,
+        CASE arg_max(event_type, (ts, event_id)) WHEN 'error' THEN repeat(arg_max(props, (ts, event_id)), 200)[1:1000] END AS error, arg_max(event_id % 90 + 1, (ts, event_id)) FILTER (event_type = 'purchase') AS n_pages,
+        arg_max(event_id % 700, (ts, event_id)) FILTER (event_type = 'purchase') AS n_chunks, arg_max('model-' || event_id % 3, (ts, event_id)) FILTER (event_type = 'purchase') AS embedding_model, max(ts) FILTER (event_type = 'purchase') AS ingested_at FROM events GROUP BY 1""")
+def document_status(spark, d):
+    """Events as a log of a document's life: status, error cut at 1000 characters, and what its last ingestion stamped."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    done = kind == "purchase"
+    status = F.when(kind == "error", "Failed").when(kind == "view", "Processing").otherwise("Uploaded")
+    rows = table(spark, d, "events").select(
+        F.col("user_id").alias("doc"), "ts", "event_id", status.alias("status"), F.when(kind == "error", F.repeat("props", 200)).alias("error"), F.when(done, i % 90 + 1).alias("n_pages"), F.when(done, i % 700).alias("n_chunks"), F.when(done, F.concat(F.lit("model-"), (i % 3).cast("string"))).alias("embedding_model"),
+    )
+    return library.document_states(rows)
+
+
+@query(f"""WITH a AS (SELECT doc_id AS key, length(text) AS n, 0 AS origin FROM documents), b AS (SELECT conv_id * 1000 + turn AS key, length(text) AS n, 1 AS origin FROM conversations),
+    c AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT origin, sum(CASE WHEN n = 0 THEN 0 WHEN n <= 1000 THEN 1 ELSE CAST(ceil((n - 1000) / 850.0) AS BIGINT) + 1 END)::BIGINT AS chunks, count(*) FILTER (n > 0) AS texts FROM c GROUP BY 1""")
+def united_chunks(spark, d):
+    """Chunks of documents and of conversations as one table."""
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    both = chunks.united(chunks.sliding(docs(spark, d)), chunks.sliding(turns))
+    return both.groupBy("origin").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("doc_id").alias("texts"))
+
+
+@query(r"""SELECT p_partkey // 10 AS set_id, md5(string_agg(rn || '. ' || p_name || chr(10) || 'A) ' || p_type || chr(10) || 'B) ' || p_name || chr(10) || 'C) ' || p_brand || chr(10) || 'D) ' || p_size || chr(10) || 'Answer: ' || p_type, chr(10) || chr(10) ORDER BY rn)) AS text_md5, '' AS faults
+    FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS rn FROM part) GROUP BY 1""")
+def task_contract(spark, d):
+    """Replies with question envelopes, unwrapped, checked and rendered by their task."""
+    item = F.struct(F.col("p_name").alias("question"), F.array(F.col("p_type"), F.col("p_name"), F.col("p_brand"), F.col("p_size").cast("string")).alias("options"), F.col("p_type").alias("answer"))
+    sets = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 10).alias("set_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("i")))), lambda x: x.i).alias("questions"))  # ten items
+    made = tasks.handled(sets.select("set_id", F.to_json(F.struct("questions")).alias("reply")), "mcq", ("set_id",))
+    return made.select("set_id", F.md5("text").alias("text_md5"), F.array_join("faults", ";").alias("faults"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import DEFAULTS
 from quarry.functions import verdicts as vd
-from quarry.operators import ann, dataset, evaluation, planning, postings, rerank, retrieval
+from quarry.operators import ann, dataset, evaluation, library, planning, postings, rerank, retrieval
 from quarry.plans.catalog import COSINE_SQL, vectors
 from quarry.plans.registry import docs, query, table
 from quarry.sources import readers, sinks
@@ -180,3 +180,11 @@ def pooled_totals(spark, d):
 def pooled_rates(spark, d):
     """Two items for each page of each source, all groups asked at once; a test pools by brute force."""
     return pooled_by(spark, d, per_page=2)
+
+
+@query(COSINE_SQL.format(where="") + """ SELECT query_id, 'q' || query_id AS query, md5(string_agg(md5(text), ',' ORDER BY rank)) AS contexts_md5, count(*) AS n FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 2 GROUP BY 1""")
+def judged_contexts(spark, d):
+    """Of the three best documents of each query the two that a judge is shown."""
+    hits = retrieval.cosine_top_k(*vectors(spark, d), 3).join(docs(spark, d).select(F.col("doc_id").alias("vec_id"), F.md5("text").alias("text")), "vec_id")
+    asked = hits.select("query_id", F.lit("as it was").alias("query"), F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("standalone"), "rank", "text")
+    return library.judged_contexts(asked).select("query_id", "query", F.md5(F.array_join("contexts", ",")).alias("contexts_md5"), F.size("contexts").cast("bigint").alias("n"))

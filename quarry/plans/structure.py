@@ -86,12 +86,11 @@ def recursive_chunks(spark, d):
     return splitters.page_chunks(pages).select("doc_id", "page_number", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.length("chunk").alias("chars"))
 
 
-@query(f"""WITH c AS (SELECT source, doc_id, {CLEAN_SQL} AS text FROM documents), k AS (SELECT DISTINCT source FROM c WHERE length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 80 AND doc_id % 3 = 0)
-    SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM k)""")
+@query(f"SELECT doc_id, source FROM (SELECT source, doc_id, {CLEAN_SQL} AS text FROM documents) WHERE length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 80")
 def pages_with_chunks(spark, d):
-    """Only pages of sources that gave a chunk."""
-    made = docs(spark, d).filter("doc_id % 3 = 0").filter(tx.is_substantive(tx.clean_page(F.col("text")))).select("source").distinct()
-    return docs(spark, d).join(made, "source", "left_semi").select("doc_id", "source")
+    """Only pages that gave a chunk themselves."""
+    made = docs(spark, d).filter(tx.is_substantive(tx.clean_page(F.col("text")))).select("doc_id")
+    return chunks.chunked_pages(docs(spark, d), made, "doc_id").select("doc_id", "source")
 
 
 HITS_SQL = COSINE_SQL.format(where="") + ", h AS (SELECT query_id, vec_id AS page, rank, length(text) AS n FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 12)"

@@ -69,11 +69,15 @@ def manifest(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
 
 
 def files(spark: SparkSession, folder: str, skip: tuple[str, ...] = (), suffixes: str = r"(?i)\.(pdf|html?)$") -> DataFrame:
-    """Files of a folder by path, without their content until it is selected."""
-    found = spark.read.format("binaryFile").load(folder).filter(F.col("path").rlike(suffixes))
-    for part in skip:
-        found = found.filter(~F.col("path").contains(part))
-    return found
+    """Files below a folder, without their content until it is selected. `skip` names folders below it, or files with or
+    without their ending, that are left out whole; what the path above the folder holds doesn't matter."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    above = root.makeQualified(root.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), root).toUri().getPath().rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).filter(F.col("path").rlike(suffixes))
+    below = F.substring_index("path", f"{above}/", -1)
+    parts = F.split(below, "/")
+    names = F.array_union(parts, F.array(F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")))
+    return found.filter(~F.arrays_overlap(names, F.array(*map(F.lit, skip)))) if skip else found
 
 
 def reject_reason(name: Column, size: Column, pages: Column | None = None, most_mb: int = 10, most_pages: int = 300) -> Column:

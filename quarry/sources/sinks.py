@@ -43,11 +43,25 @@ def append_csv(rows: DataFrame, path: str, fields: list[str]) -> str:
 
 
 def text_files(docs: DataFrame, path: str, key: str = "doc_id") -> str:
-    """Texts in a folder for each document."""
+    """Texts in a folder for each document. For as many documents as a file system bears; `text_buckets` for more."""
     docs.select(key, F.col("text").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
     return path
 
 
+def text_buckets(docs: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> str:
+    """Texts as JSON lines (key, text) in a fixed number of folders by a hash of the key, so that one document is found in one
+    of them and the number of files doesn't grow with the documents."""
+    own = docs.select(key, "text", F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"))
+    own.write.mode("overwrite").partitionBy("bucket").option("ignoreNullFields", "false").json(path)
+    return path
+
+
+def assignment(units: DataFrame, path: str) -> str:
+    """Which split each unit went to: one object {unit: split} a line, which together are the assignment document."""
+    units.select(F.to_json(F.create_map("unit", "split")).alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
 def append_log(rows: DataFrame, path: str) -> str:
     rows.write.mode("append").parquet(path)
     return path
