@@ -1,17 +1,24 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Each Spark task takes the distinct pretokens of a batch of texts as its corpus. An inverted index leads from a token
-pair to the positions where it stands; merges are applied in rank order to every position of a pair at once, and only
-the neighbours of a merged position are looked up again. Encodings of pretokens are kept over batches in a bounded
-table. Null texts are empty and give no ids; a text of any length is taken whole; rows are independent, so repeated
-rows repeat, and an empty table gives an empty table. Vocabulary files hold tens of thousands of ranks and are read by
-each Python worker once.
+The pretokens of the whole table are counted (partly in each task, then in a shuffle). Those that make up at least a
+HOT-th of all, so HOT at most, are the corpus that is replayed once: dealt over partitions, each of which holds an inverted
+index from a token pair to the positions where it stands, applies merges in rank order to every position of a pair at
+once, and looks only the neighbours of a merged position up again. Their ids, a table of bounded size, are broadcast. Rarer
+pretokens are replayed in the same way where they stand, those of a batch of texts together; bringing them together too
+would shuffle every place where they stand, which costs more than the replay of a few short words. They are remembered
+for two generations of a bounded number.
+
+Null texts are empty and give no ids; a text of any length is taken whole; rows are independent, so repeated rows repeat,
+and an empty table gives an empty table. Vocabulary files hold tens of thousands of ranks and are read by each Python
+worker once.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -19,11 +26,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quarry.llm.common import map_text
+from quarry.llm.common import Workspace, map_text, slices
 
-#: Distinct pretokens remembered by a worker (about 200 bytes each); the table starts anew beyond it.
-REMEMBERED = 300_000
+#: Pretokens that are replayed for the whole table and broadcast (about 150 bytes each), at most.
+HOT = 200_000
+#: Rarer pretokens of a generation (about 200 bytes each): a worker remembers this one and the one before.
+REMEMBERED = 150_000
+#: Distinct pretokens that a task counts before it passes their numbers on.
+COUNTED = 400_000
 #: Bytes of text that a worker splits into pretokens at once.
 CORPUS_BYTES = 1 << 20
 
@@ -122,23 +134,33 @@ class Codec:
         self.pairs = pair_ranks(ranks)
         self.tables = byte_tables(ranks, self.pairs)
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def replayed(self, words: list[str]) -> list[bytes]:
+        """Ids of pretokens, replayed together; one that is a token stays whole."""
+        out, split = [], []
+        for word in words:
+            rank = self.ranks.get(raw := word.encode())
+            out.append(None if rank is None else rank.to_bytes(4, "little"))
+            if rank is None:
+                split.append(raw)
+        made = iter(replay(split, self.pairs, self.tables))
+        return [np.array(next(made), "<u4").tobytes() if ids is None else ids for ids in out]
+
+    def encode(self, texts: list[str], hot: dict[str, bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. hot: pretokens with their ids."""
         parts = [self.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for p in parts for w in p if w not in self.known}) if len(parts) else []
-        known, split = self.known, []
-        for word in new:
-            if (rank := self.ranks.get(raw := word.encode())) is not None:
-                known[word] = rank.to_bytes(4, "little")  # a pretoken that is a token stays whole
-            else:
-                split.append((word, raw))
-        for (word, _), ids in zip(split, replay([raw for _, raw in split], self.pairs, self.tables), strict=True):
-            known[word] = np.array(ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in p]) for p in parts]
+        if len(self.known) > REMEMBERED:  # pretokens met since the last time stay known
+            self.known, self.older = {}, self.known
+        known = self.known
+        new = {w for p in parts for w in p if w not in hot and w not in known}
+        again = new & self.older.keys()
+        known.update((w, self.older[w]) for w in again)
+        fresh = list(new - again)
+        known.update(zip(fresh, self.replayed(fresh), strict=True))
+        find = hot.get
+        return [b"".join([find(w) or known[w] for w in p]) for p in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -151,14 +173,54 @@ def codec(vocabulary: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
+def pretoken_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """word, n: how often each pretoken stands in the whole table."""
+    split = regex.compile(pattern).findall
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+        held: Counter[str] = Counter()
+        for batch in slices(batches, text, CORPUS_BYTES):
+            for t in batch.column(text).to_pylist():
+                if t:
+                    held.update(split(t))
+            if len(held) >= COUNTED:
+                yield told()
+                held.clear()
+        if held:
+            yield told()
+
+    return docs.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent(docs: DataFrame, vocabulary: str, pattern: str, most: int | None = None) -> dict[str, bytes]:
+    """Ids of the pretokens that make up at least one of `most` (HOT) of all, each replayed once."""
+    ws = Workspace(docs.sparkSession, "pretokens")
+    counts = ws.save(pretoken_counts(docs, pattern), "counts")
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return {}
+
+    def run(words: list[str]) -> dict:
+        return {"ids": pa.array(codec(vocabulary, pattern).replayed(words), pa.binary())}
+
+    hot = counts.filter(F.col("n") >= -(-total // (most or HOT))).select("word", F.col("word").alias("text"))  # their numbers add up to no more than all
+    made = map_text(hot, run, "ids binary", keep=("word",)).toArrow()
+    ws.drop("counts")
+    return dict(zip(made.column("word").to_pylist(), made.column("ids").to_pylist(), strict=True))
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and token_ids (little-endian unsigned 32-bit, binary) of each text.
 
     `vocabulary` is a file of the tokenizer package, which every node has; it is never copied. Other columns, whatever their names, are left out.
     """
+    hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, vocabulary, pattern))
 
     def run(texts: list[str]) -> dict:
-        ids = codec(vocabulary, pattern).encode(texts)
+        ids = codec(vocabulary, pattern).encode(texts, hot.value)
         return {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary())}
 
     return map_text(docs, run, "n_tokens bigint, token_ids binary", size=CORPUS_BYTES)
@@ -175,11 +237,12 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, .
 
 
 def report(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 digests of the ids and of the bytes that they decode to, in one pass over the texts."""
+    """doc_id, n_tokens, and SHA-256 digests of the ids and of the bytes that they decode to."""
+    hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, vocabulary, pattern))
 
     def run(texts: list[str]) -> dict:
         own, sha, counts, ids_sha, decoded_sha = codec(vocabulary, pattern), hashlib.sha256, [], [], []
-        for ids in own.encode(texts):
+        for ids in own.encode(texts, hot.value):
             counts.append(len(ids) // 4)
             ids_sha.append(sha(ids).hexdigest())
             decoded_sha.append(sha(own.decode(ids)).hexdigest())

@@ -81,6 +81,27 @@ def test_bpe_is_tiktoken(spark, texts):
         assert (told[i].ids_sha256, told[i].decoded_sha256) == (hashlib.sha256(packed).hexdigest(), hashlib.sha256(back[i]).hexdigest())
 
 
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_frequent_pretokens_are_replayed_once(spark, texts, most, monkeypatch):
+    import regex
+
+    P = pytest.importorskip("public_tokenizers")
+    path, counts = P.path("byte_bpe_multi_50k.tiktoken"), defaultdict(int)
+    for _, t in texts:
+        for w in regex.findall(P.PATTERN, t or ""):
+            counts[w] += 1
+    monkeypatch.setattr(bpe, "COUNTED", 50)
+    assert {r.word: r.n for r in bpe.pretoken_counts(make(spark, texts), P.PATTERN).collect()} == dict(counts)
+    hot = bpe.frequent(make(spark, texts), path, P.PATTERN, most)
+    least = -(-sum(counts.values()) // most)
+    assert set(hot) == {w for w, n in counts.items() if n >= least} and len(hot) <= most
+    own = bpe.codec(path, P.PATTERN)
+    plain = [t or "" for _, t in texts]
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    again = bpe.Codec(own.ranks, P.PATTERN)
+    assert [again.encode([t], hot) for t in plain] == [own.encode([t], {}) for t in plain]
+
+
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact_dedup(spark, texts, weak):
     rows = [*texts, texts[8], (100, "one"), (101, None)]
