@@ -189,6 +189,33 @@ def test_pii_adds_looser_forms(spark):
     assert [cut(124 + i, t) for i, t in enumerate(clean)] == [[]] * len(clean)
 
 
+def card_number(draw, n=16):
+    own = [draw.choice("3456"), *(draw.choice("0123456789") for _ in range(n - 2))]
+    return next("".join([*own, c]) for c in "0123456789" if pii.luhn("".join([*own, c])))
+
+
+def test_pii_adds_loose_cards_and_addresses():
+    draw = random.Random(6)
+    filler = lambda: " ".join(draw.choice(["the", "red", "stone", "was", "seen", "again", "by", "night"]) for _ in range(draw.randrange(2, 9)))
+    octets = lambda: [str(draw.randrange(20, 255)) for _ in range(4)]
+    groups = lambda d: [d[i : i + 4] for i in range(0, 12, 4)] + [d[12:]]
+    train = [f"{filler()} {' '.join(groups(card_number(draw)))} {filler()} {'.'.join(octets())} {filler()}" for _ in range(120)]
+    model = pii.Model(train)
+    assert {"card", "ip"} <= set(model.thresholds)
+    caught, planted, wrong, clean = {"card": 0, "ip": 0}, {"card": 0, "ip": 0}, 0, 0
+    for _ in range(150):
+        for kind, form in (("card", draw.choice([".", "/", "_", "\n", "  ", " - "]).join(groups(card_number(draw)))), ("ip", draw.choice(["[.]", "(.)", " dot ", " [dot] ", " . "]).join(octets()))):
+            before = filler() + " "
+            added = model.spans(f"{before}{form} {filler()}")[1]
+            planted[kind] += 1
+            caught[kind] += (kind, len(before), len(before) + len(form)) in added
+        hard = draw.choice([". ".join(str(draw.randrange(1, 10)) for _ in range(4)), "/".join(str(draw.randrange(1950, 2050)) for _ in range(4)), ".".join(groups(card_number(draw)[:-1] + "x")), "[.]".join(str(draw.randrange(300, 999)) for _ in range(4))])
+        clean += 1
+        wrong += bool(model.spans(f"{filler()} {hard} {filler()}")[1])
+    assert caught["card"] >= 0.9 * planted["card"] and caught["ip"] >= 0.9 * planted["ip"] and wrong <= 0.06 * clean
+    assert pii.candidates("4" * 20_000)[1] == [] and len(pii.candidates("1 . " * 20_000)[1]) > 0  # linear on long rows
+
+
 def test_boosted_trees_learn():
     import numpy as np
 
