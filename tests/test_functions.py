@@ -217,3 +217,44 @@ def test_stratified_units_stay_whole(spark):
 def test_sliding_windows_end_once(spark):
     rows = spark.createDataFrame([(1, ""), (2, "x" * 1000), (3, "x" * 1001), (4, None)], "doc_id int, text string")
     assert sorted((r.doc_id, r.chunk_index) for r in chunks.sliding(rows).collect()) == [(2, 0), (3, 0), (3, 1)]
+
+
+def test_task_contract(spark):
+    from quarry.functions import tasks
+
+    replies = spark.createDataFrame([(1, '["One point.", "Two points."]'), (2, "- first\n- first"), (3, None), (4, '{"points": ["a"]}')], "id int, reply string")
+    made = {r.id: (r.text, r.faults) for r in tasks.handled(replies, "keypoints", ("id",)).collect()}
+    assert made[1] == ("1. One point.\n2. Two points.", []) and made[3][1] == ["no key points"] and made[4] == ("1. a", ["only 1 key point(s)"])
+    question = '{"questions": [{"question": "Q?", "options": ["a", "b", "c", "d"], "answer": "b"}, {"question": "R?", "options": ["a", "b"], "answer": "z"}]}'
+    rows = spark.createDataFrame([(1, question), (2, "no json"), (3, "[]")], "id int, reply string")
+    made = {r.id: (r.text, r.faults) for r in tasks.handled(rows, "mcq", ("id",)).collect()}
+    assert made[1][0].startswith("1. Q?\nA) a\nB) b") and made[1][1] == ["2: 2 options"] and made[2] == ("", ["no questions"]) == made[3]
+    said = {r.id: r.faults for r in tasks.handled(spark.createDataFrame([(1, " too short "), (2, "x" * 90)], "id int, reply string"), "summary", ("id",)).collect()}
+    assert said == {1: ["only 9 characters"], 2: []}
+    with pytest.raises(ValueError, match="unknown task"):
+        tasks.handled(rows, "poem", ("id",))
+    from pyspark.sql import functions as F
+
+    ask = tasks.TASKS["summary"].ask(F.lit("y" * 7000), F.lit(3))
+    assert spark.range(1).select(ask.alias("a")).first().a.startswith("Write sentences that sum up, 3 of them") and "[excerpt cut]" in spark.range(1).select(ask.alias("a")).first().a
+
+
+def test_files_are_skipped_by_whole_names(spark, tmp_path):
+    from quarry.sources import readers
+
+    root = tmp_path / "drafts"  # the word stands above the folder too
+    for name in ("a.pdf", "drafts/b.pdf", "sub/drafts.pdf", "sub/drafts2.pdf", "notes.txt", "sub/c.HTML"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x")
+    found = {r.path.split("/drafts/", 1)[1] for r in readers.files(spark, str(root), skip=("drafts",)).select("path").collect()}
+    assert found == {"a.pdf", "sub/drafts2.pdf", "sub/c.HTML"}
+    assert readers.files(spark, str(root)).count() == 5
+
+
+def test_document_states(spark):
+    from quarry.operators import library
+
+    rows = [(1, 1, 1, "Processing", None, None, None, None), (1, 2, 2, None, None, 9, 30, "m1"), (1, 3, 3, "Failed", "e" * 1500, None, None, None), (2, 1, 4, "Failed", "bad", None, None, None), (2, 2, 5, None, None, 1, 2, "m2"), (3, 1, 6, "Processing", None, None, None, None)]
+    made = {r.doc: r for r in library.document_states(spark.createDataFrame(rows, "doc int, ts int, event_id int, status string, error string, n_pages int, n_chunks int, embedding_model string")).collect()}
+    assert (made[1].status, len(made[1].error), made[1].n_pages, made[1].embedding_model, made[1].ingested_at) == ("Failed", 1000, 9, "m1", 2)
+    assert (made[2].status, made[2].error, made[2].n_chunks) == ("Ready", None, 2) and (made[3].status, made[3].n_pages) == ("Processing", None)
