@@ -10,6 +10,7 @@ from quarry.functions import verdicts as vd
 from quarry.operators import chunks, dataset, logs, packing, retrieval
 from quarry.plans.registry import QUERIES, SQL, docs, query, table
 from quarry.sources import readers
+from quarry.sources.sinks import shared_folder
 
 
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -210,8 +211,13 @@ def hybrid_rrf(spark, d):
     l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM o)
     SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM l WHERE rank <= 3 AND (score >= 0.5 OR rank = 1)""")
 def two_stage_retrieval(spark, d):
-    found = hybrid(spark, d, DEFAULTS.rerank_candidates).select("query_id", "doc_id")
-    texts = docs(spark, d).select("doc_id", "text")
+    root = shared_folder(spark, "two-stage")
+    hybrid(spark, d, DEFAULTS.rerank_candidates).select("query_id", "doc_id").write.parquet(f"{root}/found")
+    found = spark.read.parquet(f"{root}/found")
+    wanted = found.select("doc_id").union(found.select("query_id")).distinct()
+    few = F.broadcast(wanted) if wanted.count() <= retrieval.BROADCAST_TERMS else wanted
+    docs(spark, d).select("doc_id", "text").join(few, "doc_id", "left_semi").write.parquet(f"{root}/texts")  # one read for queries and candidates
+    texts = spark.read.parquet(f"{root}/texts")
     asked = texts.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return retrieval.two_stage(found.join(texts, "doc_id").join(asked, "query_id"))
 
