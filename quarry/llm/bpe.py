@@ -136,6 +136,7 @@ class Codec:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] | None = None
 
     def replayed(self, words: list[str]) -> list[bytes]:
         """Ids of pretokens, replayed together; one that is a token stays whole."""
@@ -151,16 +152,17 @@ class Codec:
     def encode(self, texts: list[str], hot: dict[str, bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. hot: pretokens with their ids."""
         parts = [self.split(t) for t in texts]
-        if len(self.known) > REMEMBERED:  # pretokens met since the last time stay known
-            self.known, self.older = {}, self.known
+        if self.hot is not hot:
+            self.hot, self.known, self.older = hot, dict(hot), {}
+        elif len(self.known) > REMEMBERED + len(hot):  # pretokens met since the last time stay known
+            self.known, self.older = dict(hot), self.known
         known = self.known
-        new = {w for p in parts for w in p if w not in hot and w not in known}
+        new = {w for p in parts for w in p if w not in known}
         again = new & self.older.keys()
         known.update((w, self.older[w]) for w in again)
         fresh = list(new - again)
         known.update(zip(fresh, self.replayed(fresh), strict=True))
-        find = hot.get
-        return [b"".join([find(w) or known[w] for w in p]) for p in parts]
+        return [b"".join([known[w] for w in p]) for p in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
