@@ -144,8 +144,7 @@ def upload_checks(spark, d):
 @query("SELECT 'documents.parquet' AS name UNION ALL SELECT 'embeddings.parquet'")
 def listed_files(spark, d):
     """The folder's files of one kind, by name, without the skipped ones."""
-    found = readers.files(spark, d, skip=("events", "pages"), suffixes=r"(documents|embeddings|events)\.parquet$")
-    return found.select(F.regexp_extract("path", "[^/]+$", 0).alias("name")).orderBy("name")
+    return readers.entries(spark, d, skip=("events", "pages"), suffixes=r"(documents|embeddings|events)\.parquet$").select("name").orderBy("name")
 
 
 @query()

@@ -70,16 +70,26 @@ def manifest(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
 
 def files(spark: SparkSession, folder: str, skip: tuple[str, ...] = (), suffixes: str = r"(?i)\.(pdf|html?)$") -> DataFrame:
     """Files below a folder, without their content until it is selected. `skip` names folders below it, or files with or
-    without their ending, that are left out whole; what the path above the folder holds doesn't matter."""
+    without their ending, that are left out whole; what the path above the folder holds doesn't matter. A folder that itself
+    has a wanted name, as a table of many part files has, is one entry: `entries` names it once."""
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     above = root.makeQualified(root.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), root).toUri().getPath().rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).filter(F.col("path").rlike(suffixes))
-    below = F.substring_index("path", f"{above}/", -1)
-    parts = F.split(below, "/")
-    names = F.array_union(parts, F.array(F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    parts = F.split(F.substring_index("path", f"{above}/", -1), "/")
+    # The way to each part of the path below the folder; the first of a wanted name is the entry.
+    ways = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.slice(parts, 1, i))
+    entry = F.get(F.filter(ways, lambda w: F.element_at(w, -1).rlike(suffixes)), 0)
+    found = found.withColumn("entry", F.array_join(entry, "/")).filter(F.col("entry").isNotNull())
+    own = F.split("entry", "/")
+    names = F.array_union(own, F.array(F.regexp_replace(F.element_at(own, -1), r"\.[^.]*$", "")))
     return found.filter(~F.arrays_overlap(names, F.array(*map(F.lit, skip)))) if skip else found
 
 
+def entries(spark: SparkSession, folder: str, skip: tuple[str, ...] = (), suffixes: str = r"(?i)\.(pdf|html?)$") -> DataFrame:
+    """path, name: what `files` finds, below the folder; the part files of one entry are one row."""
+    return files(spark, folder, skip, suffixes).select(F.col("entry").alias("path"), F.substring_index("entry", "/", -1).alias("name")).distinct()
+
+
 def reject_reason(name: Column, size: Column, pages: Column | None = None, most_mb: int = 10, most_pages: int = 300) -> Column:
     reason = F.when(~F.lower(name).endswith(".pdf"), "not a PDF").when(size == 0, "empty").when(size > most_mb * 2**20, "too large")
     return reason if pages is None else reason.when((pages < 1) | (pages > most_pages), "page count")

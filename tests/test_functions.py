@@ -258,3 +258,14 @@ def test_document_states(spark):
     made = {r.doc: r for r in library.document_states(spark.createDataFrame(rows, "doc int, ts int, event_id int, status string, error string, n_pages int, n_chunks int, embedding_model string")).collect()}
     assert (made[1].status, len(made[1].error), made[1].n_pages, made[1].embedding_model, made[1].ingested_at) == ("Failed", 1000, 9, "m1", 2)
     assert (made[2].status, made[2].error, made[2].n_chunks) == ("Ready", None, 2) and (made[3].status, made[3].n_pages) == ("Processing", None)
+
+
+def test_tables_of_part_files_are_one_entry(spark, tmp_path):
+    from quarry.plans import output
+    from quarry.sources import readers
+
+    for name in ("documents.parquet/part-0.parquet", "documents.parquet/part-1.parquet", "embeddings.parquet", "events.parquet/part-0.parquet", "pages/embeddings.parquet", "labels.parquet/part-0.parquet"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    assert [r.name for r in output.listed_files(spark, str(tmp_path)).collect()] == ["documents.parquet", "embeddings.parquet"]
+    assert readers.files(spark, str(tmp_path), suffixes=r"documents\.parquet$").count() == 2
