@@ -196,7 +196,7 @@ def hybrid(spark, d, k):
     queries, corpus = vectors(spark, d)
     dense = retrieval.cosine_top_k(queries, corpus, 20).withColumnRenamed("vec_id", "doc_id")
     texts = docs(spark, d).join(queries.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "text")
-    sparse = retrieval.top(retrieval.sparse_scores(texts, docs(spark, d)), "query_id", "score", "doc_id", 20)
+    sparse = retrieval.sparse_top_k(texts, docs(spark, d).select("doc_id", "text"), 20)
     return retrieval.fuse(dense, sparse, "query_id", "doc_id", k)
 
 
@@ -218,8 +218,7 @@ def two_stage_retrieval(spark, d):
     few = F.broadcast(wanted) if wanted.count() <= retrieval.BROADCAST_TERMS else wanted
     docs(spark, d).select("doc_id", "text").join(few, "doc_id", "left_semi").write.parquet(f"{root}/texts")  # one read for queries and candidates
     texts = spark.read.parquet(f"{root}/texts")
-    asked = texts.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.two_stage(found.join(texts, "doc_id").join(asked, "query_id"))
+    return retrieval.two_stage_by_words(found, texts)
 
 
 @query("""

@@ -139,3 +139,29 @@ def test_groups_of_pairs_give_the_k_best(spark, monkeypatch):
         got.setdefault(r.query_id, []).append((r.vec_id, str(r.score).replace("-0.0", "0.0") if r.score == 0 else str(r.score), r["rank"]))
     assert [(q, *sorted(v, key=lambda x: x[2])) for q, v in sorted(got.items())] == [(q, *[(v, s.replace("-0.0", "0.0") if s == "-0.0" else s, n) for v, s, n in own]) for q, *own in want]
     assert left[0].count() <= 7 * len(asked) * -(-len(rows) // 30)
+
+
+def test_products_of_term_counts_leave_groups_as_the_k_best(spark, monkeypatch):
+    """Frequent and rare words, ties, texts without words, ids twice, several groups: the same as all pairs, of which few are moved."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("a b c dd ee".split() if rng.random() < 0.6 else [f"w{j}" for j in range(300)]) for _ in range(rng.randrange(25)))) for i in range(240)]
+    rows += [(240 + i, "A b, b") for i in range(30)] + [(270, ""), (271, None), (5, "a a zz"), (None, "c c c")]
+    corpus = spark.createDataFrame(rows, "doc_id bigint, text string")
+    queries = corpus.filter("doc_id % 10 = 5 or doc_id in (270, 271)").select(F.col("doc_id").alias("query_id"), "text")
+    want = sorted(map(tuple, retrieval.top(retrieval.sparse_scores(queries, corpus), "query_id", "score", "doc_id", 6).select("query_id", "rank", "score", F.coalesce("doc_id", F.lit(-1))).collect()))
+    for name, most in (("GROUP_QUERIES", 9), ("GROUP_ROWS", 60), ("TILE_ROWS", 13)):
+        monkeypatch.setattr(retrieval, name, most)
+    real, left = retrieval.top, []
+    monkeypatch.setattr(retrieval, "top", lambda scored, *a: left.append(scored) or real(scored, *a))
+    got = retrieval.sparse_top_k(queries, corpus, 6).select("query_id", "rank", "score", F.coalesce("doc_id", F.lit(-1)))
+    assert sorted(map(tuple, got.collect())) == want
+    assert left[0].count() <= 6 * 26 * 5
+
+
+def test_reranking_by_words_is_that_by_texts(spark):
+    rows = [(i, f"word{i} a b c" if i % 3 else f"a a word{i - 1}") for i in range(12)] + [(12, ""), (13, None)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = spark.createDataFrame([(q, d) for q in (0, 1, 2, 12, 13) for d in (0, 1, 3, 4, 5, 12, 13, 99)], "query_id bigint, doc_id bigint")
+    asked = texts.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    want = retrieval.two_stage(found.join(texts, "doc_id").join(asked, "query_id"), 3, 0.6)
+    assert sorted(map(tuple, retrieval.two_stage_by_words(found, texts, 3, 0.6).collect())) == sorted(map(tuple, want.collect()))
