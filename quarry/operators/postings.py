@@ -12,6 +12,10 @@ Queries are a stated set. Null and empty texts have no buckets and are found by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ from quarry.sources.sinks import shared_folder
 
 #: Documents of a block, about; blocks that are scored before bounds are held against a score; strata of length.
 BLOCK_DOCS, LEAD, STRATA = 1024, 4, 4
+#: Buckets that lie in one file.
+STRETCH = 5000
 #: Characters of words.
 WORDS = r"[\p{L}\p{N}_]+"
 
@@ -30,12 +36,49 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
 
 
+def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct words in the order of their first places, and how often each stands in it."""
+    for b in batches:
+        words = b.column("words")
+        coded = words.flatten().dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        met, at, n = np.unique(retrieval.spread(words) * size + coded.indices.to_numpy(), return_index=True, return_counts=True)
+        order = np.argsort(at)
+        ends = pa.array(np.searchsorted(met, np.arange(len(words) + 1) * size).astype(np.int32))
+        made = [pa.ListArray.from_arrays(ends, own) for own in (coded.dictionary.take(pa.array(met[order] % size)), pa.array(n[order]))]
+        yield pa.RecordBatch.from_arrays([b.column(c) if c != "words" else made[0] for c in b.schema.names] + made[1:], names=[*b.schema.names, "weights"])
+
+
+def first_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's buckets, ascending, with the weight of the first word of each."""
+    for b in batches:
+        buckets = b.column("buckets")
+        text, bucket = retrieval.spread(buckets), buckets.flatten().to_numpy()
+        order = np.lexsort((bucket, text))  # stable: equal ones in the order of words
+        new = np.ones(len(order), bool)
+        new[1:] = (text[order][1:] != text[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+        kept = order[new]
+        ends = pa.array(np.searchsorted(text[kept], np.arange(len(buckets) + 1)).astype(np.int32))
+        made = {"buckets": pa.array(bucket[kept]), "weights": pa.array(b.column("weights").flatten().to_numpy()[kept])}
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, made[c]) if c in made else b.column(c) for c in b.schema.names], names=b.schema.names)
+
+
+def rows_of_vectors(texts: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """The columns to keep, and each text's buckets (ascending) and weights as arrays; a text is counted where it stands."""
+    kept = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keep)
+    counted = texts.select(*keep, words(F.col(text)).alias("words")).mapInArrow(distinct_words, f"{kept}, words array<string>, weights array<bigint>")
+    hashed = counted.select(*keep, F.transform("words", lambda w: tx.bucket_of(w).cast("bigint")).alias("buckets"), "weights")
+    return hashed.mapInArrow(first_of_buckets, f"{kept}, buckets array<bigint>, weights array<bigint>")
+
+
+def cells(vectors: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep, bucket, weight: a row for each bucket of each vector."""
+    return vectors.select(*keep, F.explode(F.arrays_zip("buckets", "weights")).alias("c")).select(*keep, F.col("c.buckets").alias("bucket"), F.col("c.weights").alias("weight"))
+
+
 def sparse_vectors(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, bucket, weight: the hashed term frequencies of each text. Keys must be unique."""
-    placed = texts.select(key, F.posexplode(words(F.col(text))).alias("pos", "word"))
-    counted = placed.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    hashed = counted.select(key, tx.bucket_of(F.col("word")).alias("bucket"), "n", "pos")
-    return hashed.groupBy(key, "bucket").agg(F.min(F.struct("pos", "n"))["n"].alias("weight"))
+    return cells(rows_of_vectors(texts, key, text=text), key)
 
 
 class Postings:
@@ -52,11 +95,13 @@ class Postings:
         # Blocks by length: a bound is tight where the documents of a block are alike.
         stratum = F.floor(F.log2(F.length("text") + 1) * STRATA)
         sizes = docs.groupBy(stratum.alias("stratum")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("parts"))  # 31 * STRATA rows at most
-        placed = docs.select("doc_id", stratum.alias("stratum")).join(F.broadcast(sizes), "stratum")
-        blocks = placed.select("doc_id", F.concat_ws(":", "stratum", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block"))
-        lists = sparse_vectors(docs, "doc_id").join(blocks, "doc_id").groupBy("bucket", "block")
+        placed = docs.select("doc_id", "text", stratum.alias("stratum")).join(F.broadcast(sizes), "stratum")  # null texts have no words
+        block = F.concat_ws(":", "stratum", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("block")
+        # Whole vectors are dealt by block, where lists form, and lists by stretches of buckets: hashes need no sampling of their range.
+        dealt = rows_of_vectors(placed.select("doc_id", "text", block), "doc_id", "block").repartition("block")
+        lists = cells(dealt, "doc_id", "block").groupBy("bucket", "block")
         made = lists.agg(F.max("weight").alias("top"), F.collect_list(F.struct("doc_id", "weight")).alias("documents"))  # the documents of a block
-        made.repartitionByRange("bucket", "block").sortWithinPartitions("bucket", "block").write.parquet(path)
+        made.repartition(F.floor(F.col("bucket") / STRETCH)).sortWithinPartitions("bucket", "block").write.parquet(path)
         return cls(spark, path)
 
     def bounds(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:

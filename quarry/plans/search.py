@@ -103,11 +103,9 @@ HASHED_SQL = """WITH t AS (SELECT key, regexp_extract_all(lower(coalesce(text, '
 def sparse_vectors(spark, d):
     """The sparse part of each document's vector as it is stored beside the dense one."""
     rows = docs(spark, d).select("doc_id", "text")
-    cells = F.array_sort(F.collect_list(F.struct("bucket", "weight")))  # of one text
-    made = postings.sparse_vectors(rows, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("buckets"), F.sum("weight").alias("weights"), cells.alias("cells"))
-    told = F.array_join(F.transform("cells", lambda c: F.concat_ws(":", c.bucket.cast("string"), c.weight.cast("string"))), ",")
-    both = rows.select("doc_id").join(made, "doc_id", "left")
-    return both.select("doc_id", F.coalesce("buckets", F.lit(0)).alias("buckets"), F.coalesce("weights", F.lit(0)).alias("weights"), F.md5(F.coalesce(told, F.lit(""))).alias("vector_md5"))
+    told = F.array_join(F.transform(F.arrays_zip("buckets", "weights"), lambda c: F.concat_ws(":", c.buckets.cast("string"), c.weights.cast("string"))), ",")
+    sums = F.aggregate("weights", F.lit(0).cast("bigint"), lambda s, w: s + w)
+    return postings.rows_of_vectors(rows, "doc_id").select("doc_id", F.size("buckets").cast("bigint").alias("buckets"), sums.alias("weights"), F.md5(told).alias("vector_md5"))
 
 
 @query(f"""WITH v AS ({HASHED_SQL.format('SELECT doc_id AS key, text FROM documents')}), q AS ({HASHED_SQL.format('SELECT item_id AS key, text FROM benchmark')}),

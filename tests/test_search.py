@@ -165,3 +165,11 @@ def test_reranking_by_words_is_that_by_texts(spark):
     asked = texts.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     want = retrieval.two_stage(found.join(texts, "doc_id").join(asked, "query_id"), 3, 0.6)
     assert sorted(map(tuple, retrieval.two_stage_by_words(found, texts, 3, 0.6).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sparse_vectors_are_made_where_texts_stand(spark):
+    """No text's words are moved to be counted; vectors are those of the description."""
+    texts = spark.createDataFrame([(1, "b a a, c"), (2, ""), (3, None), (4, "Ä b_c 9 9")], "doc_id bigint, text string")
+    made = postings.sparse_vectors(texts, "doc_id")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == sorted((i, b, w) for i, t in ((1, "b a a, c"), (4, "Ä b_c 9 9")) for b, w in sparse(t).items())
