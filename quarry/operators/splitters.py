@@ -6,7 +6,9 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,21 @@ def section_chunks(units: list[dict], most: int = DEFAULTS.max_unit_chars, merge
     return out
 
 
+#: Texts that are chunked at once, and bytes of them.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows and bytes, so that the texts and chunks held as Python strings don't grow with the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        start = ends[at - 1] if at else 0
+        stop = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, start + SLICE_BYTES, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def page_chunks(pages: DataFrame) -> DataFrame:
     """doc_id, page_number, chunk_index (of those kept), chunk. pages: doc_id, page_number, text (cleaned).
 
@@ -87,7 +104,7 @@ def page_chunks(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             # Contents pages are told here: as a filter before, the test would have a page cleaned twice.
             made = [[] if len(LEADERS.findall(t or "")) >= DEFAULTS.page_contents_leaders else recursive_split(t or "") for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("page_number"), pa.array(made, pa.list_(pa.string()))], names=["doc_id", "page_number", "chunks"])

@@ -269,3 +269,15 @@ def test_tables_of_part_files_are_one_entry(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     assert [r.name for r in output.listed_files(spark, str(tmp_path)).collect()] == ["documents.parquet", "embeddings.parquet"]
     assert readers.files(spark, str(tmp_path), suffixes=r"documents\.parquet$").count() == 2
+
+
+def test_texts_are_chunked_in_parts_of_bounded_bytes(spark):
+    import pyarrow as pa
+
+    from quarry.operators import splitters
+
+    texts = ["x" * n for n in (3 << 20, 2 << 20, 9 << 20, 1, 0)] + [None] + ["y" * 10] * 700
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(splitters.slices(batch))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows == 1 or (p.num_rows <= 256 and sum(len(t or "") for t in p.column("text").to_pylist()) <= 4 << 20) for p in parts)
