@@ -509,3 +509,15 @@ def test_repeated_rows_repeat(spark):
     for made in (pii.report(docs), language.report(docs), toxicity.report(docs, labels), quality.report(spark, docs, labels), licenses.report(docs), dedup.dedup(docs)):
         assert made.count() == len(rows)
     assert rows_of(ngram_join.join(make(spark, [rows[0], rows[1], rows[3]]), 3, 90), "doc_id", "component_id") == sorted([(1, 1), (1, 1), (None, None)], key=str)
+
+
+def test_pii_learns_from_every_document(spark):
+    draw = random.Random(14)
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    told = [f"the red stone of +1 ({digits(3)}) {digits(3)}-{digits(4)} at night" for _ in range(120)]
+    rows = [(i, f"nothing but words, {i} of them") for i in range(6000)] + [(6000 + i, t + " and on" * (50_000 if i % 3 else 1)) for i, t in enumerate(told)]
+    asked = [(10_000, "or 555-123-4567 now")]
+    made = {r.doc_id: r for r in pii.find(make(spark, rows + asked).repartition(7)).filter("doc_id >= 6000").collect()}
+    assert [(s.kind, s.start, s.end) for s in made[10_000].added] == [("phone", 3, 15)]
+    models = [pii.Model.learned(make(spark, rows).repartition(n).select("text")) for n in (2, 9)]
+    assert (models[0].trees.value == models[1].trees.value).all() and models[0].thresholds == models[1].thresholds
