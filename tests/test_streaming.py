@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry.operators import logs
@@ -53,6 +54,40 @@ def test_throttled_replies_over_batches(spark):
     assert made == expected
 
 
+class Kept:
+    """A bucket's state that counts its calls."""
+
+    hasTimedOut, value, calls = False, None, 0
+
+    @property
+    def exists(self):
+        return self.value is not None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    def setTimeoutTimestamp(self, at):
+        self.timer, self.calls = at, self.calls + 1
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_a_batch_of_many_replies_costs_one_update_and_one_timer():
+    state, draw, made = Kept(), random.Random(3), []
+    tokens = [(START + 70_000 * i, i, draw.randrange(9), i == 899) for i in range(900)]
+    for part in range(3):
+        frames = [pd.DataFrame([(k, *t) for t in tokens[300 * part : 300 * part + 300]], columns=["key", "at", "seq_no", "size", "last"]).sample(frac=1, random_state=1) for k in range(20)]
+        made += [tuple(r) for out in replies.throttle((0,), iter(frames), state) for r in out.itertuples(index=False)]
+        assert state.calls <= 2 * (part + 1)
+    want = replayed([(a, s, e) for a, _, s, e in tokens])
+    assert sorted(made) == sorted((k, *e) for k in range(20) for e in want)
+
+
 def test_replies_of_no_tokens(spark):
     none = spark.createDataFrame([(None, START, 0, 1, True), (1, None, 0, 1, True)], TOKENS)
     assert replies.emissions(none).collect() == [] and replies.emissions(none.limit(0)).collect() == []
