@@ -8,15 +8,22 @@ numbers its own rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.sources.sinks import shared_folder
 
 #: Characters between two rows of a run.
 GAP = 2
+#: Characters of text in a part of `strung`, and parts at most.
+PART_CHARS, MOST_PARTS = 16 << 20, 512
+#: What a part makes of the run that comes in, and where the first run begins in it (null: nowhere).
+ENTRIES = "g string, part int, run bigint, size bigint, count bigint, n bigint, first bigint, first_run bigint, runs bigint"
 
 
 def tails(n: np.ndarray, limit: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -75,24 +82,21 @@ def assigned(rows: DataFrame, group: str, order: str, limit: int | str, most: in
     return made.select(F.col("g").alias(group), F.col("o").alias(order), "run")
 
 
-def dealt(rows: DataFrame, group: str, order: str, limit: int | str, most: int | None, tell, fields: str) -> DataFrame:
-    """What `tell` makes of each part's order numbers, sizes and runs (run, rows, chars)."""
-    spark, top = rows.sparkSession, most or 1 << 60
-    path = shared_folder(spark, "pack")
-    most_chars = F.col(limit) if isinstance(limit, str) else F.lit(limit)
-    sized = rows.select(F.col(group).cast("string").alias("g"), F.col(order).cast("bigint").alias("o"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"), most_chars.cast("bigint").alias("limit"))
-    sized.repartitionByRange("g", "o").select("*", F.spark_partition_id().alias("part")).write.parquet(path)
-    parts = spark.read.schema("g string, o bigint, n bigint, limit bigint, part int").parquet(path)
+def entered(parts: DataFrame, top: int, most_known: bool) -> DataFrame:
+    """ENTRIES: for each group and part, in order, the run that comes in (its number, size and rows), the part's rows, its
+    first row that begins a run with that run's number, and the group's runs so far. parts: g, o, n, limit, part."""
 
     def summary(frame: pd.DataFrame) -> pd.DataFrame:
-        n, limit = frame.sort_values("o").n.to_numpy(), int(frame.limit.iloc[0])
+        frame = frame.sort_values("o")
+        n, limit = frame.n.to_numpy(), int(frame.limit.iloc[0])
         _, closed, size, count = tails(n, limit, top)
-        at = breaks(n, limit, top, most is not None)
+        at = breaks(n, limit, top, most_known)
         reach = (np.concatenate([[0], np.cumsum(n + GAP)])[:-1] + n)[at]
-        row = [frame.g.iloc[0], int(frame.part.iloc[0]), limit, len(n), int((n + GAP).sum()), at, reach.tolist(), closed[at].tolist(), size[at].tolist(), count[at].tolist(), int(closed[0]), int(size[0]), int(count[0])]
-        return pd.DataFrame([row], columns=["g", "part", "limit", "n", "total", "at", "reach", "closed", "size", "count", "closed0", "size0", "count0"])
+        places = frame.o.to_numpy()[[0, *[j for j in at if j < len(n)]]]
+        row = [frame.g.iloc[0], int(frame.part.iloc[0]), limit, len(n), int((n + GAP).sum()), at, reach.tolist(), closed[at].tolist(), size[at].tolist(), count[at].tolist(), places.tolist(), int(closed[0]), int(size[0]), int(count[0])]
+        return pd.DataFrame([row], columns=["g", "part", "limit", "n", "total", "at", "reach", "closed", "size", "count", "places", "closed0", "size0", "count0"])
 
-    lists = ", ".join(f"{c} array<bigint>" for c in ("at", "reach", "closed", "size", "count"))
+    lists = ", ".join(f"{c} array<bigint>" for c in ("at", "reach", "closed", "size", "count", "places"))
     summaries = parts.groupBy("g", "part").applyInPandas(summary, f"g string, part int, limit bigint, n bigint, total bigint, {lists}, closed0 bigint, size0 bigint, count0 bigint")
 
     def first_break(r, size: int, count: int) -> int | None:
@@ -103,16 +107,31 @@ def dealt(rows: DataFrame, group: str, order: str, limit: int | str, most: int |
     def chain(frame: pd.DataFrame) -> pd.DataFrame:
         out, run, size, count = [], 0, 0, 0
         for r in frame.sort_values("part").itertuples():
-            out.append((r.g, r.part, run, size, count))
+            came, first = (run, size, count), None
             if not count:
+                first, began = r.places[0], run
                 run, size, count = run + r.closed0, r.size0, r.count0
             elif (k := first_break(r, size, count)) is None:
                 size, count = size + r.total, count + r.n
             else:
+                first, began = r.places[k + 1], run + 1
                 run, size, count = run + 1 + r.closed[k], r.size[k], r.count[k]
-        return pd.DataFrame(out, columns=["g", "part", "run", "size", "count"])
+            out.append((r.g, r.part, *came, r.n, first, None if first is None else began, run + 1))
+        columns = zip((f.split()[0] for f in ENTRIES.split(", ")), zip(*out, strict=True), strict=True)
+        return pd.DataFrame({c: pd.array(v, dtype="Int64") if c.startswith("first") else v for c, v in columns})
+
+    return summaries.groupBy("g").applyInPandas(chain, ENTRIES)  # one small row a part
+
 
-    entries = summaries.groupBy("g").applyInPandas(chain, "g string, part int, run bigint, size bigint, count bigint")  # one small row a part
+def dealt(rows: DataFrame, group: str, order: str, limit: int | str, most: int | None, tell, fields: str) -> DataFrame:
+    """What `tell` makes of each part's order numbers, sizes and runs (run, rows, chars)."""
+    spark, top = rows.sparkSession, most or 1 << 60
+    path = shared_folder(spark, "pack")
+    most_chars = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+    sized = rows.select(F.col(group).cast("string").alias("g"), F.col(order).cast("bigint").alias("o"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"), most_chars.cast("bigint").alias("limit"))
+    sized.repartitionByRange("g", "o").select("*", F.spark_partition_id().alias("part")).write.parquet(path)
+    parts = spark.read.schema("g string, o bigint, n bigint, limit bigint, part int").parquet(path)
+    entries = entered(parts, top, most is not None)
     names = ["g", *(f.split()[0] for f in fields.split(", "))]
 
     def assign(key, frame: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
@@ -136,3 +155,76 @@ def dealt(rows: DataFrame, group: str, order: str, limit: int | str, most: int |
         return tell(frame.o.to_numpy(), n, out).assign(g=frame.g.iloc[0])[names]
 
     return parts.groupBy("g", "part").cogroup(entries.groupBy("g", "part")).applyInPandas(assign, f"g string, {fields}")
+
+
+class Strung:
+    """Runs of at most `limit` characters as texts, found by sizes alone: texts move once, and so that a run's rows meet.
+
+    rows: key (a string), place (a bigint), n (characters of text), text, none of them null; a stored table, of which the
+    sizes are read apart from the texts. The bounds of the parts, MOST_PARTS at most, are rows that begin a run, so that
+    no run is in two parts.
+    """
+
+    def __init__(self, rows: DataFrame, limit: int, path: str):
+        spark, self.rows, self.limit = rows.sparkSession, rows, limit
+        sized = rows.select(F.col("key").alias("g"), F.col("place").alias("o"), "n", F.lit(limit).cast("bigint").alias("limit"))
+        self.count = min(MOST_PARTS, 1 + (rows.agg(F.sum("n")).first()[0] or 0) // PART_CHARS)
+        if self.count == 1:
+            parts = sized.withColumn("part", F.lit(0))
+        else:
+            sized.repartitionByRange(self.count, "g", "o").select("*", F.spark_partition_id().alias("part")).write.parquet(f"{path}/parts")
+            parts = spark.read.schema("g string, o bigint, n bigint, limit bigint, part int").parquet(f"{path}/parts")
+        entered(parts, 1 << 60, False).write.parquet(f"{path}/entries")
+        self.entries = spark.read.schema(ENTRIES).parquet(f"{path}/entries")
+        self.bounds = sorted(self.entries.filter("first is not null").groupBy("part").agg(F.min(F.struct("g", "first")).alias("b")).select("b.*", "part").collect()) if self.count > 1 else []
+
+    def sizes(self) -> DataFrame:
+        """key, notes, runs: rows and runs of each key."""
+        return self.entries.groupBy(F.col("g").alias("key")).agg(F.sum("n").alias("notes"), F.max("runs").alias("runs"))
+
+    def part(self) -> Column:
+        """The part whose bound is the last that isn't behind a row; looked up among every 32nd bound, then among 32."""
+        if len(self.bounds) < 2:
+            return F.lit(self.bounds[0].part if self.bounds else 0)
+        own, step = F.struct("key", "place"), 32
+        listed = lambda rows: F.array(*[F.struct(F.lit(r.g).alias("key"), F.lit(r.first).cast("bigint").alias("place")) for r in rows])
+        reached = lambda bounds: F.size(F.filter(bounds, lambda b: b <= own))
+        skipped = (reached(listed(self.bounds[::step])) - 1) * step
+        return F.element_at(F.array(*[F.lit(r.part) for r in self.bounds]), skipped + reached(F.slice(listed(self.bounds), skipped + 1, step)))
+
+    def texts(self, keys: DataFrame, runs: int | None = None) -> DataFrame:
+        """key, run (from 0), text, chars: the texts of each run in order, a blank line between, and their characters without
+        these lines. keys: key; only their runs are told, with `runs` the first so many of each."""
+        limit, known = self.limit, runs or 1 << 60
+        begun = self.entries.filter("first is not null").join(keys.select(F.col("key").alias("g"), F.lit(True).alias("told")), "g", "left")
+        begun = begun.select("part", F.col("g").alias("key"), F.col("first").alias("place"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("text"), F.when(F.col("told"), F.col("first_run")).otherwise(-1).alias("run"))
+        own = self.rows.select(self.part().alias("part"), "key", "place", "n", F.col("text").cast("binary").alias("text"), F.lit(None).cast("bigint").alias("run"))
+
+        def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A part's rows in order; before a key's first row a row with the number of the run that it begins (-1: not told)."""
+            key, run, size, chars, waiting = None, -1, 0, 0, []
+
+            def told(made: list) -> pa.RecordBatch:
+                columns = list(zip(*made, strict=True)) or [()] * 4
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["key", "run", "text", "chars"])
+
+            for batch in batches:
+                made = []
+                for k, n, text, begins in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "text", "run")), strict=True):
+                    if begins is None and (run < 0 or run >= known):
+                        continue
+                    if waiting and (begins is not None or size + n > limit):
+                        made.append((key, run, b"\n\n".join(waiting), chars))
+                        run, size, chars, waiting = run + 1, 0, 0, []
+                    if begins is not None:
+                        key, run = k, begins
+                    elif run < known:
+                        waiting.append(text)
+                        size, chars = size + n + GAP, chars + n
+                yield told(made)
+            if waiting:
+                yield told([(key, run, b"\n\n".join(waiting), chars)])
+
+        ordered = own.unionByName(begun).repartition(self.count, "part").sortWithinPartitions("part", "key", "place", F.col("run").isNull())
+        made = ordered.select("key", "n", "text", "run").mapInArrow(string, "key string, run bigint, text binary, chars bigint")
+        return made.withColumn("text", F.col("text").cast("string"))

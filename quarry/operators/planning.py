@@ -110,36 +110,39 @@ def joined(rows: DataFrame, *keys: str) -> DataFrame:
 def fold(notes: DataFrame, generate: Callable[[DataFrame], DataFrame], budget: int = DEFAULTS.source_chars) -> DataFrame:
     """key, rounds, notes, text: each document's notes, folded until they fit one prompt, cut at `budget`.
 
-    notes: key (a string), place, text. A generation packs every document's notes into runs that fit the budget, hands runs
+    notes: key (a string), place (none twice in a document), text. A generation packs every document's notes into runs that
+    fit the budget, by their sizes, so that a generation's texts are stored and shuffled once. It hands runs
     (key, run, text, sentences) to `generate`, which gives key, run, text, and takes what isn't blank as the next notes.
     A document is done when its notes are one run, or as many runs as notes (no progress); the loop ends when all are.
     Each generation is written, so that a lost executor or a costly generator costs no more than the generation at hand.
-    Documents without notes don't occur. A null text is blank and falls out before the first generation.
+    Documents without notes don't occur. A null text is blank and falls out before the first generation, and so do rows
+    without key or place.
     """
     spark, root, n = notes.sparkSession, shared_folder(notes.sparkSession, "fold"), 0
-    blank = F.trim(F.coalesce(F.regexp_replace("text", r"\s+", " "), F.lit(""))) == ""
 
-    def save(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(f"{root}/{name}")
-        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
+    def save(rows: DataFrame) -> DataFrame:
+        """The notes of generation n with their sizes, without those that hold nothing but space."""
+        own = rows.filter(F.ltrim("text", F.lit(" \t\n\x0b\f\r")) != "").select("key", "place", F.length("text").cast("bigint").alias("n"), "text")
+        own.write.parquet(f"{root}/notes-{n}")
+        return spark.read.schema("key string, place bigint, n bigint, text string").parquet(f"{root}/notes-{n}")
 
-    left = save(notes.select(F.col("key").cast("string").alias("key"), F.col("place").cast("bigint").alias("place"), "text").filter(~blank), "notes-0")
+    left = save(notes.select(F.col("key").cast("string").alias("key"), F.col("place").cast("bigint").alias("place"), "text").filter("key is not null and place is not null"))
     done = []
     while True:
-        packed = save(left.join(packing.assigned(left, "key", "place", budget), ["key", "place"]), f"packed-{n}")
-        sizes = packed.groupBy("key").agg(F.count(F.lit(1)).alias("notes"), (F.max("run") + 1).alias("runs"))
-        over = save(sizes.filter((F.col("runs") > 1) & (F.col("runs") < F.col("notes"))).select("key"), f"over-{n}")
-        ended = packed.join(over, "key", "left_anti")
-        # A document that makes no progress may hold more than a budget: what the cut leaves is the notes' beginning.
-        first = ended.withColumn("before", F.sum(F.length("text") + packing.GAP).over(W.partitionBy("key").orderBy("place").rowsBetween(W.unboundedPreceding, -1)))
-        kept = first.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.coalesce("before", F.lit(0)) < budget, F.struct("place", "text")))).alias("t"), F.count(F.lit(1)).alias("notes"))
-        text = F.substring(F.array_join(F.transform("t", lambda r: r.text), "\n\n"), 1, budget)
-        done.append(kept.select("key", F.lit(n).alias("rounds"), "notes", text.alias("text")))
-        if not over.take(1):
+        packed = packing.Strung(left, budget, f"{root}/packed-{n}")
+        sizes = packed.sizes()
+        more = (F.col("runs") > 1) & (F.col("runs") < F.col("notes"))
+        told = sizes.agg(F.count_if(more).alias("over"), F.count_if(~more).alias("ended")).first()
+        if told.ended or not (done or told.over):
+            # A document that makes no progress may hold more than a budget: what the cut leaves ends in its second note.
+            ended = sizes.filter(~more)
+            first = joined(packed.texts(ended, 2).withColumnRenamed("run", "place"), "key").drop("chars")
+            done.append(first.join(ended, "key").select("key", F.lit(n).alias("rounds"), "notes", F.substring("text", 1, budget).alias("text")))
+        if not told.over:
             break
-        asked = joined(packed.join(over, "key", "left_semi"), "key", "run").withColumn("sentences", fold_sentences(F.col("chars"))).drop("chars")
-        made = save(generate(asked).select("key", F.col("run").alias("place"), "text"), f"made-{n}")
-        left, n = made.filter(~blank), n + 1
+        asked = packed.texts(sizes.filter(more)).withColumn("sentences", fold_sentences(F.col("chars"))).drop("chars")
+        n += 1
+        left = save(generate(asked).select(F.col("key").cast("string").alias("key"), F.col("run").cast("bigint").alias("place"), "text"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

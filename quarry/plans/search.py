@@ -142,7 +142,8 @@ def zipped_predictions(spark, d):
 
 def leading_sentences(requests):
     """An extractive generator: the first sentences of each prompt."""
-    said = F.array_join(F.slice(F.split("text", r"(?<=[.!?])\s+"), F.lit(1), F.col("sentences").cast("int")), " ")
+    n = F.col("sentences").cast("int")
+    said = F.array_join(F.slice(F.split("text", r"(?<=[.!?])\s+", n + 1), F.lit(1), n), " ")
     return requests.select("key", "run", said.alias("text"))
 
 
