@@ -20,8 +20,8 @@ from quarry.sources.sinks import shared_folder
 
 #: Characters between two rows of a run.
 GAP = 2
-#: Characters of text in a part of `strung`, and parts at most.
-PART_CHARS, MOST_PARTS = 16 << 20, 512
+#: Characters of text in a part of `Strung`, its rows, and parts at most (beyond which parts grow with the input).
+PART_CHARS, PART_ROWS, MOST_PARTS = 16 << 20, 1 << 16, 512
 #: What a part makes of the run that comes in, and where the first run begins in it (null: nowhere).
 ENTRIES = "g string, part int, run bigint, size bigint, count bigint, n bigint, first bigint, first_run bigint, runs bigint"
 
@@ -92,8 +92,8 @@ def entered(parts: DataFrame, top: int, most_known: bool) -> DataFrame:
         _, closed, size, count = tails(n, limit, top)
         at = breaks(n, limit, top, most_known)
         reach = (np.concatenate([[0], np.cumsum(n + GAP)])[:-1] + n)[at]
-        places = frame.o.to_numpy()[[0, *[j for j in at if j < len(n)]]]
-        row = [frame.g.iloc[0], int(frame.part.iloc[0]), limit, len(n), int((n + GAP).sum()), at, reach.tolist(), closed[at].tolist(), size[at].tolist(), count[at].tolist(), places.tolist(), int(closed[0]), int(size[0]), int(count[0])]
+        places = [None if pd.isna(o) else int(o) for o in frame.o.iloc[[0, *at]]]
+        row = [frame.g.iloc[0], int(frame.part.iloc[0]), limit, len(n), int((n + GAP).sum()), at, reach.tolist(), closed[at].tolist(), size[at].tolist(), count[at].tolist(), places, int(closed[0]), int(size[0]), int(count[0])]
         return pd.DataFrame([row], columns=["g", "part", "limit", "n", "total", "at", "reach", "closed", "size", "count", "places", "closed0", "size0", "count0"])
 
     lists = ", ".join(f"{c} array<bigint>" for c in ("at", "reach", "closed", "size", "count", "places"))
@@ -168,7 +168,8 @@ class Strung:
     def __init__(self, rows: DataFrame, limit: int, path: str):
         spark, self.rows, self.limit = rows.sparkSession, rows, limit
         sized = rows.select(F.col("key").alias("g"), F.col("place").alias("o"), "n", F.lit(limit).cast("bigint").alias("limit"))
-        self.count = min(MOST_PARTS, 1 + (rows.agg(F.sum("n")).first()[0] or 0) // PART_CHARS)
+        chars, n = rows.agg(F.sum("n"), F.count(F.lit(1))).first()
+        self.count = min(MOST_PARTS, 1 + max((chars or 0) // PART_CHARS, n // PART_ROWS))
         if self.count == 1:
             parts = sized.withColumn("part", F.lit(0))
         else:
