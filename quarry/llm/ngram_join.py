@@ -28,13 +28,20 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Workspace, hash_words, map_text, roll, slices
+from quarry.llm.common import Workspace, map_text, roll, slices
 
-#: Cells of the count sketch: one for each CELL_BYTES of text, within bounds; and of them in a row of the partial counts.
-FEWEST_CELLS, MOST_CELLS, CELL_BYTES, CELLS_A_ROW = 1 << 18, 1 << 22, 1 << 12, 1 << 10
+#: Cells of the count sketch, and of them in a row of the partial counts.
+CELLS, CELLS_A_ROW = 1 << 22, 1 << 10
+#: Text that is cut into words at once, beyond one text; and bytes up to which words are hashed all at once.
+PIECE_BYTES, WORD_BYTES = 1 << 18, 64
+#: Lower-case A-Z, and a space for each of the six ASCII white-space characters.
+PLAIN = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: The first i of eight bytes, by i.
+FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 #: A set with this share of all rows is hot; at most 1/HOT_SHARE sets are, so their list may be broadcast.
 HOT_SHARE = 0.001
 #: Members of a block that one task's trie holds, and shingles of theirs (on average, beyond one set).
@@ -45,49 +52,96 @@ BROADCAST_IDS = 1_000_000
 RUN = 48
 
 
-def shingle_set(text: bytes, k: int) -> np.ndarray:
-    words = text.lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
-    return np.unique(roll(hash_words(words), min(k, len(words)))) if words else np.empty(0, np.uint64)
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """64-bit hashes of the words of all texts, and where each text's words begin and the last one's end."""
+    # Words are read eight bytes at a time, so the last one has eight more behind it.
+    data = b" ".join([b"", *texts, b" " * 8]).translate(PLAIN)
+    inside = np.frombuffer(data, np.uint8) != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
 
+    def mixed(h: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        h = (h ^ (eight[at] & FIRST_BYTES[np.minimum(left, 8)])) * np.uint64(0xFF51AFD7ED558CCD)
+        return h ^ (h >> np.uint64(32))
 
-def cells(hashes: np.ndarray, n: int) -> np.ndarray:
-    return (hashes >> np.uint64(20)).astype(np.int64) & (n - 1)
+    hashes = mixed(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), starts, sizes)
+    more = np.flatnonzero(sizes > 8)
+    for at in range(8, WORD_BYTES, 8):
+        hashes[more] = mixed(hashes[more], starts[more] + at, sizes[more] - at)
+        more = more[sizes[more] > at + 8]
+    for i in more.tolist():
+        hashes[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return hashes, np.searchsorted(starts, begins).tolist()
+
+
+def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
+    """The set of each text, in ascending order."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE_BYTES)) + 1).tolist(), len(texts)]
+    for first, last in zip(cuts, cuts[1:], strict=False):
+        words, at = hashed_words(texts[first:last])
+        rolled = roll(words, k)
+        for a, b in zip(at, at[1:], strict=False):
+            own = np.sort(rolled[a : b - k + 1] if b - a >= k else roll(words[a:b], max(1, b - a)))
+            yield own[np.append(True, own[1:] != own[:-1])] if len(own) > 1 else own
+
+
+def cells(hashes: np.ndarray) -> np.ndarray:
+    """Each hash's cell, by its leading bits: cells of a set in ascending order ascend."""
+    return (hashes >> np.uint64(65 - CELLS.bit_length())).view(np.int64)
+
+
+def narrow(counts: np.ndarray) -> bytes:
+    """A row of counts in the fewest bytes that hold the largest."""
+    return counts.astype(np.min_scalar_type(int(counts.max())).newbyteorder("<")).tobytes()
+
+
+def wide(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, f"<u{len(counts) // CELLS_A_ROW}").astype(np.int64)
 
 
 def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Shingle counts over all documents, by cell. Partial counts of each task are added in two levels."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(MOST_CELLS, max(FEWEST_CELLS, 1 << (size // CELL_BYTES).bit_length()))
+
+    def rows(numbers: list[int], counts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([narrow(x) for x in counts], pa.binary())], names=["row", "counts"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n, np.int64)
+        total = np.zeros(CELLS, np.int64)
         for batch in slices(batches):
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                if text:
-                    np.add.at(total, cells(shingle_set(text, k), n), 1)
-        rows = total.reshape(-1, CELLS_A_ROW)
-        some = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rows[i].astype("<i8").tobytes() for i in some], pa.binary())], names=["row", "counts"])
+            for own in shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], k):
+                np.add.at(total, cells(own), 1)
+        parts = total.reshape(-1, CELLS_A_ROW)
+        some = np.flatnonzero(parts.any(axis=1)).tolist()
+        yield rows(some, [parts[i] for i in some])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, counts in zip(batch.column("row").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[row] = sums.get(row, 0) + np.frombuffer(counts, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["row", "counts"])
+                sums[row] = sums.get(row, 0) + wide(counts)
+        yield rows(list(sums), list(sums.values()))
 
     schema = "row bigint, counts binary"
     parts = docs.select("text").mapInArrow(partial, schema)
     some = parts.repartition(F.col("row"), F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(add, schema)
-    sketch = np.zeros((n // CELLS_A_ROW, CELLS_A_ROW), np.int64)
-    for r in some.repartition("row").mapInArrow(add, schema).collect():  # MOST_CELLS counters at most
-        sketch[r.row] += np.frombuffer(r.counts, "<i8")
-    return sketch.ravel()
+    sketch = np.zeros((CELLS // CELLS_A_ROW, CELLS_A_ROW), np.int64)
+    for r in some.repartition("row").mapInArrow(add, schema).collect():  # CELLS counters at most
+        sketch[r.row] += wide(r.counts)
+    return np.minimum(sketch, 2**32 - 1).astype(np.uint32).ravel()
 
 
-def ranked(hashes: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """The set in the global order."""
-    return hashes[np.lexsort((hashes, sketch[cells(hashes, len(sketch))]))]
+def rarest(own: np.ndarray, sketch: np.ndarray, keep: int) -> np.ndarray:
+    """The first `keep` of a set in the global order, in ascending order."""
+    if keep >= len(own):
+        return own
+    counts = sketch[cells(own)]
+    most = np.partition(counts, keep - 1)[keep - 1]
+    chosen = counts < most
+    chosen[np.flatnonzero(counts == most)[: keep - int(chosen.sum())]] = True
+    return own[chosen]
 
 
 def needed(total: int, percent: int) -> int:
@@ -98,8 +152,8 @@ def needed(total: int, percent: int) -> int:
 class Trie:
     """Sets of ranks, in order; each node holds a run of at most RUN ranks that all sets below it share."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+    def __init__(self, sets: list[np.ndarray], universe: int):
+        self.sets, self.marks = sets, np.zeros(universe, bool)
         order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())
         self.root = self.grow(order, 0)
 
@@ -117,17 +171,15 @@ class Trie:
             children.append((first[depth : depth + shared], below, depth + shared, min(sizes), max(sizes), []))
         return children
 
-    def links(self, own: np.ndarray, universe: int, percent: int, skip) -> Iterator[int]:
+    def links(self, own: np.ndarray, percent: int, skip) -> Iterator[int]:
         """Sets of the trie that reach the similarity with `own`. skip(ids): the ids that need no answer are left out."""
-        marks = np.zeros(universe + 1, np.int64)
-        marks[own] = 1
-        upto = np.cumsum(marks)
-        n = len(own)
+        marks, n = self.marks, len(own)
+        marks[own] = True
         stack = [(child, 0) for child in self.root]
         while stack:
             (run, ids, depth, least, most, children), overlap = stack.pop()
-            overlap += int(marks[run].sum())
-            rest = min(n - int(upto[run[-1]]), most - depth)
+            overlap += int(np.count_nonzero(marks[run]))
+            rest = min(n - int(own.searchsorted(run[-1], "right")), most - depth)
             if overlap + rest < needed(n + max(least, 0), percent) or (100 * n < percent * least) or (100 * most < percent * n):
                 continue
             left = skip(ids)
@@ -140,15 +192,16 @@ class Trie:
                 if not children:
                     children.extend(self.grow(ids, depth))
                 stack.extend((child, overlap) for child in children)
+        marks[own] = False
 
 
 def chunk_links(keys: list[int], sets: list[np.ndarray], probes: list[bool], known: list[int], sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that connect the sets of a chunk; with probes, only those of probing sets. known: components so far."""
-    universe = np.unique(np.concatenate(sets))
-    universe = universe[np.lexsort((universe, sketch[cells(universe, len(sketch))]))]
-    place = np.argsort(universe)
-    local = [np.sort(place[np.searchsorted(universe, s, sorter=place)]) for s in sets]
-    trie = Trie(local)
+    universe, ranks = np.unique(np.concatenate(sets), return_inverse=True)
+    place = np.empty(len(universe), np.int64)
+    place[np.argsort(sketch[cells(universe)], kind="stable")] = np.arange(len(universe))
+    local = [np.sort(x) for x in np.split(place[ranks], np.cumsum([len(s) for s in sets])[:-1])]
+    trie = Trie(local, len(universe))
     parent = list(range(len(keys)))
     first: dict[int, int] = {}
 
@@ -161,9 +214,10 @@ def chunk_links(keys: list[int], sets: list[np.ndarray], probes: list[bool], kno
     for i, c in enumerate(known):
         parent[find(i)] = find(first.setdefault(c, i))
     found = []
-    asked = range(len(keys)) if not any(probes) else [i for i, p in enumerate(probes) if p]
-    for i in asked:
-        for j in trie.links(local[i], len(universe), percent, lambda ids, i=i: [x for x in ids if find(x) != find(i)]):
+    # Without probes all ask, each for those before it.
+    some = any(probes)
+    for i in [i for i, p in enumerate(probes) if p or not some]:
+        for j in trie.links(local[i], percent, lambda ids, i=i: [x for x in ids if (some or x < i) and find(x) != find(i)]):
             a, b = find(i), find(j)
             if a != b:
                 parent[b] = a
@@ -214,12 +268,8 @@ def link_sets(members: DataFrame, docs: DataFrame, k: int, percent: int, sketch)
                 yield from zip(*columns, batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
 
         for _, group in groupby(each(), key=lambda r: r[:2]):
-            keys, probes, known, sets = [], [], [], []
-            for _, _, node, probe, comp, text in group:
-                keys.append(node)
-                probes.append(probe)
-                known.append(comp)
-                sets.append(shingle_set(text, k))
+            _, _, keys, probes, known, texts = map(list, zip(*group, strict=True))
+            sets = list(shingle_sets(texts, k))
             if links := chunk_links(keys, sets, probes, known, sketch.value, percent):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
@@ -263,13 +313,12 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
     def describe(texts: list[bytes]) -> dict:
         sizes, names, prefixes = [], [], []
-        for text in texts:
-            own = shingle_set(text, k)
+        for own in shingle_sets(texts, k):
             n = len(own)
             sizes.append(n)
             names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
             keep = min(n, n - -(-percent * n // 100) + shared(n, percent)) if n else 0
-            prefixes.append(ranked(own, sketch.value)[:keep].view(np.int64))
+            prefixes.append(rarest(own, sketch.value, keep).view(np.int64))
         return {"n_shingles": pa.array(sizes, pa.int64()), "name": pa.array(names, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))}
 
     base = ws.save(map_text(docs, describe, "n_shingles bigint, name binary, prefix array<bigint>", as_bytes=True), "base")

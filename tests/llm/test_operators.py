@@ -7,6 +7,7 @@ import re
 import struct
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,35 @@ def rows_of(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
 
 
+def sets_of(text, k):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", text.lower())
+    return {tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))} if w else set()
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_shingle_sets_are_cut_many_texts_at_once(texts, k, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PIECE_BYTES", 300)
+    odd = [b"A b", b"a\0 B", b"a\0\0 b", b"x" * 64, b"X" * 65 + b" " + b"x" * 64, b"\r\na \x0b\x0cb\tC", b"a" * 8 + b" " + b"A" * 9 + b" " + b"a" * 16, b"\0", b"\0\0", b""]
+    every = [(t or "").encode() for _, t in texts] + odd
+    want = [sets_of(t, k) for t in every]
+    made = list(ngram_join.shingle_sets(every, k))
+    assert [len(m) for m in made] == [len(w) for w in want]
+    assert all((m[1:] > m[:-1]).all() for m in made)
+    for a, x in zip(made, want, strict=True):
+        assert [len(set(a.tolist()) & set(b.tolist())) for b in made] == [len(x & y) for y in want]
+
+
+def test_sketch_counts_move_in_few_bytes(spark, texts):
+    assert len(ngram_join.narrow(np.full(ngram_join.CELLS_A_ROW, 255))) == ngram_join.CELLS_A_ROW
+    for most in (0, 255, 256, 70_000, 2**40):
+        counts = np.arange(ngram_join.CELLS_A_ROW) % (most + 1)
+        counts[0] = most
+        assert (ngram_join.wide(ngram_join.narrow(counts)) == counts).all()
+    own = np.concatenate(list(ngram_join.shingle_sets([(t or "").encode() for _, t in texts], 3)))
+    want = np.bincount(ngram_join.cells(own), minlength=ngram_join.CELLS)
+    assert (ngram_join.count_sketch(make(spark, texts), 3) == want).all()
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 60)])
 def test_ngram_join(spark, texts, k, percent, monkeypatch):
     monkeypatch.setattr(ngram_join, "CHUNK", 3)  # many chunks in a block
