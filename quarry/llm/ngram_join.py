@@ -5,10 +5,10 @@ one global order: rare shingles first, by a fixed-size sketch of shingle counts
 sets with a similarity of t percent share a shingle among the first |x| - ceil(t |x| / 100) + 1 of each.
 
 1. Equal sets become one representative (their smallest doc_id) by a pre-aggregated grouping.
-2. Prefix shingles of representatives that two or more share are live. Prefixes are longer by m - 1, so that linked
-   sets share m of them, and sets with too few live shingles drop out. The smallest representative with a live shingle
-   (in a band of sizes) names a block, and all that share the shingle are its members. Any two sets that can link meet
-   in a block.
+2. Prefix shingles of representatives that two or more in a band of sizes share are live there. Prefixes are longer by
+   m - 1, so that linked sets share m of them, and sets with too few live shingles in a band drop out of it. The smallest
+   representative with a live shingle in a band names a block, and all that share the shingle are its members. Any two
+   sets that can link meet in a block. Postings are dealt over buckets as packed arrays, of which a task holds one.
 3. Large blocks are dealt out over chunks of CHUNK members or CHUNK_SHINGLES shingles, each with the block's first set. A task stores a chunk's
    sets in a trie (runs of equal ranks share a node) and walks it for each set with the overlap so far, pruning
    subtrees by the bounds on remaining lengths and leaves already connected.
@@ -48,6 +48,10 @@ HOT_SHARE = 0.001
 CHUNK, CHUNK_SHINGLES = 256, 1 << 20
 #: Ids (8 bytes each) that may be broadcast.
 BROADCAST_IDS = 1_000_000
+#: Shingles of whole sets for each bucket of postings, and postings that are dealt over the buckets at once.
+BUCKET_SHINGLES, DEALT_POSTINGS = 1 << 21, 1 << 19
+#: Columns of postings, as bytes of a bucket's rows.
+POSTING = {"node": "<i8", "n": "<i4", "gram": "<i8", "band": "<i2"}
 #: Ranks in one node of a trie.
 RUN = 48
 
@@ -276,33 +280,98 @@ def link_sets(members: DataFrame, docs: DataFrame, k: int, percent: int, sketch)
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def shared(n: int, percent: int) -> int:
+def shared(n, percent: int):
     """Shingles that two sets of n or more have in common in their prefixes, beyond which prefixes are lengthened."""
-    return max(1, -(-(100 - percent) * n // 200))
+    return np.maximum(1, -(-(100 - percent) * n // 200))
+
+
+def parcels(rows: dict[str, np.ndarray], key: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Postings dealt over buckets by a key: bucket, and each column of its rows as bytes."""
+    for at in range(0, len(rows[key]), DEALT_POSTINGS):
+        part = {c: v[at : at + DEALT_POSTINGS] for c, v in rows.items()}
+        hashes = part[key].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+        bucket = (hashes * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, first = np.unique(bucket[order], return_index=True)
+        columns = [pa.array([x.tobytes() for x in np.split(part[c].astype(t)[order], first[1:])], pa.binary()) for c, t in POSTING.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *columns], names=["bucket", *POSTING])
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The postings of each bucket, whose rows stand together."""
+    rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", *POSTING)), strict=True))
+    for _, group in groupby(rows, key=lambda r: r[0]):
+        _, *columns = zip(*group, strict=True)
+        yield {c: np.frombuffer(b"".join(x), t) for (c, t), x in zip(POSTING.items(), columns, strict=True)}
+
+
+def together(rows: dict[str, np.ndarray], *keys: str, then: tuple[str, ...] = ()) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Rows sorted by keys (and then by others); for each row, where its keys' group begins and how many rows it has."""
+    order = np.lexsort([rows[c] for c in reversed((*keys, *then))])
+    rows = chosen(rows, order)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in keys:
+        new[1:] |= rows[c][1:] != rows[c][:-1]
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(order)))
+    return rows, np.repeat(first, count), np.repeat(count, count)
+
+
+def chosen(rows: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarray]:
+    return {c: v[which] for c, v in rows.items()}
 
 
 def blocks(reps: DataFrame, percent: int, ws: Workspace) -> DataFrame:
     """block, node, n (its size): all sets that can link meet in a block. reps: node, n_shingles, prefix.
 
-    Sets that link have shared(n) prefix shingles in common, n being the smaller size. So a set with fewer live
-    shingles than that for the smallest partner allowed links with none. Of the others, those that share a shingle are
-    dealt by bands of size, each set to its own and the next, in which any two of fitting sizes meet.
+    Postings (set, shingle of its prefix) are dealt over buckets by shingle, as bytes. Sets that share one are dealt by
+    bands of size, each set to its own and the next, in which any two of fitting sizes meet. Sets that link have
+    shared(n) prefix shingles in common, n being the smaller size. So a set with fewer live shingles in a band than that
+    for the smallest partner allowed links with none there; the others are grouped by shingle and band again.
     """
-    postings = reps.select("node", F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("gram"))
-    live = ws.save(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gram"), "live")
-    some = ws.save(postings.join(live, "gram"), "live-postings")
-    ws.drop("live")
-    least = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * (100 - percent) / 200 - 1e-9))
-    # A list of live shingles is a part of its own document's prefix.
-    able = some.groupBy("node", "n").agg(F.collect_list("gram").alias("grams")).filter(F.size("grams") >= least)
-    band = F.floor(F.log(F.col("n")) / (float(np.log(100 / percent)) * 1.001))
-    banded = able.select("node", "n", F.array(band, band + 1).alias("bands"), F.explode("grams").alias("gram"))
-    banded = ws.save(banded.select("node", "n", "gram", F.explode("bands").alias("band")), "banded")
-    ws.drop("live-postings")
-    groups = ws.save(banded.groupBy("gram", "band").agg(F.min("node").alias("block"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "groups")
-    met = ws.save(banded.join(groups, ["gram", "band"]).groupBy("block", "node").agg(F.max("n").alias("n")), "met")
-    ws.drop("banded", "groups")
-    return met
+    buckets = max(1, (reps.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_SHINGLES)
+    width = max(float(np.log(100 / percent)), 1e-3) * 1.001
+    schema = "bucket bigint, " + ", ".join(f"{c} binary" for c in POSTING)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefixes = batch.column("prefix")
+            node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n_shingles"))
+            sizes = prefixes.value_lengths().to_numpy(zero_copy_only=False)
+            gram, n = prefixes.flatten().to_numpy(zero_copy_only=False), np.repeat(n, sizes)
+            yield from parcels({"node": np.repeat(node, sizes), "n": n, "gram": gram, "band": np.zeros(len(n))}, "gram", buckets)
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in opened(batches):
+            rows, _, m = together(rows, "gram")
+            rows = chosen(rows, m > 1)
+            own = (np.log(rows["n"]) // width).astype(np.int16)
+            both = {c: np.concatenate([v, v]) for c, v in rows.items()} | {"band": np.concatenate([own, own + 1])}
+            both, _, m = together(both, "gram", "band")
+            yield from parcels(chosen(both, m > 1), "node", buckets)
+
+    def able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in opened(batches):
+            rows, _, live = together(rows, "node", "band")
+            partner = -(-percent * rows["n"].astype(np.int64) // 100)
+            yield from parcels(chosen(rows, live >= shared(partner, percent)), "gram", buckets)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in opened(batches):
+            rows, first, m = together(rows, "gram", "band", then=("node",))
+            pairs = chosen({"block": rows["node"][first], "node": rows["node"], "n": rows["n"]}, m > 1)
+            pairs, first, _ = together(pairs, "block", "node")
+            pairs = chosen(pairs, first == np.arange(len(first)))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[c], t) for c, t in (("block", pa.int64()), ("node", pa.int64()), ("n", pa.int32()))], names=["block", "node", "n"])
+
+    def dealt_out(df: DataFrame) -> DataFrame:
+        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+    postings = reps.select("node", "n_shingles", "prefix").mapInArrow(post, schema)
+    banded = dealt_out(dealt_out(postings).mapInArrow(band, schema)).mapInArrow(able, schema)
+    found = dealt_out(banded).mapInArrow(meet, "block bigint, node bigint, n int")
+    return ws.save(found.groupBy("block", "node").agg(F.max("n").alias("n")), "met")
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -317,7 +386,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
             n = len(own)
             sizes.append(n)
             names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
-            keep = min(n, n - -(-percent * n // 100) + shared(n, percent)) if n else 0
+            keep = min(n, n - -(-percent * n // 100) + int(shared(n, percent))) if n else 0
             prefixes.append(rarest(own, sketch.value, keep).view(np.int64))
         return {"n_shingles": pa.array(sizes, pa.int64()), "name": pa.array(names, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))}
 
@@ -367,6 +436,16 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The document with the smallest doc_id of each component, with all columns; documents without words stay."""
-    found = join(docs.select("doc_id", "text"), k, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    stay = docs.join(found, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter("doc_id is null"))
+    ws = Workspace(docs.sparkSession, "ngram-kept")
+    found = join(docs.select("doc_id", "text"), k, percent).filter("doc_id is not null")
+    # Ids that go, or that several rows have. Rows of all others stay where they stand, so only these meet by id.
+    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    other = ws.save(rows.filter("rows > 1 or not stays").select(F.col("doc_id").alias("__other"), "stays"), "other")
+    n, again = other.agg(F.count(F.lit(1)), F.count_if("stays")).first()
+
+    def met(ids: DataFrame, how: str) -> DataFrame:
+        ids = ids.select("__other")
+        return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("__other"), how)
+
+    plain = met(other, "left_anti")
+    return plain.unionByName(met(other.filter("stays"), "left_semi").dropDuplicates(["doc_id"])) if again else plain

@@ -68,6 +68,42 @@ def test_sketch_counts_move_in_few_bytes(spark, texts):
     assert (ngram_join.count_sketch(make(spark, texts), 3) == want).all()
 
 
+def test_blocks_hold_what_can_link_and_no_set_without_enough_in_its_band(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET_SHINGLES", 40)  # many buckets
+    draw, percent = random.Random(3), 80
+    sets = {i: {draw.randrange(2**62) for _ in range(n)} for i, n in enumerate((20, 40, 100, 100, 300))}
+    for i in range(5):
+        for _ in range(3):
+            gone = set(draw.sample(sorted(sets[i]), len(sets[i]) // 20))
+            sets[len(sets)] = (sets[i] - gone) | {draw.randrange(2**62) for _ in gone}
+    far = sorted(sets[4])[:10]  # shared with sets of another size only, but for one shingle
+    sets[20] = set(far) | {draw.randrange(2**62) for _ in range(20)} | {7}
+    sets[21] = {draw.randrange(2**62) for _ in range(30)} | {7}
+    prefix = {i: sorted(s)[: len(s) - -(-percent * len(s) // 100) + int(ngram_join.shared(len(s), percent))] for i, s in sets.items()}
+    prefix[20], prefix[21] = [7, *far][:9], [7, *sorted(sets[21] - {7})[:8]]
+    prefix[4] = sorted({*prefix[4], *far})
+    reps = spark.createDataFrame([(i, len(s), prefix[i]) for i, s in sets.items()], "node bigint, n_shingles bigint, prefix array<bigint>")
+    met = ngram_join.blocks(reps, percent, ngram_join.Workspace(spark, "test-blocks")).collect()
+    members = defaultdict(set)
+    for r in met:
+        members[r.block].add(r.node)
+        assert r.n == len(sets[r.node])
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                assert any({a, b} <= m for m in members.values()), (a, b)
+    assert all(b == min(m) and len(m) > 1 for b, m in members.items())
+    assert not any(20 in m or 21 in m for m in members.values())
+
+
+def test_representatives_move_only_texts_of_ids_that_repeat_or_go(spark, texts):
+    rows = [*texts, texts[8], texts[9], texts[9]]
+    left = ngram_join.representatives(make(spark, rows), 3, 90)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(r.doc_id for r in ngram_join.join(make(spark, texts), 3, 90).filter("doc_id = component_id").collect())
+    assert "BroadcastHashJoin" in left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (1, 60)])
 def test_ngram_join(spark, texts, k, percent, monkeypatch):
     monkeypatch.setattr(ngram_join, "CHUNK", 3)  # many chunks in a block
